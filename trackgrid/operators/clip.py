@@ -45,27 +45,31 @@ def along(e: Column, t: Column) -> Column:
     return G.point(x, y)
 
 
-def join_pieces(pieces: Column) -> Column:
-    """Lines from an array of ``struct(part, a, b)``.
+def join_pieces(df: DataFrame, pieces: str, out: str) -> DataFrame:
+    """Add lines made from an array column of ``struct(part, a, b)``.
 
-    Pieces of one part that meet become one line.
+    Pieces of one part that meet become one line. Intermediate arrays are
+    columns, so that each is computed once per row.
     """
-    n = F.size(pieces)
+    p, n = F.col(pieces), F.size(pieces)
 
     def apart(i: Column) -> Column:
-        this, before = pieces[i], pieces[F.greatest(i - 1, F.lit(0))]
+        this, before = p[i], p[F.greatest(i - 1, F.lit(0))]
         return (i == 0) | (this["part"] != before["part"]) | (this["a"] != before["b"])
 
-    starts = F.filter(F.sequence(F.lit(0), n - 1), apart)
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+    df = df.withColumn("__starts", F.filter(F.sequence(F.lit(0), n - 1), apart))
+    df = df.withColumn(
+        "__ends", F.concat(F.slice("__starts", 2, F.greatest(F.size("__starts") - 1, F.lit(0))), F.array(n))
+    )
     lines = F.transform(
-        F.arrays_zip(starts.alias("s"), ends.alias("e")),
+        F.arrays_zip("__starts", "__ends"),
         lambda r: F.concat(
-            F.array(pieces[r["s"]]["a"]),
-            F.transform(F.slice(pieces, r["s"] + 1, r["e"] - r["s"]), lambda p: p["b"]),
+            F.array(p[r["__starts"]]["a"]),
+            F.transform(F.slice(p, r["__starts"] + 1, r["__ends"] - r["__starts"]), lambda q: q["b"]),
         ),
     )
-    return F.when(n > 0, lines).otherwise(F.array().cast(_NO_PARTS))
+    made = F.when(n > 0, lines).otherwise(F.array().cast(_NO_PARTS))
+    return df.withColumn(out, made).drop("__starts", "__ends")
 
 
 def _line_geometry(parts: Column) -> Column:
@@ -89,29 +93,31 @@ def clip_to_box(features: DataFrame, bbox: Sequence[float]) -> DataFrame:
     box = [F.lit(v) for v in (x0, y0, x1, y1)]
     geom = F.col("geom")
     near = features.where(G.box_overlaps(*[F.col(c) for c in G.BOX], bbox))
-    in_box = lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1)
-
-    def line_parts(part: Column) -> Column:
-        segs = F.transform(G.edges_of_part(part), lambda e: F.struct(e.alias("e"), clip_range(e, box).alias("r")))
-        kept = F.filter(segs, lambda s: s["r"]["t0"] < s["r"]["t1"])
-        return join_pieces(F.transform(kept, lambda s: F.struct(
-            F.lit(0).alias("part"), along(s["e"], s["r"]["t0"]).alias("a"), along(s["e"], s["r"]["t1"]).alias("b"))))
-
-    lines = F.flatten(F.transform(geom.getField("parts"), line_parts))
-    dots = F.filter(geom.getField("parts"), lambda p: in_box(p[0]))
-    ring = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]])
-    cut = _as_parts(_clip_rings(_pairs(geom), ring))
     inside = (F.col("xmin") >= x0) & (F.col("xmax") <= x1) & (F.col("ymin") >= y0) & (F.col("ymax") <= y1)
+
+    # Lines: the kept share of each segment, then pieces that meet are joined.
+    segs = F.flatten(F.transform(geom.getField("parts"), lambda part, i: F.transform(
+        G.edges_of_part(part), lambda e: F.struct(i.alias("part"), e.alias("e"), clip_range(e, box).alias("r")))))
+    kept = F.filter(segs, lambda s: s["r"]["t0"] < s["r"]["t1"])
+    lines = near.withColumn("__kept", F.when(G.is_lineal(geom) & ~inside, kept))
+    lines = lines.withColumn("__pieces", F.transform("__kept", lambda s: F.struct(
+        s["part"].alias("part"), along(s["e"], s["r"]["t0"]).alias("a"), along(s["e"], s["r"]["t1"]).alias("b"))))
+    lines = join_pieces(lines, "__pieces", "__lines")
+    dots = F.filter(geom.getField("parts"), lambda p: p[0]["x"].between(x0, x1) & p[0]["y"].between(y0, y1))
     shaped = (
         F.when(inside, geom)
         .when(G.is_puntal(geom), _point_geometry(dots))
-        .when(G.is_lineal(geom), _line_geometry(lines))
+        .when(G.is_lineal(geom), _line_geometry(F.col("__lines")))
     )
-    # Python is only reached by polygons that cross the edge of the box.
-    whole = near.where(inside | ~G.is_polygonal(geom)).withColumn("geom", shaped)
-    crossing = near.where(~inside & G.is_polygonal(geom)).withColumn("geom", _polygon_geometry(cut))
-    out = whole.unionByName(crossing).where(F.size("geom.parts") > 0)
-    return G.with_box(out).select(*features.columns)
+    whole = lines.where(inside | ~G.is_polygonal(geom)).withColumn("geom", shaped)
+
+    # Polygons: Python is only reached by those that cross the edge of the box.
+    ring = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]])
+    crossing = near.where(~inside & G.is_polygonal(geom)).withColumn("__cut", _clip_rings(_pairs(geom), ring))
+    crossing = crossing.withColumn("geom", _polygon_geometry(_as_parts(F.col("__cut"))))
+    names = features.columns
+    out = whole.select(*names).unionByName(crossing.select(*names)).where(F.size("geom.parts") > 0)
+    return G.with_box(out).select(*names)
 
 
 # Any boundary ---------------------------------------------------------------
@@ -226,7 +232,8 @@ def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
         along(F.col("e"), F.col("t0")).alias("a"), along(F.col("e"), F.col("t1")).alias("b"),
     )
     whole = _regroup(runs, features, key, F.sort_array(F.collect_list(piece)))
-    return whole.withColumn("geom", _line_geometry(join_pieces(F.col("__all")))).drop("__all")
+    lines = join_pieces(whole, "__all", "__lines")
+    return lines.withColumn("geom", _line_geometry(F.col("__lines"))).drop("__all", "__lines")
 
 
 # Polygons -------------------------------------------------------------------

@@ -23,7 +23,7 @@ SALTS = 64
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> bool:
