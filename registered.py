@@ -17,7 +17,7 @@ import trackgrid as tg
 from stand_ins import with_views
 from trackgrid.functions import geometry as G
 from trackgrid.operators.boundary import buffer_convex, feature_envelope
-from trackgrid.operators.features import explode_rings, length, ring_area
+from trackgrid.operators.features import explode_rings, length, signed_areas
 from trackgrid.operators.reshape import concat_time
 from trackgrid.session import scratch_path
 
@@ -730,7 +730,7 @@ select road_id, road_class, round((t1-t0)*sqrt((x2-x1)**2+(y2-y1)**2), 6) as len
 def g3(spark, d):
     cut = tg.clip_to_box(S.roads(spark, d), BOX)
     first = F.col("geom.parts")[0][0]
-    out = cut.select("road_id", "road_class", length(F.col("geom")).alias("len"), first["x"].alias("ax"), first["y"].alias("ay"))
+    out = cut.select("road_id", "road_class", length().alias("len"), first["x"].alias("ax"), first["y"].alias("ay"))
     return rounded(out, "len", "ax", "ay")
 
 
@@ -746,7 +746,7 @@ select road_id, round(sum((t1-t0)*l), 6) as len, count(*) as pieces from t where
           "roads zone_edges")
 def g3p(spark, d):
     cut = tg.clip_to_polygons(S.roads(spark, d), S.diamonds(spark, d), "road_id", ["LineString"])
-    out = cut.select("road_id", length(F.col("geom")).alias("len"), F.size("geom.parts").cast("bigint").alias("pieces"))
+    out = cut.select("road_id", length().alias("len"), F.size("geom.parts").cast("bigint").alias("pieces"))
     return rounded(out, "len")
 
 
@@ -755,7 +755,7 @@ def g3p(spark, d):
 from parcels where xmin < -117e0 and xmax > -123e0 and ymin < 55e0 and ymax > 50e0""", "parcels")
 def g3b(spark, d):
     cut = tg.clip_to_box(S.parcels(spark, d), BOX)
-    area = F.aggregate(F.col("geom.parts"), F.lit(0.0), lambda a, p: a + F.abs(ring_area(p)))
+    area = F.aggregate(signed_areas(), F.lit(0.0), lambda a, p: a + F.abs(p))
     return rounded(cut.select("parcel_id", "brand", area.alias("area")), "area")
 
 
@@ -765,7 +765,7 @@ from parcels p join zones z on p.xmin < z.xmax and p.xmax > z.xmin and p.ymin <
           "parcels zones")
 def g3z(spark, d):
     cut = tg.clip_to_polygons(S.parcels(spark, d), S.zone_boxes(spark, d), "parcel_id", ["Polygon"])
-    area = F.aggregate(F.col("geom.parts"), F.lit(0.0), lambda a, p: a + F.abs(ring_area(p)))
+    area = F.aggregate(signed_areas(), F.lit(0.0), lambda a, p: a + F.abs(p))
     return rounded(cut.select("parcel_id", area.alias("area")), "area")
 
 
@@ -810,7 +810,7 @@ select road_class, count(*) as n, round(sum((t1-t0)*sqrt((x2-x1)**2+(y2-y1)**2))
           "roads")
 def c1(spark, d):
     out = tg.subset_features(spark, S.roads(spark, d), bbox=BOX, clip=True).subset
-    return rounded(out.groupBy("road_class").agg(F.count(F.lit(1)).alias("n"), F.sum(length(F.col("geom"))).alias("len")),
+    return rounded(out.groupBy("road_class").agg(F.count(F.lit(1)).alias("n"), F.sum(length()).alias("len")),
                    "len", digits=4)
 
 

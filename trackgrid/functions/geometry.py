@@ -6,6 +6,11 @@ line, or the single point of a point. Holes need no mark, because every
 polygon test here counts edge crossings over all rings (even-odd rule). Each
 feature row also stores its box in ``xmin, ymin, xmax, ymax``, which is what
 scans are pruned by.
+
+Functions on columns take and return Columns. The tests at the end of the
+module take and return SQL text: they nest deeply, and text keeps them legible
+and quick to build. In them ``e``, ``a`` and ``b`` name edges, structs of
+``x1, y1, x2, y2``.
 """
 
 from __future__ import annotations
@@ -36,16 +41,13 @@ def geometry_kind(geom: str | Column = "geom") -> Column:
     return (F.col(geom) if isinstance(geom, str) else geom).getField("kind")
 
 
-def is_polygonal(geom: Column) -> Column:
-    return geom.getField("kind").endswith("Polygon")
-
-
-def is_lineal(geom: Column) -> Column:
-    return geom.getField("kind").endswith("LineString")
-
+def bbox_ring(bbox: Sequence[float]) -> list[tuple[float, float]]:
+    """Corners of ``(long_min, lat_min, long_max, lat_max)``.
 
-def is_puntal(geom: Column) -> Column:
-    return geom.getField("kind").endswith("Point")
+    Order: lower left, upper left, upper right, lower right.
+    """
+    x0, y0, x1, y1 = map(float, bbox)
+    return [(x0, y0), (x0, y1), (x1, y1), (x1, y0)]
 
 
 def ring_of(points: Sequence[tuple[float, float]]) -> Column:
@@ -53,16 +55,7 @@ def ring_of(points: Sequence[tuple[float, float]]) -> Column:
     pts = [tuple(map(float, p)) for p in points]
     if pts[0] != pts[-1]:
         pts.append(pts[0])
-    return F.array(*[point(F.lit(x), F.lit(y)) for x, y in pts])
-
-
-def bbox_ring(bbox: Sequence[float]) -> list[tuple[float, float]]:
-    """Corners of ``(long_min, lat_min, long_max, lat_max)``.
-
-    Order: lower left, upper left, upper right, lower right.
-    """
-    x0, y0, x1, y1 = map(float, bbox)
-    return [(x0, y0), (x0, y1), (x1, y1), (x1, y0)]
+    return F.expr("array(" + ", ".join(f"named_struct('x', {x!r}D, 'y', {y!r}D)" for x, y in pts) + ")")
 
 
 def bbox_to_polygon(bbox: Sequence[float]) -> Column:
@@ -85,137 +78,117 @@ def closed(ring: Column) -> Column:
     return F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
-def edges_of_part(part: Column) -> Column:
-    """Directed edges between consecutive points."""
-    n = F.size(part)
-    made = F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.struct(
-            part[i - 1]["x"].alias("x1"), part[i - 1]["y"].alias("y1"),
-            part[i]["x"].alias("x2"), part[i]["y"].alias("y2"),
-        ),
-    )
-    return F.when(n >= 2, made).otherwise(F.array().cast(f"array<{EDGE_TYPE}>"))
+def with_box(df: DataFrame) -> DataFrame:
+    """Add the box columns of ``geom``."""
+    xs, ys = "transform(flatten(geom.parts), p -> p.x)", "transform(flatten(geom.parts), p -> p.y)"
+    return df.withColumns({
+        "xmin": F.expr(f"array_min({xs})"), "ymin": F.expr(f"array_min({ys})"),
+        "xmax": F.expr(f"array_max({xs})"), "ymax": F.expr(f"array_max({ys})"),
+    })
 
 
-def edges(geom: Column) -> Column:
-    """All edges of all parts in one array."""
-    return F.flatten(F.transform(geom.getField("parts"), edges_of_part))
+# SQL text -------------------------------------------------------------------
 
+PUNTAL = "endswith(geom.kind, 'Point')"
+LINEAL = "endswith(geom.kind, 'LineString')"
+POLYGONAL = "endswith(geom.kind, 'Polygon')"
+POINTS = "flatten(geom.parts)"
 
-def points(geom: Column) -> Column:
-    return F.flatten(geom.getField("parts"))
 
+def num(v) -> str:
+    """A number as a DOUBLE literal; text is taken as an expression."""
+    return v if isinstance(v, str) else f"{float(v)!r}D"
 
-def with_box(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """Add the box columns of ``geom``."""
-    pts = points(F.col(geom))
-    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
-    return df.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys),
-                           "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
+
+def edges_of_part(part: str) -> str:
+    """Directed edges between consecutive points."""
+    return (
+        f"if(size({part}) < 2, cast(array() as array<{EDGE_TYPE}>), transform(sequence(1, size({part}) - 1), "
+        f"k -> named_struct('x1', {part}[k-1].x, 'y1', {part}[k-1].y, 'x2', {part}[k].x, 'y2', {part}[k].y)))"
+    )
+
+
+# All edges of all parts in one array, and the same with points as edges of
+# length zero.
+EDGES = f"flatten(transform(geom.parts, part -> {edges_of_part('part')}))"
+EDGES_OR_POINTS = (
+    f"if({PUNTAL}, transform({POINTS}, p -> named_struct('x1', p.x, 'y1', p.y, 'x2', p.x, 'y2', p.y)), {EDGES})"
+)
 
 
-def crosses_ray(e: Column, x: Column, y: Column) -> Column:
-    """Whether edge ``e`` meets the ray going right from (x, y).
+def crosses_ray(e: str, x: str, y: str) -> str:
+    """Whether an edge meets the ray going right from (x, y).
 
     Half open in y, so an edge shared by two polygons counts for one of them.
     """
-    at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
-    return ((e["y1"] > y) != (e["y2"] > y)) & (x < at)
+    at = f"({e}.x2 - {e}.x1) * ({y} - {e}.y1) / ({e}.y2 - {e}.y1) + {e}.x1"
+    return f"(({e}.y1 > {y}) != ({e}.y2 > {y}) and {x} < {at})"
 
 
-def point_in(edge_array: Column, x: Column, y: Column) -> Column:
+def point_in(edges: str, x: str, y: str) -> str:
     """Even-odd test of (x, y) against an array of edges."""
-    n = F.aggregate(
-        edge_array, F.lit(0), lambda acc, e: acc + F.when(crosses_ray(e, x, y), 1).otherwise(0)
-    )
-    return (n % 2) == 1
+    return f"(aggregate({edges}, 0, (n, ray) -> if({crosses_ray('ray', x, y)}, n + 1, n)) % 2 = 1)"
 
 
-def box_overlaps(xmin, ymin, xmax, ymax, bbox: Sequence) -> Column:
+def box_overlaps(xmin: str, ymin: str, xmax: str, ymax: str, bbox: Sequence) -> str:
     """Box columns against a box: plain comparisons, so they reach the scan."""
-    x0, y0, x1, y1 = [v if isinstance(v, Column) else F.lit(float(v)) for v in bbox]
-    return (xmin <= x1) & (xmax >= x0) & (ymin <= y1) & (ymax >= y0)
+    x0, y0, x1, y1 = map(num, bbox)
+    return f"({xmin} <= {x1} and {xmax} >= {x0} and {ymin} <= {y1} and {ymax} >= {y0})"
+
+
+def edge_box_overlaps(e: str, bbox: Sequence) -> str:
+    return box_overlaps(f"least({e}.x1, {e}.x2)", f"least({e}.y1, {e}.y2)",
+                        f"greatest({e}.x1, {e}.x2)", f"greatest({e}.y1, {e}.y2)", bbox)
 
 
-def _side(e: Column, x: Column, y: Column) -> Column:
-    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+def side(e: str, x: str, y: str) -> str:
+    """Positive where (x, y) is left of an edge, negative where it is right."""
+    return f"(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({e}.y2 - {e}.y1) * ({x} - {e}.x1))"
 
 
-def segment_meets_box(e: Column, box: Sequence[Column]) -> Column:
+def segment_meets_box(e: str, bbox: Sequence) -> str:
     """Closed segment against closed box by separating axes.
 
     They are apart exactly if their boxes are, or if all four corners lie
     strictly on one side of the segment's line.
     """
-    x0, y0, x1, y1 = box
-    lo = F.least(_side(e, x0, y0), _side(e, x0, y1), _side(e, x1, y0), _side(e, x1, y1))
-    hi = F.greatest(_side(e, x0, y0), _side(e, x0, y1), _side(e, x1, y0), _side(e, x1, y1))
-    return (
-        (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0)
-        & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
-        & (lo <= 0) & (hi >= 0)
-    )
+    x0, y0, x1, y1 = map(num, bbox)
+    corners = ", ".join(side(e, x, y) for x in (x0, x1) for y in (y0, y1))
+    return f"({edge_box_overlaps(e, bbox)} and least({corners}) <= 0 and greatest({corners}) >= 0)"
 
 
-def geometry_meets_box(geom: Column, box: Sequence) -> Column:
-    """Exact test of a feature against a closed box, by kind."""
-    x0, y0, x1, y1 = [v if isinstance(v, Column) else F.lit(float(v)) for v in box]
-    box = (x0, y0, x1, y1)
-    puntal = F.exists(
-        points(geom),
-        lambda p: (p["x"] >= x0) & (p["x"] <= x1) & (p["y"] >= y0) & (p["y"] <= y1),
-    )
-    lineal = F.exists(edges(geom), lambda e: segment_meets_box(e, box))
-    return (
-        F.when(is_puntal(geom), puntal)
-        .when(is_polygonal(geom), lineal | point_in(edges(geom), x0, y0))
-        .otherwise(lineal)
-    )
+def geometry_meets_box(bbox: Sequence) -> str:
+    """Exact test of ``geom`` against a closed box, by kind."""
+    x0, y0, x1, y1 = map(num, bbox)
+    dots = f"exists({POINTS}, p -> p.x between {x0} and {x1} and p.y between {y0} and {y1})"
+    lines = f"exists({EDGES}, e -> {segment_meets_box('e', bbox)})"
+    return (f"(case when {PUNTAL} then {dots} when {POLYGONAL} then {lines} or {point_in(EDGES, x0, y0)} "
+            f"else {lines} end)")
 
 
-def segments_meet(a: Column, b: Column) -> Column:
-    """Whether two closed segments share a point."""
-    d1, d2 = _side(b, a["x1"], a["y1"]), _side(b, a["x2"], a["y2"])
-    d3, d4 = _side(a, b["x1"], b["y1"]), _side(a, b["x2"], b["y2"])
-    boxes = (
-        (F.least(a["x1"], a["x2"]) <= F.greatest(b["x1"], b["x2"]))
-        & (F.greatest(a["x1"], a["x2"]) >= F.least(b["x1"], b["x2"]))
-        & (F.least(a["y1"], a["y2"]) <= F.greatest(b["y1"], b["y2"]))
-        & (F.greatest(a["y1"], a["y2"]) >= F.least(b["y1"], b["y2"]))
-    )
-    # Signs, not products: a product of two small numbers may round to zero.
-    return boxes & (F.signum(d1) * F.signum(d2) <= 0) & (F.signum(d3) * F.signum(d4) <= 0)
+def segments_meet(a: str, b: str) -> str:
+    """Whether two closed segments share a point.
+
+    Signs are multiplied, as a product of two small numbers may round to zero.
+    """
+    box = (f"least({b}.x1, {b}.x2)", f"least({b}.y1, {b}.y2)", f"greatest({b}.x1, {b}.x2)", f"greatest({b}.y1, {b}.y2)")
+    s = [f"signum({side(*args)})" for args in (
+        (b, f"{a}.x1", f"{a}.y1"), (b, f"{a}.x2", f"{a}.y2"), (a, f"{b}.x1", f"{b}.y1"), (a, f"{b}.x2", f"{b}.y2"))]
+    return f"({edge_box_overlaps(a, box)} and {s[0]} * {s[1]} <= 0 and {s[2]} * {s[3]} <= 0)"
 
 
-def distance2_point_segment(x: Column, y: Column, e: Column) -> Column:
+def distance2(x: str, y: str, e: str) -> str:
     """Squared distance from (x, y) to a segment."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    len2 = dx * dx + dy * dy
-    t = F.when(len2 > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / len2).otherwise(F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
-    return ex * ex + ey * ey
+    dx, dy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
+    t = (f"coalesce(least(greatest((({x} - {e}.x1) * {dx} + ({y} - {e}.y1) * {dy}) "
+         f"/ nullif({dx} * {dx} + {dy} * {dy}, 0D), 0D), 1D), 0D)")
+    return f"(pow({x} - ({e}.x1 + {t} * {dx}), 2) + pow({y} - ({e}.y1 + {t} * {dy}), 2))"
 
 
-def segments_within(a: Column, b: Column, d: float) -> Column:
+def segments_within(a: str, b: str, d: float) -> str:
     """Whether two segments come within ``d`` of each other."""
     if d == 0:
         return segments_meet(a, b)
-    d2 = F.lit(float(d) ** 2)
-    return (
-        segments_meet(a, b)
-        | (distance2_point_segment(a["x1"], a["y1"], b) <= d2)
-        | (distance2_point_segment(a["x2"], a["y2"], b) <= d2)
-        | (distance2_point_segment(b["x1"], b["y1"], a) <= d2)
-        | (distance2_point_segment(b["x2"], b["y2"], a) <= d2)
-    )
-
-
-def point_as_edge(p: Column) -> Column:
-    return F.struct(p["x"].alias("x1"), p["y"].alias("y1"), p["x"].alias("x2"), p["y"].alias("y2"))
-
-
-def edges_or_points(geom: Column) -> Column:
-    """Edges of a line or polygon; points as edges of length zero."""
-    return F.when(is_puntal(geom), F.transform(points(geom), point_as_edge)).otherwise(edges(geom))
+    d2 = num(float(d) ** 2)
+    ends = [(f"{p}.x{i}", f"{p}.y{i}", q) for p, q in ((a, b), (b, a)) for i in (1, 2)]
+    return f"({segments_meet(a, b)} or " + " or ".join(f"{distance2(*end)} <= {d2}" for end in ends) + ")"

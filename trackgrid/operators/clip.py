@@ -24,25 +24,23 @@ _NO_PARTS = G.PARTS_TYPE
 _RINGS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
 
 
-def clip_range(e: Column, box: Sequence[Column]) -> Column:
+def clip_range(e: str, bbox: Sequence) -> str:
     """``struct(t0, t1)``: the share of a segment within a box (Liang-Barsky)."""
-    x0, y0, x1, y1 = box
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    sides = ((-dx, e["x1"] - x0), (dx, x1 - e["x1"]), (-dy, e["y1"] - y0), (dy, y1 - e["y1"]))
-    enter, leave, outside = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
-    for p, q in sides:
-        enter.append(F.when(p < 0, q / p).otherwise(F.lit(0.0)))
-        leave.append(F.when(p > 0, q / p).otherwise(F.lit(1.0)))
-        outside = outside | ((p == 0) & (q < 0))
-    t1 = F.when(outside, F.lit(-1.0)).otherwise(F.least(*leave))
-    return F.struct(F.greatest(*enter).alias("t0"), t1.alias("t1"))
-
-
-def along(e: Column, t: Column) -> Column:
+    x0, y0, x1, y1 = map(G.num, bbox)
+    dx, dy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
+    sides = ((f"(-{dx})", f"({e}.x1 - {x0})"), (dx, f"({x1} - {e}.x1)"),
+             (f"(-{dy})", f"({e}.y1 - {y0})"), (dy, f"({y1} - {e}.y1)"))
+    enter = ", ".join(f"if({p} < 0, {q} / {p}, 0D)" for p, q in sides)
+    leave = ", ".join(f"if({p} > 0, {q} / {p}, 1D)" for p, q in sides)
+    outside = " or ".join(f"({p} = 0 and {q} < 0)" for p, q in sides)
+    return f"named_struct('t0', greatest(0D, {enter}), 't1', if({outside}, -1D, least(1D, {leave})))"
+
+
+def along(e: str, t: str) -> str:
     """Point at share ``t``; the ends are returned as they are."""
-    x = F.when(t <= 0, e["x1"]).when(t >= 1, e["x2"]).otherwise(e["x1"] + t * (e["x2"] - e["x1"]))
-    y = F.when(t <= 0, e["y1"]).when(t >= 1, e["y2"]).otherwise(e["y1"] + t * (e["y2"] - e["y1"]))
-    return G.point(x, y)
+    x, y = (f"case when {t} <= 0 then {e}.{c}1 when {t} >= 1 then {e}.{c}2 else {e}.{c}1 + {t} * ({e}.{c}2 - {e}.{c}1) end"
+            for c in "xy")
+    return f"named_struct('x', {x}, 'y', {y})"
 
 
 def join_pieces(df: DataFrame, pieces: str, out: str) -> DataFrame:
@@ -51,25 +49,15 @@ def join_pieces(df: DataFrame, pieces: str, out: str) -> DataFrame:
     Pieces of one part that meet become one line. Intermediate arrays are
     columns, so that each is computed once per row.
     """
-    p, n = F.col(pieces), F.size(pieces)
-
-    def apart(i: Column) -> Column:
-        this, before = p[i], p[F.greatest(i - 1, F.lit(0))]
-        return (i == 0) | (this["part"] != before["part"]) | (this["a"] != before["b"])
-
-    df = df.withColumn("__starts", F.filter(F.sequence(F.lit(0), n - 1), apart))
+    p = pieces
+    apart = f"i = 0 or {p}[i].part != {p}[greatest(i - 1, 0)].part or {p}[i].a != {p}[greatest(i - 1, 0)].b"
+    df = df.withColumn("__starts", F.expr(f"filter(sequence(0, size({p}) - 1), i -> {apart})"))
     df = df.withColumn(
-        "__ends", F.concat(F.slice("__starts", 2, F.greatest(F.size("__starts") - 1, F.lit(0))), F.array(n))
-    )
-    lines = F.transform(
-        F.arrays_zip("__starts", "__ends"),
-        lambda r: F.concat(
-            F.array(p[r["__starts"]]["a"]),
-            F.transform(F.slice(p, r["__starts"] + 1, r["__ends"] - r["__starts"]), lambda q: q["b"]),
-        ),
+        "__runs", F.expr(f"transform(__starts, (s, i) -> named_struct('s', s, 'n', coalesce(get(__starts, i + 1), size({p})) - s))")
     )
-    made = F.when(n > 0, lines).otherwise(F.array().cast(_NO_PARTS))
-    return df.withColumn(out, made).drop("__starts", "__ends")
+    lines = f"transform(__runs, r -> concat(array({p}[r.s].a), transform(slice({p}, r.s + 1, r.n), q -> q.b)))"
+    made = F.expr(f"if(size({p}) > 0, {lines}, cast(array() as {_NO_PARTS}))")
+    return df.withColumn(out, made).drop("__starts", "__runs")
 
 
 def _line_geometry(parts: Column) -> Column:
@@ -89,35 +77,40 @@ def _polygon_geometry(parts: Column) -> Column:
 
 def clip_to_box(features: DataFrame, bbox: Sequence[float]) -> DataFrame:
     """Features cut at a box, by kind, without a shuffle."""
-    x0, y0, x1, y1 = map(float, bbox)
-    box = [F.lit(v) for v in (x0, y0, x1, y1)]
-    geom = F.col("geom")
-    near = features.where(G.box_overlaps(*[F.col(c) for c in G.BOX], bbox))
-    inside = (F.col("xmin") >= x0) & (F.col("xmax") <= x1) & (F.col("ymin") >= y0) & (F.col("ymax") <= y1)
+    x0, y0, x1, y1 = map(G.num, bbox)
+    near = features.where(G.box_overlaps(*G.BOX, bbox))
+    inside = f"(xmin >= {x0} and xmax <= {x1} and ymin >= {y0} and ymax <= {y1})"
+    names = features.columns
 
     # Lines: the kept share of each segment, then pieces that meet are joined.
-    segs = F.flatten(F.transform(geom.getField("parts"), lambda part, i: F.transform(
-        G.edges_of_part(part), lambda e: F.struct(i.alias("part"), e.alias("e"), clip_range(e, box).alias("r")))))
-    kept = F.filter(segs, lambda s: s["r"]["t0"] < s["r"]["t1"])
-    lines = near.withColumn("__kept", F.when(G.is_lineal(geom) & ~inside, kept))
-    lines = lines.withColumn("__pieces", F.transform("__kept", lambda s: F.struct(
-        s["part"].alias("part"), along(s["e"], s["r"]["t0"]).alias("a"), along(s["e"], s["r"]["t1"]).alias("b"))))
-    lines = join_pieces(lines, "__pieces", "__lines")
-    dots = F.filter(geom.getField("parts"), lambda p: p[0]["x"].between(x0, x1) & p[0]["y"].between(y0, y1))
+    # Emptiness is tested on what was kept, where it is made.
+    segs = (
+        f"flatten(transform(geom.parts, (part, i) -> transform({G.edges_of_part('part')}, "
+        f"e -> named_struct('part', i, 'e', e, 'r', {clip_range('e', bbox)}))))"
+    )
+    kept = (
+        f"if({G.LINEAL} and not {inside}, filter({segs}, s -> s.r.t0 < s.r.t1), null)"
+    )
+    whole = near.where(f"{inside} or not {G.POLYGONAL}").withColumn("__kept", F.expr(kept))
+    whole = whole.withColumn("__dots", F.expr(
+        f"if({G.PUNTAL} and not {inside}, filter(geom.parts, p -> p[0].x between {x0} and {x1} "
+        f"and p[0].y between {y0} and {y1}), null)"))
+    whole = whole.where(f"{inside} or size(__kept) > 0 or size(__dots) > 0")
+    whole = whole.withColumn("__pieces", F.expr(
+        f"transform(__kept, s -> named_struct('part', s.part, 'a', {along('s.e', 's.r.t0')}, 'b', {along('s.e', 's.r.t1')}))"))
+    whole = join_pieces(whole, "__pieces", "__lines")
     shaped = (
-        F.when(inside, geom)
-        .when(G.is_puntal(geom), _point_geometry(dots))
-        .when(G.is_lineal(geom), _line_geometry(F.col("__lines")))
+        F.when(F.expr(inside), F.col("geom"))
+        .when(F.expr(G.PUNTAL), _point_geometry(F.col("__dots")))
+        .otherwise(_line_geometry(F.col("__lines")))
     )
-    whole = lines.where(inside | ~G.is_polygonal(geom)).withColumn("geom", shaped)
+    whole = G.with_box(whole.withColumn("geom", shaped)).select(*names)
 
     # Polygons: Python is only reached by those that cross the edge of the box.
-    ring = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]])
-    crossing = near.where(~inside & G.is_polygonal(geom)).withColumn("__cut", _clip_rings(_pairs(geom), ring))
-    crossing = crossing.withColumn("geom", _polygon_geometry(_as_parts(F.col("__cut"))))
-    names = features.columns
-    out = whole.select(*names).unionByName(crossing.select(*names)).where(F.size("geom.parts") > 0)
-    return G.with_box(out).select(*names)
+    ring = F.expr(f"array(array({x0}, {y0}), array({x1}, {y0}), array({x1}, {y1}), array({x0}, {y1}))")
+    crossing = near.where(f"not {inside} and {G.POLYGONAL}").withColumn("__cut", _clip_rings(F.expr(_PAIRS), ring))
+    crossing = crossing.where("size(__cut) > 0").withColumn("geom", _polygon_geometry(_as_parts("__cut")))
+    return whole.unionByName(G.with_box(crossing).select(*names))
 
 
 # Any boundary ---------------------------------------------------------------
@@ -155,83 +148,63 @@ def _regroup(pieces: DataFrame, features: DataFrame, key: str, collected: Column
 
 def _clip_points(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     cells = polygon_cells(mask)
-    dots = features.withColumn("__p", F.explode(G.points(F.col("geom"))))
-    dots = dots.withColumns({"cx": cells.cell(F.col("__p.x")), "cy": cells.cell(F.col("__p.y"))})
-    inside = F.col("edges").isNull() | G.point_in(F.col("edges"), F.col("__p.x"), F.col("__p.y"))
+    dots = features.withColumn("__p", F.expr(f"explode({G.POINTS})"))
+    dots = dots.withColumns({"cx": F.expr(cells.cell("__p.x")), "cy": F.expr(cells.cell("__p.y"))})
+    inside = F.expr(f"edges is null or {G.point_in('edges', '__p.x', '__p.y')}")
     right = cells.df.select("cx", "cy", "edges")
     hits = sized_join(dots, right, ["cx", "cy"], "left_semi", small=cells.small, where=inside)
     whole = _regroup(hits, features, key, F.sort_array(F.collect_list("__p")))
-    parts = F.transform("__all", lambda p: F.array(p))
-    return whole.withColumn("geom", _point_geometry(parts)).drop("__all")
+    return whole.withColumn("geom", _point_geometry(F.expr("transform(__all, p -> array(p))"))).drop("__all")
 
 
 def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     """Segment by segment and cell by cell; kept shares are united afterwards."""
     cells = polygon_cells(mask)
-    h = cells.size
-    segs = features.withColumn(
-        "__parts", F.transform(F.col("geom.parts"), G.edges_of_part)
-    ).select("*", F.posexplode("__parts").alias("__part", "__edges")).drop("__parts", "geom", *G.BOX)
-    segs = segs.select("*", F.posexplode("__edges").alias("__seg", "e")).drop("__edges")
-    e = F.col("e")
-
-    def span(a: str, b: str) -> Column:
-        return F.sequence(cells.cell(F.least(e[a], e[b])), cells.cell(F.greatest(e[a], e[b])))
-
-    bounds = mask.agg(F.struct(F.min("xmin").alias("x0"), F.min("ymin").alias("y0"),
-                               F.max("xmax").alias("x1"), F.max("ymax").alias("y1"))).first()[0]
-    if bounds["x0"] is None:
+    h = G.num(cells.size)
+    bounds = mask.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
+    if bounds[0] is None:
         return features.limit(0)
-    near = segs.where(G.box_overlaps(
-        F.least(e["x1"], e["x2"]), F.least(e["y1"], e["y2"]),
-        F.greatest(e["x1"], e["x2"]), F.greatest(e["y1"], e["y2"]), bounds))
-    spread = near.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
-    box = [F.col("cx") * h, F.col("cy") * h, (F.col("cx") + 1) * h, (F.col("cy") + 1) * h]
-    spread = spread.withColumn("r", clip_range(e, box)).where(F.col("r.t0") < F.col("r.t1"))
+    carried = [c for c in features.columns if c not in ("geom", *G.BOX)]
+    parts = features.select(*carried, F.expr("posexplode(geom.parts)").alias("__part", "__points"))
+    segs = parts.select(*carried, "__part", F.expr(f"posexplode({G.edges_of_part('__points')})").alias("__seg", "e"))
+    near = segs.where(G.edge_box_overlaps("e", bounds))
+
+    def span(c: str) -> Column:
+        return F.expr(f"explode(sequence({cells.cell(f'least(e.{c}1, e.{c}2)')}, {cells.cell(f'greatest(e.{c}1, e.{c}2)')}))")
+
+    spread = near.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    box = (f"(cx * {h})", f"(cy * {h})", f"((cx + 1) * {h})", f"((cy + 1) * {h})")
+    spread = spread.withColumn("r", F.expr(clip_range("e", box))).where("r.t0 < r.t1")
     right = cells.df.select("cx", "cy", "edges", "touching")
     met = sized_join(spread, right, ["cx", "cy"], "inner", small=cells.small)
 
-    # Where the segment crosses the boundary within the cell.
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-
-    def crossing(m: Column) -> Column:
-        mx, my = m["x2"] - m["x1"], m["y2"] - m["y1"]
-        det = dx * my - dy * mx
-        ox, oy = m["x1"] - e["x1"], m["y1"] - e["y1"]
-        u = (ox * dy - oy * dx) / det
-        return F.when((det != 0) & (u >= 0) & (u <= 1), (ox * my - oy * mx) / det)
-
-    t0, t1 = F.col("r.t0"), F.col("r.t1")
-    inner = F.filter(F.transform("touching", crossing), lambda t: t.isNotNull() & (t > t0) & (t < t1))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(t0, t1), inner)))
-    shares = F.transform(
-        F.sequence(F.lit(1), F.size("cuts") - 1),
-        lambda i: F.struct(F.col("cuts")[i - 1].alias("t0"), F.col("cuts")[i].alias("t1")),
-    )
-
-    def keeps(s: Column) -> Column:
-        mid = (s["t0"] + s["t1"]) / 2
-        return F.col("edges").isNull() | G.point_in(F.col("edges"), e["x1"] + mid * dx, e["y1"] + mid * dy)
+    # Where the segment crosses the boundary within the cell; between two
+    # crossings it is inside or outside as its middle is.
+    det = "((e.x2 - e.x1) * (m.y2 - m.y1) - (e.y2 - e.y1) * (m.x2 - m.x1))"
+    t = f"(((m.x1 - e.x1) * (m.y2 - m.y1) - (m.y1 - e.y1) * (m.x2 - m.x1)) / nullif({det}, 0D))"
+    u = f"(((m.x1 - e.x1) * (e.y2 - e.y1) - (m.y1 - e.y1) * (e.x2 - e.x1)) / nullif({det}, 0D))"
+    crossings = f"transform(filter(touching, m -> {u} between 0 and 1 and {t} > r.t0 and {t} < r.t1), m -> {t})"
+    met = met.withColumn("cuts", F.expr(f"array_sort(array_distinct(concat(array(r.t0, r.t1), {crossings})))"))
+    middle = ("e.x1 + (s.t0 + s.t1) / 2 * (e.x2 - e.x1)", "e.y1 + (s.t0 + s.t1) / 2 * (e.y2 - e.y1)")
+    inside = f"(edges is null or {G.point_in('edges', f'({middle[0]})', f'({middle[1]})')})"
+    shares = "transform(sequence(1, size(cuts) - 1), i -> named_struct('t0', cuts[i-1], 't1', cuts[i]))"
+    kept = met.withColumn("s", F.expr(f"explode(filter({shares}, s -> {inside}))"))
+    kept = kept.select(*carried, "__part", "__seg", "e", "s.t0", "s.t1")
 
-    kept = met.withColumn("cuts", cuts).withColumn("s", F.explode(F.filter(shares, keeps)))
     # Shares of a segment that touch or overlap become one before they turn
     # into points, so the cells leave no trace. All that follows is clustered
     # by feature: one shuffle.
     kept = kept.repartition(F.col(key))
-    order = Window.partitionBy(key, "__part", "__seg").orderBy("s.t0", "s.t1")
-    so_far = F.max("s.t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    kept = kept.withColumn("__opens", (so_far.isNull() | (so_far < F.col("s.t0"))).cast("int"))
+    order = Window.partitionBy(key, "__part", "__seg").orderBy("t0", "t1")
+    so_far = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    kept = kept.withColumn("__opens", (so_far.isNull() | (so_far < F.col("t0"))).cast("int"))
     kept = kept.withColumn("__run", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    carried = [c for c in features.columns if c not in (key, "geom", *G.BOX)]
     runs = kept.groupBy(key, "__part", "__seg", "__run").agg(
-        F.min("s.t0").alias("t0"), F.max("s.t1").alias("t1"), F.first("e").alias("e"),
-        *[F.first(c).alias(c) for c in carried],
-    )
-    piece = F.struct(
-        F.col("__part").alias("part"), F.col("__seg").alias("seg"), F.col("t0").alias("t0"),
-        along(F.col("e"), F.col("t0")).alias("a"), along(F.col("e"), F.col("t1")).alias("b"),
+        F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.first("e").alias("e"),
+        *[F.first(c).alias(c) for c in carried if c != key],
     )
-    whole = _regroup(runs, features, key, F.sort_array(F.collect_list(piece)))
+    piece = (f"named_struct('part', __part, 'seg', __seg, 't0', t0, 'a', {along('e', 't0')}, 'b', {along('e', 't1')})")
+    whole = _regroup(runs, features, key, F.sort_array(F.collect_list(F.expr(piece))))
     lines = join_pieces(whole, "__all", "__lines")
     return lines.withColumn("geom", _line_geometry(F.col("__lines"))).drop("__all", "__lines")
 
@@ -239,13 +212,12 @@ def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
 # Polygons -------------------------------------------------------------------
 
 
-def _pairs(geom: Column) -> Column:
-    """Rings as ``array<array<array<double>>>``, the form Arrow moves best."""
-    return F.transform(geom.getField("parts"), lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+# Rings as array<array<array<double>>>, the form Arrow moves best.
+_PAIRS = "transform(geom.parts, ring -> transform(ring, p -> array(p.x, p.y)))"
 
 
-def _as_parts(pairs: Column) -> Column:
-    return F.transform(pairs, lambda ring: F.transform(ring, lambda p: G.point(p[0], p[1])))
+def _as_parts(pairs: str) -> Column:
+    return F.expr(f"transform({pairs}, ring -> transform(ring, p -> named_struct('x', p[0], 'y', p[1])))")
 
 
 def clip_ring(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
@@ -270,8 +242,7 @@ def clip_ring(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
     return np.vstack([pts, pts[:1]]) if area > 0 else np.empty((0, 2))
 
 
-@F.pandas_udf(_RINGS)
-def _clip_rings(rings: pd.Series, convex: pd.Series) -> pd.Series:
+def _cut_rings(rings: pd.Series, convex: pd.Series) -> pd.Series:
     out = []
     for rs, c in zip(rings, convex):
         piece = np.array([list(p) for p in c], float)
@@ -280,6 +251,11 @@ def _clip_rings(rings: pd.Series, convex: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# Called nondeterministic only so that a later filter on its result does not
+# make the optimizer run it twice.
+_clip_rings = F.pandas_udf(_cut_rings, _RINGS).asNondeterministic()
+
+
 def convex_pieces(rings: list[np.ndarray]) -> list[np.ndarray]:
     """Counter-clockwise convex rings that fill a polygon (even-odd rule).
 
@@ -324,7 +300,7 @@ def _pieces(mask: DataFrame) -> DataFrame:
                     rows.append((p.tolist(), *p.min(axis=0).tolist(), *p.max(axis=0).tolist()))
             yield pd.DataFrame(rows, columns=["piece", "px0", "py0", "px1", "py1"])
 
-    return mask.select(_pairs(F.col("geom")).alias("rings")).mapInPandas(
+    return mask.select(F.expr(_PAIRS).alias("rings")).mapInPandas(
         cut, "piece array<array<double>>, px0 double, py0 double, px1 double, py1 double"
     )
 
@@ -341,23 +317,18 @@ def _clip_polygons(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     if size is None:
         return features.limit(0)
     bounds = mask.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
-    cell = lambda v: F.floor(v / F.lit(float(size))).cast("bigint")
-    pieces = _pieces(mask)
-    pieces = pieces.withColumn("cx", F.explode(F.sequence(cell(F.col("px0")), cell(F.col("px1"))))).withColumn(
-        "cy", F.explode(F.sequence(cell(F.col("py0")), cell(F.col("py1")))))
-    near = features.where(G.box_overlaps(*[F.col(c) for c in G.BOX], bounds))
-
-    def span(lo: str, hi: str, least: float, most: float) -> Column:
-        return F.sequence(cell(F.greatest(F.col(lo), F.lit(least))), cell(F.least(F.col(hi), F.lit(most))))
-
-    spread = near.withColumn("cx", F.explode(span("xmin", "xmax", bounds[0], bounds[2]))).withColumn(
-        "cy", F.explode(span("ymin", "ymax", bounds[1], bounds[3])))
-    meets = (
-        (F.col("xmin") <= F.col("px1")) & (F.col("xmax") >= F.col("px0"))
-        & (F.col("ymin") <= F.col("py1")) & (F.col("ymax") >= F.col("py0"))
-        & (cell(F.greatest("xmin", "px0")) == F.col("cx")) & (cell(F.greatest("ymin", "py0")) == F.col("cy"))
+    cell = lambda v: f"cast(floor({v} / {G.num(size)}) as bigint)"
+    span = lambda lo, hi: F.expr(f"explode(sequence({cell(lo)}, {cell(hi)}))")
+    pieces = _pieces(mask).withColumn("cx", span("px0", "px1")).withColumn("cy", span("py0", "py1"))
+    x0, y0, x1, y1 = map(G.num, bounds)
+    near = features.where(G.box_overlaps(*G.BOX, bounds))
+    spread = near.withColumn("cx", span(f"greatest(xmin, {x0})", f"least(xmax, {x1})")).withColumn(
+        "cy", span(f"greatest(ymin, {y0})", f"least(ymax, {y1})"))
+    meets = F.expr(
+        f"xmin <= px1 and xmax >= px0 and ymin <= py1 and ymax >= py0 "
+        f"and {cell('greatest(xmin, px0)')} = cx and {cell('greatest(ymin, py0)')} = cy"
     )
     met = sized_join(spread, pieces, ["cx", "cy"], "inner", small=is_small(pieces), where=meets)
-    cut = met.withColumn("__cut", _clip_rings(_pairs(F.col("geom")), F.col("piece"))).where(F.size("__cut") > 0)
+    cut = met.withColumn("__cut", _clip_rings(F.expr(_PAIRS), F.col("piece"))).where(F.size("__cut") > 0)
     whole = _regroup(cut, features, key, F.sort_array(F.flatten(F.collect_list("__cut"))))
-    return whole.withColumn("geom", _polygon_geometry(_as_parts(F.col("__all")))).drop("__all")
+    return whole.withColumn("geom", _polygon_geometry(_as_parts("__all"))).drop("__all")

@@ -37,19 +37,13 @@ def explode_rings(features: DataFrame, *keep: str) -> DataFrame:
     return verts.select(*keep, "part", "vertex", F.col("__v.x").alias("x"), F.col("__v.y").alias("y"))
 
 
-def ring_area(part: Column) -> Column:
-    """Signed area of a closed ring; counter-clockwise is positive."""
-    x0, y0 = part[0]["x"], part[0]["y"]
-    twice = F.aggregate(
-        G.edges_of_part(part), F.lit(0.0),
-        lambda acc, e: acc + (e["x1"] - x0) * (e["y2"] - y0) - (e["x2"] - x0) * (e["y1"] - y0),
-    )
-    return twice / 2
-
-
-def length(geom: Column) -> Column:
-    """Length of all edges in the units of the coordinates."""
-    return F.aggregate(
-        G.edges(geom), F.lit(0.0),
-        lambda acc, e: acc + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]),
-    )
+def signed_areas(geom: str = "geom") -> Column:
+    """Signed area of each ring; counter-clockwise is positive."""
+    edges = G.edges_of_part("ring")
+    term = "(e.x1 - ring[0].x) * (e.y2 - ring[0].y) - (e.x2 - ring[0].x) * (e.y1 - ring[0].y)"
+    return F.expr(f"transform({geom}.parts, ring -> aggregate({edges}, 0D, (s, e) -> s + {term}) / 2)")
+
+
+def length() -> Column:
+    """Length of all edges of ``geom`` in the units of the coordinates."""
+    return F.expr(f"aggregate({G.EDGES}, 0D, (s, e) -> s + hypot(e.x2 - e.x1, e.y2 - e.y1))")

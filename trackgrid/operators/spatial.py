@@ -28,7 +28,7 @@ CELLS_PER_POLYGON = 8
 class PolygonCells:
     """Polygons cut into cells.
 
-    ``df`` has ``cx, cy, <keep...>, edges, touching``; ``edges`` is null in a
+    ``df`` has ``cx, cy, <keep...>, edges, touching, starts``; ``edges`` is null in a
     cell that lies inside. ``small`` says whether ``df`` was measured to fit a
     broadcast.
     """
@@ -39,8 +39,9 @@ class PolygonCells:
     small: bool
     keep: tuple[str, ...]
 
-    def cell(self, v: Column) -> Column:
-        return F.floor(v / F.lit(self.size)).cast("bigint")
+    def cell(self, v: str) -> str:
+        """SQL text of the cell number of a coordinate."""
+        return f"cast(floor({v} / {G.num(self.size)}) as bigint)"
 
 
 def _cell_size(polygons: DataFrame) -> float:
@@ -68,41 +69,29 @@ def polygon_cells(
     """
     if cell_size is None:
         cell_size = _cell_size(polygons)
-    h = F.lit(float(cell_size))
+    h = G.num(cell_size)
     # Slack for the rounding of v / h: more edges than needed do no harm.
-    slack = F.lit(float(pad) + 1e-9 * cell_size)
-    rows = polygons.select(
-        *keep, "xmin", "ymin", "xmax", "ymax", G.edges(F.col("geom")).alias("edges"),
-        F.transform(F.col("geom.parts"), lambda p: p[0]).alias("corners"),
-    )
+    slack = G.num(float(pad) + 1e-9 * cell_size)
+    rows = polygons.select(*keep, *G.BOX, F.expr(G.EDGES).alias("all_edges"),
+                           F.expr("transform(geom.parts, p -> p[0])").alias("starts"))
 
-    def span(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor((F.col(lo) - slack) / h), F.floor((F.col(hi) + slack) / h))
+    def spread(df: DataFrame, name: str, lo: str, hi: str) -> DataFrame:
+        span = f"explode(sequence(floor(({lo} - {slack}) / {h}), floor(({hi} + {slack}) / {h})))"
+        return df.withColumn(name, F.expr(span))
 
     # First rows of cells, then the cells of a row: each step narrows the
     # edges, so that the work is edges x rows and not edges x cells.
-    strips = rows.withColumn("cy", F.explode(span("ymin", "ymax"))).withColumn(
-        "edges",
-        F.filter(
-            "edges",
-            lambda e: (F.greatest(e["y1"], e["y2"]) + slack >= F.col("cy") * h)
-            & (F.least(e["y1"], e["y2"]) - slack <= (F.col("cy") + 1) * h),
-        ),
-    )
-    cells = strips.withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn(
-        "edges", F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) + slack >= F.col("cx") * h)
-    )
-    cells = cells.withColumn(
-        "touching", F.filter("edges", lambda e: F.least(e["x1"], e["x2"]) - slack <= (F.col("cx") + 1) * h)
-    )
-    centre_in = G.point_in(F.col("edges"), (F.col("cx") + 0.5) * h, (F.col("cy") + 0.5) * h)
-    untouched = F.size("touching") == 0
-    cells = cells.where(~untouched | centre_in).select(
+    strips = spread(rows, "cy", "ymin", "ymax").withColumn("strip", F.expr(
+        f"filter(all_edges, e -> greatest(e.y1, e.y2) + {slack} >= cy * {h} and least(e.y1, e.y2) - {slack} <= (cy + 1) * {h})"))
+    cells = spread(strips, "cx", "xmin", "xmax").withColumn("edges", F.expr(
+        f"filter(strip, e -> greatest(e.x1, e.x2) + {slack} >= cx * {h})"))
+    cells = cells.withColumn("touching", F.expr(f"filter(edges, e -> least(e.x1, e.x2) - {slack} <= (cx + 1) * {h})"))
+    centre_in = G.point_in("edges", f"((cx + 0.5D) * {h})", f"((cy + 0.5D) * {h})")
+    cells = cells.where(F.expr(f"size(touching) > 0 or {centre_in}")).select(
         "cx", "cy", *keep,
-        F.when(untouched, F.lit(None)).otherwise(F.col("edges")).alias("edges"),
+        F.expr("if(size(touching) > 0, edges, null)").alias("edges"),
         "touching",
-        F.filter("corners", lambda p: (F.floor(p["x"] / h) == F.col("cx")) & (F.floor(p["y"] / h) == F.col("cy"))
-                 ).alias("corners"),
+        F.expr(f"filter(starts, p -> floor(p.x / {h}) = cx and floor(p.y / {h}) = cy)").alias("starts"),
     )
     if small is None:
         small = _cells_fit(cells)
@@ -119,8 +108,12 @@ def _cells_fit(cells: DataFrame) -> bool:
     return row["n"] <= BROADCAST_ROWS and bytes_needed <= BROADCAST_BYTES
 
 
-def _inside(x: Column, y: Column) -> Column:
-    return F.col("edges").isNull() | G.point_in(F.col("edges"), x, y)
+def _inside(edges: str, x: str, y: str) -> str:
+    return f"({edges} is null or {G.point_in(edges, x, y)})"
+
+
+def _located(points: DataFrame, cells: PolygonCells, x: str, y: str) -> DataFrame:
+    return points.withColumns({"cx": F.expr(cells.cell(f"`{x}`")), "cy": F.expr(cells.cell(f"`{y}`"))})
 
 
 def points_in_polygons(
@@ -142,10 +135,8 @@ def points_in_polygons(
     clash = [c for c in points.columns if c in right.columns]
     if clash:
         raise ValueError(f"points and polygons share column names: {', '.join(clash)}")
-    left = points.withColumns({"cx": cells.cell(F.col(x)), "cy": cells.cell(F.col(y))})
-    joined = sized_join(
-        left, right, ["cx", "cy"], how, small=cells.small, where=_inside(F.col(x), F.col(y))
-    )
+    where = F.expr(_inside("edges", f"`{x}`", f"`{y}`"))
+    joined = sized_join(_located(points, cells, x, y), right, ["cx", "cy"], how, small=cells.small, where=where)
     return joined.drop("cx", "cy", "edges")
 
 
@@ -164,16 +155,9 @@ def points_in_last_polygon(
     grouped = cells.df.groupBy("cx", "cy").agg(
         F.sort_array(F.collect_list(entry), asc=False).alias("candidates")
     )
-    left = points.withColumns({"cx": cells.cell(F.col(x)), "cy": cells.cell(F.col(y))})
-    joined = sized_join(left, grouped, ["cx", "cy"], "inner", small=True)
-    hit = F.get(
-        F.filter(
-            "candidates",
-            lambda c: c["edges"].isNull() | G.point_in(c["edges"], F.col(x), F.col(y)),
-        ),
-        F.lit(0),
-    )
-    found = joined.withColumn("hit", hit).where(F.col("hit").isNotNull())
+    joined = sized_join(_located(points, cells, x, y), grouped, ["cx", "cy"], "inner", small=True)
+    inside = _inside("c.edges", f"`{x}`", f"`{y}`")
+    found = joined.withColumn("hit", F.expr(f"get(filter(candidates, c -> {inside}), 0)")).where("hit is not null")
     out = [F.col("hit.o" if k == order else f"hit.{k}").alias(k) for k in cells.keep]
     return found.select(*points.columns, *out)
 
@@ -184,13 +168,12 @@ def filter_bbox(features: DataFrame, bbox: Sequence[float], exact: bool = True)
     The stored boxes are compared first, in a form the scan can use. Only
     features that straddle the edge of the box need the exact test.
     """
-    x0, y0, x1, y1 = map(float, bbox)
-    box = [F.col(c) for c in G.BOX]
-    near = features.where(G.box_overlaps(*box, bbox))
+    near = features.where(G.box_overlaps(*G.BOX, bbox))
     if not exact:
         return near
-    within = (F.col("xmin") >= x0) & (F.col("xmax") <= x1) & (F.col("ymin") >= y0) & (F.col("ymax") <= y1)
-    return near.where(within | G.geometry_meets_box(F.col("geom"), bbox))
+    x0, y0, x1, y1 = map(G.num, bbox)
+    within = f"(xmin >= {x0} and xmax <= {x1} and ymin >= {y0} and ymax <= {y1})"
+    return near.where(f"{within} or {G.geometry_meets_box(bbox)}")
 
 
 def filter_polygon(
@@ -218,35 +201,29 @@ def filter_polygon(
         return features.limit(0)
     key = id_col or "__row"
     numbered = features if id_col else features.withColumn("__row", F.monotonically_increasing_id())
-    near = numbered.where(G.box_overlaps(*[F.col(c) for c in G.BOX], bounds))
+    x0, y0, x1, y1 = bounds
+    near = numbered.where(G.box_overlaps(*G.BOX, bounds))
 
     def span(lo: str, hi: str, least: float, most: float) -> Column:
-        return F.sequence(
-            cells.cell(F.greatest(F.col(lo), F.lit(least))), cells.cell(F.least(F.col(hi), F.lit(most)))
-        )
-
-    spread = near.withColumn("cx", F.explode(span("xmin", "xmax", bounds["x0"], bounds["x1"]))).withColumn(
-        "cy", F.explode(span("ymin", "ymax", bounds["y0"], bounds["y1"]))
-    )
-    geom = F.col("geom")
-    h = cells.size
-    cell_box = [F.col("cx") * h - d, F.col("cy") * h - d, (F.col("cx") + 1) * h + d, (F.col("cy") + 1) * h + d]
-    in_this_cell = lambda p: (cells.cell(p["x"]) == F.col("cx")) & (cells.cell(p["y"]) == F.col("cy"))
-    edges_meet = F.exists(
-        F.filter(G.edges_or_points(geom), lambda e: G.segment_meets_box(e, cell_box)),
-        lambda e: F.exists("touching", lambda m: G.segments_within(e, m, d)),
-    )
-    starts_inside = F.exists(
-        F.transform(geom.getField("parts"), lambda p: p[0]),
-        lambda p: in_this_cell(p) & G.point_in(F.col("edges"), p["x"], p["y"]),
+        first, last = f"greatest({lo}, {G.num(least)})", f"least({hi}, {G.num(most)})"
+        return F.expr(f"explode(sequence({cells.cell(first)}, {cells.cell(last)}))")
+
+    spread = near.withColumn("cx", span("xmin", "xmax", x0, x1)).withColumn("cy", span("ymin", "ymax", y0, y1))
+    h, w = G.num(cells.size), G.num(d)
+    around = (f"(cx * {h} - {w})", f"(cy * {h} - {w})", f"((cx + 1) * {h} + {w})", f"((cy + 1) * {h} + {w})")
+    exact = (f"(cx * {h})", f"(cy * {h})", f"((cx + 1) * {h})", f"((cy + 1) * {h})")
+    edges_meet = (
+        f"exists(filter({G.EDGES_OR_POINTS}, f -> {G.segment_meets_box('f', around)}), "
+        f"f -> exists(touching, m -> {G.segments_within('f', 'm', d)}))"
     )
-    holds_mask = G.is_polygonal(geom) & F.exists(
-        "corners", lambda p: G.point_in(G.edges(geom), p["x"], p["y"])
+    starts_inside = (
+        f"exists(transform(geom.parts, q -> q[0]), q -> {cells.cell('q.x')} = cx and {cells.cell('q.y')} = cy "
+        f"and {G.point_in('edges', 'q.x', 'q.y')})"
     )
-    exact_box = [F.col("cx") * h, F.col("cy") * h, (F.col("cx") + 1) * h, (F.col("cy") + 1) * h]
-    hit = F.when(F.col("edges").isNull(), G.geometry_meets_box(geom, exact_box)).otherwise(
-        edges_meet | starts_inside | holds_mask
+    holds_mask = f"({G.POLYGONAL} and exists(starts, q -> {G.point_in(G.EDGES, 'q.x', 'q.y')}))"
+    hit = F.expr(
+        f"if(edges is null, {G.geometry_meets_box(exact)}, {edges_meet} or {starts_inside} or {holds_mask})"
     )
-    right = cells.df.select("cx", "cy", "edges", "touching", "corners")
+    right = cells.df.select("cx", "cy", "edges", "touching", "starts")
     hits = sized_join(spread, right, ["cx", "cy"], "inner", small=cells.small, where=hit)
     return hits.select(*numbered.columns).dropDuplicates([key]).select(*features.columns)

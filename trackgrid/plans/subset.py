@@ -127,7 +127,7 @@ def _ring(tracks, shapes, boundary_type, crs, bounding_crs) -> list[tuple[float,
             shapes = reproject_features(shapes, bounding_crs, crs)
         if boundary_type == "rectangular":
             return _box_ring(feature_envelope(shapes))
-        pts = shapes.select(F.explode(G.points(F.col("geom"))).alias("p")).select("p.x", "p.y")
+        pts = shapes.select(F.expr(f"explode({G.POINTS})").alias("p")).select("p.x", "p.y")
     if boundary_type == "rectangular":
         return _box_ring(envelope(pts, "x", "y"))
     return hull_ring(pts, "x", "y")
