@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..sizing import is_small, sized_join
+from ..sizing import is_small, sized_join, spread_small
 from .spatial import polygon_cells
 
 _NO_PARTS = G.PARTS_TYPE
@@ -128,6 +128,7 @@ def clip_to_polygons(features: DataFrame, mask: DataFrame, id_col: str | None =
     if key is None:
         key = "__row"
         keyed = features.withColumn("__row", F.monotonically_increasing_id())
+    keyed = spread_small(keyed)
     makers = {"Point": _clip_points, "LineString": _clip_lines, "Polygon": _clip_polygons}
     outs = []
     for kind in kinds:
@@ -161,13 +162,12 @@ def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     """Segment by segment and cell by cell; kept shares are united afterwards."""
     cells = polygon_cells(mask)
     h = G.num(cells.size)
-    bounds = mask.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
-    if bounds[0] is None:
+    if cells.bounds is None:
         return features.limit(0)
     carried = [c for c in features.columns if c not in ("geom", *G.BOX)]
     parts = features.select(*carried, F.expr("posexplode(geom.parts)").alias("__part", "__points"))
     segs = parts.select(*carried, "__part", F.expr(f"posexplode({G.edges_of_part('__points')})").alias("__seg", "e"))
-    near = segs.where(G.edge_box_overlaps("e", bounds))
+    near = segs.where(G.edge_box_overlaps("e", cells.bounds))
 
     def span(c: str) -> Column:
         return F.expr(f"explode(sequence({cells.cell(f'least(e.{c}1, e.{c}2)')}, {cells.cell(f'greatest(e.{c}1, e.{c}2)')}))")
@@ -312,11 +312,10 @@ def _clip_polygons(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     one that holds the lower left corner of the common box, so there is
     nothing to remove afterwards. Mask polygons must not overlap.
     """
-    size = mask.agg(F.greatest((F.max("xmax") - F.min("xmin")) / 32, (F.max("ymax") - F.min("ymin")) / 32,
-                               F.lit(1e-9))).first()[0]
-    if size is None:
-        return features.limit(0)
     bounds = mask.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
+    if bounds[0] is None:
+        return features.limit(0)
+    size = max((bounds[2] - bounds[0]) / 32, (bounds[3] - bounds[1]) / 32, 1e-9)
     cell = lambda v: f"cast(floor({v} / {G.num(size)}) as bigint)"
     span = lambda lo, hi: F.expr(f"explode(sequence({cell(lo)}, {cell(hi)}))")
     pieces = _pieces(mask).withColumn("cx", span("px0", "px1")).withColumn("cy", span("py0", "py1"))

@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..sizing import BROADCAST_BYTES, BROADCAST_ROWS, sized_join
+from ..sizing import BROADCAST_BYTES, BROADCAST_ROWS, sized_join, spread_small
 
 # Most cells one axis of the whole polygon layer is cut into.
 MAX_CELLS_PER_AXIS = 1024
-# Wanted number of cells across a polygon of average size.
-CELLS_PER_POLYGON = 8
+# Most cells across a polygon of average size; simple polygons get fewer.
+MAX_CELLS_PER_POLYGON = 32
+# Bytes a cell and an edge take in memory, generously.
+_CELL_BYTES, _EDGE_BYTES = 128, 48
 
 
 @dataclass(frozen=True)
@@ -38,21 +40,47 @@ class PolygonCells:
     pad: float
     small: bool
     keep: tuple[str, ...]
+    # Extent of all polygons, widened by ``pad``; None if there are none.
+    bounds: tuple[float, float, float, float] | None
 
     def cell(self, v: str) -> str:
         """SQL text of the cell number of a coordinate."""
         return f"cast(floor({v} / {G.num(self.size)}) as bigint)"
 
 
-def _cell_size(polygons: DataFrame) -> float:
-    """A cell size fitted to the layer: one aggregate over its boxes."""
-    row = polygons.agg(
-        F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))).alias("extent"),
-        F.greatest(F.max("xmax") - F.min("xmin"), F.max("ymax") - F.min("ymin")).alias("total"),
+def _survey(polygons: DataFrame):
+    """One aggregate over the boxes and edge counts of a polygon layer.
+
+    With ``w`` and ``h`` the sides of a box and ``c`` the cell size, a polygon
+    covers at most (w/c + 2)(h/c + 2) cells and stores its edges at most twice
+    in each. The sums here bound both for any cell size.
+    """
+    w, h, n = "(xmax - xmin)", "(ymax - ymin)", "cast(size(flatten(geom.parts)) as double)"
+    sums = {"n": "1D", "wh": f"{w} * {h}", "w": f"{w} + {h}", "e": n, "ewh": f"{n} * {w} * {h}", "ew": f"{n} * ({w} + {h})"}
+    return polygons.agg(
+        F.avg(F.expr(f"greatest({w}, {h})")).alias("extent"),
+        *[F.sum(F.expr(v)).alias(k) for k, v in sums.items()],
+        F.min("xmin").alias("x0"), F.min("ymin").alias("y0"), F.max("xmax").alias("x1"), F.max("ymax").alias("y1"),
     ).first()
-    if row is None or row["total"] is None:
-        return 1.0
-    return max(row["extent"] / CELLS_PER_POLYGON, row["total"] / MAX_CELLS_PER_AXIS, 1e-9)
+
+
+def _cell_size(survey) -> float:
+    """Small cells for detailed polygons, large ones for simple polygons."""
+    across = min(max(2.0, (survey["e"] / survey["n"]) ** 0.5), MAX_CELLS_PER_POLYGON)
+    total = max(survey["x1"] - survey["x0"], survey["y1"] - survey["y0"])
+    return max(survey["extent"] / across, total / MAX_CELLS_PER_AXIS, 1e-9)
+
+
+def _surely_fits(survey, size: float, pad: float) -> bool:
+    """Whether the bound alone proves that the cells fit a broadcast."""
+    more = 2 + 2 * pad / size
+
+    def covered(wh, w, n):
+        return wh / size**2 + w * more / size + n * more**2
+
+    cells = covered(survey["wh"], survey["w"], survey["n"])
+    edges = 2 * covered(survey["ewh"], survey["ew"], survey["e"])
+    return cells <= BROADCAST_ROWS and cells * _CELL_BYTES + edges * _EDGE_BYTES <= BROADCAST_BYTES
 
 
 def polygon_cells(
@@ -67,8 +95,11 @@ def polygon_cells(
     ``keep`` names attribute columns to carry. With ``pad`` a cell also lists
     edges that come within that distance of it.
     """
+    survey = _survey(polygons)
+    if not survey["n"]:
+        return PolygonCells(_no_cells(polygons, keep), 1.0, float(pad), True, tuple(keep), None)
     if cell_size is None:
-        cell_size = _cell_size(polygons)
+        cell_size = _cell_size(survey)
     h = G.num(cell_size)
     # Slack for the rounding of v / h: more edges than needed do no harm.
     slack = G.num(float(pad) + 1e-9 * cell_size)
@@ -94,8 +125,18 @@ def polygon_cells(
         F.expr(f"filter(starts, p -> floor(p.x / {h}) = cx and floor(p.y / {h}) = cy)").alias("starts"),
     )
     if small is None:
-        small = _cells_fit(cells)
-    return PolygonCells(cells, float(cell_size), float(pad), small, tuple(keep))
+        small = _surely_fits(survey, cell_size, pad) or _cells_fit(cells)
+    bounds = (survey["x0"] - pad, survey["y0"] - pad, survey["x1"] + pad, survey["y1"] + pad)
+    return PolygonCells(cells, float(cell_size), float(pad), small, tuple(keep), bounds)
+
+
+def _no_cells(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
+    edges = f"cast(null as array<{G.EDGE_TYPE}>)"
+    return polygons.limit(0).select(
+        F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"), *keep,
+        F.expr(edges).alias("edges"), F.expr(edges).alias("touching"),
+        F.expr(f"cast(null as array<{G.POINT_TYPE}>)").alias("starts"),
+    )
 
 
 def _cells_fit(cells: DataFrame) -> bool:
@@ -104,7 +145,7 @@ def _cells_fit(cells: DataFrame) -> bool:
         F.count(F.lit(1)).alias("n"),
         F.sum(F.coalesce(F.size("edges"), F.lit(0)) + F.size("touching")).alias("e"),
     ).first()
-    bytes_needed = row["n"] * 96 + (row["e"] or 0) * 40
+    bytes_needed = row["n"] * _CELL_BYTES + (row["e"] or 0) * _EDGE_BYTES
     return row["n"] <= BROADCAST_ROWS and bytes_needed <= BROADCAST_BYTES
 
 
@@ -136,7 +177,8 @@ def points_in_polygons(
     if clash:
         raise ValueError(f"points and polygons share column names: {', '.join(clash)}")
     where = F.expr(_inside("edges", f"`{x}`", f"`{y}`"))
-    joined = sized_join(_located(points, cells, x, y), right, ["cx", "cy"], how, small=cells.small, where=where)
+    left = _located(spread_small(points), cells, x, y)
+    joined = sized_join(left, right, ["cx", "cy"], how, small=cells.small, where=where)
     return joined.drop("cx", "cy", "edges")
 
 
@@ -193,16 +235,12 @@ def filter_polygon(
     """
     d = float(within)
     cells = polygon_cells(mask, cell_size=cell_size, pad=d)
-    bounds = mask.agg(
-        (F.min("xmin") - d).alias("x0"), (F.min("ymin") - d).alias("y0"),
-        (F.max("xmax") + d).alias("x1"), (F.max("ymax") + d).alias("y1"),
-    ).first()
-    if bounds["x0"] is None:
+    if cells.bounds is None:
         return features.limit(0)
     key = id_col or "__row"
     numbered = features if id_col else features.withColumn("__row", F.monotonically_increasing_id())
-    x0, y0, x1, y1 = bounds
-    near = numbered.where(G.box_overlaps(*G.BOX, bounds))
+    x0, y0, x1, y1 = cells.bounds
+    near = spread_small(numbered).where(G.box_overlaps(*G.BOX, cells.bounds))
 
     def span(lo: str, hi: str, least: float, most: float) -> Column:
         first, last = f"greatest({lo}, {G.num(least)})", f"least({hi}, {G.num(most)})"

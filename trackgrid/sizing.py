@@ -31,6 +31,17 @@ def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BR
     return plan_bytes(df) <= max_bytes and df.count() <= max_rows
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small table over the cores before costly expressions.
+
+    A small table is often one file, hence one task. Larger ones, and streams,
+    are left as they are read.
+    """
+    if df.isStreaming or plan_bytes(df) > BROADCAST_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def sized_join(
     left: DataFrame,
     right: DataFrame,
