@@ -96,7 +96,8 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of one segment each."""
     raw = view(spark, sf_dir, "roads")
     line = G.line(G.point(F.col("x1"), F.col("y1")), G.point(F.col("x2"), F.col("y2")))
-    return make_features(raw, line).drop("x1", "y1", "x2", "y2")
+    box = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
+    return make_features(raw, line, box).drop("x1", "y1", "x2", "y2")
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,4 +113,4 @@ def diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     mx, my = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
     x0, y0, x1, y1 = [F.col(c) for c in G.BOX]
     ring = F.array(G.point(mx, y0), G.point(x1, my), G.point(mx, y1), G.point(x0, my), G.point(mx, y0))
-    return make_features(view(spark, sf_dir, "zones"), G.geometry("Polygon", F.array(ring)))
+    return make_features(view(spark, sf_dir, "zones"), G.geometry("Polygon", F.array(ring)), (x0, y0, x1, y1))

@@ -189,6 +189,9 @@ def segments_within(a: str, b: str, d: float) -> str:
     """Whether two segments come within ``d`` of each other."""
     if d == 0:
         return segments_meet(a, b)
-    d2 = num(float(d) ** 2)
+    d2, w = num(float(d) ** 2), num(float(d))
+    wide = (f"least({b}.x1, {b}.x2) - {w}", f"least({b}.y1, {b}.y2) - {w}",
+            f"greatest({b}.x1, {b}.x2) + {w}", f"greatest({b}.y1, {b}.y2) + {w}")
     ends = [(f"{p}.x{i}", f"{p}.y{i}", q) for p, q in ((a, b), (b, a)) for i in (1, 2)]
-    return f"({segments_meet(a, b)} or " + " or ".join(f"{distance2(*end)} <= {d2}" for end in ends) + ")"
+    near = " or ".join(f"{distance2(*end)} <= {d2}" for end in ends)
+    return f"({edge_box_overlaps(a, wide)} and ({segments_meet(a, b)} or {near}))"

@@ -12,15 +12,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-
-# Vertices a task may hold before it hands its hulls on.
-_FLUSH = 200_000
-# Groups in the middle step that merges the hulls of many tasks.
-_MERGE = 256
+from ..sizing import plan_bytes
+
+# Points a task holds before it reduces them to hulls, and vertices it keeps
+# before it hands them on.
+_HELD, _KEPT = 500_000, 250_000
+# Hulls of one key that the last step should see at most, about.
+_LAST_HULLS = 1000
+# Bytes a task reads, by Spark's default.
+_TASK_BYTES = 128 * 1024 * 1024
 # Arc steps per quarter circle of a round buffer.
 QUAD_SEGMENTS = 16
 
@@ -50,9 +54,9 @@ def feature_envelope(features: DataFrame) -> DataFrame:
 
 def hull(xy: np.ndarray) -> np.ndarray:
     """Vertices of the convex hull, counter-clockwise, by monotone chain."""
-    pts = _extreme_candidates(np.unique(xy, axis=0))
-    if len(pts) < 3:
-        return pts
+    rows = sorted(set(map(tuple, _extreme_candidates(xy).tolist())))
+    if len(rows) < 3:
+        return np.array(rows, float).reshape(-1, 2)
 
     def chain(rows):
         out: list = []
@@ -65,7 +69,6 @@ def hull(xy: np.ndarray) -> np.ndarray:
             out.append((px, py))
         return out[:-1]
 
-    rows = pts.tolist()
     return np.array(chain(rows) + chain(rows[::-1]))
 
 
@@ -89,65 +92,82 @@ def _extreme_candidates(pts: np.ndarray) -> np.ndarray:
     return pts[~inside]
 
 
+def _reduce(pdf: pd.DataFrame, by: list[str], number: bool = False) -> pd.DataFrame:
+    """Hull vertices per key of a table of ``by, x, y``."""
+    xy = pdf[["x", "y"]].to_numpy(float)
+    if by:
+        group = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(pdf) else np.array([], int)
+        hulls = [hull(xy[rows]) for rows in np.split(order, starts[1:])]
+        keys = pdf[by].iloc[order[starts].repeat([len(h) for h in hulls])].reset_index(drop=True)
+    else:
+        hulls, keys = [hull(xy)], pd.DataFrame()
+    out = keys.copy()
+    if number:
+        out["vertex"] = np.concatenate([np.arange(len(h), dtype="int32") for h in hulls])
+    verts = np.vstack(hulls)
+    out["x"], out["y"] = verts[:, 0], verts[:, 1]
+    return out
+
+
 def convex_hull(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Hull vertices, over all points or per key.
 
     Columns: the keys, ``vertex`` (0-based, counter-clockwise), ``x``, ``y``.
-    Every task reduces its points to hulls, a middle step merges the hulls of
-    many tasks in 256 groups per key, and the last step sees at most 256 hulls
-    of a key. This is valid because hull(A ∪ B) = hull(hull(A) ∪ hull(B)).
+    Every task reduces its points to hulls, so only vertices are shuffled. If
+    the input is read by many tasks, their hulls are merged in slices before
+    the last step merges the slices of a key; no step holds all points of a
+    key. Valid because hull(A ∪ B) = hull(hull(A) ∪ hull(B)).
     """
     by = list(by)
     keyed = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")
+        *by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
-    key_fields = [f for f in keyed.schema.fields if f.name in by]
-    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}," for f in key_fields)
-
-    def reduce_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        size = 0
-
-        def emit():
-            rows = [(*k, px, py) for k, v in held.items() for px, py in v.tolist()]
-            return pd.DataFrame(rows, columns=[*by, "__x", "__y"])
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}," for f in keyed.schema.fields if f.name in by)
 
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for pdf in batches:
-            groups = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
-            for k, g in groups:
-                xy = g[["__x", "__y"]].to_numpy(float)
-                k = tuple(None if pd.isna(v) else v for v in k)
-                old = held.get(k)
-                new = hull(xy if old is None else np.vstack([old, xy]))
-                size += len(new) - (0 if old is None else len(old))
-                held[k] = new
-            if size > _FLUSH:
-                yield emit()
-                held, size = {}, 0
+            held.append(pdf)
+            if sum(map(len, held)) > _HELD:
+                held = [_reduce(pd.concat(held), by)]
+                if len(held[0]) > _KEPT:
+                    yield held.pop()
         if held:
-            yield emit()
-
-    def merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        verts = hull(pdf[["__x", "__y"]].to_numpy(float))
-        out = pd.DataFrame(verts, columns=["__x", "__y"])
-        for c in reversed([*by, "__slice"]):
-            if c in pdf:
-                out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    def last_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merge_group(pdf.drop(columns="__slice"))
-        out.insert(len(by), "vertex", np.arange(len(out), dtype="int32"))
-        return out
-
-    local = keyed.mapInPandas(reduce_partition, f"{key_ddl} __x double, __y double")
-    merged = (
-        local.withColumn("__slice", F.pmod(F.xxhash64("__x", "__y"), F.lit(_MERGE)).cast("int"))
-        .groupBy(*by, "__slice")
-        .applyInPandas(merge_group, f"{key_ddl} __slice int, __x double, __y double")
-    )
-    final = merged.groupBy(*by).applyInPandas(last_group, f"{key_ddl} vertex int, __x double, __y double")
-    return final.withColumnsRenamed({"__x": "x", "__y": "y"})
+            yield _reduce(pd.concat(held), by)
+
+    def by_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come ordered by key: all but the last key of a batch are whole.
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            group = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            open_run = group == group[-1]
+            rest = pdf[open_run]
+            if len(rest) > _HELD:
+                rest = _reduce(rest, by)
+            if not open_run.all():
+                yield _reduce(pdf[~open_run], by, number=True)
+        if rest is not None:
+            yield _reduce(rest, by, number=True)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = _reduce(pdf if held is None else pd.concat([held, pdf]), by)
+        if held is not None and len(held):
+            yield _reduce(held, by, number=True)
+
+    hulls = keyed.mapInPandas(local, f"{keys} x double, y double")
+    slices = int(plan_bytes(keyed) / _TASK_BYTES / _LAST_HULLS)
+    if slices > 1:
+        sliced = hulls.repartition(*by, F.pmod(F.xxhash64("x", "y"), F.lit(slices)))
+        hulls = sliced.mapInPandas(local, f"{keys} x double, y double")
+    out = f"{keys} vertex int, x double, y double"
+    if by:
+        return hulls.repartition(*by).sortWithinPartitions(*by).mapInPandas(by_runs, out)
+    return hulls.repartition(1).mapInPandas(whole, out)
 
 
 def hull_features(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:

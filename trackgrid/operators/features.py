@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,21 @@ from ..functions import geometry as G
 from ..functions.projection import reproject
 
 
-def make_features(df: DataFrame, geom: Column) -> DataFrame:
-    """A feature table from any table and a geometry expression."""
-    return G.with_box(df.withColumn("geom", geom))
+def make_features(df: DataFrame, geom: Column, box: Sequence[Column] | None = None) -> DataFrame:
+    """A feature table from any table and a geometry expression.
+
+    ``box`` gives the sides of the box where they are known without looking at
+    the coordinates.
+    """
+    if box is None:
+        return G.with_box(df.withColumn("geom", geom))
+    return df.withColumns({"geom": geom, **dict(zip(G.BOX, box))})
 
 
 def box_features(df: DataFrame, xmin: str = "xmin", ymin: str = "ymin", xmax: str = "xmax", ymax: str = "ymax") -> DataFrame:
     """Polygons from four box columns."""
-    return make_features(df, G.box_polygon(*[F.col(c) for c in (xmin, ymin, xmax, ymax)]))
+    sides = {name: F.col(c).cast("double") for name, c in zip(G.BOX, (xmin, ymin, xmax, ymax))}
+    return df.withColumns({**sides, "geom": G.box_polygon(*sides.values())})
 
 
 def reproject_features(features: DataFrame, source, target) -> DataFrame:

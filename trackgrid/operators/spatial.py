@@ -241,6 +241,7 @@ def filter_polygon(
     numbered = features if id_col else features.withColumn("__row", F.monotonically_increasing_id())
     x0, y0, x1, y1 = cells.bounds
     near = spread_small(numbered).where(G.box_overlaps(*G.BOX, cells.bounds))
+    near = near.withColumn("__edges", F.expr(G.EDGES_OR_POINTS))
 
     def span(lo: str, hi: str, least: float, most: float) -> Column:
         first, last = f"greatest({lo}, {G.num(least)})", f"least({hi}, {G.num(most)})"
@@ -251,8 +252,8 @@ def filter_polygon(
     around = (f"(cx * {h} - {w})", f"(cy * {h} - {w})", f"((cx + 1) * {h} + {w})", f"((cy + 1) * {h} + {w})")
     exact = (f"(cx * {h})", f"(cy * {h})", f"((cx + 1) * {h})", f"((cy + 1) * {h})")
     edges_meet = (
-        f"exists(filter({G.EDGES_OR_POINTS}, f -> {G.segment_meets_box('f', around)}), "
-        f"f -> exists(touching, m -> {G.segments_within('f', 'm', d)}))"
+        f"exists(__edges, f -> {G.segment_meets_box('f', around)} "
+        f"and exists(touching, m -> {G.segments_within('f', 'm', d)}))"
     )
     starts_inside = (
         f"exists(transform(geom.parts, q -> q[0]), q -> {cells.cell('q.x')} = cx and {cells.cell('q.y')} = cy "
@@ -260,7 +261,7 @@ def filter_polygon(
     )
     holds_mask = f"({G.POLYGONAL} and exists(starts, q -> {G.point_in(G.EDGES, 'q.x', 'q.y')}))"
     hit = F.expr(
-        f"if(edges is null, {G.geometry_meets_box(exact)}, {edges_meet} or {starts_inside} or {holds_mask})"
+        f"if(edges is null, {G.geometry_meets_box(exact)}, {starts_inside} or {edges_meet} or {holds_mask})"
     )
     right = cells.df.select("cx", "cy", "edges", "touching", "starts")
     hits = sized_join(spread, right, ["cx", "cy"], "inner", small=cells.small, where=hit)
