@@ -179,7 +179,7 @@ def s8(spark, d):
 
 
 @register("m1_profile_features", """select min(least(x1,x2)) as xmin, min(least(y1,y2)) as ymin,
-  max(greatest(x1,x2)) as xmax, max(greatest(y1,y2)) as ymax, count(*) as records, 'LineString' as kinds from roads""",
+  max(greatest(x1,x2)) as xmax, max(greatest(y1,y2)) as ymax, count(*) as records, 'LineString' as kinds, 'EPSG:4326' as crs from roads""",
           "roads")
 def m1(spark, d):
     return tg.profile_features(S.roads(spark, d))

@@ -111,7 +111,11 @@ def test_mask_read_and_profile(spark, tmp_path):
     stored = tg.read_features(spark, f"{tmp_path}/f", bbox=(2.1, 0, 2.2, 1))
     assert "LessThanOrEqual(xmin" in stored._jdf.queryExecution().executedPlan().toString()
     p = tg.profile_features(stored).first()
-    assert (p["records"], p["kinds"], p["xmin"]) == (1, "Polygon", 2.0)
+    assert (p["records"], p["kinds"], p["xmin"], p["crs"]) == (1, "Polygon", 2.0, "EPSG:4326")
+    tg.write_features(tg.reproject_features(stored, 4326, 3857), f"{tmp_path}/m")
+    metric = tg.read_features(spark, f"{tmp_path}/m")
+    assert tg.get_crs(metric) == "EPSG:3857" == tg.get_crs(tg.clip_to_box(metric, (0, 0, 1e6, 1e6)))
+    assert tg.subset_features(spark, metric, bbox=(2.1, 0, 2.2, 1)).subset.count() == 1
     assert tg.feature_schema(stored) == {"id": "int"}
 
 

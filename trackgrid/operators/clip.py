@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..sizing import is_small, sized_join, spread_small
+from .features import get_crs, set_crs
 from .spatial import polygon_cells
 
 _NO_PARTS = G.PARTS_TYPE
@@ -110,7 +111,7 @@ def clip_to_box(features: DataFrame, bbox: Sequence[float]) -> DataFrame:
     ring = F.expr(f"array(array({x0}, {y0}), array({x1}, {y0}), array({x1}, {y1}), array({x0}, {y1}))")
     crossing = near.where(f"not {inside} and {G.POLYGONAL}").withColumn("__cut", _clip_rings(F.expr(_PAIRS), ring))
     crossing = crossing.where("size(__cut) > 0").withColumn("geom", _polygon_geometry(_as_parts("__cut")))
-    return whole.unionByName(G.with_box(crossing).select(*names))
+    return set_crs(whole.unionByName(G.with_box(crossing).select(*names)), get_crs(features))
 
 
 # Any boundary ---------------------------------------------------------------
@@ -137,7 +138,7 @@ def clip_to_polygons(features: DataFrame, mask: DataFrame, id_col: str | None =
     out = outs[0]
     for other in outs[1:]:
         out = out.unionByName(other)
-    return G.with_box(out).select(*features.columns)
+    return set_crs(G.with_box(out).select(*features.columns), get_crs(features))
 
 
 def _regroup(pieces: DataFrame, features: DataFrame, key: str, collected: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.projection import reproject
+from ..functions.projection import normalise, reproject
 
 
 def make_features(df: DataFrame, geom: Column, box: Sequence[Column] | None = None) -> DataFrame:
@@ -28,6 +28,16 @@ def box_features(df: DataFrame, xmin: str = "xmin", ymin: str = "ymin", xmax: st
     return df.withColumns({**sides, "geom": G.box_polygon(*sides.values())})
 
 
+def set_crs(features: DataFrame, crs) -> DataFrame:
+    """Note the coordinate system on the ``geom`` column; Parquet keeps it."""
+    return features.withMetadata("geom", {"crs": normalise(crs)})
+
+
+def get_crs(features: DataFrame) -> str:
+    """The system noted on ``geom``, or WGS 84. No job is run."""
+    return normalise(features.schema["geom"].metadata.get("crs"))
+
+
 def reproject_features(features: DataFrame, source, target) -> DataFrame:
     """All coordinates in another system, boxes recomputed."""
 
@@ -36,7 +46,8 @@ def reproject_features(features: DataFrame, source, target) -> DataFrame:
         return G.point(x, y)
 
     parts = F.transform(F.col("geom.parts"), lambda part: F.transform(part, move))
-    return G.with_box(features.withColumn("geom", G.geometry(F.col("geom.kind"), parts)))
+    moved = G.with_box(features.withColumn("geom", G.geometry(F.col("geom.kind"), parts)))
+    return set_crs(moved, target)
 
 
 def explode_rings(features: DataFrame, *keep: str) -> DataFrame:

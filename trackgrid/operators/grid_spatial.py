@@ -18,7 +18,7 @@ from ..functions.projection import normalise
 from ..session import checkpointed
 from ..sizing import BROADCAST_ROWS, plan_bytes, sized_join
 from .axes import RegularAxis
-from .features import reproject_features
+from .features import get_crs, reproject_features
 from .spatial import PolygonCells, filter_polygon, points_in_last_polygon, points_in_polygons, polygon_cells
 from .stats import describe, with_units
 
@@ -36,6 +36,12 @@ def _cells(grid) -> tuple[DataFrame, bool]:
     return written, written.count() <= BROADCAST_ROWS
 
 
+def _in_system(polygons: DataFrame, source, target) -> DataFrame:
+    """Polygons in the system of the grid; ``source`` overrides what they note."""
+    source = source or get_crs(polygons)
+    return polygons if normalise(source) == normalise(target) else reproject_features(polygons, source, target)
+
+
 def _half_step(grid, dim: str) -> float:
     axis = grid.axis(dim)
     if not isinstance(axis, RegularAxis):
@@ -69,9 +75,7 @@ def select_spatial(grid, polygons: DataFrame, invert: bool = False, crs=None, po
         raise ValueError("mode is 'filter' or 'null'")
     if strategy not in ("auto", "cells", "rows"):
         raise ValueError("strategy is 'auto', 'cells' or 'rows'")
-    target = normalise(crs or grid.crs)
-    if normalise(polygons_crs or target) != target:
-        polygons = reproject_features(polygons, polygons_crs, target)
+    polygons = _in_system(polygons, polygons_crs, crs or grid.crs)
     by_row_ok = mode == "filter" and not all_touched
     if strategy == "rows" and not by_row_ok:
         raise ValueError("strategy 'rows' filters by cell centres only")
@@ -127,8 +131,7 @@ def groupby_poly_time(grid, polygons: DataFrame, id_col: str, var: str, by: Sequ
     costs no more than others.
     """
     units = list(by or ())
-    if polygons_crs is not None and normalise(polygons_crs) != normalise(grid.crs):
-        polygons = reproject_features(polygons, polygons_crs, grid.crs)
+    polygons = _in_system(polygons, polygons_crs, grid.crs)
     rows = grid.df.select(*grid.dims, var)
     bound = plan_bytes(rows)
     cut = polygon_cells(polygons, keep=_kept(id_col, order_col))

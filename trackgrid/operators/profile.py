@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeexpr as T
+from .features import get_crs
 
 # The spellings a role is recognised by, in order of preference.
 TIME_NAMES = ("time", "timestamp", "Time")
@@ -28,7 +29,7 @@ def detect_varnames(columns: Iterable[str]) -> tuple[dict, list[str], list[str]]
 
 
 def profile_features(features: DataFrame) -> DataFrame:
-    """Extent, number of records and kinds of geometry in one pass.
+    """Extent, number of records, kinds of geometry and system, in one pass.
 
     The box columns are enough for the extent: coordinates are not read.
     """
@@ -37,6 +38,7 @@ def profile_features(features: DataFrame) -> DataFrame:
         F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
         F.count(F.lit(1)).alias("records"),
         F.array_join(F.sort_array(F.collect_set("geom.kind")), ",").alias("kinds"),
+        F.first(F.lit(get_crs(features))).alias("crs"),
     )
 
 
@@ -64,7 +66,8 @@ def time_unit_domain(df: DataFrame, time: str = "time", units: Iterable[str] = (
     whether there is a choice. The values of a unit are few by the calendar.
     """
     units = list(units)
-    times = df.select(F.col(time).alias("t")).distinct()
+    # Distinct hours are bounded by the calendar; distinct times are not.
+    times = df.select(F.date_trunc("hour", F.col(time)).alias("t")).distinct()
     entries = F.array(*[
         F.struct(F.lit(u).alias("unit"), T.time_unit(F.col("t"), u).alias("v")) for u in units
     ])

@@ -16,29 +16,19 @@ from .profile import time_resolution
 _CHUNK = 4096
 
 
-def _origin(grid) -> Column:
-    """Midnight of the first day, where all bins count from."""
-    axis = grid.axes.get(grid.time)
-    if isinstance(axis, RegularAxis):
-        first = min(axis.first, axis.first + axis.step * (axis.size - 1))
-        return F.lit(int(first // MICROS_PER_DAY * MICROS_PER_DAY))
-    day = F.lit(MICROS_PER_DAY)
-    first = grid.df.agg(F.min(micros(F.col(grid.time))).alias("t"))
-    return first.select((F.floor(F.col("t") / day) * day).cast("bigint").alias("o")).scalar()
-
-
-def _last(grid) -> Column:
-    axis = grid.axes.get(grid.time)
-    if isinstance(axis, RegularAxis):
-        return F.lit(int(max(axis.first, axis.first + axis.step * (axis.size - 1))))
-    return grid.df.agg(F.max(micros(F.col(grid.time))).alias("t")).scalar()
-
+def _span(grid) -> tuple[Column, Column, Column]:
+    """Midnight of the first day, where all bins count from; first and last time.
 
-def _first(grid) -> Column:
+    Literals if the time axis is declared, else one scalar subquery.
+    """
     axis = grid.axes.get(grid.time)
     if isinstance(axis, RegularAxis):
-        return F.lit(int(min(axis.first, axis.first + axis.step * (axis.size - 1))))
-    return grid.df.agg(F.min(micros(F.col(grid.time))).alias("t")).scalar()
+        ends = sorted((axis.first, axis.first + axis.step * (axis.size - 1)))
+        return F.lit(int(ends[0] // MICROS_PER_DAY * MICROS_PER_DAY)), F.lit(int(ends[0])), F.lit(int(ends[1]))
+    ends = grid.df.agg(F.struct(F.min(grid.time).alias("a"), F.max(grid.time).alias("b")).alias("ends")).scalar()
+    first, last = micros(ends["a"]), micros(ends["b"])
+    day = F.lit(MICROS_PER_DAY)
+    return (F.floor(first / day) * day).cast("bigint"), first, last
 
 
 def _bin(t: Column, origin: Column, freq: int) -> Column:
@@ -52,14 +42,14 @@ def mean_bins(grid, freq: int, fill: bool = True):
     last; bins without data are NULL. The empty rows are put under the data
     before the one aggregation, which costs no join.
     """
-    origin = _origin(grid)
+    origin, first, last = _span(grid)
     cells = [grid.lat, grid.lon]
     rows = grid.df.select(
         _bin(micros(F.col(grid.time)), origin, freq).alias("__bin"), *cells, *grid.variables
     )
     if fill:
         types = {f.name: f.dataType for f in grid.df.schema.fields}
-        labels = F.sequence(_bin(_first(grid), origin, freq), _bin(_last(grid), origin, freq), F.lit(freq))
+        labels = F.sequence(_bin(first, origin, freq), _bin(last, origin, freq), F.lit(freq))
         empty = (
             grid.df.select(*cells).distinct()
             .select(F.explode(labels).alias("__bin"), *cells,
@@ -82,7 +72,7 @@ def interpolate_time(grid, freq: int):
     the first row of the next chunk, so a long series is split over tasks.
     """
     axis = grid.axis(grid.time)
-    origin = _origin(grid)
+    origin = _span(grid)[0]
     df = grid.df.withColumn("__t", micros(F.col(grid.time)))
     if isinstance(axis, RegularAxis):
         i = axis.index(F.col("__t"))

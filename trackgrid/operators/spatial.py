@@ -230,8 +230,9 @@ def filter_polygon(
     A feature is compared with the mask cell by cell over its own box. Three
     cases make an intersection: edges meet, the feature starts inside the
     mask, or a ring of the mask starts inside the feature. A feature hit in
-    several cells is reduced to one row by ``id_col``; hits alone are
-    shuffled. Without ``id_col`` rows are numbered where they are read.
+    several cells is reduced to one row by ``id_col``, which must be unique;
+    hits alone are shuffled. Without ``id_col`` rows are numbered where they
+    are read.
     """
     d = float(within)
     cells = polygon_cells(mask, cell_size=cell_size, pad=d)

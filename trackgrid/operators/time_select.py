@@ -102,6 +102,12 @@ def time_encoding_days(df: DataFrame, time: str = "time", name: str = "time") ->
 
 
 def sort_by_time(df: DataFrame, time: str = "time", partitions: int | None = None) -> DataFrame:
-    """Global order by time: contiguous ranges, each sorted within its task."""
-    ranged = df.repartitionByRange(partitions, time) if partitions else df.repartitionByRange(time)
+    """Global order by time: contiguous ranges, each sorted within its task.
+
+    Rows of one time may be most of the table. A hash of the row and the
+    number of the task that read it come after the time, so such a time is
+    cut into several ranges, copies of a row included.
+    """
+    keys = [F.col(time), F.xxhash64(*[F.col(c) for c in df.columns]), F.spark_partition_id()]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(time)

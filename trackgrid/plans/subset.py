@@ -21,7 +21,7 @@ from ..operators.boundary import (
     ring_feature,
 )
 from ..operators.clip import clip_to_box, clip_to_polygons
-from ..operators.features import reproject_features
+from ..operators.features import get_crs, reproject_features
 from ..operators.spatial import filter_bbox, filter_polygon
 from ..sources.readers import read_features, read_tracks
 from ..sources.writers import write_features
@@ -61,8 +61,8 @@ def subset_features(
     buffer: float = 0,
     clip: bool = False,
     outfile: str | None = None,
-    crs=WGS84,
-    bounding_crs=WGS84,
+    crs=None,
+    bounding_crs=None,
     id_col: str | None = None,
     kinds: Sequence[str] = ("Point", "LineString", "Polygon"),
 ) -> SubsetResult:
@@ -71,7 +71,9 @@ def subset_features(
     The area is exactly one of: a box in degrees; the surroundings of track
     points; the surroundings of other features, or with ``mask`` those
     features themselves. ``buffer`` widens it by that share of its larger
-    side, with round corners. Tables may be given as paths.
+    side, with round corners. Tables may be given as paths. Coordinate systems
+    are those noted on the tables unless given here. ``id_col`` names a unique
+    column; without one rows are numbered.
     """
     if sum(option is not None for option in (bbox, track_points, bounding_geom)) != 1:
         raise TypeError("give one and only one of bbox, track_points and bounding_geom")
@@ -83,6 +85,8 @@ def subset_features(
     layer = read_features(spark, features)
     tracks = None if track_points is None else read_tracks(spark, track_points)
     shapes = None if bounding_geom is None else read_features(spark, bounding_geom)
+    crs = crs or get_crs(layer)
+    bounding_crs = bounding_crs or (get_crs(shapes) if shapes is not None else WGS84)
     within = 0.0
     if bbox is not None:
         box = box_in(spark, bbox, WGS84, crs)

@@ -51,9 +51,11 @@ def write_features(features: DataFrame, path: str, format: str = "parquet", clus
     """
     if format == "parquet":
         if cluster:
-            features = features.repartitionByRange(F.floor("ymin"), F.floor("xmin"), "ymin", "xmin").sortWithinPartitions(
-                F.floor("ymin"), F.floor("xmin")
-            )
+            # After the place come hash and task, which split a crowded place.
+            place = [F.floor("ymin"), F.floor("xmin"), F.col("ymin"), F.col("xmin")]
+            others = [c for c in features.columns if c != "geom"]
+            features = features.repartitionByRange(*place, F.xxhash64(*others), F.spark_partition_id())
+            features = features.sortWithinPartitions(*place)
         features.write.mode(mode).parquet(path)
     elif format == "geojsonl":
         geojson_lines(features).write.mode(mode).text(path)
