@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..sizing import sized_join
+from ..session import checkpointed
+from ..sizing import BROADCAST_ROWS, sized_join
 
 KEY = "deployment_id"
 
@@ -58,29 +59,31 @@ def dissolve_points(
 ) -> DataFrame:
     """Union of the points of each key as multipoints.
 
-    A union holds every position once. It is stored in rows of about
+    A union holds every position once. It is stored in rows of at most about
     ``part_size`` points, numbered by ``part``, so that an animal with most of
-    the fixes neither meets in one task nor outgrows an array.
+    the fixes neither meets in one task nor outgrows an array. A position
+    always falls in the same part, so copies are removed before the shuffle.
     """
     by = list(by)
-    distinct = (
-        tracks.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        .distinct()
-    )
-    counts = distinct.groupBy(*by).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("__parts")
+    located = tracks.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("__parts")
+    counts = located.groupBy(*by).agg(parts)
     if by:
-        sized = sized_join(distinct, counts, by, "inner", null_safe=True)
+        # One row per key, written once and counted. Catalyst's estimate would
+        # be that of all fixes.
+        written = checkpointed(counts)
+        few = written.count() <= BROADCAST_ROWS
+        sized = sized_join(located, written, by, "inner", null_safe=True, small=few)
     else:
-        sized = distinct.withColumn("__parts", counts.scalar())
+        sized = located.withColumn("__parts", counts.scalar())
     numbered = sized.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("__parts")).cast("int"))
     grouped = numbered.groupBy(*by, "part").agg(
-        F.sort_array(F.collect_list(F.array(G.point(F.col("x"), F.col("y"))))).alias("parts")
+        F.sort_array(F.collect_set(G.point(F.col("x"), F.col("y")))).alias("__points")
     )
-    shaped = grouped.select(*by, "part", G.geometry("MultiPoint", F.col("parts")).alias("geom"))
-    return G.with_box(shaped)
+    dots = F.transform("__points", lambda p: F.array(p))
+    return G.with_box(grouped.select(*by, "part", G.geometry("MultiPoint", dots).alias("geom")))
 
 
 def track_density(
