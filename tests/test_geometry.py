@@ -179,10 +179,10 @@ def test_clip_lines_to_polygons(spark, mask, layer):
     for i, (_, parts) in lines.items():
         total = 0.0
         for (x1, y1), (x2, y2) in segments(parts):
-            t = (np.arange(4000) + 0.5) / 4000
-            n = sum(any(inside(r, x1 + s * (x2 - x1), y1 + s * (y2 - y1)) for _, r in POLYGONS.values()) for s in t[::10])
-            total += math.hypot(x2 - x1, y2 - y1) * n / 400
-        assert (got[i]["len"] if i in got else 0.0) == pytest.approx(total, abs=0.05)
+            t = (np.arange(100) + 0.5) / 100
+            n = sum(any(inside(r, x1 + s * (x2 - x1), y1 + s * (y2 - y1)) for _, r in POLYGONS.values()) for s in t)
+            total += math.hypot(x2 - x1, y2 - y1) * n / 100
+        assert (got[i]["len"] if i in got else 0.0) == pytest.approx(total, abs=0.15)
 
 
 def test_clipped_line_keeps_its_vertices(spark):

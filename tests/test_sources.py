@@ -1,4 +1,5 @@
 import json
+import uuid
 from datetime import datetime
 
 import pytest
@@ -160,12 +161,14 @@ def test_stream_through_stateless_operators(spark, tmp_path):
     schema = "`deployment-id` long, timestamp string, `location-long` double, `location-lat` double"
     zones = tg.box_features(spark.createDataFrame([(7, 0., 0., 2., 2.)], "zone int, xmin double, ymin double, xmax double, ymax double"))
     ref = spark.createDataFrame([(1, "f")], "deployment_id long, sex string")
+    # Progress outlives the session, so every run of this test has its own name.
+    name = f"tracks-{uuid.uuid4().hex}"
 
     def run():
         s = stream_tracks(spark, f"{tmp_path}/in", schema)
         s = tg.select_time_range(s, "timestamp", "2009-05-01", "2009-05-03")
         s = tg.points_in_polygons(s, zones, "location_long", "location_lat", ["zone"])
-        append_parquet(tg.merge_tracks_ref(s, ref, small=True), f"{tmp_path}/out", f"t-{tmp_path.name}").awaitTermination()
+        append_parquet(tg.merge_tracks_ref(s, ref, small=True), f"{tmp_path}/out", name).awaitTermination()
         return rows(spark.read.parquet(f"{tmp_path}/out"), "deployment_id", "zone", "sex")
 
     assert run() == [(1, 7, "f")]
