@@ -181,15 +181,22 @@ def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
 
     # Where the segment crosses the boundary within the cell; between two
     # crossings it is inside or outside as its middle is.
-    det = "((e.x2 - e.x1) * (m.y2 - m.y1) - (e.y2 - e.y1) * (m.x2 - m.x1))"
-    t = f"(((m.x1 - e.x1) * (m.y2 - m.y1) - (m.y1 - e.y1) * (m.x2 - m.x1)) / nullif({det}, 0D))"
-    u = f"(((m.x1 - e.x1) * (e.y2 - e.y1) - (m.y1 - e.y1) * (e.x2 - e.x1)) / nullif({det}, 0D))"
-    crossings = f"transform(filter(touching, m -> {u} between 0 and 1 and {t} > r.t0 and {t} < r.t1), m -> {t})"
-    met = met.withColumn("cuts", F.expr(f"array_sort(array_distinct(concat(array(r.t0, r.t1), {crossings})))"))
+    e_box = ("least(e.x1, e.x2)", "least(e.y1, e.y2)", "greatest(e.x1, e.x2)", "greatest(e.y1, e.y2)")
+    solved = (
+        f"transform(filter(touching, m -> {G.edge_box_overlaps('m', e_box)}), m -> named_struct("
+        "'d', (e.x2 - e.x1) * (m.y2 - m.y1) - (e.y2 - e.y1) * (m.x2 - m.x1), "
+        "'t', (m.x1 - e.x1) * (m.y2 - m.y1) - (m.y1 - e.y1) * (m.x2 - m.x1), "
+        "'u', (m.x1 - e.x1) * (e.y2 - e.y1) - (m.y1 - e.y1) * (e.x2 - e.x1)))"
+    )
+    shares = f"transform(filter({solved}, c -> c.d != 0 and c.u / c.d between 0 and 1), c -> c.t / c.d)"
+    inner = f"filter({shares}, t -> t > r.t0 and t < r.t1)"
+    met = met.withColumn("cuts", F.expr(f"array_sort(array_distinct(concat(array(r.t0, r.t1), {inner})))"))
     middle = ("e.x1 + (s.t0 + s.t1) / 2 * (e.x2 - e.x1)", "e.y1 + (s.t0 + s.t1) / 2 * (e.y2 - e.y1)")
     inside = f"(edges is null or {G.point_in('edges', f'({middle[0]})', f'({middle[1]})')})"
-    shares = "transform(sequence(1, size(cuts) - 1), i -> named_struct('t0', cuts[i-1], 't1', cuts[i]))"
-    kept = met.withColumn("s", F.expr(f"explode(filter({shares}, s -> {inside}))"))
+    pieces = "transform(sequence(1, size(cuts) - 1), i -> named_struct('t0', cuts[i-1], 't1', cuts[i]))"
+    # The outer form keeps the optimizer from testing emptiness beforehand,
+    # which would work everything out twice.
+    kept = met.withColumn("s", F.expr(f"explode_outer(filter({pieces}, s -> {inside}))")).where("s is not null")
     kept = kept.select(*carried, "__part", "__seg", "e", "s.t0", "s.t1")
 
     # Shares of a segment that touch or overlap become one before they turn

@@ -199,7 +199,9 @@ def points_in_last_polygon(
     )
     joined = sized_join(_located(points, cells, x, y), grouped, ["cx", "cy"], "inner", small=True)
     inside = _inside("c.edges", f"`{x}`", f"`{y}`")
-    found = joined.withColumn("hit", F.expr(f"get(filter(candidates, c -> {inside}), 0)")).where("hit is not null")
+    # Exploding one element, in the outer form, works the test out only once.
+    first = F.expr(f"explode_outer(slice(filter(candidates, c -> {inside}), 1, 1))")
+    found = joined.withColumn("hit", first).where("hit is not null")
     out = [F.col("hit.o" if k == order else f"hit.{k}").alias(k) for k in cells.keep]
     return found.select(*points.columns, *out)
 
