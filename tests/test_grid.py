@@ -223,6 +223,8 @@ def test_cut_grid_keeps_its_axis(spark, zones):
     cut = make(spark).select_spatial(zones)
     assert cut.axis("lat") == RegularAxis(49.0, -1.0, 4)
     assert {k[1] for k in values(cut.thin({"lat": 3}))} == {49.0, 46.0}
+    blocks = make(spark).select_spatial(zones).coarsen({"lat": 2})
+    assert blocks.axis("lat") == RegularAxis(48.5, -2.0, 2) and blocks.axis("lon") == RegularAxis(10.0, 0.5, 4)
     uneven = make(spark, lats=[50.0, 49.0, 48.5, 47.0, 46.0]).select_spatial(zones)
     assert [r["value"] for r in uneven.axis("lat").df.orderBy("idx").collect()] == [49.0, 48.5, 47.0, 46.0]
 

@@ -67,6 +67,10 @@ class GridFrame:
     def with_df(self, df: DataFrame, lost: Sequence[str] = (), **kwargs) -> "GridFrame":
         """The same grid over other rows; ``lost`` dimensions forget their axis."""
         kept = {d: a for d, a in {**self._measured, **self.axes}.items() if d not in lost}
+        if self.parent is not None and {self.lat, self.lon} & set(lost):
+            # The new places are not those of the parent any more.
+            kept.update({d: self.axis(d) for d in (self.lat, self.lon) if d not in lost})
+            kwargs["parent"] = None
         return replace(self, df=df, axes=kept, _measured={}, **kwargs)
 
     def with_axes(self, axes: Mapping[str, Axis]) -> "GridFrame":
