@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from trackgrid.session import scratch_path
 
-from . import exactdup, licenses, secretscan, sharding
+from . import exactdup, licenses, packing, secretscan, sharding, tokenbin
 from .common import documents, text_or_empty
 
 N_SHARDS = 8
+#: Ids put after a document: between packed documents, and at the end of one in a file.
+SEPARATOR_ID, END_ID = 0, 2
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -26,11 +29,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 2048 tokens."""
+    return packing.pack(documents(spark, sf_dir), VOCABULARY, SEPARATOR_ID)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     return licenses.license_digest(licenses.scan_licenses(documents(spark, sf_dir)))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    files = tokenbin.write_token_files(documents(spark, sf_dir), scratch_path(spark, "tokens"), VOCABULARY, END_ID)
+    return tokenbin.read_token_files(spark, files)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secretscan.spans_digest(secretscan.scan_secrets(documents(spark, sf_dir), RANKS))
@@ -44,7 +58,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op4_license_scan, op6_secret_scan, op7_exact_dedup)
+    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {

@@ -21,7 +21,7 @@ _CUTS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: White space before a space: such texts are cut by the pattern, others at their spaces.
 _RUN = re.compile(f"[{_SPACE}] |\0")
 #: Distinct cuts that are kept at most, and new ones that are encoded in a row.
-KEPT, TOGETHER = 500_000, 8192
+KEPT, TOGETHER = 800_000, 8192
 
 
 def cuts_of(text: str) -> list[str]:
