@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.session import scratch_path
 
-from . import exactdup, licenses, packing, secretscan, sharding, tokenbin
+from . import exactdup, licenses, neardup, packing, secretscan, sharding, tokenbin
 from .common import documents, text_or_empty
 
 N_SHARDS = 8
@@ -34,6 +34,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCABULARY, SEPARATOR_ID)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.near_dups(documents(spark, sf_dir)).drop("set_id")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     return licenses.license_digest(licenses.scan_licenses(documents(spark, sf_dir)))
@@ -58,7 +63,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup)
+    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
