@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.session import scratch_path
 
-from . import exactdup, licenses, neardup, packing, secretscan, sharding, tokenbin
+from . import exactdup, licenses, neardup, packing, quality, secretscan, sharding, tokenbin
 from .common import documents, text_or_empty
 
 N_SHARDS = 8
@@ -62,8 +62,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text, and whether it is kept."""
+    docs = documents(spark, sf_dir)
+    return quality.Classifier(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).verdicts()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup)
+    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier)
 }
 
 ORACLES: dict[str, str] = {
