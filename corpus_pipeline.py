@@ -10,18 +10,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackgrid.llm import exactdup
+from trackgrid.llm import decontam, exactdup, neardup, packing, quality
 from trackgrid.llm.common import documents, prepare, written
+from trackgrid.llm.queries import SEPARATOR_ID, VOCABULARY
 from trackgrid.session import scratch_path
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is unlike that of trusted ones of their language go."""
+    prepare(spark)
+    return quality.Classifier(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).accepted(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
     return exactdup.exact_dedup(prepare(spark), docs, scratch_path(spark, "digest-index"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, the document with the smallest id stays."""
+    prepare(spark)
+    return neardup.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    prepare(spark)
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces in sequences of at most 2048 tokens."""
+    prepare(spark)
+    return packing.pack(docs, VOCABULARY, SEPARATOR_ID)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
 ]
 
 #: Perplexities, signatures and packing are beyond SQL; tests compare with brute force.
