@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.session import scratch_path
 
-from . import decontam, exactdup, licenses, neardup, packing, quality, secretscan, sharding, tokenbin
+from . import decontam, exactdup, licenses, neardup, packing, quality, secretscan, sharding, suffixdup, tokenbin
 from .common import documents, text_or_empty
 
 N_SHARDS = 8
@@ -68,13 +68,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.Classifier(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).verdicts()
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents without strings that occur earlier."""
+    return suffixdup.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold items of the benchmark, one row per document and item."""
     return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier, op10_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier, op9_suffix_array_dedup, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
