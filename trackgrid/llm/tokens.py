@@ -19,20 +19,23 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE_SET = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c))
 _CUTS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: White space before a space: such texts are cut by the pattern, others at their spaces.
-_RUN = re.compile(f"[{_SPACE}] |\0")
+_RUNS = [c + " " for c in "\t\n\x0b\x0c\r "]
+_OTHER_SPACE = [c for c in sorted(_SPACE_SET) if not c.isascii()]
+#: Marks that no letter or digit before them is merged with.
+_MARKS = ".,;:!?)"
 #: Distinct cuts that are kept at most, and new ones that are encoded in a row.
-KEPT, TOGETHER = 800_000, 8192
+KEPT, TOGETHER = 1_200_000, 8192
 
 
 def cuts_of(text: str) -> list[str]:
     """The parts of ``text``: one that begins with a space without it, another after a zero byte."""
-    if not _RUN.search(text):
-        parts = text.split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
     if "\0" in text:
         return ["\0" + text]
-    return [c[1:] if c[0] == " " else "\0" + c for c in _CUTS.findall(text)]
+    if any(r in text for r in _RUNS) or not text.isascii() and any(c in text for c in _OTHER_SPACE):
+        return [c[1:] if c[0] == " " else "\0" + c for c in _CUTS.findall(text)]
+    parts = text.split(" ")
+    parts[0] = "\0" + parts[0]
+    return parts
 
 
 class CachedTokenizer:
@@ -52,14 +55,27 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens of the model."""
         parts = [cuts_of(t) for t in texts]
-        needed = set(chain.from_iterable(parts))
-        if len(self.known) + len(needed) > self.kept:  # those of this call stay
-            self.known = {k: v for k in needed if (v := self.known.get(k)) is not None}
-        self._learn(needed.difference(self.known))
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if len(self.known) > self.kept:  # words of these texts stay
+            self.known = {k: v for k in set(chain.from_iterable(parts)) if (v := self.known.get(k)) is not None}
+        found = [list(map(self.known.get, p)) for p in parts]
+        gaps = [[i for i, v in enumerate(ids) if v is None] for ids in found]
+        self._learn({p[i] for p, g in zip(parts, gaps) for i in g})
+        for ids, p, g in zip(found, parts, gaps):
+            for i in g:
+                ids[i] = self.known[p[i]]
+        return list(map(b"".join, found))
 
     def _learn(self, new: set[str]) -> None:
-        joined, alone = [], []
+        """Encode new cuts; one that ends with marks is the word before them and the marks."""
+        ended = {c: b for c in new if c and c[-1] in _MARKS and (b := c.rstrip(_MARKS)) and b[-1].isalnum()}
+        plain = self._encoded({ended.get(c, c) for c in new}.difference(self.known))
+        self.known.update(plain)
+        marks = {c[len(b) :] for c, b in ended.items()}
+        marks = {m: self._encoded({"\0" + m})["\0" + m] for m in marks}
+        self.known.update({c: self.known[b] + marks[c[len(b) :]] for c, b in ended.items()})
+
+    def _encoded(self, new: set[str]) -> dict[str, bytes]:
+        joined, alone, out = [], [], {}
         for c in new:
             (joined if c and c[0] != "\0" and c[-1] not in _SPACE_SET else alone).append(c)
         for start in range(0, len(joined), TOGETHER):
@@ -72,12 +88,13 @@ class CachedTokenizer:
                 alone += block
                 continue
             raw, stops = ids.tobytes(), ((at + 1) * 4).tolist()
-            self.known.update(zip(block, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+            out.update(zip(block, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops))))
         for start in range(0, len(alone), TOGETHER):
             block = alone[start : start + TOGETHER]
             texts = [c[1:] if c[:1] == "\0" else " " + c for c in block]
             for c, e in zip(block, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+                out[c] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 _OPEN: dict[str, CachedTokenizer] = {}
