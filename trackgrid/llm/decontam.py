@@ -36,7 +36,7 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 
 
 def words_of(text: str) -> list[bytes]:
-    return read_words(text.lower().encode("utf-8", "replace")).split()
+    return read_words(text.casefold().encode("utf-8", "replace")).split()
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:

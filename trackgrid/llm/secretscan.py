@@ -33,10 +33,11 @@ CHARS_PER_TOKEN = 2.4
 #: Lengths in hexadecimal of md5, sha-1, sha-224, sha-256, sha-384 and sha-512 digests.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)", re.A)
-#: UUIDs; numbers and dates; words joined by one sort of mark, or in mixed case, with at most a short number each.
+#: UUIDs; numbers and dates.
+NUMBERS = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+=/_-]+", re.A)
+#: Words and short numbers, joined by marks or by mixed case.
 IDENTIFIER = re.compile(
-    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+=/_-]+"
-    r"|(?:[A-Z]?[a-z]{2,}[0-9]{0,3}|[A-Z]{2,}[0-9]{0,3}|[0-9]{1,8})(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}[0-9]{0,3}|[A-Z]{2,}[0-9]{0,3}|[0-9]{1,8}))*[-_/+=]*",
+    r"(?:[A-Z]?[a-z]{2,}[0-9]{0,3}|[A-Z]{2,}[0-9]{0,3}|[0-9]{1,8})(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}[0-9]{0,3}|[A-Z]{2,}[0-9]{0,3}|[0-9]{1,8}))*[-_/+=]*",
     re.A,
 )
 #: Mixed-case words of an identifier are this long on average at least; shorter ones are how random text reads.
@@ -60,7 +61,7 @@ class TokenEfficiency:
 
 def known_identifier(s: str) -> bool:
     """Whether ``s`` is a digest of a usual length, or an identifier."""
-    if len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s):
+    if NUMBERS.fullmatch(s) or len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s):
         return True
     if not IDENTIFIER.fullmatch(s):
         return False
