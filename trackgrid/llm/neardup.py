@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOOKUP_ROWS, prepare, text_or_empty, written
+from .common import LOOKUP_ROWS, collected, prepare, text_or_empty, written
 from .components import components
 
 WORDS = 5
@@ -192,9 +192,9 @@ def _prefix_pairs(spark: SparkSession, held: DataFrame, parts: DataFrame) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["slot", "n"])
 
     # At most one row per counter of the sketch.
-    totals = sets.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    totals = collected(sets.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1"))
     frequency = np.zeros(slots, np.uint32)
-    frequency[totals["slot"].to_numpy(np.int64)] = np.minimum(totals["n"].to_numpy(np.int64), (1 << 32) - 1)
+    frequency[totals["slot"]] = np.minimum(totals["n"], (1 << 32) - 1)
     shared = spark.sparkContext.broadcast(frequency)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
