@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, prepare, text_or_empty, written
+from .common import collected, lookup, prepare, text_or_empty, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a shard's suffix array, and contexts of one anchor beyond which it is dealt out.
@@ -260,7 +260,7 @@ def _contexts(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     schema = "anchor long, context binary, id long, digest long, start long, size long, raw binary"
     if repeated.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
-        wanted = spark.sparkContext.broadcast(np.sort(repeated.toPandas()["anchor"].to_numpy(np.int64)))
+        wanted = spark.sparkContext.broadcast(np.sort(collected(repeated)["anchor"]))
         source = texts.select("id", "digest", "text", F.lit(None).cast("array<long>").alias("places"))
     else:
         wanted = None
