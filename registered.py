@@ -58,6 +58,8 @@ def stats_sql(v: str) -> str:
   round(quantile_cont({v},0.75),6)+0.0 as p75, round(max({v}),6)+0.0 as mx"""
 
 
+# Fixes in a part of the study area that leaves many roads outside.
+FEW_TRACKS = "location_long between -1.25e2 and -1.19e2 and location_lat between 4.9e1 and 5.4e1 and event_id % 7 = 0"
 TRACK_COLS = "event_id, timestamp, deployment_id, location_long, location_lat"
 BOX = (-123.0, 50.0, -117.0, 55.0)
 
@@ -109,9 +111,9 @@ def s1(spark, d):
     return tg.read_tracks(spark, path)
 
 
-@register("s2_read_ref", "select deployment_id, animal_id, animal_taxon, animal_mass from ref", "ref")
+@register("s2_read_ref", "select deployment_id, animal_id, animal_taxon, animal_mass from ref_all", "ref_all")
 def s2(spark, d):
-    raw = S.view(spark, d, "ref").toDF("DeploymentID", "animal-id", "animal.taxon", "Animal Mass")
+    raw = S.view(spark, d, "ref_all").toDF("DeploymentID", "animal-id", "animal.taxon", "Animal Mass")
     path = scratch_path(spark, "ref-csv")
     raw.write.option("header", True).csv(path)
     return tg.read_ref(spark, path)[0]
@@ -402,20 +404,13 @@ def j3(spark, d):
 
 @register("j3_reindex_product", """with t as (select distinct time from grid_day),
 a as (select distinct latitude from grid_day), o as (select distinct longitude from grid_day)
-select t.time, a.latitude, o.longitude, g.t2m from t, a, o
+select t.time, round(a.latitude, 6)+0.0 as latitude, round(o.longitude, 6)+0.0 as longitude, g.t2m from t, a, o
 left join grid_day g on g.time = t.time and g.latitude = a.latitude and g.longitude = o.longitude""", "grid_day")
 def j3p(spark, d):
-    """Put back on all combinations of the axes; coordinates are those of the data."""
+    """Put back on all combinations of the axes that the library measures; places are those of the data."""
     g = S.grid(spark, d, "grid_day")
-    lat, lon, time = (g.df.select(c).distinct() for c in ("latitude", "longitude", "time"))
-    from trackgrid.operators.axes import TableAxis, measure_axis
-
-    axes = {}
-    for dim, values in (("latitude", lat), ("longitude", lon)):
-        table = values.select(F.col(dim).alias("value"), F.lit(0).alias("idx"))
-        axes[dim] = TableAxis(table, measure_axis(g.df, dim).size)
-    axes["time"] = measure_axis(g.df, "time")
-    return g.reindex_like(g.with_axes(axes)).df
+    out = g.reindex_like(g.with_axes({dim: g.axis(dim) for dim in g.dims})).df
+    return rounded(out, "latitude", "longitude")
 
 
 # 2.5 Aggregations -----------------------------------------------------------
@@ -815,22 +810,45 @@ def c1(spark, d):
 
 
 @register("c1_subset_tracks_box", f"""with b as (select min(location_long) as bx0, min(location_lat) as by0,
-  max(location_long) as bx1, max(location_lat) as by1 from tracks),
+  max(location_long) as bx1, max(location_lat) as by1 from tracks where {FEW_TRACKS}),
 k as (select bx0-d as bx0, by0-d as by0, bx1+d as bx1, by1+d as by1 from (select *, 0.01e0*greatest(bx1-bx0, by1-by0) as d from b))
 select road_id, road_class from roads r, k where {segment_box_sql('r', 'bx0', 'by0', 'bx1', 'by1')}""", "roads tracks")
 def c1t(spark, d):
-    out = tg.subset_features(spark, S.roads(spark, d), track_points=S.view(spark, d, "tracks"), buffer=0.01)
+    """Roads that meet the widened box of the tracks of a part of the study area."""
+    tracks = S.view(spark, d, "tracks").where(FEW_TRACKS)
+    out = tg.subset_features(spark, S.roads(spark, d), track_points=tracks, buffer=0.01)
     return out.subset.select("road_id", "road_class")
 
 
-@register("c1_subset_tracks_hull")
+HULL_SQL = f"""with pts as (select distinct location_long as x, location_lat as y from tracks where {FEW_TRACKS}),
+e as (select a.x as x1, a.y as y1, b.x as x2, b.y as y2 from pts a, pts b where (a.x, a.y) <> (b.x, b.y)
+  and not exists (select 1 from pts c where (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) < 0)),
+meets as (select distinct r.road_id from roads r join e on {segments_meet_sql('r', 'e')}),
+starts as (select r.road_id from roads r where not exists
+  (select 1 from e where (e.x2-e.x1)*(r.y1-e.y1)-(e.y2-e.y1)*(r.x1-e.x1) < 0))
+select road_id, road_class from roads where road_id in (select road_id from meets) or road_id in (select road_id from starts)"""
+
+
+@register("c1_subset_tracks_hull", HULL_SQL, "roads tracks")
 def c1h(spark, d):
-    """Roads that meet the widened hull of all tracks. Checked by brute force in the tests."""
-    out = tg.subset_features(spark, S.roads(spark, d), track_points=S.view(spark, d, "tracks"),
-                             boundary_type="convex_hull", buffer=0.02, id_col="road_id")
+    """Roads that meet the hull of the tracks of a part of the study area."""
+    tracks = S.view(spark, d, "tracks").where(FEW_TRACKS)
+    out = tg.subset_features(spark, S.roads(spark, d), track_points=tracks, boundary_type="convex_hull", id_col="road_id")
     return out.subset.select("road_id", "road_class")
 
 
+@register("c1_subset_bbox_projected", """select event_id from tracks
+where location_long between -123.005e0 and -112.345e0 and location_lat between 48.015e0 and 56.985e0""", "tracks")
+def c1p(spark, d):
+    """A box in degrees on fixes stored in a conic system. The box has curved edges there."""
+    t = S.view(spark, d, "tracks")
+    x, y = tg.reproject(F.col("location_long"), F.col("location_lat"), 4326, "ESRI:102001")
+    moved = t.select("event_id", x.alias("x"), y.alias("y"))
+    point = G.geometry("Point", F.array(F.array(G.point(F.col("x"), F.col("y")))))
+    layer = tg.set_crs(G.with_box(moved.select("event_id", point.alias("geom"))), "ESRI:102001")
+    return tg.subset_features(spark, layer, bbox=(-123.005, 48.015, -112.345, 56.985), id_col="event_id").subset.select("event_id")
+
+
 @register("c1_subset_mask", f"""with {STARTS_INSIDE},
 meets as (select distinct r.road_id from roads r join zone_edges e on {segments_meet_sql('r', 'e')})
 select road_class, count(*) as n from roads where road_id in (select road_id from meets)

@@ -21,6 +21,8 @@ _SIMPLE = {
   4.5e1 + cast((user_id*53+event_id*29)%1500 as double)/1e2 as location_lat""", ""),
     "ref": ("customer", """c_custkey as deployment_id, c_name as animal_id, c_mktsegment as animal_taxon,
   c_acctbal as animal_mass""", "where c_acctbal >= 0"),
+    "ref_all": ("customer", """c_custkey as deployment_id, c_name as animal_id, c_mktsegment as animal_taxon,
+  c_acctbal as animal_mass""", ""),
     "tracks_ship": ("lineitem", """l_orderkey as event_id, l_shipdate as timestamp, l_suppkey as deployment_id,
   -1.3e2 + cast((l_orderkey*37+l_partkey*13)%2000 as double)/1e2 as location_long,
   4.5e1 + cast((l_orderkey*53+l_partkey*29)%1500 as double)/1e2 as location_lat""", ""),

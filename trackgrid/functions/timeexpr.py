@@ -99,6 +99,11 @@ def ntz(value: datetime) -> Column:
     return F.expr(f"timestamp_ntz'{value.isoformat(sep=' ')}'")
 
 
+def from_days_since_2000(days: Column) -> Column:
+    """The time that many days after 2000-01-01, to the microsecond."""
+    return from_micros(F.round(days * F.lit(float(MICROS_PER_DAY))).cast("bigint") + F.lit(946_684_800_000_000))
+
+
 def days_since_2000(t: Column) -> Column:
     """Days since 2000-01-01 with fractions."""
     # Fixed value: 2000-01-01 in microseconds since 1970-01-01.

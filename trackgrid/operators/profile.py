@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeexpr as T
 from .features import get_crs
+from .stats import present
 
 # The spellings a role is recognised by, in order of preference.
 TIME_NAMES = ("time", "timestamp", "Time")
@@ -81,5 +82,6 @@ def time_unit_domain(df: DataFrame, time: str = "time", units: Iterable[str] = (
 
 
 def value_range(df: DataFrame, var: str) -> DataFrame:
-    """Least and greatest value of a variable."""
-    return df.agg(F.min(var).alias("min_value"), F.max(var).alias("max_value"))
+    """Least and greatest value of a variable. NaN is no value."""
+    v = present(df, var)
+    return df.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"))

@@ -30,7 +30,8 @@ def order_code(v: Column) -> Column:
     code = ((e + 1100) * (4 * _PER_OCTAVE) + m).cast("bigint")
     huge = F.lit(4 * _PER_OCTAVE * 4000).cast("bigint")
     code = F.when(a == float("inf"), huge).otherwise(code)
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, code).otherwise(-code)
+    # NaN comes last, as it does when values are sorted.
+    return F.when(F.isnan(v), huge + 1).when(v == 0, F.lit(0).cast("bigint")).when(v > 0, code).otherwise(-code)
 
 
 def _on(left_keys: Sequence[str], prefix: str) -> Column:
@@ -83,7 +84,8 @@ def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: dict[
 
     # Only the values of codes that were hit, cut into shares of even width.
     width = (F.col("hi") - F.col("lo")) / _SHARES
-    share = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(_SHARES))).otherwise(0)
+    # Codes of one value, infinities among them, are not cut.
+    share = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(_SHARES))).otherwise(0)
     near = _join(counted, hit, [*keys_in, "code"]).withColumn("share", share.cast("int"))
     per_share = near.groupBy(*keys_in, "code", "share").agg(F.sum("n").alias("sn"))
     shares_before = Window.partitionBy(*keys_in, "code").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,6 +107,7 @@ def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: dict[
         low = F.max(F.when(this & ~F.col("upper"), F.col("v")))
         high = F.max(F.when(this & F.col("upper"), F.col("v")))
         part = F.max(F.when(this, F.col("part")))
-        outs.append((low + (high - low) * part).alias(name))
+        # Between an infinity and a number lies the infinity, as in ``percentile``.
+        outs.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(name))
     result = picked.groupBy(*keys_in).agg(*outs)
     return result if keys else result.drop("__all")

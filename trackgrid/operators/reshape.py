@@ -96,7 +96,9 @@ def reindex_like(grid, other):
     """Put a grid on the places of another; places without data are NULL.
 
     The places are the product of the axes of ``other`` if all are declared,
-    else the rows it has. A place is unique, so the join has no hot key.
+    else the rows it has. Coordinates of declared axes are compared by their
+    positions, since those of an axis and those of the data may differ in the
+    last digits. A place is unique, so the join has no hot key.
     """
     if grid.dims != other.dims:
         raise ValueError("the grids name their dimensions differently")
@@ -104,7 +106,16 @@ def reindex_like(grid, other):
     places = other.product() if declared else other.df.select(*other.dims)
     # A side that is small by estimate is counted before it is broadcast.
     data = F.broadcast(grid.df) if is_small(grid.df) else grid.df
-    joined = places.join(data, list(grid.dims), "left")
+    keys = list(grid.dims)
+    if declared:
+        keys = [f"__at{k}" for k in range(len(grid.dims))]
+        for key, dim in zip(keys, grid.dims):
+            places = with_index(places, dim, other.axes[dim], key)
+            data = with_index(data, dim, other.axes[dim], key)
+        data = data.select(*keys, *grid.variables)
+        if is_small(grid.df):
+            data = F.broadcast(data)
+    joined = places.join(data, keys, "left")
     return other.with_df(joined.select(*grid.dims, *grid.variables))
 
 

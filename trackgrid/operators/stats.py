@@ -92,18 +92,24 @@ def spatial_mean_series(grid, var: str) -> DataFrame:
     return grid.df.groupBy(grid.time).agg(F.avg(var).alias(var))
 
 
-def count_exceeding(df: DataFrame, var: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
-    """How many values lie above a threshold, out of how many, per group."""
+def present(df: DataFrame, var: str) -> Column:
+    """The variable with NaN read as missing."""
     v = F.col(var)
+    return F.nanvl(v, F.lit(None).cast(df.schema[var].dataType)) if df.schema[var].dataType.typeName() in ("double", "float") else v
+
+
+def count_exceeding(df: DataFrame, var: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
+    """How many values lie above a threshold, out of how many, per group. NaN is no value."""
+    v = present(df, var)
     return df.groupBy(*by).agg(F.count_if(v > threshold).alias("n_exceeding"), F.count(v).alias("n_values"))
 
 
 def first_day_exceeded(df: DataFrame, var: str, threshold: float, time: str = "time", by: Sequence[str] = ()) -> DataFrame:
     """First day of each year on which the threshold is passed, per group.
 
-    Groups that never pass it are kept, with NULL.
+    Groups that never pass it are kept, with NULL. NaN does not pass it.
     """
     rows = df.withColumn("year", time_unit(F.col(time), "year"))
-    first = F.min(F.when(F.col(var) > threshold, F.col(time)))
+    first = F.min(F.when(present(df, var) > threshold, F.col(time)))
     return rows.groupBy(*by, "year").agg(first.cast("date").alias("first_day"))
 

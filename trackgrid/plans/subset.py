@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -21,7 +21,7 @@ from ..operators.boundary import (
     ring_feature,
 )
 from ..operators.clip import clip_to_box, clip_to_polygons
-from ..operators.features import get_crs, reproject_features
+from ..operators.features import get_crs, reproject_features, set_crs
 from ..operators.spatial import filter_bbox, filter_polygon
 from ..sources.readers import read_features, read_tracks
 from ..sources.writers import write_features
@@ -42,13 +42,49 @@ class SubsetResult:
     within: float = 0.0
 
 
+# Points put on each edge of a box before it is moved to another system.
+EDGE_POINTS = 256
+
+
+def ring_in(spark: SparkSession, bbox: Sequence[float], source, target) -> list[tuple[float, float]]:
+    """The outline of a box in another system. Its edges bend, so points are put along them."""
+    corners = G.bbox_ring(bbox)
+    dense = [
+        (x0 + (x1 - x0) * k / EDGE_POINTS, y0 + (y1 - y0) * k / EDGE_POINTS)
+        for (x0, y0), (x1, y1) in zip(corners, corners[1:]) for k in range(EDGE_POINTS)
+    ]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(dense)], "k int, x double, y double")
+    x, y = reproject(F.col("x"), F.col("y"), source, target)
+    moved = [(r["x"], r["y"]) for r in points.select("k", x.alias("x"), y.alias("y")).orderBy("k").collect()]
+    return [*moved, moved[0]]
+
+
+def in_degree_box(layer: DataFrame, ring: list[tuple[float, float]], bbox: Sequence[float], crs, id_col: str | None) -> DataFrame:
+    """Features of a projected layer that meet a box in degrees.
+
+    Points are moved to degrees and compared with the box itself, other features with its outline.
+    """
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    # The outline's chords lie inside the bend by less than this.
+    pad = max(max(xs) - min(xs), max(ys) - min(ys)) / EDGE_POINTS
+    near = filter_bbox(layer, (min(xs) - pad, min(ys) - pad, max(xs) + pad, max(ys) + pad), exact=False)
+    dots = F.col("geom.kind").isin("Point", "MultiPoint")
+    x0, y0, x1, y1 = map(float, bbox)
+
+    def inside(part: Column) -> Column:
+        x, y = reproject(part[0]["x"], part[0]["y"], crs, WGS84)
+        return x.between(x0, x1) & y.between(y0, y1)
+
+    points = near.where(dots & F.exists("geom.parts", inside))
+    return points.unionByName(filter_polygon(near.where(~dots), ring_feature(layer.sparkSession, ring), id_col))
+
+
 def box_in(spark: SparkSession, bbox: Sequence[float], source, target) -> tuple[float, float, float, float]:
-    """Extent, in another system, of a box given by its corners."""
+    """Extent, in another system, of a box."""
     if normalise(source) == normalise(target):
         return tuple(map(float, bbox))
-    corners = spark.range(1).select(F.explode(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in G.bbox_ring(bbox)])).alias("p"))
-    x, y = reproject(F.col("p.x"), F.col("p.y"), source, target)
-    return tuple(corners.select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first())
+    xs, ys = zip(*ring_in(spark, bbox, source, target))
+    return min(xs), min(ys), max(xs), max(ys)
 
 
 def subset_features(
@@ -75,8 +111,10 @@ def subset_features(
     are those noted on the tables unless given here. ``id_col`` names a unique
     column; without one rows are numbered.
     """
-    if sum(option is not None for option in (bbox, track_points, bounding_geom)) != 1:
-        raise TypeError("give one and only one of bbox, track_points and bounding_geom")
+    areas = {"bbox": bbox, "track_points": track_points, "bounding_geom": bounding_geom}
+    given = [name for name, value in areas.items() if value is not None]
+    if len(given) != 1:
+        raise TypeError(f"an area is one of {', '.join(areas)}; given: {', '.join(given) or 'none'}")
     if boundary_type not in BOUNDARY_TYPES:
         raise ValueError(f"boundary_type is one of {', '.join(BOUNDARY_TYPES)}")
     if boundary_type == "mask" and bounding_geom is None:
@@ -89,11 +127,18 @@ def subset_features(
     bounding_crs = bounding_crs or (get_crs(shapes) if shapes is not None else WGS84)
     within = 0.0
     if bbox is not None:
-        box = box_in(spark, bbox, WGS84, crs)
-        boundary = ring_feature(spark, G.bbox_ring(bbox))
-        subset = filter_bbox(layer, box)
-        if clip:
-            subset = clip_to_box(subset, box)
+        if normalise(crs) == WGS84:
+            box = tuple(map(float, bbox))
+            boundary = ring_feature(spark, G.bbox_ring(bbox))
+            subset = filter_bbox(layer, box)
+            if clip:
+                subset = clip_to_box(subset, box)
+        else:
+            ring = ring_in(spark, bbox, WGS84, crs)
+            boundary = ring_feature(spark, ring)
+            subset = in_degree_box(layer, ring, bbox, crs, id_col)
+            if clip:
+                subset = clip_to_polygons(subset, boundary, id_col, kinds)
     elif boundary_type == "mask":
         boundary = shapes if normalise(bounding_crs) == normalise(crs) else reproject_features(shapes, bounding_crs, crs)
         within = buffer_distance(feature_envelope(boundary).first(), buffer) if buffer else 0.0
@@ -118,7 +163,7 @@ def subset_features(
                 subset = clip_to_polygons(subset, boundary, id_col, kinds)
     if outfile is not None:
         write_features(subset, outfile, "geojsonl" if outfile.endswith((".geojsonl", ".geojson")) else "parquet")
-    return SubsetResult(subset, boundary, tracks, shapes, within)
+    return SubsetResult(subset, set_crs(boundary, crs), tracks, shapes, within)
 
 
 def _ring(tracks, shapes, boundary_type, crs, bounding_crs) -> list[tuple[float, float]]:

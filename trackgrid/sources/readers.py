@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions.headers import clean_names, clean_report
+from ..functions.timeexpr import from_days_since_2000
 from ..grid import GridFrame
 from ..operators.axes import RegularAxis
 from ..operators.spatial import filter_bbox, filter_polygon
 from ..operators.tracks import combine_studies, dissolve_points
 
 AXES_SUFFIX = ".axes"
+# The column that stored grids are partitioned by; no variable has its name.
+YEAR = "__year"
 
 
 def _csv(spark: SparkSession, path, schema=None) -> tuple[DataFrame, list[str]]:
@@ -137,7 +140,7 @@ def geometry_from_wkt(text: str | Column) -> Column:
 
     def pt(s: Column) -> Column:
         xy = F.split(F.trim(F.regexp_replace(s, r"[()]", "")), r"\s+")
-        return G.point(xy[0].cast("double"), xy[1].cast("double"))
+        return G.point(F.get(xy, F.lit(0)).try_cast("double"), F.get(xy, F.lit(1)).try_cast("double"))
 
     chains = F.transform(F.split(inner, r"\)[\s)]*,[\s(]*\("), lambda s: F.transform(F.split(s, ","), pt))
     dots = F.transform(F.split(inner, ","), lambda s: F.array(pt(s)))
@@ -146,7 +149,8 @@ def geometry_from_wkt(text: str | Column) -> Column:
         .when(kind.endswith("Polygon"), F.transform(chains, G.closed))
         .otherwise(chains)
     )
-    return G.geometry(kind, parts)
+    # An empty geometry has a kind and no parts.
+    return F.when(kind.isNotNull(), G.geometry(kind, F.when(inner != "", parts)))
 
 
 def _geojson(spark: SparkSession, path: str, properties: str | None, collection: bool) -> DataFrame:
@@ -168,9 +172,10 @@ def _geojson(spark: SparkSession, path: str, properties: str | None, collection:
     else:
         rows = lines.schema(feature).json(path)
     g = F.col("geometry")
-    geom = G.geometry(g["type"], parts_from_geojson(g["type"], g["coordinates"]))
+    # A feature without a geometry stays, without a place.
+    geom = F.when(g["type"].isNotNull(), G.geometry(g["type"], parts_from_geojson(g["type"], g["coordinates"])))
     attrs = ["properties.*"] if kept.fields else []
-    return rows.where(g.isNotNull()).select(*attrs, geom.alias("geom"))
+    return rows.select(*attrs, geom.alias("geom"))
 
 
 def read_features(
@@ -225,6 +230,7 @@ def read_grid(spark: SparkSession, source, schema=None, axes: Mapping[str, Regul
     """A grid from a table of cells in Parquet or CSV.
 
     Axes stored beside the data are declared, so that no job has to find them.
+    A time stored as a number is days since 2000-01-01.
     """
     name = str(source).rstrip("/")
     if name.endswith(".csv"):
@@ -232,8 +238,10 @@ def read_grid(spark: SparkSession, source, schema=None, axes: Mapping[str, Regul
         df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(name)
     else:
         df = spark.read.parquet(name)
-    if "year" in df.columns:
-        df = df.drop("year")
+    df = df.drop(YEAR)
+    time = roles.get("time", "time")
+    if time in df.columns and df.schema[time].dataType.typeName() == "double":
+        df = df.withColumn(time, from_days_since_2000(F.col(time)))
     if axes is None:
         axes = _stored_axes(spark, f"{name}{AXES_SUFFIX}")
     return GridFrame.of(df, axes=axes, **roles)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.timeexpr import days_since_2000
 from ..operators.axes import RegularAxis
-from .readers import AXES_SUFFIX
+from .readers import AXES_SUFFIX, YEAR, _stored_axes
 
 
 def geojson_coordinates(geom: Column) -> Column:
@@ -70,18 +70,20 @@ def write_grid(grid, path: str, cluster: bool = True, encode_days: bool = False,
     writes few files and a time range reads few of them. ``encode_days``
     stores time as days since 2000-01-01.
     """
-    df = grid.df.withColumn("year", F.year(grid.time).cast("int"))
+    stored = _stored_axes(grid.df.sparkSession, f"{path.rstrip('/')}{AXES_SUFFIX}") if mode == "append" else None
+    df = grid.df.withColumn(YEAR, F.year(grid.time).cast("int"))
     if cluster:
         df = df.repartitionByRange(*grid.dims).sortWithinPartitions(*grid.dims)
     if encode_days:
         df = df.withColumn(grid.time, days_since_2000(F.col(grid.time)))
-    df.write.mode(mode).partitionBy("year").parquet(path)
+    df.write.mode(mode).partitionBy(YEAR).parquet(path)
     known = [(d, isinstance(a.first, int), float(a.first), float(a.step), a.size)
-             for d, a in grid.axes.items() if isinstance(a, RegularAxis)]
-    if known:
-        spark = df.sparkSession
-        schema = "dim string, whole boolean, first double, step double, size int"
-        spark.createDataFrame(known, schema).write.mode(mode).json(f"{path.rstrip('/')}{AXES_SUFFIX}")
+             for d, a in grid.axes.items() if isinstance(a, RegularAxis)
+             # Rows that are added may lie off an axis, unless it is that of the rows before.
+             if stored is None or stored.get(d) == a]
+    # Written even if there are none: axes of earlier data must not outlive it.
+    schema = "dim string, whole boolean, first double, step double, size int"
+    df.sparkSession.createDataFrame(known, schema).write.mode("overwrite").json(f"{path.rstrip('/')}{AXES_SUFFIX}")
 
 
 def write_stats(stats: DataFrame, path: str, keys: Sequence[str] = (), mode: str = "error") -> None:
