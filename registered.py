@@ -111,6 +111,17 @@ def s1(spark, d):
     return tg.read_tracks(spark, path)
 
 
+@register("s1_read_tracks_mixed", f"select {TRACK_COLS} from tracks", "tracks")
+def s1m(spark, d):
+    """Two files in one folder whose columns are in different orders."""
+    raw = S.view(spark, d, "tracks").toDF("event-id", "timestamp", "deployment ID", "location-long", "location-lat")
+    path = scratch_path(spark, "tracks-mixed")
+    other = raw.where("`event-id` % 2 = 1").select("location-lat", "event-id", "location-long", "timestamp", "deployment ID")
+    tg.write_tracks(raw.where("`event-id` % 2 = 0"), path)
+    tg.write_tracks(other, path, mode="append")
+    return tg.read_tracks(spark, path)
+
+
 @register("s2_read_ref", "select deployment_id, animal_id, animal_taxon, animal_mass from ref_all", "ref_all")
 def s2(spark, d):
     raw = S.view(spark, d, "ref_all").toDF("DeploymentID", "animal-id", "animal.taxon", "Animal Mass")

@@ -304,3 +304,18 @@ def test_explore_is_lazy_and_chained(spark, zones, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/grid").count() == out.grid.df.count()
     with pytest.raises(ValueError):
         tg.explore_grid(make(spark), zones=zones)
+
+
+def test_reindex_goes_by_position(spark):
+    lats, lons = ([round(x + 0.1 * i, 1) for i in range(30)] for x in (47.0, 10.0))
+    data = [(START, a, o, a + o) for a in lats for o in lons]
+    g = GridFrame.of(spark.createDataFrame(data, "time timestamp_ntz, lat double, lon double, v double"))
+    g = g.with_axes({d: g.axis(d) for d in g.dims})
+    assert g.reindex_like(g).df.where("v is not null").count() == 900
+
+
+def test_nan_passes_no_threshold(spark):
+    df = spark.createDataFrame([(START, float("nan")), (START, 1.0), (START, None)], "time timestamp_ntz, v double")
+    assert rows(tg.count_exceeding(df, "v", 5.0)) == [(0, 1)]
+    assert rows(tg.first_day_exceeded(df, "v", 5.0), "first_day") == [(None,)]
+    assert rows(tg.value_range(df, "v")) == [(1.0, 1.0)]

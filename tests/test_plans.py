@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import stand_ins as S
 import trackgrid as tg
 from conftest import rows
+from trackgrid.functions import geometry as G
 from trackgrid.functions.projection import ALBERS, normalise, reproject
 
 
@@ -135,3 +136,17 @@ def test_prepared_tracks(spark, sf):
     assert out.tracks.count() == half.count() and "animal_taxon" in out.tracks.columns
     assert out.extent.count() == 1
     assert rows(tg.time_unit_domain(t, "timestamp", ["month", "year"]), "unit", "offered") == [("month", False), ("year", False)]
+
+
+def test_box_in_degrees_on_a_projected_layer(spark):
+    pts = [(1, -100.0, 55.0), (2, -96.0, 50.5), (3, -51.0, 59.0), (4, -49.0, 55.0), (5, -96.0, 49.9)]
+    df = spark.createDataFrame(pts, "id int, lon double, lat double")
+    x, y = tg.reproject(F.col("lon"), F.col("lat"), 4326, "ESRI:102001")
+    point = G.geometry("Point", F.array(F.array(G.point(x, y))))
+    layer = tg.set_crs(G.with_box(df.select("id", point.alias("geom"))), "ESRI:102001")
+    out = tg.subset_features(spark, layer, bbox=(-140, 50, -50, 60), id_col="id")
+    assert rows(out.subset, "id") == [(1,), (2,), (3,)]
+    assert tg.get_crs(out.boundary) == "ESRI:102001"
+    lines = G.geometry("LineString", F.array(F.array(G.point(x, y), G.point(x + 1000.0, y + 1000.0))))
+    layer = tg.set_crs(G.with_box(df.select("id", lines.alias("geom"))), "ESRI:102001")
+    assert rows(tg.subset_features(spark, layer, bbox=(-140, 50, -50, 60), id_col="id", clip=True).subset, "id") == [(1,), (2,), (3,)]

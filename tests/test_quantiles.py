@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,14 +43,24 @@ def test_null_keys_and_empty_groups(table):
 
 
 def test_both_ways_agree(table):
-    finite = table.where("k is null or k != 'infinite'")
     for keys in (["k"], []):
-        small = {r[0]: r for r in describe(finite, "v", keys).collect()}
-        large = {r[0]: r for r in describe(finite, "v", keys, input_bytes=1 << 40).collect()}
+        small = {r[0]: r for r in describe(table, "v", keys).collect()}
+        large = {r[0]: r for r in describe(table, "v", keys, input_bytes=1 << 40).collect()}
         assert small.keys() == large.keys()
         for k, a in small.items():
             for c in PROBS:
-                assert (a[c] is None and large[k][c] is None) or a[c] == pytest.approx(large[k][c], rel=1e-12)
+                assert (a[c] is None and large[k][c] is None) or a[c] == pytest.approx(large[k][c], rel=1e-12, nan_ok=True)
+
+
+@pytest.mark.parametrize("values, p50, p75", [
+    ([1.0, 2.0, math.inf, math.inf], math.inf, math.inf), ([math.nan, 1.0, 2.0], 2.0, math.nan), ([-math.inf, 1.0, 2.0, 3.0], 1.5, 2.25),
+    ([-math.inf, -math.inf, 1.0], -math.inf, -math.inf), ([math.nan, math.nan, math.inf, 0.0], math.nan, math.nan),
+])
+def test_infinities_and_nan(spark, values, p50, p75):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for size in (None, 1 << 40):
+        got = describe(df, "v", [], input_bytes=size).first()
+        assert [got["p50"], got["p75"]] == pytest.approx([p50, p75], nan_ok=True)
 
 
 def test_code_keeps_order(spark):

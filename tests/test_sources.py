@@ -174,3 +174,58 @@ def test_stream_through_stateless_operators(spark, tmp_path):
     assert run() == [(1, 7, "f")]
     (tmp_path / "in" / "b.csv").write_text(body + "3,2009-05-03 23:00:00,1.0,1.0\n")
     assert run() == [(1, 7, "f"), (3, 7, None)]
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("event-id,location-long,location-lat\n1,-121.0,51.0\n")
+    (tmp_path / "b.csv").write_text("event-id,location-lat,location-long,sensor\n2,52.0,-122.0,gps\n")
+    got = tg.read_tracks(spark, str(tmp_path))
+    assert rows(got, "event_id", "location_long", "location_lat", "sensor") == [(1, -121.0, 51.0, None), (2, -122.0, 52.0, "gps")]
+    with pytest.raises(ValueError):
+        tg.read_tracks(spark, str(tmp_path), schema="a int, b double, c double")
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('event-id,note,location-long,location-lat\n1,"two\nlines",-121.0,51.0\n')
+    got = tg.read_tracks(spark, f"{tmp_path}/t.csv", multiline=True)
+    assert rows(got, "event_id", "note", "location_lat") == [(1, "two\nlines", 51.0)]
+
+
+def test_features_without_a_place_stay(spark, tmp_path):
+    lines = [
+        {"type": "Feature", "properties": {"id": 1}, "geometry": None},
+        {"type": "Feature", "properties": {"id": 2}, "geometry": {"type": "Point", "coordinates": [1.0, 2.0]}},
+    ]
+    (tmp_path / "f.geojsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = tg.read_features(spark, f"{tmp_path}/f.geojsonl")
+    assert rows(got, "id", "xmin") == [(1, None), (2, 1.0)]
+    assert rows(tg.read_features(spark, f"{tmp_path}/f.geojsonl", bbox=(0, 0, 5, 5)), "id") == [(2,)]
+    wkt = tg.read_features(spark, spark.createDataFrame([(1, "POINT EMPTY"), (2, "POINT (1 2)"), (3, None)], "id int, w string"), wkt="w")
+    assert rows(wkt, "id", "xmin") == [(1, None), (2, 1.0), (3, None)]
+
+
+def _grid(spark, lats, start=1, extra="v"):
+    data = [(datetime(2020 + k, 1, start), float(a), 10.0, float(a)) for k in range(2) for a in lats]
+    return GridFrame.of(spark.createDataFrame(data, f"time timestamp_ntz, latitude double, longitude double, {extra} double"))
+
+
+def test_axes_do_not_outlive_their_data(spark, tmp_path):
+    first = _grid(spark, range(4))
+    tg.write_grid(first.with_axes({"latitude": first.axis("latitude")}), f"{tmp_path}/g")
+    assert tg.read_grid(spark, f"{tmp_path}/g").axes
+    tg.write_grid(_grid(spark, range(10)), f"{tmp_path}/g", mode="overwrite")
+    again = tg.read_grid(spark, f"{tmp_path}/g")
+    assert not again.axes and again.thin({"latitude": 2}).df.select("latitude").distinct().count() == 5
+    kept = _grid(spark, range(4))
+    kept = kept.with_axes({d: kept.axis(d) for d in ("latitude", "time")})
+    tg.write_grid(kept, f"{tmp_path}/h")
+    later = _grid(spark, range(4), start=9)
+    tg.write_grid(later.with_axes({d: later.axis(d) for d in ("latitude", "time")}), f"{tmp_path}/h", mode="append")
+    assert set(tg.read_grid(spark, f"{tmp_path}/h").axes) == {"latitude"}
+
+
+def test_a_variable_named_year_and_encoded_days(spark, tmp_path):
+    grid = _grid(spark, range(3), extra="year")
+    tg.write_grid(grid, f"{tmp_path}/g", encode_days=True)
+    got = tg.read_grid(spark, f"{tmp_path}/g")
+    assert got.variables == ["year"] and rows(got.df, "time", "latitude", "year") == rows(grid.df, "time", "latitude", "year")

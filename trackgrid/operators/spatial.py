@@ -187,12 +187,16 @@ def points_in_last_polygon(
 ) -> DataFrame:
     """Like the inner join, but of several polygons the highest ``order`` wins.
 
-    Needs cells that fit a broadcast: the polygons of a cell become one array,
+    With cells that fit a broadcast, the polygons of a cell become one array,
     highest order first, and each point looks up its cell once, without a
-    shuffle of the points.
+    shuffle of the points. Otherwise points are numbered, joined by shuffle,
+    and the highest of each point's polygons is taken by an aggregate.
     """
     if not cells.small:
-        raise ValueError("the polygons are too large to broadcast; join and aggregate instead")
+        numbered = points.withColumn("__point", F.monotonically_increasing_id())
+        hits = points_in_polygons(numbered, cells, x, y)
+        top = hits.groupBy("__point").agg(F.max_by(F.struct(*points.columns, *cells.keep), F.col(order)).alias("__top"))
+        return top.select("__top.*")
     entry = F.struct(F.col(order).alias("o"), *[F.col(k).alias(k) for k in cells.keep if k != order], "edges")
     grouped = cells.df.groupBy("cx", "cy").agg(
         F.sort_array(F.collect_list(entry), asc=False).alias("candidates")

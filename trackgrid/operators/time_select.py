@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeexpr as T
+from ..sizing import row_hash
 
 
 def select_time_range(df: DataFrame, time: str = "time", start=None, end=None) -> DataFrame:
@@ -108,6 +109,6 @@ def sort_by_time(df: DataFrame, time: str = "time", partitions: int | None = Non
     number of the task that read it come after the time, so such a time is
     cut into several ranges, copies of a row included.
     """
-    keys = [F.col(time), F.xxhash64(*[F.col(c) for c in df.columns]), F.spark_partition_id()]
+    keys = [F.col(time), row_hash(df)]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(time)

@@ -51,7 +51,7 @@ def ring_in(spark: SparkSession, bbox: Sequence[float], source, target) -> list[
     corners = G.bbox_ring(bbox)
     dense = [
         (x0 + (x1 - x0) * k / EDGE_POINTS, y0 + (y1 - y0) * k / EDGE_POINTS)
-        for (x0, y0), (x1, y1) in zip(corners, corners[1:]) for k in range(EDGE_POINTS)
+        for (x0, y0), (x1, y1) in zip(corners, [*corners[1:], corners[0]]) for k in range(EDGE_POINTS)
     ]
     points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(dense)], "k int, x double, y double")
     x, y = reproject(F.col("x"), F.col("y"), source, target)

@@ -8,6 +8,7 @@ keeps hot keys spread over many tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,6 @@ BROADCAST_ROWS = 1_000_000
 # A key is hot when it holds at least this share of the rows, so there can be
 # no more than 1 / HOT_SHARE hot keys whatever the data looks like.
 HOT_SHARE = 1 / 256
-SALTS = 64
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -75,11 +75,26 @@ def _equi_join(left, right, keys, how, null_safe=False, where: Column | None = N
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the row and of the task that reads it, the same when a lost task is run again.
+
+    Maps have no hash and are left out. Copies of a row in different tasks differ.
+    """
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    return F.xxhash64(*plain, F.spark_partition_id())
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding at least ``share`` of the rows: at most ``1/share`` of them."""
+    """Keys holding at least ``share`` of the rows: at most ``1/share`` of them.
+
+    ``__salts`` tells in how many parts of that share a key may be cut. The
+    keys are found by one job and kept, so the rows are read once for them.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg((F.sum("__n") * F.lit(share)).alias("__t")).scalar()
-    return counts.where(F.col("__n") >= F.greatest(total, F.lit(2))).select(*keys)
+    many = counts.select(*keys, "__n", total.alias("__t")).where("__n >= greatest(__t, 2)")
+    found = many.select(*keys, F.ceil(F.col("__n") / F.col("__t")).cast("int").alias("__salts"))
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def skew_join(
@@ -88,28 +103,30 @@ def skew_join(
     keys: Sequence[str],
     how: str = "inner",
     null_safe: bool = False,
-    salts: int = SALTS,
+    salts: int | None = None,
     where: Column | None = None,
 ) -> DataFrame:
-    """Shuffled join whose hot keys are split into ``salts`` shares.
+    """Shuffled join whose hot keys are split, by default into parts of ``HOT_SHARE`` of the rows.
 
     Only rows of hot keys are salted on the left and repeated on the right, so
-    a right side without hot keys keeps its size. The salt is a hash of the
-    whole left row, hence the same when a lost task is run again.
+    a right side without hot keys keeps its size. Milder skew is left to
+    Spark, which splits large partitions of such a join at run time.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not do {how!r} joins")
-    hot = hot_keys(left, keys).withColumn("__hot", F.lit(True))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    hot = hot_keys(left, keys)
+    if salts is not None:
+        hot = hot.withColumn("__salts", F.lit(salts))
+    spread = F.pmod(row_hash(left), F.col("__salts").cast("bigint")).cast("int")
     # Null keys are flagged too: in a left join they would share one task.
     salted = _equi_join(left, F.broadcast(hot), keys, "left", null_safe=True).withColumn(
-        "__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))
-    ).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        "__salt", F.coalesce(spread, F.lit(0))
+    ).drop("__salts")
+    copies = F.when(F.col("__salts").isNotNull(), F.sequence(F.lit(0), F.col("__salts") - 1)).otherwise(F.array(F.lit(0)))
     repeated = (
         _equi_join(right, F.broadcast(hot), keys, "left", null_safe=True)
         .withColumn("__salt", F.explode(copies))
-        .drop("__hot")
+        .drop("__salts")
     )
     joined = _equi_join(salted, repeated, [*keys, "__salt"], how, null_safe, where)
     return joined.drop("__salt")

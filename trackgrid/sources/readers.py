@@ -23,15 +23,42 @@ AXES_SUFFIX = ".axes"
 YEAR = "__year"
 
 
-def _csv(spark: SparkSession, path, schema=None) -> tuple[DataFrame, list[str]]:
+def _csv(spark: SparkSession, path, schema=None, multiline: bool = False) -> tuple[DataFrame, list[str]]:
     """A CSV table with cleaned headers, and the headers as written.
 
     Without a schema the types are inferred, which reads the data once more.
+    Files of a folder may have different headers; their columns are then matched by name.
     """
-    first = spark.read.text(path).first()
-    header = next(csv.reader([first[0].lstrip("﻿")])) if first else []
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        first = lines.first()
+        return _csv_files(spark, path, first[0] if first else "", schema, multiline)
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    # One row per file.
+    heads = lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    heads = heads.groupBy("file").agg(F.min_by("value", "place").alias("head")).orderBy("file").collect()
+    files: dict[str, list[str]] = {}
+    for r in heads:
+        files.setdefault(r["head"], []).append(r["file"])
+    if len(files) < 2:
+        return _csv_files(spark, path, next(iter(files), ""), schema, multiline)
+    if schema is not None:
+        raise ValueError(f"the files in {path} have {len(files)} different headers; a schema goes by position")
+    tables, named = [], []
+    for head, some in files.items():
+        df, own = _csv_files(spark, some, head, None, multiline)
+        tables.append(df)
+        named += [h for h in own if h not in named]
+    table = tables[0]
+    for t in tables[1:]:
+        table = table.unionByName(t, allowMissingColumns=True)
+    return table, named
+
+
+def _csv_files(spark: SparkSession, path, head: str, schema, multiline: bool) -> tuple[DataFrame, list[str]]:
+    header = next(csv.reader([head.lstrip("\ufeff")]), []) if head else []
     named = [h if h.strip() else f"Unnamed: {i}" for i, h in enumerate(header)]
-    reader = spark.read.option("header", True).option("enforceSchema", True).option("quote", '"').option("escape", '"')
+    reader = spark.read.option("header", True).option("enforceSchema", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     if len(df.columns) != len(named):
@@ -65,10 +92,11 @@ def as_tracks(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_tracks(spark: SparkSession, source, schema=None, dissolve: bool = False) -> DataFrame:
+def read_tracks(spark: SparkSession, source, schema=None, dissolve: bool = False, multiline: bool = False) -> DataFrame:
     """Track points from CSV, Parquet or a DataFrame.
 
-    ``schema`` (for CSV, by position) saves the pass that infers types.
+    ``schema`` (for CSV, by position) saves the pass that infers types. With
+    ``multiline`` quoted fields may hold line breaks; a file is then read by one task.
     ``dissolve`` gives multipoints per animal instead of fixes.
     """
     if isinstance(source, DataFrame):
@@ -76,19 +104,19 @@ def read_tracks(spark: SparkSession, source, schema=None, dissolve: bool = False
     elif str(source).rstrip("/").endswith(".parquet"):
         raw = spark.read.parquet(str(source))
     else:
-        raw, _ = _csv(spark, str(source), schema)
+        raw, _ = _csv(spark, str(source), schema, multiline)
     tracks = as_tracks(raw)
     if not dissolve:
         return tracks
     return dissolve_points(tracks, ["deployment_id"] if "deployment_id" in tracks.columns else [])
 
 
-def read_ref(spark: SparkSession, source, schema=None) -> tuple[DataFrame, dict]:
+def read_ref(spark: SparkSession, source, schema=None, multiline: bool = False) -> tuple[DataFrame, dict]:
     """Reference data and the report on its headers."""
     if isinstance(source, DataFrame):
         before, df = source.columns, source.toDF(*clean_names(source.columns))
     else:
-        df, before = _csv(spark, str(source), schema)
+        df, before = _csv(spark, str(source), schema, multiline)
     return df, clean_report(before, df.columns)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.timeexpr import days_since_2000
 from ..operators.axes import RegularAxis
+from ..sizing import row_hash
 from .readers import AXES_SUFFIX, YEAR, _stored_axes
 
 
@@ -53,8 +54,7 @@ def write_features(features: DataFrame, path: str, format: str = "parquet", clus
         if cluster:
             # After the place come hash and task, which split a crowded place.
             place = [F.floor("ymin"), F.floor("xmin"), F.col("ymin"), F.col("xmin")]
-            others = [c for c in features.columns if c != "geom"]
-            features = features.repartitionByRange(*place, F.xxhash64(*others), F.spark_partition_id())
+            features = features.repartitionByRange(*place, row_hash(features.drop("geom")))
             features = features.sortWithinPartitions(*place)
         features.write.mode(mode).parquet(path)
     elif format == "geojsonl":
