@@ -2,17 +2,18 @@
 
 Every string of ``LENGTH`` bytes has an anchor: of its ``GRAM``-byte parts, the
 one with the smallest hash, the leftmost of several. Equal strings have equal
-anchors in the same place. So only strings whose anchor occurs twice can
-repeat. Those that share one anchor in a text are a context, the bytes they cover. Equal
-contexts are reduced to the first one before anything is sorted; what is left
-meets by anchor, in shards of bounded size. A shard's contexts are put in a row and
+anchors in the same place. Half of the other bytes at least lie on one side; the
+anchor with so many bytes on that side is the string's key, and only strings whose key occurs twice can
+repeat. Those that share one key in a text are a context, the bytes they cover. Texts that
+equal an earlier one are set aside, and equal contexts are reduced to the first one, before anything is sorted; what is left
+meets by key, in shards of bounded size. A shard's contexts are put in a row and
 sorted to a suffix array by Larsson and Sadakane's refinement: ranks of
 prefixes double in length, and only suffixes that are still tied are sorted
 again. Kasai's walk, taken along all contexts at once, gives the common prefixes of neighbours;
 runs with ``LENGTH`` bytes in common are equal strings, and all but the first are removed.
 
-An anchor with more contexts than a shard may hold is dealt over many tasks: their
-strings are merged across shards by digest, in sorted runs searched by bisection.
+A key with more contexts than a shard may hold is dealt over many tasks: its
+strings are merged across shards by their digests, in a sort-merge join.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import collected, lookup, prepare, text_or_empty, written
 
 LENGTH, GRAM = 100, 32
-#: Bytes of a shard's suffix array, and contexts of one anchor beyond which it is dealt out.
+#: Bytes of a shard's suffix array, and contexts of one key beyond which it is dealt out.
 SHARD_BYTES, HOT_CONTEXTS = 4 << 20, 4096
 #: Repeated anchors, and spans, are broadcast up to this number; beyond it they are joined.
 BROADCAST_ANCHORS, BROADCAST_SPANS = 4_000_000, 500_000
@@ -37,6 +38,7 @@ _STEP = 1 << 15
 _rng = np.random.default_rng(9)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _MIX = _rng.integers(1, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SIDES = _rng.integers(1, 1 << 63, (2, 3), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -51,8 +53,8 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one anchor: hash and place of the anchor, first and last start of the strings."""
-    n, width = len(raw) - LENGTH + 1, LENGTH - GRAM + 1
+    """Runs of strings with one key: the key, place of the anchor, first and last start of the strings."""
+    n, width, half = len(raw) - LENGTH + 1, LENGTH - GRAM + 1, (LENGTH - GRAM) // 2
     if n <= 0:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     found = []
@@ -68,11 +70,20 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         at = (key & np.uint64(0xFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:] - 1, [some - 1]])
-        found.append((h[at[first]], at[first] + start, first + start, last + start))
-    hashes, places, first, last = (np.concatenate(x) for x in zip(*found))
-    new = np.concatenate([[True], places[1:] != places[:-1]])  # a run may go on in the next step
-    begin = np.flatnonzero(new)
-    return hashes[begin], places[begin], first[begin], last[np.concatenate([begin[1:], [len(new)]]) - 1]
+        p = at[first]
+        for side, (a, b) in enumerate(((first, np.minimum(last, p - half)), (np.maximum(first, p - half + 1), last))):
+            some_ = np.flatnonzero(a <= b)
+            q = p[some_]
+            # Bytes before the anchor, or after it.
+            ends = (q - half, q - GRAM) if side == 0 else (q + GRAM, q + half)
+            keys = h[q] * _SIDES[side][0] + h[ends[0]] * _SIDES[side][1] + h[ends[1]] * _SIDES[side][2]
+            found.append((keys ^ (keys >> np.uint64(31)), q + start, a[some_] + start, b[some_] + start, np.full(len(q), side)))
+    keys, places, first, last, side = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(first, kind="stable")
+    keys, places, first, last, side = (x[order] for x in (keys, places, first, last, side))
+    # A run may go on in the next step.
+    begin = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (side[1:] != side[:-1])]))
+    return keys[begin], places[begin], first[begin], last[np.concatenate([begin[1:], [len(keys)]]) - 1]
 
 
 def suffix_array(row: np.ndarray, end_of: np.ndarray, is_end: np.ndarray) -> np.ndarray:
@@ -211,32 +222,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["anchor"])
 
-    long_ = texts.where(F.octet_length("text") >= LENGTH)
+    # A text that equals one with a smaller id is removed from end to end, if it is long enough.
+    named = texts.where(F.octet_length("text") >= LENGTH).withColumn("whole", F.unhex(F.md5("text")))
+    equal = named.groupBy("whole").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    told = lookup(named, written(equal.select("whole", "first_id"), "equal-texts"), ["whole"])
+    copied = F.coalesce(F.col("id") != F.col("first_id"), F.lit(False))
+    long_ = told.where(~copied).select("id", "digest", "text")
     counted = long_.select("text").mapInArrow(find, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
     repeated = written(counted.where("n > 1").select("anchor"), "anchors")
     contexts = _contexts(long_, repeated)
 
     place = F.struct("id", "digest", "start")
-    distinct = contexts.groupBy("anchor", "context").agg(F.min(place).alias("first"), F.first("raw").alias("raw"))
-    many = contexts.select("anchor", "context").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTEXTS).select("anchor", F.lit(1).alias("hot"))
-    distinct = written(lookup(distinct, written(many, "hot-anchors"), ["anchor"]), "contexts")
+    distinct = contexts.groupBy("anchor", "context").agg(F.min(place).alias("first"), F.first("raw").alias("raw"), F.count("*").alias("n"))
+    distinct = written(distinct, "contexts")
+    many = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > HOT_CONTEXTS).select("anchor", F.lit(1).alias("hot"))
 
     # Contexts that are not the first of their kind repeat from end to end.
-    firsts = distinct.select("context", "first")
-    copies = contexts.select("context", "id", "digest", "start", "size").join(firsts, "context").where(~place.eqNullSafe(F.col("first")))
+    firsts = distinct.where("n > 1").select("anchor", "context", "first")
+    copies = contexts.select("anchor", "context", "id", "digest", "start", "size").join(firsts, ["anchor", "context"]).where(~place.eqNullSafe(F.col("first")))
     spans = copies.select("id", "digest", "start", (F.col("start") + F.col("size")).alias("stop"))
+    distinct = lookup(distinct, written(many, "hot-anchors"), ["anchor"])
     spans = spans.unionByName(_shard_spans(distinct.where("hot is null"))).unionByName(_dealt_spans(distinct.where("hot is not null")))
     gone = spans.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     gone = written(gone.select("id", "digest", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")), "spans")
     size = gone.agg(F.sum(F.size("starts") + 2).alias("n")).first()["n"] or 0
-    marked = lookup(texts, gone, ["id", "digest"], small=size <= BROADCAST_SPANS)
+    told = lookup(texts.withColumn("whole", F.unhex(F.md5("text"))), written(equal.select("whole", "first_id"), "equal-texts"), ["whole"])
+    told = told.withColumn("copy", copied)
+    marked = lookup(told, gone, ["id", "digest"], small=size <= BROADCAST_SPANS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, a, b in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for text, a, b, copy in zip(*batch.columns[1:4], batch.column(4).to_pylist()):
                 bytes_ = _raw(text)
-                if a.is_valid:
+                if copy and len(bytes_) >= LENGTH:
+                    kept, n_spans = b"", 1
+                elif a.is_valid:
                     marks = np.zeros(len(bytes_) + 1, np.int64)
                     np.add.at(marks, a.values.to_numpy(), 1)
                     np.add.at(marks, b.values.to_numpy(), -1)
@@ -252,49 +273,49 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return marked.select("doc_id", "text", "starts", "stops").mapInArrow(cut, schema)
+    return marked.select("doc_id", "text", "starts", "stops", "copy").mapInArrow(cut, schema)
 
 
 def _contexts(texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Every context of an anchor in ``repeated``: ``anchor, context`` (a digest), place, size and bytes. Written once."""
+    """Every context of a key in ``repeated``: ``anchor`` (the key), ``context`` (a digest), place, size and bytes. Written once."""
     spark = texts.sparkSession
-    schema = "anchor long, context binary, id long, digest long, start long, size long, raw binary"
+    schema = "anchor long, context long, id long, digest long, start long, size int, raw binary"
     if repeated.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
         wanted = spark.sparkContext.broadcast(np.sort(collected(repeated)["anchor"]))
-        source = texts.select("id", "digest", "text", F.lit(None).cast("array<long>").alias("places"))
+        source = texts.select("id", "digest", "text", F.lit(None).cast("array<long>").alias("keys"))
     else:
         wanted = None
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, t in enumerate(batch.column(2)):
-                    hashes, places, _, _ = anchors(_raw(t))
-                    at = pa.array(np.full(len(hashes), i))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(places)], names=["anchor", "id", "digest", "place"])
+                    keys = np.unique(anchors(_raw(t))[0])
+                    at = pa.array(np.full(len(keys), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["anchor", "id", "digest"])
 
-        placed = texts.select("id", "digest", "text").mapInArrow(place, "anchor long, id long, digest long, place long")
-        placed = placed.join(repeated, "anchor").groupBy("id", "digest").agg(F.collect_set("place").alias("places"))
-        source = texts.join(placed, ["id", "digest"]).select("id", "digest", "text", "places")
+        placed = texts.select("id", "digest", "text").mapInArrow(place, "anchor long, id long, digest long")
+        placed = placed.join(repeated, "anchor").groupBy("id", "digest").agg(F.collect_set("anchor").alias("keys"))
+        source = texts.join(placed, ["id", "digest"]).select("id", "digest", "text", "keys")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = ["anchor", "context", "id", "digest", "start", "size", "raw"]
         for batch in batches:
             rows: list[tuple] = []
-            for id_, digest, text, places in zip(*batch.columns):
+            for id_, digest, text, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = _raw(text)
-                hashes, at, first, last = anchors(raw)
-                signed = hashes.view(np.int64)
+                keys, _, first, last = anchors(raw)
+                signed = keys.view(np.int64)
                 if wanted is not None:
                     near = np.minimum(np.searchsorted(wanted.value, signed), max(0, len(wanted.value) - 1))
                     good = wanted.value[near] == signed if len(wanted.value) else np.zeros(len(signed), bool)
                 else:
-                    good = np.isin(at, places.values.to_numpy())
+                    good = np.isin(signed, mine.values.to_numpy())
                 whole = raw.tobytes()
-                for k in np.flatnonzero(good).tolist():
-                    a = int(first[k])
-                    some = whole[a : int(last[k]) + LENGTH]
-                    rows.append((int(signed[k]), xxhash.xxh3_128_digest(some), id_.as_py(), digest.as_py(), a, len(some), some))
+                for key, a, b in zip(signed[good].tolist(), first[good].tolist(), last[good].tolist()):
+                    some = whole[a : b + LENGTH]
+                    # Compared among contexts of one key only.
+                    rows.append((key, xxhash.xxh3_64_intdigest(some) - (1 << 63), id_, digest, a, len(some), some))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                     rows = []
@@ -310,6 +331,7 @@ def _shard_spans(distinct: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        own: list[tuple] = []  # of one key; a single context repeats nothing
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
@@ -320,11 +342,17 @@ def _shard_spans(distinct: DataFrame) -> DataFrame:
 
         for batch in batches:
             for anchor, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if anchor != last and size >= SHARD_BYTES:
-                    yield flush()
-                    held, size = [], 0
-                held.append(tuple(row))
-                size, last = size + len(row[3]), anchor
+                if anchor != last:
+                    if len(own) > 1:
+                        held += own
+                        size += sum(len(r[3]) for r in own)
+                    own, last = [], anchor
+                    if size >= SHARD_BYTES:
+                        yield flush()
+                        held, size = [], 0
+                own.append(tuple(row))
+        if len(own) > 1:
+            held += own
         if held:
             yield flush()
 
