@@ -83,6 +83,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_sharding": """
+with steps as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as step),
+sized as (select doc_id, source, coalesce(text, '') as text, md5('17:' || coalesce(cast(doc_id as varchar), '')) as key from documents),
+summed as (select doc_id, source, key, cast(octet_length(encode(text)) + 1 as bigint) as size,
+  xor(list_reduce(list_concat([4294967295::bigint], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: cast('0x' || b as bigint))),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32 from sized, steps),
+ranked as (select *, row_number() over (partition by source order by key, doc_id nulls first) - 1 as place, count(*) over (partition by source) as n from summed),
+mixed as (select *, row_number() over (order by (2 * place + 1) / (2 * n), source nulls first, key, doc_id nulls first) - 1 as pos, count(*) over () as total from ranked)
+select doc_id, size, text_crc32, 'rows' as law, cast(pos * 8 // total as integer) as shard,
+  cast(pos - ((pos * 8 // total) * total + 7) // 8 as bigint) as slot, cast(null as integer) as grown_shard, source from mixed""",
     "op7_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
   sha256(coalesce(text, '')) as text_sha256
