@@ -294,3 +294,26 @@ def test_dissolve_splits_and_dedupes(spark):
     assert multi.where("deployment_id = 1").count() > 1
     whole = tg.dissolve_points(df, by=[], part_size=1000)
     assert whole.count() == 1 and len(whole.first()["geom"]["parts"]) == 50
+
+
+def test_rings_without_area_are_grown_round():
+    from trackgrid.operators.boundary import buffer_convex
+
+    def extent(ring):
+        xs, ys = zip(*ring)
+        return pytest.approx((min(xs), min(ys), max(xs), max(ys)))
+
+    assert (1.0, 0.0, 5.0, 4.0) == extent(buffer_convex([(3, 2)], 2.0))
+    for ring in ([(0, 0), (0, 10)], [(0, 0), (0, 10), (0, 10), (0, 0)]):
+        for join in ("mitre", "round"):
+            assert (-1.0, -1.0, 1.0, 11.0) == extent(buffer_convex(ring, 1.0, join))
+
+
+def test_boundaries_of_degenerate_tracks(spark):
+    import trackgrid as tg
+
+    line = spark.createDataFrame([(-120.0, 50.0 + k) for k in range(5)], "location_long double, location_lat double")
+    hull = tg.tracks_extent(line, "convex_hull", 0.1).first()
+    assert hull["xmin"] == pytest.approx(-120.4) and hull["ymax"] == pytest.approx(54.4)
+    with pytest.raises(ValueError, match="nothing to draw"):
+        tg.tracks_extent(line.limit(0), "convex_hull")

@@ -209,13 +209,20 @@ def buffer_convex(ring: Sequence[tuple[float, float]], d: float, join: str = "mi
     """Grow a convex ring by ``d`` with mitred or round corners.
 
     A mitre is cut off beyond five times the distance, which only happens at
-    corners sharper than about 23 degrees.
+    corners sharper than about 23 degrees. A ring without area, a point or a
+    line, is grown with round ends.
     """
     if join not in ("mitre", "round"):
         raise ValueError("join is 'mitre' or 'round'")
     pts = _ccw(ring)
-    if d == 0 or len(pts) < 3:
+    pts = [p for p, before in zip(pts, pts[-1:] + pts[:-1]) if p != before] or pts[:1]
+    if d == 0 or not pts:
         return pts
+    if len(pts) == 1:
+        (x, y), turns = pts[0], 4 * QUAD_SEGMENTS
+        return [(x + d * math.cos(2 * math.pi * k / turns), y + d * math.sin(2 * math.pi * k / turns)) for k in range(turns)]
+    if len(pts) == 2:
+        join = "round"
     n = len(pts)
     normals = []
     for (ax, ay), (bx, by) in zip(pts, pts[1:] + pts[:1]):
@@ -224,7 +231,7 @@ def buffer_convex(ring: Sequence[tuple[float, float]], d: float, join: str = "mi
     out = []
     for i, (px, py) in enumerate(pts):
         (n0x, n0y), (n1x, n1y) = normals[i - 1], normals[i]
-        turn = math.atan2(n0x * n1y - n0y * n1x, n0x * n1x + n0y * n1y)
+        turn = math.pi if n == 2 else math.atan2(n0x * n1y - n0y * n1x, n0x * n1x + n0y * n1y)
         if join == "round":
             start = math.atan2(n0y, n0x)
             steps = max(1, int(turn / (math.pi / 2 / QUAD_SEGMENTS) + 0.5))
@@ -246,7 +253,10 @@ def buffer_convex(ring: Sequence[tuple[float, float]], d: float, join: str = "mi
 
 def hull_ring(df: DataFrame, x: str, y: str) -> list[tuple[float, float]]:
     """The hull of all points as a list: a few dozen vertices on the driver."""
-    return [(r["x"], r["y"]) for r in convex_hull(df, x, y).orderBy("vertex").collect()]
+    ring = [(r["x"], r["y"]) for r in convex_hull(df, x, y).orderBy("vertex").collect()]
+    if not ring:
+        raise ValueError("there is nothing to draw a boundary around")
+    return ring
 
 
 def tracks_extent(
