@@ -3,7 +3,7 @@
 Documents are sets of hashed five-word shingles. Equal sets are one class from
 the start, so copies cost nothing later. Classes meet in bands of MinHash
 values. A bucket of a band is not expanded into pairs: each member is compared
-with the bucket's pivot, the class with the most copies. Verification looks at
+with the bucket's pivot, the class that meets most others over all bands. Verification looks at
 signatures a batch at a time and drops a pair once the posterior probability
 that it reaches the threshold falls below ``MISS``; the rest are compared on
 their full sets.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import LOOKUP_ROWS, collected, prepare, text_or_empty, written
 from .components import components
+from .tokens import release
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -119,6 +120,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per row: ``doc_id, set_id`` (a digest of the set; null if empty), ``n``, ``signature``. Written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, sizes, signatures = [], [], []
             for text in batch.column(1):
@@ -241,8 +243,12 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     banded = classes.select("set_id", "copies", "signature").mapInArrow(_banded, "band long, set_id binary, copies long")
     banded = written(banded, "bands")
-    pivots = banded.groupBy("band").agg(F.max(F.struct("copies", "set_id")).alias("top"), F.count("*").alias("members")).where("members > 1")
-    shared = written(banded.join(pivots.select("band", F.col("top.set_id").alias("pivot")), "band").select("band", "set_id", "pivot"), "buckets")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    met = written(banded.join(sizes, "band").select("band", "set_id", "copies", "members"), "meetings")
+    # The text that others were made from meets more of them than they meet each other.
+    weights = met.groupBy("set_id").agg(F.sum("members").alias("meets"), F.max("copies").alias("copies"))
+    hubs = met.select("band", "set_id").join(weights, "set_id").groupBy("band").agg(F.max(F.struct("meets", "copies", "set_id")).alias("top"))
+    shared = written(met.select("band", "set_id").join(hubs.select("band", F.col("top.set_id").alias("pivot")), "band"), "buckets")
     wanted = shared.select("set_id").distinct()
 
     held = written(_texts_of(docs, classes.join(wanted, "set_id"), id_col, text_col), "held")

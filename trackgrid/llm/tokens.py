@@ -100,6 +100,11 @@ class CachedTokenizer:
 _OPEN: dict[str, CachedTokenizer] = {}
 
 
+def release() -> None:
+    """Let go of words that the process has kept, before it works for another operator."""
+    _OPEN.clear()
+
+
 def tokenizer(path: str) -> CachedTokenizer:
     """The process's tokenizer for ``path``: workers serve many tasks, and keep what they have learnt."""
     if path not in _OPEN:
