@@ -5,8 +5,9 @@ the queries. A score is divided by the item's score against itself, so that 1
 means that a passage has every word of the item. Items are indexed by length,
 and passages are twice as long as the longest item of their index and overlap
 by half, so an item lies within one of them, or all but a small part does.
-Most passages are dropped before any posting is read: the sum of what each of their words can
-add at most, to any item, stays below the threshold.
+Most passages are dropped by a first bound, worked out for many texts at once: the rarest words of
+an item hold most of its score, so a passage must have enough of those of one item to reach
+the threshold if it had all the rest.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: The shares of word trigrams of the question and of the answer that must be there.
 QUESTION, ANSWER = 0.6, 0.6
+#: The share of an item's score that its common words may hold, and words of the texts that are bounded together.
+COMMON, TOGETHER = 0.3, 200_000
 #: Lengths double from class to class, from this one up.
 SHORTEST = 48
 #: Postings of one block of impacts, and of one index that is held in memory; more items make more indexes.
@@ -80,20 +84,59 @@ class Index:
         self.shares = [[p[1] for p in x] for x in postings.values()]
         self.tops = [[max(s[b : b + BLOCK]) for b in range(0, len(s), BLOCK)] for s in self.shares]
         self.most = np.array([*(max(s) for s in self.shares), 0.0])
-
-    def passages(self, words: list[bytes], threshold: float) -> Iterator[tuple[int, list[int]]]:
-        """Start and distinct terms of the passages that may reach the threshold."""
-        none = len(self.number)
-        get = self.number.get
-        terms = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(self.most[terms])])
-        starts = np.arange(0, max(1, len(words) - self.stride), self.stride)
-        ends = np.minimum(starts + self.window, len(words))
-        for k in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-9):
-            distinct = np.unique(terms[starts[k] : ends[k]])
-            distinct = distinct[distinct != none]
-            if self.most[distinct].sum() >= threshold - 1e-9:
-                yield int(starts[k]), distinct.tolist()
+        # The rarest words of each item, without which at most COMMON of its score is left, as arrays by term.
+        spread = np.array([len(x) for x in self.items])
+        rare: list[list[tuple[int, float]]] = [[] for _ in self.items]
+        self.common = np.zeros(len(items))
+        for at, (_, _, shares) in enumerate(items):
+            left = 1.0
+            for w in sorted(shares, key=lambda w: (spread[self.number[w]], -shares[w])):
+                if left <= COMMON:
+                    break
+                rare[self.number[w]].append((at, shares[w]))
+                left -= shares[w]
+            self.common[at] = max(left, 0.0)
+        self.rare_n = np.array([*(len(x) for x in rare), 0], np.int64)
+        self.rare_first = np.concatenate([[0], np.cumsum(self.rare_n)])[:-1]
+        self.rare_item = np.array([i for x in rare for i, _ in x], np.int64)
+        self.rare_share = np.array([s for x in rare for _, s in x])
+
+    def passages(self, texts: list[list[bytes]], threshold: float) -> Iterator[tuple[int, int, list[int]]]:
+        """Text, start and distinct terms of the passages that may reach the threshold."""
+        none, n_items = len(self.number), len(self.ids)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        terms = np.fromiter(map(self.number.get, chain.from_iterable(texts), repeat(none)), np.int64, int(sizes.sum()))
+        # Half passages are numbered through, with a number left out between texts; a passage is two in a row.
+        halves = -(-sizes // self.stride) + 1
+        base = np.cumsum(halves) - halves
+        first = np.cumsum(sizes) - sizes
+        inside = np.flatnonzero(self.rare_n[terms])
+        text = np.searchsorted(first, inside, "right") - 1
+        half = base[text] + (inside - first[text]) // self.stride
+        pairs = np.unique(half * (none + 1) + terms[inside])
+        half, term = pairs // (none + 1), pairs % (none + 1)
+        n = self.rare_n[term]
+        at = np.repeat(self.rare_first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        keys = np.repeat(half, n) * n_items + self.rare_item[at]
+        order = np.argsort(keys, kind="stable")
+        keys, shares = keys[order], self.rare_share[at][order]
+        if not len(keys):
+            return
+        opens = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, sums = keys[opens], np.add.reduceat(shares, opens)
+        need = threshold - 1e-9 - self.common[keys % n_items]
+        found = []
+        for step in (1, -1):  # with the half that follows, and with the one before
+            other = np.minimum(np.searchsorted(keys, keys + step * n_items), len(keys) - 1)
+            both = sums + np.where(keys[other] == keys + step * n_items, sums[other], 0.0)
+            found.append(keys[both >= need] // n_items - (step < 0))
+        for h in np.unique(np.concatenate(found)).tolist():
+            t = int(np.searchsorted(base, h, "right")) - 1
+            start = max(0, (h - int(base[t])) * self.stride)
+            if h < 0 or start and start >= sizes[t]:
+                continue
+            distinct = np.unique(terms[first[t] + start : first[t] + min(start + self.window, sizes[t])])
+            yield t, start, distinct[distinct != none].tolist()
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score reaches ``threshold``, by block-max WAND: ``(item, score)``."""
@@ -151,20 +194,38 @@ class Index:
             if done:
                 lists = [e for e in lists if id(e) not in done]
 
-    def leaks(self, words: list[bytes], threshold: float = THRESHOLD) -> dict[int, tuple[float, float, float, int]]:
-        """Verified items in ``words``: item id -> score, overlap of question and answer, first word of the passage."""
-        found: dict[int, tuple[float, float, float, int]] = {}
-        for start, terms in self.passages(words, threshold):
+    def leaks(self, texts: list[list[bytes]], threshold: float = THRESHOLD) -> dict[int, dict[int, tuple[float, float, float, int]]]:
+        """Verified items of each text that has any: item id -> score, overlap of question and answer, first word of the passage."""
+        found: dict[int, dict[int, tuple[float, float, float, int]]] = {}
+        for text, start, terms in self.passages(texts, threshold):
             for item, score in self.retrieve(terms, threshold):
                 question, answer = self.parts[item]
                 size = len(question) + len(answer)
-                there = words[max(0, start - size) : start + self.window + size]
+                there = texts[text][max(0, start - size) : start + self.window + size]
                 q, a = overlap(question, there), overlap(answer, there)
-                if q >= QUESTION and a >= ANSWER and score > found.get(self.ids[item], (0.0,))[0]:
-                    found[self.ids[item]] = (score, q, a, start)
+                if q >= QUESTION and a >= ANSWER and score > found.get(text, {}).get(self.ids[item], (0.0,))[0]:
+                    found.setdefault(text, {})[self.ids[item]] = (score, q, a, start)
         return found
 
 
+def leaks_of(texts: list[str], indexes: list[Index], threshold: float) -> list[dict[int, tuple[float, float, float, int]]]:
+    """The verified items of each text, over all ``indexes``."""
+    out: list[dict] = []
+    some: list[list[bytes]] = []
+    size = 0
+    for k, t in enumerate(texts):
+        some.append(words_of(t))
+        size += len(some[-1])
+        if size >= TOGETHER or k == len(texts) - 1:
+            found: list[dict] = [{} for _ in some]
+            for index in indexes:
+                for text, hits in index.leaks(some, threshold).items():
+                    found[text] |= hits
+            out += found
+            some, size = [], 0
+    return out
+
+
 def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[Index]]:
     """Indexes of all items; a list for each part that is held in memory at once.
 
@@ -228,10 +289,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             for batch in batches:
-                rows = []
-                for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    words = words_of(text)
-                    rows += [(d, i, *x) for index in shared.value for i, x in index.leaks(words, threshold).items()]
+                hits = leaks_of(batch.column(1).to_pylist(), shared.value, threshold)
+                rows = [(d, i, *x) for d, found in zip(batch.column(0).to_pylist(), hits) for i, x in found.items()]
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=names)
 
@@ -248,7 +307,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not any(index.leaks(words, threshold) for index in shared.value) for words in map(words_of, batch.column(0).to_pylist())]
+                clean = [not found for found in leaks_of(batch.column(0).to_pylist(), shared.value, threshold)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)
