@@ -27,10 +27,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exactdup.exact_dedup(prepare(spark), docs, scratch_path(spark, "digest-index"))
 
 
+#: Texts are near copies from this similarity of their five-word shingles on; op3 alone has another.
+NEAR_PERCENT = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the smallest id stays."""
     prepare(spark)
-    return neardup.keep_first(docs)
+    return neardup.keep_first(docs, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

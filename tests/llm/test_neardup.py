@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from fixtures import ROWS, WORDS, documents, ordered, prose, tuples
 
+import corpus_pipeline
 from trackgrid.llm import neardup
 from trackgrid.llm.components import components
 
@@ -101,3 +102,40 @@ def test_components_of_a_chain(spark, n):
     links = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(n)] + ([("900", "901")] if n else []), "a string, b string")
     got = dict(tuples(components(links), "node", "label"))
     assert got == ({**{f"{i:03d}": "000" for i in range(n + 1)}, "900": "900", "901": "900"} if n else {})
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_at_other_thresholds_match_all_pairs(spark, percent):
+    rows = []
+    for g in range(12):
+        base = prose(100, 500 + g)
+        rows += [(g * 20 + i, edited(base, i % 5, 7000 + g * 20 + i)) for i in range(20)]
+    sets = {d: word_sets(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    between = 0
+    for a in sets:
+        for b in range(a + 1, len(rows)):
+            shared, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            between += 80 * union <= 100 * shared < 85 * union
+            if 100 * shared >= percent * union:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    assert between > 50
+    got = dict(tuples(neardup.near_dups(documents(spark, rows), percent=percent), "doc_id", "component_id"))
+    assert got == {d: find(d) for d in sets}
+
+
+def test_pipeline_stage_links_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    near = words[:50] + ["other"] + words[51:]  # 95 shared of 105
+    far = words[:30] + ["x"] + words[31:60] + ["y"] + words[61:]  # 90 shared of 110, 0.818
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    docs = documents(spark, rows)
+    assert {d for d, in tuples(corpus_pipeline.near_dedup(spark, docs, ""), "doc_id")} == {1}
+    assert {d for d, in tuples(neardup.keep_first(docs), "doc_id")} == {1, 3}
