@@ -58,7 +58,8 @@ def stats_sql(v: str) -> str:
   round(quantile_cont({v},0.75),6)+0.0 as p75, round(max({v}),6)+0.0 as mx"""
 
 
-# Fixes in a part of the study area that leaves many roads outside.
+# Every seventh fix, by id, in a part of the study area that leaves many roads outside: few enough for a hull in SQL.
+# Only c1_subset_tracks_box and c1_subset_tracks_hull read it; the all_tracks and part_tracks queries read every fix.
 FEW_TRACKS = "location_long between -1.25e2 and -1.19e2 and location_lat between 4.9e1 and 5.4e1 and event_id % 7 = 0"
 TRACK_COLS = "event_id, timestamp, deployment_id, location_long, location_lat"
 BOX = (-123.0, 50.0, -117.0, 55.0)
@@ -825,7 +826,7 @@ def c1(spark, d):
 k as (select bx0-d as bx0, by0-d as by0, bx1+d as bx1, by1+d as by1 from (select *, 0.01e0*greatest(bx1-bx0, by1-by0) as d from b))
 select road_id, road_class from roads r, k where {segment_box_sql('r', 'bx0', 'by0', 'bx1', 'by1')}""", "roads tracks")
 def c1t(spark, d):
-    """Roads that meet the widened box of the tracks of a part of the study area."""
+    """Roads that meet the widened box of a few fixes: every seventh, by id, in a part of the study area."""
     tracks = S.view(spark, d, "tracks").where(FEW_TRACKS)
     out = tg.subset_features(spark, S.roads(spark, d), track_points=tracks, buffer=0.01)
     return out.subset.select("road_id", "road_class")
@@ -842,12 +843,48 @@ select road_id, road_class from roads where road_id in (select road_id from meet
 
 @register("c1_subset_tracks_hull", HULL_SQL, "roads tracks")
 def c1h(spark, d):
-    """Roads that meet the hull of the tracks of a part of the study area."""
+    """Roads that meet the hull of a few fixes: every seventh, by id, in a part of the study area."""
     tracks = S.view(spark, d, "tracks").where(FEW_TRACKS)
     out = tg.subset_features(spark, S.roads(spark, d), track_points=tracks, boundary_type="convex_hull", id_col="road_id")
     return out.subset.select("road_id", "road_class")
 
 
+def tracks_box_sql(tracks: str) -> str:
+    return f"""with b as (select min(location_long) as bx0, min(location_lat) as by0,
+  max(location_long) as bx1, max(location_lat) as by1 from {tracks}),
+k as (select bx0-d as bx0, by0-d as by0, bx1+d as bx1, by1+d as by1 from (select *, 0.01e0*greatest(bx1-bx0, by1-by0) as d from b))
+select road_id, road_class from roads r, k where {segment_box_sql('r', 'bx0', 'by0', 'bx1', 'by1')}"""
+
+
+def roads_near(spark, d, view, **boundary):
+    out = tg.subset_features(spark, S.roads(spark, d), track_points=S.view(spark, d, view), **boundary)
+    return out.subset.select("road_id", "road_class")
+
+
+@register("c1_subset_all_tracks_box", tracks_box_sql("tracks"), "roads tracks")
+def c1ta(spark, d):
+    """Roads that meet the widened box of all tracks."""
+    return roads_near(spark, d, "tracks", buffer=0.01)
+
+
+@register("c1_subset_all_tracks_hull")
+def c1ha(spark, d):
+    """Roads that meet the widened hull of all tracks. Checked by brute force in the tests."""
+    return roads_near(spark, d, "tracks", boundary_type="convex_hull", buffer=0.02, id_col="road_id")
+
+
+@register("c1_subset_part_tracks_box", tracks_box_sql("tracks_part"), "roads tracks_part")
+def c1tp(spark, d):
+    """Roads that meet the widened box of all fixes of tracks that lie in a part of the study area."""
+    return roads_near(spark, d, "tracks_part", buffer=0.01)
+
+
+@register("c1_subset_part_tracks_hull")
+def c1hp(spark, d):
+    """Roads that meet the widened hull of all fixes of tracks in a part of the study area. Checked by brute force in the tests."""
+    return roads_near(spark, d, "tracks_part", boundary_type="convex_hull", buffer=0.02, id_col="road_id")
+
+
 @register("c1_subset_bbox_projected", """select event_id from tracks
 where location_long between -123.005e0 and -112.345e0 and location_lat between 48.015e0 and 56.985e0""", "tracks")
 def c1p(spark, d):

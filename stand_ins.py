@@ -19,6 +19,10 @@ _SIMPLE = {
     "tracks": ("events", """event_id, ts as timestamp, user_id as deployment_id,
   -1.3e2 + cast((user_id*37+event_id*13)%2000 as double)/1e2 as location_long,
   4.5e1 + cast((user_id*53+event_id*29)%1500 as double)/1e2 as location_lat""", ""),
+    # All fixes, drawn together into a slanted part of the study area.
+    "tracks_part": ("events", """event_id, ts as timestamp, user_id as deployment_id,
+  -1.25e2 + cast((user_id*37+event_id*13)%2000 as double)/5e2 + cast((user_id*53+event_id*29)%1500 as double)/1e3 as location_long,
+  4.9e1 + cast((user_id*53+event_id*29)%1500 as double)/4e2 as location_lat""", ""),
     "ref": ("customer", """c_custkey as deployment_id, c_name as animal_id, c_mktsegment as animal_taxon,
   c_acctbal as animal_mass""", "where c_acctbal >= 0"),
     "ref_all": ("customer", """c_custkey as deployment_id, c_name as animal_id, c_mktsegment as animal_taxon,

@@ -150,3 +150,49 @@ def test_box_in_degrees_on_a_projected_layer(spark):
     lines = G.geometry("LineString", F.array(F.array(G.point(x, y), G.point(x + 1000.0, y + 1000.0))))
     layer = tg.set_crs(G.with_box(df.select("id", lines.alias("geom"))), "ESRI:102001")
     assert rows(tg.subset_features(spark, layer, bbox=(-140, 50, -50, 60), id_col="id", clip=True).subset, "id") == [(1,), (2,), (3,)]
+
+
+@pytest.mark.parametrize("key, view", [("c1_subset_all_tracks_hull", "tracks"), ("c1_subset_part_tracks_hull", "tracks_part")])
+def test_registered_hulls_of_all_fixes_by_brute_force(spark, sf, key, view):
+    """Every fix bounds the hull, and roads are compared with the hull by its distance alone."""
+    import registered
+
+    tracks = S.view(spark, sf, view)
+    assert tracks.count() == S.table(spark, sf, "events").count()
+    pts = sorted({tuple(r) for r in tracks.select("location_long", "location_lat").collect()})
+
+    def half(points):
+        out = []
+        for p in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    hull = np.array(half(pts) + half(pts[::-1]))
+    d = 0.02 * max(np.ptp(np.array(pts), axis=0))
+    nxt = np.roll(hull, -1, axis=0)
+
+    def distance(p):
+        e, v = nxt - hull, p - hull
+        if (e[:, 0] * v[:, 1] - e[:, 1] * v[:, 0] >= 0).all():
+            return 0.0
+        t = np.clip((v * e).sum(1) / (e * e).sum(1), 0, 1)
+        return float(np.hypot(*(v - t[:, None] * e).T).min())
+
+    near, far = set(), set()
+    for r in S.roads(spark, sf).collect():
+        p, q = (np.array([v["x"], v["y"]]) for v in r["geom"]["parts"][0])
+        low, high = 0.0, 1.0
+        for _ in range(60):  # the distance from a convex set has one valley along a segment
+            a, b = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (low, b) if distance(p + a * (q - p)) <= distance(p + b * (q - p)) else (a, high)
+        least = min(distance(p + t * (q - p)) for t in (0.0, (low + high) / 2, 1.0))
+        # Round corners are polygons of 16 steps per quarter, up to 0.13 % inside.
+        if least <= 0.998 * d:
+            near.add(r["road_id"])
+        elif least > d + 1e-9:
+            far.add(r["road_id"])
+    got = {r["road_id"] for r in registered.QUERIES[key](spark, sf).collect()}
+    assert near <= got and not got & far
+    assert view == "tracks" or (near and far)
