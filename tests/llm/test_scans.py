@@ -47,6 +47,33 @@ def test_dense_runs(text, found):
     assert any(k == "dense" for k, _, _ in spans) == found
 
 
+@pytest.mark.parametrize("letters", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+                                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_random_runs_are_found(letters):
+    import random
+
+    r, efficiency = random.Random(5), secretscan.TokenEfficiency(RANKS)
+    for n in (20, 24, 33):
+        keys = ["".join(r.choices(letters, k=n)) for _ in range(300)]
+        assert sum(any(k == "dense" for k, _, _ in secretscan.find_spans(t, efficiency)) for t in keys) >= 0.98 * len(keys)
+
+
+def test_identifiers_of_words_are_not_dense():
+    efficiency = secretscan.TokenEfficiency(RANKS)
+    for text in ("k8s-cluster-prod-eu-west-1a", "org/apache/hadoop/fs/viewfs/ViewFs", "getHTTPResponseCodeFromURL2", "MAX_CONNECTIONS_PER_HOST", "-" * 30, "a" * 30, "0123456789" * 3):
+        assert not [s for s in secretscan.find_spans(text, efficiency) if s[0] == "dense"], text
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    efficiency = secretscan.TokenEfficiency(RANKS)
+    start = time.perf_counter()
+    for text in ("a" * 60 + "1x", "ab" * 2000 + "1", "A" * 4000 + "a1"):
+        secretscan.find_spans(text, efficiency)
+    assert time.perf_counter() - start < 5
+
+
 LICENSE_ROWS = ROWS + [
     (70, "The mit-license, MIT  LICENSE; Apache\nLicense. apache licenses. GNU general public license general public license"),
     (71, "Permision is hereby granted, free of charge, to any persn obtaining a copy ... mit license"), (72, "é mit éléphant mit license é"),

@@ -3,7 +3,10 @@
 A byte-pair vocabulary packs ordinary words, names and paths into few tokens;
 random letters and digits need about one token for every two characters. A run
 of key characters with few characters per token is therefore a likely secret,
-once known digests and identifiers are set aside.
+be it of letters alone or not. Only digests, UUIDs, numbers and identifiers that
+consist of vocabulary words for the most part are set aside. Random hexadecimal
+strings as long as a digest are not told from one, and rare compound words of 20
+letters or more can be as dense as a key.
 """
 
 from __future__ import annotations
@@ -35,13 +38,12 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)", re.A)
 #: UUIDs; numbers and dates.
 NUMBERS = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+=/_-]+", re.A)
-#: Words and short numbers, joined by marks or by mixed case.
-IDENTIFIER = re.compile(
-    r"(?:[A-Z]?[a-z]{2,}[0-9]{0,3}|[A-Z]{2,}[0-9]{0,3}|[0-9]{1,8})(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}[0-9]{0,3}|[A-Z]{2,}[0-9]{0,3}|[0-9]{1,8}))*[-_/+=]*",
-    re.A,
-)
-#: Mixed-case words of an identifier are this long on average at least; shorter ones are how random text reads.
-WORD_LENGTH = 3.5
+#: What a run is made of between marks, and where its case changes. No part can be split in two ways.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", re.A)
+#: A part of three letters or more is a word of the vocabulary if its tokens have this many characters on average.
+WORD_CHARS_PER_TOKEN = 2.5
+#: An identifier has this share of its letters and digits in such words.
+WORD_SHARE = 0.5
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,stop:long>>"
 
 
@@ -59,14 +61,13 @@ class TokenEfficiency:
         return len(s) / max(1, len(self.encoding.encode_ordinary(s)))
 
 
-def known_identifier(s: str) -> bool:
-    """Whether ``s`` is a digest of a usual length, or an identifier."""
+def known_identifier(s: str, efficiency: TokenEfficiency) -> bool:
+    """Whether ``s`` is a digest of a usual length, a UUID, a number, or an identifier made of words of the vocabulary."""
     if NUMBERS.fullmatch(s) or len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s):
         return True
-    if not IDENTIFIER.fullmatch(s):
-        return False
-    words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)
-    return not words or sum(map(len, words)) / len(words) >= WORD_LENGTH
+    parts = PART.findall(s)
+    words = sum(len(p) for p in parts if len(p) > 2 and p.isalpha() and efficiency(p) >= WORD_CHARS_PER_TOKEN)
+    return words >= WORD_SHARE * sum(map(len, parts))
 
 
 def find_spans(text: str, efficiency: TokenEfficiency, at_most: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -76,7 +77,7 @@ def find_spans(text: str, efficiency: TokenEfficiency, at_most: float = CHARS_PE
         found += [(kind, m.start(), m.end()) for m in form.finditer(text) if m.end(group) - m.start(group) >= least]
     for m in RUN.finditer(text):
         s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not known_identifier(s) and efficiency(s) < at_most:
+        if efficiency(s) < at_most and not known_identifier(s, efficiency):
             found.append(("dense", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
