@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.session import scratch_path
 
-from . import decontam, exactdup, licenses, neardup, packing, quality, secretscan, sharding, suffixdup, tokenbin
+from . import decontam, exactdup, licenses, neardup, packing, quality, runs, secretscan, sharding, suffixdup, tokenbin
 from .common import documents, text_or_empty
 
 N_SHARDS = 8
@@ -78,8 +78,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of which get a periodic end first."""
+    docs = documents(spark, sf_dir)
+    return runs.runs_digest(runs.find_runs(docs, text_col=runs.planted(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier, op9_suffix_array_dedup, op10_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier, op9_suffix_array_dedup, op10_decontamination, op11_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
