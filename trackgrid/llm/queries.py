@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.session import scratch_path
 
-from . import decontam, exactdup, licenses, neardup, packing, quality, runs, secretscan, sharding, suffixdup, tokenbin
+from . import align, decontam, exactdup, licenses, neardup, packing, quality, runs, secretscan, sharding, suffixdup, tokenbin
 from .common import documents, text_or_empty
 
 N_SHARDS = 8
@@ -18,6 +18,7 @@ N_SHARDS = 8
 SEPARATOR_ID, END_ID = 0, 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +85,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs_digest(runs.find_runs(docs, text_col=runs.planted(docs)))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the ids of two vocabularies over all documents."""
+    found = align.Alignment(documents(spark, sf_dir), VOCABULARY, PIECES).documents()
+    return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier, op9_suffix_array_dedup, op10_decontamination, op11_periodic_runs)
+    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier, op9_suffix_array_dedup, op10_decontamination, op11_periodic_runs, op12_tokenizer_alignment)
 }
 
 ORACLES: dict[str, str] = {
