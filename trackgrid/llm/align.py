@@ -127,21 +127,20 @@ class Aligner:
         size_a, size_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
         single = (size_a == 1) & (size_b == 1)
         same[single] = self.identity[ids_a[upto_a[single] - 1]] == ids_b[upto_b[single] - 1]
-        # Plain lists from here on: parts have few tokens each.
-        text_a, text_b, flags = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), same.tolist()
+        # Plain lists and slices of bytes from here on: parts have few tokens each.
+        text_a, text_b, odd_at = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), np.flatnonzero(~same).tolist()
         names, i, j = [], 0, 0
-        for x, y in zip(upto_a.tolist(), upto_b.tolist()):
+        to_a, to_b = upto_a.tolist(), upto_b.tolist()
+        for x, y in zip(to_a, to_b):
             names.append(f"{text_a[i]}|{text_b[j]}" if x - i == 1 == y - j else f"{','.join(text_a[i:x])}|{','.join(text_b[j:y])}")
             i, j = x, y
-        ids_identity, at = ids_a.astype("<i4"), 0
-        i = j = 0
-        for p, stop in zip(block, (last + 1).tolist()):
-            own, marks = names[at:stop], flags[at:stop]
-            x, y = int(upto_a[stop - 1]), int(upto_b[stop - 1])
-            regular = ids_identity[upto_a[at:stop][marks] - 1].tobytes()
-            odd = np.array([self._number(n) for n, m in zip(own, marks) if not m], "<i4").tobytes()
-            self.known[p] = (x - i, y - j, stop - at, ";".join(own), regular, odd)
-            at, i, j = stop, x, y
+        regular, odd = ids_a[upto_a[same] - 1].astype("<i4").tobytes(), np.array([self._number(names[k]) for k in odd_at], "<i4").tobytes()
+        so_far = np.cumsum(same)[last]
+        i = j = at = r = o = 0
+        for p, stop, done in zip(block, (last + 1).tolist(), so_far.tolist()):
+            x, y = to_a[stop - 1], to_b[stop - 1]
+            self.known[p] = (x - i, y - j, stop - at, ";".join(names[at:stop]), regular[4 * r : 4 * done], odd[4 * o : 4 * (stop - done)])
+            at, i, j, r, o = stop, x, y, done, stop - done
         return True
 
     def _number(self, name: str) -> int:
