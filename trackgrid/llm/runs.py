@@ -228,12 +228,18 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     word a + (i - a) % p, with a = g % n and p = 1 + (n - a) // (3 + g % 8). A null id changes nothing.
     """
     h = F.crc32(F.col(id_col).cast("long").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def changed(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+        return F.concat_ws(" ", F.slice(words, 1, a), F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: words[a + i % p]))
+
+    # As the variable of a lambda, the words are found once.
     words = F.regexp_extract_all(text_or_empty(text_col), F.lit(WORD), F.lit(0))
-    n, g = F.size(words), F.floor(h / 10).cast("long")
-    a = (g % n).cast("int")
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
-    tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: words[a + i % p])
-    return F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", F.slice(words, 1, a), tail)).otherwise(F.col(text_col))
+    made = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, changed(w)))[0]
+    return F.coalesce(F.when(h % 10 == 0, made), F.col(text_col))
 
 
 def runs_digest(found: DataFrame) -> DataFrame:
