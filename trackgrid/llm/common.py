@@ -87,3 +87,15 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, position: str) -> D
     offsets = sizes.select(part, F.coalesce(F.sum("_tg_n").over(before), F.lit(0)).alias("_tg_before"))
     # One row per range: as many as there are shuffle partitions, whatever the data.
     return lookup(staged, offsets, [part], small=True).withColumn(position, F.col("_tg_before") + inner).drop(row, part, "_tg_before")
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table made by :func:`written` that nothing will read again, and let go of old shuffles.
+
+    Shuffle files are deleted by the driver's cleaner once the plans that made them are collected as garbage.
+    """
+    context = df.sparkSession.sparkContext
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._jvm.System.gc()

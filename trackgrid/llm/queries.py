@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.session import scratch_path
 
-from . import align, decontam, exactdup, licenses, neardup, packing, quality, runs, secretscan, sharding, suffixdup, tokenbin
+from . import align, decontam, exactdup, licenses, neardup, packing, pitmanyor, quality, runs, secretscan, sharding, suffixdup, tokenbin
 from .common import documents, text_or_empty
 
 N_SHARDS = 8
@@ -91,8 +91,14 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under a hierarchical Pitman-Yor model of six sevenths of them."""
+    found = pitmanyor.score_documents(documents(spark, sf_dir), pitmanyor.held_out())
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier, op9_suffix_array_dedup, op10_decontamination, op11_periodic_runs, op12_tokenizer_alignment)
+    f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_license_scan, op5_token_files, op6_secret_scan, op7_exact_dedup, op8_quality_classifier, op9_suffix_array_dedup, op10_decontamination, op11_periodic_runs, op12_tokenizer_alignment, op13_lm_scores)
 }
 
 ORACLES: dict[str, str] = {
