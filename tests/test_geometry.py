@@ -8,8 +8,7 @@ import trackgrid as tg
 from conftest import rows
 from trackgrid.functions import geometry as G
 from trackgrid.operators import boundary as B
-from trackgrid.operators.clip import clip_ring, convex_pieces
-from trackgrid.operators.features import explode_rings, length, signed_areas
+from trackgrid.operators.features import explode_rings, length
 from trackgrid.operators.spatial import polygon_cells, points_in_last_polygon
 
 RNG = np.random.default_rng(11)
@@ -199,8 +198,7 @@ def test_clipped_line_keeps_its_vertices(spark):
 
 def test_clip_polygons(spark, mask, layer):
     shapes = {i: s for i, s in layer.items() if s[0] == "Polygon"}
-    area = F.aggregate(signed_areas(), F.lit(0.0), lambda a, p: a + F.abs(p))
-    got = {r["id"]: r["a"] for r in tg.clip_to_polygons(table(spark, shapes), mask, "id", ["Polygon"]).select("id", area.alias("a")).collect()}
+    got = {r["id"]: r["a"] for r in tg.clip_to_polygons(table(spark, shapes), mask, "id", ["Polygon"]).select("id", tg.polygon_area().alias("a")).collect()}
     grid = [(x, y) for x in np.arange(0.5, 30) / 30 for y in np.arange(0.5, 30) / 30]
     for i, (_, parts) in list(shapes.items())[:30]:
         xs, ys = zip(*parts[0])
@@ -219,18 +217,6 @@ def test_clip_box_by_kind(spark, layer):
     assert {r["id"] for r in cut.where("geom.kind = 'Point'").collect()} == points
 
 
-def test_convex_pieces_fill_the_polygon():
-    for _, parts in POLYGONS.values():
-        rings = [np.array(p) for p in parts]
-        pieces = convex_pieces(rings)
-        for x, y in RNG.uniform(-14, 16, (500, 2)):
-            n = sum(inside([p.tolist() + p[:1].tolist()], x, y) for p in pieces)
-            assert n == int(inside(parts, x, y))
-    square = np.array([[0, 0], [0, 2], [2, 2], [2, 0], [0, 0.0]])
-    assert len(convex_pieces([square])) == 1
-    assert len(clip_ring(square + 5, square[::-1][:-1])) == 0
-
-
 @pytest.mark.parametrize("by", [[], ["k"]])
 def test_convex_hull(spark, by):
     xy = np.round(RNG.normal(size=(5000, 2)) * 30) / 10

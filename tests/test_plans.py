@@ -68,8 +68,6 @@ def test_subset_options(spark, sf):
         tg.subset_features(spark, roads, track_points=tracks, boundary_type="mask")
     with pytest.raises(ValueError):
         tg.subset_features(spark, roads, track_points=tracks, boundary_type="circle")
-    with pytest.raises(NotImplementedError):
-        tg.subset_features(spark, roads, bounding_geom=S.diamonds(spark, sf), boundary_type="mask", buffer=0.1, clip=True)
 
 
 def test_hull_subset_by_brute_force(spark, sf):

@@ -9,6 +9,7 @@ from .operators.boundary import convex_hull, envelope, hull_features, tracks_ext
 from .operators.clip import clip_to_box, clip_to_polygons
 from .operators.features import box_features, get_crs, make_features, reproject_features, set_crs
 from .operators.grid_spatial import groupby_poly_time, select_spatial
+from .operators.overlay import buffer_polygons, dissolve_polygons, polygon_area
 from .operators.profile import (
     detect_varnames, feature_schema, profile_features, time_resolution, time_unit_domain, value_range,
 )

@@ -1,28 +1,29 @@
 """Cutting features at a boundary.
 
-A box is handled within the row, by expressions. Other boundaries are cut into
-cells (lines) or convex pieces (polygons) first, so that a feature only meets
-the part of the boundary near it. Parts of length or area zero, where a
-feature merely touches the boundary, are dropped.
+A box is handled within the row. Other boundaries are cut into cells first, so
+that a feature only meets the part of the boundary near it. Parts of length or
+area zero, where a feature merely touches the boundary, are dropped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..sizing import is_small, sized_join, spread_small
+from ..functions import overlay as O
+from ..sizing import sized_join, spread_small
 from .features import get_crs, set_crs
+from .overlay import clip_polygons, region
 from .spatial import polygon_cells
 
 _NO_PARTS = G.PARTS_TYPE
-_RINGS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
+KINDS = ("Point", "LineString", "Polygon")
 
 
 def clip_range(e: str, bbox: Sequence) -> str:
@@ -69,10 +70,6 @@ def _point_geometry(parts: Column) -> Column:
     return G.geometry(F.when(F.size(parts) == 1, F.lit("Point")).otherwise(F.lit("MultiPoint")), parts)
 
 
-def _polygon_geometry(parts: Column) -> Column:
-    return G.geometry(F.when(F.size(parts) == 1, F.lit("Polygon")).otherwise(F.lit("MultiPolygon")), parts)
-
-
 # Boxes ----------------------------------------------------------------------
 
 
@@ -108,36 +105,63 @@ def clip_to_box(features: DataFrame, bbox: Sequence[float]) -> DataFrame:
     whole = G.with_box(whole.withColumn("geom", shaped)).select(*names)
 
     # Polygons: Python is only reached by those that cross the edge of the box.
-    ring = F.expr(f"array(array({x0}, {y0}), array({x1}, {y0}), array({x1}, {y1}), array({x0}, {y1}))")
-    crossing = near.where(f"not {inside} and {G.POLYGONAL}").withColumn("__cut", _clip_rings(F.expr(_PAIRS), ring))
-    crossing = crossing.where("size(__cut) > 0").withColumn("geom", _polygon_geometry(_as_parts("__cut")))
-    return set_crs(whole.unionByName(G.with_box(crossing).select(*names)), get_crs(features))
+    crossing = near.where(f"not {inside} and {G.POLYGONAL}")
+    cut = _cut_at_box(crossing, tuple(map(float, bbox)))
+    return set_crs(whole.unionByName(G.with_box(cut).select(*names)), get_crs(features))
+
+
+def _cut_at_box(polygons: DataFrame, bbox: Sequence[float]) -> DataFrame:
+    """Polygons within a box, each by itself; those without a common area are left out."""
+    names = [c for c in polygons.columns if c not in ("geom", *G.BOX)]
+    df = polygons.select(*names, F.expr("transform(geom.parts, ring -> flatten(transform(ring, p -> array(p.x, p.y))))").alias("__rings"))
+    n = len(names)
+    box = np.array([(bbox[0], bbox[1]), (bbox[2], bbox[1]), (bbox[2], bbox[3]), (bbox[0], bbox[3])], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, outer = [], []
+            for flat in batch.column(n).to_pylist():
+                rings = [np.array(r, float).reshape(-1, 2) for r in flat]
+                unit = 2.0 ** (math.ceil(math.log2(max(1e-300, *(np.abs(r).max() for r in [*rings, box] if len(r))))) - 50)
+                made = O.overlay_rings([[r / unit for r in rings], [box / unit]], O.intersection)
+                outer.append(sum(O.area(r) > 0 for r in made))
+                parts.append([(r * unit).tolist() for r in made])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(parts, pa.list_(pa.list_(pa.list_(pa.float64())))), pa.array(outer, pa.int64())], names=[*names, "__parts", "__outer"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields]
+    made = df.mapInArrow(run, ", ".join([*fields, "__parts array<array<array<double>>>, __outer long"]))
+    parts = F.expr("transform(__parts, ring -> transform(ring, p -> named_struct('x', p[0], 'y', p[1])))")
+    kind = F.when(F.col("__outer") == 1, F.lit("Polygon")).otherwise(F.lit("MultiPolygon"))
+    return made.where("__outer > 0").withColumn("geom", G.geometry(kind, parts)).drop("__parts", "__outer")
 
 
 # Any boundary ---------------------------------------------------------------
 
 
 def clip_to_polygons(features: DataFrame, mask: DataFrame, id_col: str | None = None,
-                     kinds: Sequence[str] = ("Point", "LineString", "Polygon")) -> DataFrame:
-    """Features cut at the union of the polygons of ``mask``.
+                     kinds: Sequence[str] = KINDS) -> DataFrame:
+    """Features cut at the union of the polygons of ``mask``, which may overlap and have holes.
 
-    ``kinds`` names the kinds of geometry the table holds; each is read once.
-    Pieces of a feature are brought together by ``id_col``.
+    ``kinds`` names the kinds of geometry the table holds; each is read once, and another kind is an
+    error. Rows are numbered where they are read, so equal ids do no harm (``id_col`` is not needed any
+    more). A feature without a geometry, or of which nothing lies within, has no row. Polygons come out
+    with their holes behind their outer rings.
     """
-    keyed = features
-    key = id_col
-    if key is None:
-        key = "__row"
-        keyed = features.withColumn("__row", F.monotonically_increasing_id())
-    keyed = spread_small(keyed)
+    other = [k for k in kinds if k not in KINDS]
+    if other:
+        raise ValueError(f"cannot cut features of the kind {', '.join(other)}")
+    expected = F.col("geom.kind").isin(*[k for kind in kinds for k in (kind, f"Multi{kind}")])
+    seen = F.when(F.col("geom.kind").isNull() | expected, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("cannot cut a feature of the kind "), F.col("geom.kind"), F.lit(f" with kinds = {list(kinds)}"))).cast("boolean"))
+    keyed = spread_small(features.where(seen).withColumn("__row", F.monotonically_increasing_id()))
     makers = {"Point": _clip_points, "LineString": _clip_lines, "Polygon": _clip_polygons}
     outs = []
     for kind in kinds:
         only = keyed.where(F.col("geom.kind").isin(kind, f"Multi{kind}"))
-        outs.append(makers[kind](only, mask, key))
+        outs.append(makers[kind](only, mask, "__row"))
     out = outs[0]
-    for other in outs[1:]:
-        out = out.unionByName(other)
+    for one in outs[1:]:
+        out = out.unionByName(one)
     return set_crs(G.with_box(out).select(*features.columns), get_crs(features))
 
 
@@ -220,122 +244,5 @@ def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
 # Polygons -------------------------------------------------------------------
 
 
-# Rings as array<array<array<double>>>, the form Arrow moves best.
-_PAIRS = "transform(geom.parts, ring -> transform(ring, p -> array(p.x, p.y)))"
-
-
-def _as_parts(pairs: str) -> Column:
-    return F.expr(f"transform({pairs}, ring -> transform(ring, p -> named_struct('x', p[0], 'y', p[1])))")
-
-
-def clip_ring(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
-    """A ring cut by a counter-clockwise convex ring (Sutherland-Hodgman)."""
-    pts = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
-    for a, b in zip(convex, np.roll(convex, -1, axis=0)):
-        if len(pts) == 0:
-            break
-        side = (b[0] - a[0]) * (pts[:, 1] - a[1]) - (b[1] - a[1]) * (pts[:, 0] - a[0])
-        nxt, nside = np.roll(pts, -1, axis=0), np.roll(side, -1)
-        out = []
-        for p, q, s, t in zip(pts, nxt, side, nside):
-            if s >= 0:
-                out.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                out.append(p + (q - p) * (s / (s - t)))
-        pts = np.array(out).reshape(-1, 2)
-    if len(pts) < 3:
-        return np.empty((0, 2))
-    x, y = pts[:, 0] - pts[0, 0], pts[:, 1] - pts[0, 1]
-    area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
-    return np.vstack([pts, pts[:1]]) if area > 0 else np.empty((0, 2))
-
-
-def _cut_rings(rings: pd.Series, convex: pd.Series) -> pd.Series:
-    out = []
-    for rs, c in zip(rings, convex):
-        piece = np.array([list(p) for p in c], float)
-        cut = (clip_ring(np.array([list(p) for p in r], float), piece) for r in rs)
-        out.append([r.tolist() for r in cut if len(r)])
-    return pd.Series(out)
-
-
-# Called nondeterministic only so that a later filter on its result does not
-# make the optimizer run it twice.
-_clip_rings = F.pandas_udf(_cut_rings, _RINGS).asNondeterministic()
-
-
-def convex_pieces(rings: list[np.ndarray]) -> list[np.ndarray]:
-    """Counter-clockwise convex rings that fill a polygon (even-odd rule).
-
-    A convex polygon is its own piece. Others are cut at the heights of their
-    vertices into trapezoids.
-    """
-    if len(rings) == 1:
-        pts = rings[0][:-1] if (rings[0][0] == rings[0][-1]).all() else rings[0]
-        d = np.roll(pts, -1, axis=0) - pts
-        d = d[(d != 0).any(axis=1)]
-        n = np.roll(d, -1, axis=0)
-        turn = d[:, 0] * n[:, 1] - d[:, 1] * n[:, 0]
-        ahead = d[:, 0] * n[:, 0] + d[:, 1] * n[:, 1]
-        once = np.isclose(np.arctan2(turn, ahead).sum(), 2 * np.pi * np.sign(turn.sum()))
-        if once and ((turn >= 0).all() or (turn <= 0).all()):
-            return [pts if turn.sum() > 0 else pts[::-1]]
-    edges = np.vstack([np.hstack([r[:-1], r[1:]]) for r in rings])
-    edges = edges[edges[:, 1] != edges[:, 3]]
-    flip = edges[:, 1] > edges[:, 3]
-    edges[flip] = edges[flip][:, [2, 3, 0, 1]]
-    levels = np.unique(edges[:, [1, 3]])
-    out = []
-    for lo, hi in zip(levels[:-1], levels[1:]):
-        e = edges[(edges[:, 1] <= lo) & (edges[:, 3] >= hi)]
-        slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
-        x_lo, x_hi = e[:, 0] + slope * (lo - e[:, 1]), e[:, 0] + slope * (hi - e[:, 1])
-        order = np.argsort(x_lo + x_hi)
-        for i, j in zip(order[0::2], order[1::2]):
-            ring = np.array([[x_lo[i], lo], [x_lo[j], lo], [x_hi[j], hi], [x_hi[i], hi]])
-            out.append(ring[np.r_[True, (np.diff(ring, axis=0) != 0).any(axis=1)]])
-    return out
-
-
-def _pieces(mask: DataFrame) -> DataFrame:
-    """Convex pieces of all mask polygons with their boxes, in parallel."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for rs in pdf["rings"]:
-                for p in convex_pieces([np.array([list(q) for q in r], float) for r in rs]):
-                    rows.append((p.tolist(), *p.min(axis=0).tolist(), *p.max(axis=0).tolist()))
-            yield pd.DataFrame(rows, columns=["piece", "px0", "py0", "px1", "py1"])
-
-    return mask.select(F.expr(_PAIRS).alias("rings")).mapInPandas(
-        cut, "piece array<array<double>>, px0 double, py0 double, px1 double, py1 double"
-    )
-
-
 def _clip_polygons(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
-    """Each feature with each convex piece its box meets.
-
-    The two meet by cells. A pair that shares several cells is taken in the
-    one that holds the lower left corner of the common box, so there is
-    nothing to remove afterwards. Mask polygons must not overlap.
-    """
-    bounds = mask.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
-    if bounds[0] is None:
-        return features.limit(0)
-    size = max((bounds[2] - bounds[0]) / 32, (bounds[3] - bounds[1]) / 32, 1e-9)
-    cell = lambda v: f"cast(floor({v} / {G.num(size)}) as bigint)"
-    span = lambda lo, hi: F.expr(f"explode(sequence({cell(lo)}, {cell(hi)}))")
-    pieces = _pieces(mask).withColumn("cx", span("px0", "px1")).withColumn("cy", span("py0", "py1"))
-    x0, y0, x1, y1 = map(G.num, bounds)
-    near = features.where(G.box_overlaps(*G.BOX, bounds))
-    spread = near.withColumn("cx", span(f"greatest(xmin, {x0})", f"least(xmax, {x1})")).withColumn(
-        "cy", span(f"greatest(ymin, {y0})", f"least(ymax, {y1})"))
-    meets = F.expr(
-        f"xmin <= px1 and xmax >= px0 and ymin <= py1 and ymax >= py0 "
-        f"and {cell('greatest(xmin, px0)')} = cx and {cell('greatest(ymin, py0)')} = cy"
-    )
-    met = sized_join(spread, pieces, ["cx", "cy"], "inner", small=is_small(pieces), where=meets)
-    cut = met.withColumn("__cut", _clip_rings(F.expr(_PAIRS), F.col("piece"))).where(F.size("__cut") > 0)
-    whole = _regroup(cut, features, key, F.sort_array(F.flatten(F.collect_list("__cut"))))
-    return whole.withColumn("geom", _polygon_geometry(_as_parts("__all"))).drop("__all")
+    return clip_polygons(features, region(mask), key)

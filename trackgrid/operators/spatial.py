@@ -89,11 +89,13 @@ def polygon_cells(
     cell_size: float | None = None,
     pad: float = 0.0,
     small: bool | None = None,
+    within: Sequence[float] | None = None,
 ) -> PolygonCells:
     """Cut a feature table of polygons into cells, without a shuffle.
 
     ``keep`` names attribute columns to carry. With ``pad`` a cell also lists
-    edges that come within that distance of it.
+    edges that come within that distance of it. ``within`` is a box outside of
+    which no cells are wanted.
     """
     survey = _survey(polygons)
     if not survey["n"]:
@@ -107,6 +109,10 @@ def polygon_cells(
                            F.expr("transform(geom.parts, p -> p[0])").alias("starts"))
 
     def spread(df: DataFrame, name: str, lo: str, hi: str) -> DataFrame:
+        if within is not None:
+            least, most = (within[0], within[2]) if name == "cx" else (within[1], within[3])
+            lo, hi = f"greatest({lo}, {G.num(float(least))})", f"least({hi}, {G.num(float(most))})"
+            df = df.where(f"{lo} <= {hi}")
         span = f"explode(sequence(floor(({lo} - {slack}) / {h}), floor(({hi} + {slack}) / {h})))"
         return df.withColumn(name, F.expr(span))
 

@@ -20,8 +20,9 @@ from ..operators.boundary import (
     ring_extent,
     ring_feature,
 )
-from ..operators.clip import clip_to_box, clip_to_polygons
+from ..operators.clip import KINDS, clip_to_box, clip_to_polygons
 from ..operators.features import get_crs, reproject_features, set_crs
+from ..operators.overlay import buffer_polygons
 from ..operators.spatial import filter_bbox, filter_polygon
 from ..sources.readers import read_features, read_tracks
 from ..sources.writers import write_features
@@ -37,8 +38,7 @@ class SubsetResult:
     boundary: DataFrame
     track_points: DataFrame | None = None
     bounding_geom: DataFrame | None = None
-    # Distance the boundary of a mask is widened by; other boundaries are
-    # stored widened.
+    # Distance the mask was widened by; the boundary is the widened one.
     within: float = 0.0
 
 
@@ -100,7 +100,7 @@ def subset_features(
     crs=None,
     bounding_crs=None,
     id_col: str | None = None,
-    kinds: Sequence[str] = ("Point", "LineString", "Polygon"),
+    kinds: Sequence[str] = KINDS,
 ) -> SubsetResult:
     """Features that intersect an area of interest, optionally cut at its edge.
 
@@ -143,9 +143,9 @@ def subset_features(
         boundary = shapes if normalise(bounding_crs) == normalise(crs) else reproject_features(shapes, bounding_crs, crs)
         within = buffer_distance(feature_envelope(boundary).first(), buffer) if buffer else 0.0
         subset = filter_polygon(layer, boundary, id_col, within)
+        if within:
+            boundary = buffer_polygons(boundary, within)
         if clip:
-            if within:
-                raise NotImplementedError("clipping at a widened mask is not supported")
             subset = clip_to_polygons(subset, boundary, id_col, kinds)
     else:
         ring = _ring(tracks, shapes, boundary_type, crs, bounding_crs)
