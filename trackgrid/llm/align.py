@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,8 +28,8 @@ from .tokens import _SPACE, release
 #: Both tokenizers may be cut before a space that follows something else.
 _CUT = re.compile(f"(?<=[^{_SPACE}]) ")
 _ENDS_SPACE = re.compile(f"[{_SPACE}]\\Z")
-#: Distinct cuts that a process keeps at most, and new ones that are encoded in a row.
-KEPT, TOGETHER = 300_000, 4096
+#: Cuts that a process keeps at most, of those it has met twice in a batch, and new ones that are encoded in a row.
+KEPT, TOGETHER = 200_000, 4096
 #: A name with at least this share of all rows is hot: there are at most as many as its inverse.
 HOT_SHARE = 1 / 4096
 
@@ -70,6 +71,7 @@ class Aligner:
         # Pieces come after byte tokens, so that they are preferred.
         of = {w: i for byte in (True, False) for i, w in enumerate(self.bytes_b) if w and self.b.is_byte(i) == byte}
         self.identity = np.array([of.get(w, -1) if w else -1 for w in self.bytes_a], np.int64)
+        self.identity_names = np.array([f"{i}|{b}" for i, b in enumerate(self.identity.tolist())], object)
         self.forget()
 
     def forget(self) -> None:
@@ -83,15 +85,18 @@ class Aligner:
     def entries(self, texts: list[str | None]) -> list[list[tuple] | None]:
         """What is known of each part of each text; None for a text without tokens."""
         parts = [self.parts(t) if t else None for t in texts]
-        new = set(chain.from_iterable(p for p in parts if p)).difference(self.known)
-        if len(self.known) + len(new) > self.kept and self.known:
+        times = Counter(chain.from_iterable(p for p in parts if p))
+        if len(self.known) > self.kept:
             self.forget()
-            new = set(chain.from_iterable(p for p in parts if p))
+        new = times.keys() - self.known.keys()
         self._learn(new)
         found = []
         for p in parts:
             own = list(map(self.known.__getitem__, p)) if p else None
             found.append(None if own is None or None in own else own)
+        for p in new:  # most words are rare, and need no place
+            if times[p] == 1:
+                del self.known[p]
         return found
 
     def _learn(self, new: set[str]) -> None:
@@ -110,30 +115,29 @@ class Aligner:
         """Learn parts that follow each other; False if their bytes or their ends differ from the text's."""
         text = " ".join(block)
         raw = (" " + text).encode("utf-8", "surrogatepass")
-        ids_a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        ids_a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
         # The library drops the space it adds if there is nothing else.
         ids_b = np.array(self.b.encode(text, num_threads=1) if text else [self.b.piece_to_id("▁")], np.int64)
         if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != raw:
             return False
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
-        both = np.intersect1d(ends_a, ends_b)
+        marks = np.zeros(len(raw) + 1, np.uint8)
+        marks[ends_a] = 1
+        marks[ends_b] += 2
+        both = np.flatnonzero(marks == 3)
         stops = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in block])
         last = np.searchsorted(both, stops)
         if not np.array_equal(both[last], stops):
             return False
-        upto_a = np.searchsorted(ends_a, both, "right")
-        upto_b = np.searchsorted(ends_b, both, "right")
-        same = np.zeros(len(both), bool)
-        size_a, size_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
-        single = (size_a == 1) & (size_b == 1)
-        same[single] = self.identity[ids_a[upto_a[single] - 1]] == ids_b[upto_b[single] - 1]
+        upto_a, upto_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
+        same = (np.diff(upto_a, prepend=0) == 1) & (np.diff(upto_b, prepend=0) == 1)
+        same &= self.identity[ids_a[upto_a - 1]] == ids_b[upto_b - 1]
         # Plain lists and slices of bytes from here on: parts have few tokens each.
-        text_a, text_b, odd_at = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), np.flatnonzero(~same).tolist()
-        names, i, j = [], 0, 0
-        to_a, to_b = upto_a.tolist(), upto_b.tolist()
-        for x, y in zip(to_a, to_b):
-            names.append(f"{text_a[i]}|{text_b[j]}" if x - i == 1 == y - j else f"{','.join(text_a[i:x])}|{','.join(text_b[j:y])}")
-            i, j = x, y
+        to_a, to_b, odd_at = upto_a.tolist(), upto_b.tolist(), np.flatnonzero(~same).tolist()
+        names = self.identity_names[ids_a[upto_a - 1]].tolist()
+        for k in odd_at:
+            sides = ids_a[to_a[k - 1] if k else 0 : to_a[k]], ids_b[to_b[k - 1] if k else 0 : to_b[k]]
+            names[k] = "|".join(",".join(map(str, side.tolist())) for side in sides)
         regular, odd = ids_a[upto_a[same] - 1].astype("<i4").tobytes(), np.array([self._number(names[k]) for k in odd_at], "<i4").tobytes()
         so_far = np.cumsum(same)[last]
         i = j = at = r = o = 0
