@@ -27,7 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, text_or_empty, written
+from .common import discard, prepare, text_or_empty
+from .common import written as written_once
 from .tokens import release
 
 #: Tokens of a block, tokens per bucket, and words whose hashes a process keeps.
@@ -93,9 +94,16 @@ def pair_bucket(keys: np.ndarray, parts: int) -> np.ndarray:
     return word_bucket(mixed, parts)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back; shuffles that made it, and those before, can go."""
+    out = written_once(df, name)
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 # Blocks ---------------------------------------------------------------------
 
-BLOCK = "n long, sizes binary, held binary, ids binary, no_id binary, words binary, counts binary, tokens binary"
+BLOCK = "n long, end long, sizes binary, held binary, ids binary, no_id binary, words binary, counts binary, tokens binary"
 
 
 def make_blocks(docs: DataFrame) -> DataFrame:
@@ -112,7 +120,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             words, tokens = np.unique(np.concatenate(texts), return_inverse=True)
             learnt = np.repeat(~np.array(held, bool), sizes)
             counts = np.bincount(tokens[learnt], minlength=len(words))
-            row = (int(sizes.sum()), pack(sizes), pack(np.array(held, np.uint8)), pack(np.array(ids, np.int64)), pack(np.array(no_id, np.uint8)), pack_rising(words), pack(counts.astype("<u4")), pack(tokens.astype("<u4")))
+            row = (int(sizes.sum()), int(np.searchsorted(words, np.uint64(END))), pack(sizes), pack(np.array(held, np.uint8)), pack(np.array(ids, np.int64)), pack(np.array(no_id, np.uint8)), pack_rising(words), pack(counts.astype("<u4")), pack(tokens.astype("<u4")))
             return _rows(BLOCK, [row])
 
         for batch in batches:
@@ -148,7 +156,7 @@ class Block:
         #: Place among the block's words of each token and of the word before it; a text begins after an end.
         self.at, starts = tokens.astype(np.int64), np.cumsum(self.sizes) - self.sizes
         self.before = np.r_[self.at[:1], self.at[:-1]]
-        self.before[starts] = np.searchsorted(unpack_rising(row["words"], "<u8"), np.uint64(END))
+        self.before[starts] = row["end"]
         context = numbers[self.before]
         seen = (self.word >= 0) & (context >= 0)
         keys, inverse = np.unique(context[seen].astype(np.uint64) << np.uint64(32) | self.word[seen].astype(np.uint64), return_inverse=True)
@@ -462,6 +470,7 @@ def _seat_cells(parts: int, strength: float, discount: float, seed: int, counted
 # Scores ---------------------------------------------------------------------
 
 #: To a block: of its words (kind 0) numbers, counts, mean tables and mean probabilities, of its pairs (kind 1) customers less discounts.
+#: Means travel with 24 bits, which is far beyond what the samples tell.
 VALUES = "kind int, bucket int, block long, ids binary, counts binary, tables binary, p binary"
 
 
@@ -475,7 +484,7 @@ def _answer_words(parts: int, samples: int):
                 at, seen = np.maximum(ids, 0) // parts, ids >= 0
                 tables[seen] = unpack(s["table_sums"], "<i8")[at[seen]] / samples
                 p[seen] = unpack(s["p_sums"], "<f8")[at[seen]] / samples
-            out.append((0, row["bucket"], row["block"], row["ids"], row["counts"], pack(tables), pack(p)))
+            out.append((0, row["bucket"], row["block"], row["ids"], row["counts"], pack(tables.astype("<f4")), pack(p.astype("<f4"))))
         return pa.Table.from_batches([_rows(VALUES, out)])
 
     return run
@@ -488,7 +497,7 @@ def _answer_pairs(discount: float, samples: int):
         tables = (counts == 1).astype(float)
         for c in _dicts(cells):
             tables[np.searchsorted(keys, unpack_rising(c["keys"], "<u8"))] = unpack(c["sums"], "<i8") / samples
-        values, out, start = (counts - discount * tables).astype("<f8"), [], 0
+        values, out, start = (counts - discount * tables).astype("<f4"), [], 0
         for r in rows:
             stop = start + len(unpack(r["keys"], "<u8"))
             out.append((1, r["bucket"], r["block"], b"", b"", b"", pack(values[at[start:stop]])))
@@ -508,9 +517,9 @@ def _score(parts: int, tokens: int, types: int, unknown: float, strength: float,
         out = []
         for row in _dicts(block):
             numbers, counts = _by_part(of_words, "ids", "<i8"), _by_part(of_words, "counts", "<i8")
-            tables, p = _by_part(of_words, "tables", "<f8"), _by_part(of_words, "p", "<f8")
+            tables, p = _by_part(of_words, "tables", "<f4").astype(float), _by_part(of_words, "p", "<f4").astype(float)
             made = Block(row, numbers, parts)
-            own = np.r_[_by_part(of_pairs, "p", "<f8"), 0.0]  # the last for pairs with an unknown
+            own = np.r_[_by_part(of_pairs, "p", "<f4").astype(float), 0.0]  # the last for pairs with an unknown
             p = np.where(numbers >= 0, p, unknown)
             total = strength + counts[made.before]
             chance = own[made.pair] / total + (strength + discount * tables[made.before]) / total * p[made.at]
@@ -548,7 +557,7 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     sums = named.agg(F.sum("n"), F.sum("types")).first()
     n_tokens, n_types = sums[0] or 0, sums[1] or 0
     answers, words = named.where("block is not null"), named.where("block is null")
-    light = blocks.select("block", "sizes", "held", "words", "tokens")
+    light = blocks.select("block", "end", "sizes", "held", "tokens")
     pairs = written(light.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_pairs(parts), PAIRS), "lm-pairs")
     told_of = lambda both: both.where("kind = 1").select("words", "bucket", "ids", "ones", "of_context", "of_word", "asks")
     cells_of = lambda both: both.where("kind = 0").select("bucket", "keys", "counts", "tables", "sums")
@@ -586,7 +595,7 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     values = written(of_words.unionByName(of_pairs), "lm-values")
     for done in (named, pairs, first, both, state):
         discard(done)
-    scored = blocks.select("block", "sizes", "held", "ids", "no_id", "words", "tokens").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score(parts, n_tokens, n_types, unknown, strengths[1], discount), SCORES)
+    scored = blocks.select("block", "end", "sizes", "held", "ids", "no_id", "tokens").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score(parts, n_tokens, n_types, unknown, strengths[1], discount), SCORES)
     return scored.select(
         F.when(F.col("no_id") == 0, F.col("id")).alias("id"), (F.col("held") == 1).alias("held_out"), "n_tokens", "n_known",
         F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
