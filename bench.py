@@ -25,8 +25,8 @@ HEADLINE = [
     "a5_groupby_multi_time_spread", "a6_groupby_poly_time", "a6_groupby_poly_time_rows", "a6_groupby_poly_overlap",
     "a7_spatial_mean_series", "a8_coarsen_space", "a9_resample_down", "a10_track_density", "a12_first_day_exceeded",
     "i1_resample_up", "i2_resample_irregular", "i3_thin_all", "i4_regrid_nearest", "i5_interpolate",
-    "g3_clip_lines_box", "g3_clip_lines_polygons", "g3_clip_polygons_zones", "g4_reproject", "c1_subset_tracks_hull",
-    "c1_subset_mask", "c2_explore_grid", "c3_prepare_tracks",
+    "g3_clip_lines_box", "g3_clip_lines_polygons", "g3_clip_polygons_zones", "g4_reproject", "c1_subset_all_tracks_box",
+    "c1_subset_all_tracks_hull", "c1_subset_mask", "c2_explore_grid", "c3_prepare_tracks",
 ]
 
 

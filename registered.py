@@ -58,9 +58,6 @@ def stats_sql(v: str) -> str:
   round(quantile_cont({v},0.75),6)+0.0 as p75, round(max({v}),6)+0.0 as mx"""
 
 
-# Every seventh fix, by id, in a part of the study area that leaves many roads outside: few enough for a hull in SQL.
-# Only c1_subset_tracks_box and c1_subset_tracks_hull read it; the all_tracks and part_tracks queries read every fix.
-FEW_TRACKS = "location_long between -1.25e2 and -1.19e2 and location_lat between 4.9e1 and 5.4e1 and event_id % 7 = 0"
 TRACK_COLS = "event_id, timestamp, deployment_id, location_long, location_lat"
 BOX = (-123.0, 50.0, -117.0, 55.0)
 
@@ -821,34 +818,6 @@ def c1(spark, d):
                    "len", digits=4)
 
 
-@register("c1_subset_tracks_box", f"""with b as (select min(location_long) as bx0, min(location_lat) as by0,
-  max(location_long) as bx1, max(location_lat) as by1 from tracks where {FEW_TRACKS}),
-k as (select bx0-d as bx0, by0-d as by0, bx1+d as bx1, by1+d as by1 from (select *, 0.01e0*greatest(bx1-bx0, by1-by0) as d from b))
-select road_id, road_class from roads r, k where {segment_box_sql('r', 'bx0', 'by0', 'bx1', 'by1')}""", "roads tracks")
-def c1t(spark, d):
-    """Roads that meet the widened box of a few fixes: every seventh, by id, in a part of the study area."""
-    tracks = S.view(spark, d, "tracks").where(FEW_TRACKS)
-    out = tg.subset_features(spark, S.roads(spark, d), track_points=tracks, buffer=0.01)
-    return out.subset.select("road_id", "road_class")
-
-
-HULL_SQL = f"""with pts as (select distinct location_long as x, location_lat as y from tracks where {FEW_TRACKS}),
-e as (select a.x as x1, a.y as y1, b.x as x2, b.y as y2 from pts a, pts b where (a.x, a.y) <> (b.x, b.y)
-  and not exists (select 1 from pts c where (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) < 0)),
-meets as (select distinct r.road_id from roads r join e on {segments_meet_sql('r', 'e')}),
-starts as (select r.road_id from roads r where not exists
-  (select 1 from e where (e.x2-e.x1)*(r.y1-e.y1)-(e.y2-e.y1)*(r.x1-e.x1) < 0))
-select road_id, road_class from roads where road_id in (select road_id from meets) or road_id in (select road_id from starts)"""
-
-
-@register("c1_subset_tracks_hull", HULL_SQL, "roads tracks")
-def c1h(spark, d):
-    """Roads that meet the hull of a few fixes: every seventh, by id, in a part of the study area."""
-    tracks = S.view(spark, d, "tracks").where(FEW_TRACKS)
-    out = tg.subset_features(spark, S.roads(spark, d), track_points=tracks, boundary_type="convex_hull", id_col="road_id")
-    return out.subset.select("road_id", "road_class")
-
-
 def tracks_box_sql(tracks: str) -> str:
     return f"""with b as (select min(location_long) as bx0, min(location_lat) as by0,
   max(location_long) as bx1, max(location_lat) as by1 from {tracks}),

@@ -2,9 +2,9 @@
 
 ``geom`` is ``struct<kind:string, parts:array<array<struct<x:double,y:double>>>>``.
 A part is a ring of a polygon (closed: the last point repeats the first), a
-line, or the single point of a point. Holes need no mark, because every
-polygon test here counts edge crossings over all rings (even-odd rule). Each
-feature row also stores its box in ``xmin, ymin, xmax, ymax``, which is what
+line, or the single point of a point. Holes need no mark for tests, which count
+edge crossings over all rings (even-odd rule). What this library makes has outer
+rings counter-clockwise and their holes, clockwise, behind them. Each feature row also stores its box in ``xmin, ymin, xmax, ymax``, which is what
 scans are pruned by.
 
 Functions on columns take and return Columns. The tests at the end of the
@@ -78,6 +78,14 @@ def closed(ring: Column) -> Column:
     return F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
+def twice_area(ring: Column) -> Column:
+    """Twice the signed area of a closed ring; counter-clockwise is positive."""
+    x0, y0 = ring[0]["x"], ring[0]["y"]
+    cross = lambda k: (ring[k - 1]["x"] - x0) * (ring[k]["y"] - y0) - (ring[k]["x"] - x0) * (ring[k - 1]["y"] - y0)
+    steps = F.when(F.size(ring) > 1, F.transform(F.sequence(F.lit(1), F.size(ring) - 1), cross))
+    return F.coalesce(F.aggregate(steps, F.lit(0.0), lambda s, c: s + c), F.lit(0.0))
+
+
 def with_box(df: DataFrame) -> DataFrame:
     """Add the box columns of ``geom``."""
     xs, ys = "transform(flatten(geom.parts), p -> p.x)", "transform(flatten(geom.parts), p -> p.y)"

@@ -134,11 +134,12 @@ def _ranked(values: DataFrame, lo: float, hi: float, descending: bool) -> DataFr
 
 
 def with_index(df: DataFrame, dim: str, axis: Axis, name: str) -> DataFrame:
-    """Add the position along ``axis`` as ``name``; off the axis it is null."""
+    """Add the position along ``axis`` as ``name``; off the axis, by more than ``TOLERANCE`` of a step, it is null."""
     v = coord(df, dim)
     if isinstance(axis, RegularAxis):
         i = axis.index(v)
-        return df.withColumn(name, F.when((i >= 0) & (i < axis.size), i))
+        on = F.abs(v - axis.value(i)) <= TOLERANCE * abs(axis.step)
+        return df.withColumn(name, F.when((i >= 0) & (i < axis.size) & on, i))
     table = axis.table().select(F.col("value").alias("__v"), F.col("idx").alias(name))
     keyed = df.withColumn("__c", v)
     side = F.broadcast(table) if axis.size <= 1_000_000 else table

@@ -171,13 +171,15 @@ def convex_hull(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
 
 
 def hull_features(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """One hull polygon per key, as a feature table."""
+    """One hull per key, as a feature table: a polygon, or a line or point if the fixes have no area."""
     verts = convex_hull(df, x, y, by)
     rings = verts.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("vertex", "x", "y"))).alias("v")
     )
     ring = F.transform("v", lambda p: G.point(p["x"], p["y"]))
-    shaped = rings.select(*by, G.geometry("Polygon", F.array(G.closed(ring))).alias("geom"))
+    n = F.size("v")
+    kind = F.when(n == 1, "Point").when(n == 2, "LineString").otherwise("Polygon")
+    shaped = rings.select(*by, G.geometry(kind, F.array(F.when(n > 2, G.closed(ring)).otherwise(ring))).alias("geom"))
     return G.with_box(shaped)
 
 

@@ -98,7 +98,8 @@ def reindex_like(grid, other):
     The places are the product of the axes of ``other`` if all are declared,
     else the rows it has. Coordinates of declared axes are compared by their
     positions, since those of an axis and those of the data may differ in the
-    last digits. A place is unique, so the join has no hot key.
+    last digits; data off the axes, by more than a millionth of a step, have
+    no place and are left out. A place is unique, so the join has no hot key.
     """
     if grid.dims != other.dims:
         raise ValueError("the grids name their dimensions differently")

@@ -230,6 +230,27 @@ def filter_bbox(features: DataFrame, bbox: Sequence[float], exact: bool = True)
     return near.where(f"{within} or {G.geometry_meets_box(bbox)}")
 
 
+def cells_of_edges(edges: DataFrame, cells: PolygonCells) -> DataFrame:
+    """``edges`` (with ``x1, y1, x2, y2``) once per cell that each crosses, as ``cx, cy``: column by column, the rows it covers there.
+
+    Cells outside the bounds of the polygons are left out.
+    """
+    x0, y0, x1, y1 = map(G.num, cells.bounds)
+    h, slack = G.num(cells.size), G.num(1e-9 * cells.size)
+
+    def span(lo: str, hi: str, least: str, most: str) -> Column:
+        first, last = cells.cell(f"greatest({lo}, {least})"), cells.cell(f"least({hi}, {most})")
+        return F.expr(f"explode(if({first} <= {last}, sequence({first}, {last}), array()))")
+
+    columns = edges.withColumn("cx", span(f"least(x1, x2) - {slack}", f"greatest(x1, x2) + {slack}", x0, x1))
+    # Where the edge enters and leaves the column.
+    at = lambda x: f"if(x1 = x2, {{}}, y1 + ({x} - x1) * ((y2 - y1) / (x2 - x1)))"
+    left = at(f"greatest(least(x1, x2), cx * {h} - {slack})").format("y1")
+    right = at(f"least(greatest(x1, x2), (cx + 1) * {h} + {slack})").format("y2")
+    columns = columns.withColumns({"__ya": F.expr(left), "__yb": F.expr(right)})
+    return columns.withColumn("cy", span(f"least(__ya, __yb) - {slack}", f"greatest(__ya, __yb) + {slack}", y0, y1)).drop("__ya", "__yb")
+
+
 def filter_polygon(
     features: DataFrame,
     mask: DataFrame,
@@ -239,43 +260,46 @@ def filter_polygon(
 ) -> DataFrame:
     """Features that intersect any polygon of ``mask`` or come within a distance.
 
-    A feature is compared with the mask cell by cell over its own box. Three
-    cases make an intersection: edges meet, the feature starts inside the
-    mask, or a ring of the mask starts inside the feature. A feature hit in
-    several cells is reduced to one row by ``id_col``, which must be unique;
-    hits alone are shuffled. Without ``id_col`` rows are numbered where they
-    are read.
+    An edge of a feature is compared with the mask in the cells that it crosses
+    and no others. Three cases make an intersection: edges meet, a part of the
+    feature starts inside the mask, or a ring of the mask starts inside the
+    feature. All depend on the geometry alone, so features are told apart by a
+    128-bit hash of it: rows with equal ids, or equal rows, do no harm, and
+    ``id_col`` is not needed any more. A feature without a geometry meets
+    nothing.
     """
     d = float(within)
     cells = polygon_cells(mask, cell_size=cell_size, pad=d)
     if cells.bounds is None:
         return features.limit(0)
-    key = id_col or "__row"
-    numbered = features if id_col else features.withColumn("__row", F.monotonically_increasing_id())
-    x0, y0, x1, y1 = cells.bounds
-    near = spread_small(numbered).where(G.box_overlaps(*G.BOX, cells.bounds))
-    near = near.withColumn("__edges", F.expr(G.EDGES_OR_POINTS))
-
-    def span(lo: str, hi: str, least: float, most: float) -> Column:
-        first, last = f"greatest({lo}, {G.num(least)})", f"least({hi}, {G.num(most)})"
-        return F.expr(f"explode(sequence({cells.cell(first)}, {cells.cell(last)}))")
-
-    spread = near.withColumn("cx", span("xmin", "xmax", x0, x1)).withColumn("cy", span("ymin", "ymax", y0, y1))
-    h, w = G.num(cells.size), G.num(d)
-    around = (f"(cx * {h} - {w})", f"(cy * {h} - {w})", f"((cx + 1) * {h} + {w})", f"((cy + 1) * {h} + {w})")
-    exact = (f"(cx * {h})", f"(cy * {h})", f"((cx + 1) * {h})", f"((cy + 1) * {h})")
-    edges_meet = (
-        f"exists(__edges, f -> {G.segment_meets_box('f', around)} "
-        f"and exists(touching, m -> {G.segments_within('f', 'm', d)}))"
-    )
-    starts_inside = (
-        f"exists(transform(geom.parts, q -> q[0]), q -> {cells.cell('q.x')} = cx and {cells.cell('q.y')} = cy "
-        f"and {G.point_in('edges', 'q.x', 'q.y')})"
-    )
-    holds_mask = f"({G.POLYGONAL} and exists(starts, q -> {G.point_in(G.EDGES, 'q.x', 'q.y')}))"
-    hit = F.expr(
-        f"if(edges is null, {G.geometry_meets_box(exact)}, {starts_inside} or {edges_meet} or {holds_mask})"
+    keys = ["__g1", "__g2"]
+    near = spread_small(features).where(G.box_overlaps(*G.BOX, cells.bounds))
+    near = near.withColumns({"__g1": F.xxhash64("geom"), "__g2": F.xxhash64(F.lit(1), "geom")})
+
+    edges = cells_of_edges(near.select(*keys, F.expr(f"inline({G.EDGES_OR_POINTS})")), cells)
+    edges = edges.select(*keys, "cx", "cy", F.struct("x1", "y1", "x2", "y2").alias("e"))
+    # One row per edge of the mask, so that the comparison is compiled code. A cell without edges lies inside.
+    borders = cells.df.select("cx", "cy", F.explode_outer("touching").alias("m"))
+    meet = F.expr(f"m is null or {G.segments_within('e', 'm', d)}")
+    hits = sized_join(edges, borders, ["cx", "cy"], "left_semi", small=cells.small, where=meet).select(*keys)
+
+    starts = near.select(*keys, F.expr("inline(transform(geom.parts, q -> q[0]))"))
+    starts = starts.withColumns({"cx": F.expr(cells.cell("x")), "cy": F.expr(cells.cell("y"))})
+    rims = cells.df.where("edges is not null").select("cx", "cy", "edges")
+    inside = F.expr(G.point_in("edges", "x", "y"))
+    hits = hits.unionByName(sized_join(starts, rims, ["cx", "cy"], "left_semi", small=cells.small, where=inside).select(*keys))
+
+    # Starts of the mask's rings within polygons: crossings of a ray, among the edges that share its row of cells.
+    rings = cells.df.select("cy", F.expr("inline(starts)")).withColumnsRenamed({"x": "qx", "y": "qy"}).distinct()
+    shapes = near.where(G.POLYGONAL).withColumn("__row", F.monotonically_increasing_id())
+    sides = shapes.select("__row", *keys, "xmin", "xmax", F.expr(f"inline({G.EDGES})")).where("y1 != y2")
+    least, most = G.num(cells.bounds[1]), G.num(cells.bounds[3])
+    low, high = cells.cell(f"greatest(least(y1, y2), {least})"), cells.cell(f"least(greatest(y1, y2), {most})")
+    sides = sides.withColumn("cy", F.expr(f"explode(if({low} <= {high}, sequence({low}, {high}), array()))"))
+    crossed = F.expr(
+        "qx between xmin and xmax and ((y1 > qy) != (y2 > qy)) and qx < (x2 - x1) * (qy - y1) / (y2 - y1) + x1"
     )
-    right = cells.df.select("cx", "cy", "edges", "touching", "starts")
-    hits = sized_join(spread, right, ["cx", "cy"], "inner", small=cells.small, where=hit)
-    return hits.select(*numbered.columns).dropDuplicates([key]).select(*features.columns)
+    held = sized_join(sides, rings, ["cy"], "inner", small=cells.small, where=crossed)
+    held = held.groupBy("__row", *keys, "qx", "qy").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    hits = hits.unionByName(held.select(*keys)).distinct()
+    return near.join(hits, keys, "left_semi").select(*features.columns)

@@ -141,13 +141,15 @@ def parts_from_geojson(kind: Column, coordinates: Column) -> Column:
     pt = lambda p: G.point(p[0], p[1])
     line = lambda ps: F.transform(ps, pt)
     ring = lambda ps: G.closed(line(ps))
+    # Outer rings turn one way and holes the other, so that rings of several polygons can be told apart later.
+    turned = lambda rings: F.transform(rings, lambda r, k: F.when((G.twice_area(r) >= 0) == (k == 0), r).otherwise(F.reverse(r)))
     return (
         F.when(kind == "Point", F.array(F.array(pt(flat(1)))))
         .when(kind == "MultiPoint", F.transform(flat(2), lambda p: F.array(pt(p))))
         .when(kind == "LineString", F.array(line(flat(2))))
         .when(kind == "MultiLineString", F.transform(flat(3), line))
         .when(kind == "Polygon", F.transform(flat(3), ring))
-        .when(kind == "MultiPolygon", F.transform(F.flatten(flat(4)), ring))
+        .when(kind == "MultiPolygon", F.flatten(F.transform(F.transform(flat(4), lambda rs: F.transform(rs, ring)), turned)))
     )
 
 

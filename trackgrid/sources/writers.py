@@ -15,32 +15,46 @@ from .readers import AXES_SUFFIX, YEAR, _stored_axes
 
 
 def geojson_coordinates(geom: Column) -> Column:
-    """JSON text of the coordinates, nested as the kind asks.
+    """JSON text of the coordinates, nested as the kind asks; ``[]`` of an empty geometry.
 
-    Each ring of a MultiPolygon is written as a polygon of its own, the parts
-    of the table being rings.
+    Rings of a MultiPolygon that turn as its first ring does are outer rings; those that turn the other
+    way are holes of the outer ring before them.
     """
-    pairs = F.transform(geom.getField("parts"), lambda part: F.transform(part, lambda p: F.array(p["x"], p["y"])))
+    pairs_of = lambda part: F.transform(part, lambda p: F.array(p["x"], p["y"]))
+    pairs = F.transform(geom.getField("parts"), pairs_of)
     kind = geom.getField("kind")
     return (
-        F.when(kind == "Point", F.to_json(pairs[0][0]))
+        F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, F.lit("[]"))
+        .when(kind == "Point", F.to_json(pairs[0][0]))
         .when(kind == "MultiPoint", F.to_json(F.transform(pairs, lambda p: p[0])))
         .when(kind == "LineString", F.to_json(pairs[0]))
-        .when(kind == "MultiPolygon", F.to_json(F.transform(pairs, lambda p: F.array(p))))
+        .when(kind == "MultiPolygon", F.to_json(F.transform(ring_groups(geom.getField("parts")), lambda rings: F.transform(rings, pairs_of))))
         .otherwise(F.to_json(pairs))
     )
 
 
+def ring_groups(rings: Column) -> Column:
+    """Rings as an array of polygons: each an outer ring and the holes behind it."""
+    with_turns = F.transform(rings, lambda r: F.struct(r.alias("r"), F.signum(G.twice_area(r)).alias("t")))
+
+    def grouped(z: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda k: (k == 0) | (z[k]["t"] * z[0]["t"] >= 0))
+        stop = lambda i: F.coalesce(F.get(starts, i + 1), F.size(z))
+        return F.transform(starts, lambda k, i: F.transform(F.slice(z, k + 1, stop(i) - k), lambda x: x["r"]))
+
+    # As the variable of a lambda, areas are worked out once.
+    return F.transform(F.array(with_turns), grouped)[0]
+
+
 def geojson_lines(features: DataFrame) -> DataFrame:
-    """One GeoJSON feature per row, as the column ``value``."""
+    """One GeoJSON feature per row, as the column ``value``. Without a geometry it is written as null."""
     attrs = [c for c in features.columns if c not in ("geom", *G.BOX)]
     properties = F.to_json(F.struct(*attrs), {"ignoreNullFields": "false"}) if attrs else F.lit("{}")
     geom = F.col("geom")
+    shape = F.concat(F.lit('{"type":"'), geom.getField("kind"), F.lit('","coordinates":'), geojson_coordinates(geom), F.lit("}"))
+    shape = F.coalesce(shape, F.lit("null"))
     return features.select(
-        F.concat(
-            F.lit('{"type":"Feature","geometry":{"type":"'), geom.getField("kind"), F.lit('","coordinates":'),
-            geojson_coordinates(geom), F.lit('},"properties":'), properties, F.lit("}"),
-        ).alias("value")
+        F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), properties, F.lit("}")).alias("value")
     )
 
 
