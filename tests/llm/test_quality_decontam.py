@@ -1,65 +1,143 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
-from fixtures import ROWS, documents, ordered, prose, tuples
+from fixtures import ROWS, WORDS, documents, ordered, prose, tuples
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trackgrid.llm import decontam, quality
 
 
-def kneser_ney(texts, order=quality.ORDER):
-    """A plain model in dictionaries: log probability of a gram's code."""
-    from collections import Counter, defaultdict
-
-    counts = {order: Counter(c for c in quality.grams(texts)[0].tolist())}
-    for k in range(order - 1, 0, -1):
-        counts[k] = Counter(c & (quality.SYMBOLS**k - 1) for c in counts[k + 1])
-
-    def discount(k):
-        n = Counter(counts[k].values())
-        if not n[1] or not n[2]:
-            return [0.5, 0.75, 0.9]
-        y = n[1] / (n[1] + 2 * n[2])
-        raw = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i * 0.75 for i in (1, 2, 3)]
-        return [min(max(d, 0.05), i - 0.05) for i, d in zip((1, 2, 3), raw)]
-
-    offs = {k: discount(k) for k in counts}
-    totals, lost = {k: defaultdict(float) for k in counts}, {k: defaultdict(float) for k in counts}
-    for k in counts:
-        for c, n in counts[k].items():
-            totals[k][c >> quality.BITS] += n
-            lost[k][c >> quality.BITS] += offs[k][min(n, 3) - 1]
-
-    def p(code, k):
-        if k == 0:
-            return 1 / quality.SYMBOLS
-        code &= quality.SYMBOLS**k - 1
-        context, n = code >> quality.BITS, counts[k].get(code, 0)
-        if not totals[k].get(context):
-            return p(code, k - 1)
-        own = (n - offs[k][min(n, 3) - 1]) / totals[k][context] if n else 0.0
-        return own + lost[k][context] / totals[k][context] * p(code, k - 1)
-
-    return lambda code: math.log(p(code, order))
-
-
-def test_model_matches_a_plain_one(spark):
-    texts = [prose(60, i) for i in range(20)] + ["Ωμέγα 12, été!", "x", ""]
-    model = quality.Model(quality.train(documents(spark, list(enumerate(texts)))))
-    table = model.dense()
-    plain = kneser_ney(texts)
-    probe = texts + ["%%% &&& zzz", "ñandú 世界"]
-    got = model.log_perplexity(probe, table)
-    for t, value in zip(probe, got):
-        codes = quality.grams([t])[0].tolist()
-        if codes:
-            assert value == pytest.approx(-sum(map(plain, codes)) / len(codes), rel=1e-4)
+def plain_model(texts, base):
+    """A model in dictionaries: the probability of a character after four."""
+    pad = chr(quality.START) * (quality.ORDER - 1)
+    counts = {5: Counter((pad + t)[i : i + 5] for t in texts for i in range(len(t)))}
+    for k in (4, 3):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    off = {k: quality.discounts(np.array(list(c.values()))) for k, c in counts.items()}
+    total, lost = {k: Counter() for k in counts}, {k: Counter() for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            total[k][g[:-1]] += n
+            lost[k][g[:-1]] += off[k][min(n, 3)]
+
+    def p(gram):
+        k = len(gram)
+        if k == 2:
+            return base
+        context, n = gram[:-1], counts[k].get(gram, 0)
+        if not total[k][context]:
+            return p(gram[1:])
+        return (n - off[k][min(n, 3)]) / total[k][context] + lost[k][context] / total[k][context] * p(gram[1:])
+
+    return p
+
+
+def test_scores_match_a_plain_model(spark):
+    texts = [prose(60, i) for i in range(30)] + ["Ωμέγα 12, été!", "x", "", "日本語テキスト 日本", "%%% &&& zzz", "ñandú 世界" * 40, "aaaa" * 300]
+    trusted = {i for i in range(len(texts)) if i % 3 != 2}
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(None, None, texts[0])], "id long, lang string, text string")
+    got = {r["id"]: r for r in quality.score(docs, spark.createDataFrame([(i,) for i in trusted], "good_id long")).collect()}
+    fold = {i: r["f"] for i, r in enumerate(docs.select(F.expr("pmod(xxhash64(text), 2)").alias("f")).collect())}
+    known = {c for i in trusted for c in texts[i]}
+    models = [plain_model([texts[i] for i in sorted(trusted) if fold[i] == f], 1 / (1 + len(known))) for f in (0, 1)]
+    assert sum(fold[i] for i in trusted) not in (0, len(trusted))
+    for i, t in enumerate(texts):
+        grams = [("\n\n\n\n" + t)[k : k + 5] for k in range(len(t))]
+        assert got[i]["n_chars"] == len(t) and got[i]["n_distinct"] == len(set(grams)) and got[i]["trusted"] == (i in trusted)
+        if t:
+            want = -sum(math.log(models[1 - fold[i]](g)) for g in grams) / len(t)
+            assert got[i]["log_perplexity"] == pytest.approx(want, rel=1e-5)
         else:
-            assert math.isnan(value)
-    sums = np.exp(table.reshape(-1, quality.SYMBOLS)).sum(1)
-    assert np.allclose(sums[:: 997], 1, atol=1e-3)
+            assert got[i]["log_perplexity"] is None
+    assert not got[None]["trusted"] and got[None]["log_perplexity"] == pytest.approx(got[0]["log_perplexity"])
+    several = [p("e st") for p in [lambda s: sum(models[0](s + c) for c in known | {"\0"})]]
+    assert several[0] == pytest.approx(1)
+
+
+def test_many_blocks_and_buckets_find_the_same(spark, monkeypatch):
+    docs = documents(spark, [(i, prose(40, i)) for i in range(60)]).select(F.col("doc_id").alias("id"), "lang", "text")
+    good = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "good_id long")
+    one = {r["id"]: r for r in quality.score(docs, good).collect()}
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 2000)
+    many = {r["id"]: r for r in quality.score(docs, good).collect()}
+    assert one.keys() == many.keys()
+    for i, r in one.items():
+        assert many[i]["n_distinct"] == r["n_distinct"] and many[i]["log_perplexity"] == pytest.approx(r["log_perplexity"], rel=1e-5)
+    monkeypatch.setattr(quality, "BUCKET_CHARS", 4000)  # discounts are those of a bucket
+    parts = {r["id"]: r for r in quality.score(docs, good).collect()}
+    assert all(parts[i]["log_perplexity"] == pytest.approx(r["log_perplexity"], rel=0.1) for i, r in one.items())
+
+
+def test_wide_alphabets_are_coded_by_hashes():
+    wide = "".join(chr(0x4E00 + k * 7 % 9000) for k in range(9000))
+    coder = quality.Coder(np.unique(quality.points_of([wide])))
+    code, sizes, columns = coder.of_texts([wide, "", wide[:100]])
+    assert sizes.tolist() == [9000, 0, 100] and len(np.unique(code)) == len({tuple(c) for c in np.stack(columns).T.tolist()})
+    assert (coder.of_characters(quality.split(*quality.joined(columns))) == code).all()
+
+
+def test_thresholds_and_verdicts_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEWEST_OF_LENGTH", 40)
+    r = random.Random(2)
+    rows = [(i, r.choice(["en", "de"]) if i % 9 else None, r.randrange(1, 3000), r.random() < 0.6, r.gauss(2, 0.3) if i % 50 else None, r.randrange(1, 900)) for i in range(900)]
+    scores = spark.createDataFrame([(i, i, i, lang, n, t, v, min(k, n)) for i, lang, n, t, v, k in rows], quality.SCORES)
+    found = object.__new__(quality.Classifier)
+    found.scores = quality.measures(scores)
+    found.limits = quality.thresholds(found.scores.where("trusted"))
+    groups = {}
+    variety = {i: math.log(min(k, n) + 1) / math.log(n + 1) for i, _, n, _, _, k in rows}
+    bins = lambda v: math.floor(v / quality.BIN + 0.5)
+    for i, lang, n, t, v, k in rows:
+        if t and v is not None:
+            for key in ((lang, int(math.log2(n))), (lang,), ()):
+                groups.setdefault(key, []).append((bins(v), bins(variety[i])))
+
+    def quantile(values, q):
+        values = sorted(values)
+        return values[max(0, math.ceil(round(q * len(values), 9)) - 1)] * quality.BIN
+
+    def limits(key):
+        v, w = zip(*groups[key])
+        mid = lambda x: quantile(x, 0.5)
+        return mid(v) + quality.WIDER * (quantile(v, 0.99) - mid(v)) + quality.BIN, mid(w) + quality.WIDER * (quantile(w, 0.01) - mid(w)) - quality.BIN
+
+    got = {x["id"]: x for x in found.judged().collect()}
+    levels = set()
+    for i, lang, n, t, v, k in rows:
+        key = next(key for key, least in (((lang, int(math.log2(n))), 40), ((lang,), 50), ((), 1)) if len(groups.get(key, [])) >= least)
+        levels.add(len(key))
+        most, least = limits(key)
+        most += 0 if len(key) == 2 else quality.SHORT / math.sqrt(n)
+        assert got[i]["most"] == pytest.approx(most) and got[i]["least"] == pytest.approx(least)
+        assert got[i]["kept"] == (v is not None and v <= most and variety[i] >= least)
+    assert levels >= {1, 2}
+
+
+def sentences(n, seed):
+    """Prose in sentences: a capital at the start of each, a full stop at its end."""
+    r = random.Random(seed)
+    out = []
+    while len(out) < n:
+        words = [r.choice(WORDS) for _ in range(r.randrange(4, 10))]
+        out += [words[0].capitalize(), *words[1:-1], words[-1] + "."]
+    return " ".join(out[:n])
+
+
+def test_shuffled_and_repeated_words_go(spark):
+    r = random.Random(8)
+    clean = [(i, sentences(r.randrange(40, 400), i)) for i in range(700)]
+    mix = lambda t: " ".join(r.sample(t.split(), len(t.split())))
+    shuffled = [(1000 + i, mix(t)) for i, t in clean if len(t) > 400][:200]
+    repeated = [(3000 + i, " ".join([w] * 80)) for i, w in enumerate(WORDS * 4)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in clean + shuffled + repeated], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 700, 2)], "doc_id long, quality long, toxic long")
+    kept = {d: k for d, k in tuples(quality.Classifier(spark, docs, labels).verdicts(), "doc_id", "kept")}
+    share = lambda rows: sum(kept[d] for d, _ in rows) / len(rows)
+    assert share(clean) >= 0.98 and share(shuffled) <= 0.1 and share(repeated) <= 0.1
 
 
 def corpus():

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bucket_slices, pack, pack_rising, unpack, unpack_rising
+from .arrays import rows as batch_of
 from .common import discard, prepare, text_or_empty
 from .common import written as written_once
 from .tokens import release
@@ -45,45 +46,10 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = xxhash.xxh3_64_intdigest(b"")
 
 
-def pack(a: np.ndarray) -> bytes:
-    """An array of numbers, its bytes of equal weight together."""
-    a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-
-
-def unpack(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(kind)
-
-
-def pack_rising(a: np.ndarray) -> bytes:
-    return pack(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def unpack_rising(raw: bytes, kind: str) -> np.ndarray:
-    return np.cumsum(unpack(raw, kind), dtype=kind)
-
-
-def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
-    """A batch of rows; ``names`` is a schema in which bytes, longs, ints and doubles occur."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
-    fields = [f.split() for f in names.split(", ")]
-    columns = list(zip(*rows)) if rows else [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
-
-
 def _dicts(table: pa.Table) -> list[dict]:
     return table.to_pylist()
 
 
-def _bucket_slices(buckets: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
-    """The buckets that occur in a sorted array, and where."""
-    stops = np.searchsorted(buckets, np.arange(parts + 1))
-    for k in np.unique(buckets).tolist():
-        yield k, slice(int(stops[k]), int(stops[k + 1]))
-
-
 def word_bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Buckets in the order of the hashes."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -121,7 +87,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             learnt = np.repeat(~np.array(held, bool), sizes)
             counts = np.bincount(tokens[learnt], minlength=len(words))
             row = (int(sizes.sum()), int(np.searchsorted(words, np.uint64(END))), pack(sizes), pack(np.array(held, np.uint8)), pack(np.array(ids, np.int64)), pack(np.array(no_id, np.uint8)), pack_rising(words), pack(counts.astype("<u4")), pack(tokens.astype("<u4")))
-            return _rows(BLOCK, [row])
+            return batch_of(BLOCK, [row])
 
         for batch in batches:
             for i, h, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -183,7 +149,7 @@ def _ask_words(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = unpack_rising(row["words"], "<u8"), unpack(row["counts"], "<u4")
-                yield _rows(ASKED, [(k, row["block"], pack_rising(words[s]), pack(counts[s])) for k, s in _bucket_slices(word_bucket(words, parts), parts)])
+                yield batch_of(ASKED, [(k, row["block"], pack_rising(words[s]), pack(counts[s])) for k, s in bucket_slices(word_bucket(words, parts), parts)])
 
     return blocks.select("block", "words", "counts").mapInArrow(run, ASKED)
 
@@ -208,7 +174,7 @@ def _name_words(parts: int):
         stops = np.cumsum([0, *map(len, words)]).tolist()
         for r, a, b in zip(rows, stops, stops[1:]):
             out.append((bucket, r["block"], pack(numbers[at[a:b]]), pack(counts[at[a:b]]), 0, 0))
-        return pa.Table.from_batches([_rows(NAMED, out)])
+        return pa.Table.from_batches([batch_of(NAMED, out)])
 
     return run
 
@@ -234,8 +200,8 @@ def _pairs(parts: int):
         out = []
         for row in _dicts(block):
             made = Block(row, _by_part(rows, "ids", "<i8"), parts)
-            out += [(k, row["block"], pack_rising(made.keys[s]), pack(made.counts[s])) for k, s in _bucket_slices(made.buckets, parts)]
-        return pa.Table.from_batches([_rows(PAIRS, out)])
+            out += [(k, row["block"], pack_rising(made.keys[s]), pack(made.counts[s])) for k, s in bucket_slices(made.buckets, parts)]
+        return pa.Table.from_batches([batch_of(PAIRS, out)])
 
     return run
 
@@ -265,7 +231,7 @@ def _told(bucket: int, keys: np.ndarray, tables: np.ndarray, ones: np.ndarray, p
     asks[at[: 2 * n]] = 1
     order = np.lexsort((ids, ids % parts))
     out = []
-    for k, s in _bucket_slices((ids % parts)[order], parts):
+    for k, s in bucket_slices((ids % parts)[order], parts):
         some = order[s]
         ones_both = np.stack([one_context[some], one_word[some]])
         out.append((k, bucket, pack_rising(ids[some]), pack(ones_both.reshape(-1)), pack(of_context[some]), pack(of_word[some]), pack(asks[some]), once, twice))
@@ -285,7 +251,7 @@ def _cells(parts: int):
         told = _told(bucket, keys[more], ones, keys[counts == 1], parts, int((counts == 1).sum()), int((counts == 2).sum()))
         out = [(0, *cells, None, None, None, None, None, None, None)]
         out += [(1, t[1], None, None, None, None, t[0], *t[2:5], t[5], t[6], t[7] << 32 | t[8]) for t in told]
-        return pa.Table.from_batches([_rows(BOTH, out)])
+        return pa.Table.from_batches([batch_of(BOTH, out)])
 
     return run
 
@@ -391,7 +357,7 @@ def _first_state(parts: int):
             none = np.zeros(len(tables))
             few = [int((customers == k).sum()) for k in (1, 2)]
             out.append((row["bucket"], row["counts"], pack(ones.reshape(-1)), pack(tables), pack(customers), pack(parents), pack(none.astype(np.int64)), pack(none), int(customers.sum()), int(parents.sum()), *few))
-        return pa.Table.from_batches([_rows(STATE, out)])
+        return pa.Table.from_batches([batch_of(STATE, out)])
 
     return run
 
@@ -408,7 +374,7 @@ def _next_state(parts: int, parent: Parent, seed: int):
             log_base = np.full(len(parents), np.log(parent.base))
             parents = np.where(customers > 0, sample_tables(np.maximum(customers, 1), parent.tables - parents, log_base, parent.strength, parent.discount, rng), 0)
             out.append((row["words"], row["counts"], row["ones"], pack(tables), pack(customers), pack(parents), row["table_sums"], row["p_sums"], int(customers.sum()), int(parents.sum()), 0, 0))
-        return pa.Table.from_batches([_rows(STATE, out)])
+        return pa.Table.from_batches([batch_of(STATE, out)])
 
     return run
 
@@ -422,7 +388,7 @@ def _add_sample(parent: Parent):
                 tables, p = unpack(row["tables"], "<i8"), parent.p(unpack(row["customers"], "<i8"), unpack(row["parents"], "<i8"))
                 row["table_sums"] = pack(unpack(row["table_sums"], "<i8") + tables)
                 row["p_sums"] = pack(unpack(row["p_sums"], "<f8") + p)
-                yield _rows(STATE, [tuple(row.values())])
+                yield batch_of(STATE, [tuple(row.values())])
 
     return run
 
@@ -438,7 +404,7 @@ def _answer_cells(parts: int, parent: Parent):
             for t in _dicts(told):
                 ids = unpack_rising(t["ids"], "<i8")[unpack(t["asks"], "u1") == 1]
                 out.append((t["bucket"], row["words"], pack_rising(ids), pack(tables[ids // parts]), pack(p[ids // parts])))
-        return pa.Table.from_batches([_rows(ANSWERS, out)])
+        return pa.Table.from_batches([batch_of(ANSWERS, out)])
 
     return run
 
@@ -462,7 +428,7 @@ def _seat_cells(parts: int, strength: float, discount: float, seed: int, counted
             out.append((0, row["bucket"], row["keys"], row["counts"], pack(tables), pack(sums), None, None, None, None, None, None, None))
             none = np.zeros(0, np.uint64)
             out += [(1, t[1], None, None, None, None, t[0], *t[2:7], 0) for t in _told(row["bucket"], keys, tables, none, parts)]
-        return pa.Table.from_batches([_rows(BOTH, out)])
+        return pa.Table.from_batches([batch_of(BOTH, out)])
 
     return run
 
@@ -485,7 +451,7 @@ def _answer_words(parts: int, samples: int):
                 tables[seen] = unpack(s["table_sums"], "<i8")[at[seen]] / samples
                 p[seen] = unpack(s["p_sums"], "<f8")[at[seen]] / samples
             out.append((0, row["bucket"], row["block"], row["ids"], row["counts"], pack(tables.astype("<f4")), pack(p.astype("<f4"))))
-        return pa.Table.from_batches([_rows(VALUES, out)])
+        return pa.Table.from_batches([batch_of(VALUES, out)])
 
     return run
 
@@ -502,7 +468,7 @@ def _answer_pairs(discount: float, samples: int):
             stop = start + len(unpack(r["keys"], "<u8"))
             out.append((1, r["bucket"], r["block"], b"", b"", b"", pack(values[at[start:stop]])))
             start = stop
-        return pa.Table.from_batches([_rows(VALUES, out)])
+        return pa.Table.from_batches([batch_of(VALUES, out)])
 
     return run
 
@@ -528,7 +494,7 @@ def _score(parts: int, tokens: int, types: int, unknown: float, strength: float,
             add = lambda x: np.add.reduceat(x, starts)
             out += zip(unpack(row["ids"], "<i8").tolist(), unpack(row["no_id"], "u1").tolist(), made.held.astype(int).tolist(), made.sizes.tolist(), add((seen > 0).astype(np.int64)).tolist(),
                        add(np.log10((seen + 1) / (tokens + types + 1))).tolist(), add(np.log10(chance)).tolist())
-        return pa.Table.from_batches([_rows(SCORES, out)])
+        return pa.Table.from_batches([batch_of(SCORES, out)])
 
     return run
 

@@ -1,10 +1,19 @@
 """Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
 
-Characters are read as one of 64 symbols, so a model of order four has at most
-2 ** 24 entries whatever the corpus. All trusted documents are counted; the
-counts are aggregated, and lower orders, context totals and back-off weights
-follow by joins and aggregates of the count tables. A document is accepted if its perplexity
-lies between two quantiles of the trusted documents of its language.
+The model is over characters as they are, any script and both cases, in grams of
+five. Its count tables grow with the text. Documents go to blocks by their id;
+each block sends its distinct grams once, with their trusted counts, to buckets
+by the two characters before the last. All orders from five to three of a gram,
+and their contexts, are in one bucket, which derives the lower orders' counts
+from the grams, joins the counts, and sends each block the probabilities of its
+grams. So no table passes the driver, and a gram in every document is one row
+per block.
+
+Texts are in one of two folds by their hash, so that equal texts share one, and
+are scored by the model of the other: no document is judged by a model that has
+seen it, and thresholds come from held-out scores. A document is accepted if its
+perplexity is not above, and the variety of its grams not below, quantiles of
+the trusted documents of its language and length.
 """
 
 from __future__ import annotations
@@ -13,228 +22,348 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import collected, lookup, prepare, text_or_empty, written
+from .arrays import bucket_slices, pack, pack_rising, unpack, unpack_rising
+from .arrays import rows as batch_of
+from .common import discard, lookup, prepare, text_or_empty, written
 from .tokens import release
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-#: Trusted documents outside these quantiles are where their language's thresholds lie.
-LOW, HIGH = 0.0005, 0.9975
-#: How far beyond the quantiles, as a factor of the perplexity, a document may be.
-MARGIN = 1.05
-#: A text of n symbols may exceed the upper threshold by SHORT / sqrt(n) in the logarithm: means of few symbols vary more.
-SHORT = 3.0
-#: Perplexities are put in bins of this width of their logarithm to find quantiles.
+ORDER = 5
+#: Code points take 21 bits; a text begins after line feeds.
+POINT, START = 21, 10
+#: Characters of a block, of a bucket's text, and of what is worked on at once.
+BLOCK_CHARS, BUCKET_CHARS, AT_ONCE = 1 << 24, 1 << 25, 1 << 21
+#: Thresholds are as far beyond these quantiles of trusted documents, seen from the median, as WIDER says.
+TAIL, WIDER = 0.01, 1.5
+#: Scores are put in bins of this width to find quantiles.
 BIN = 0.002
-#: A language with fewer trusted documents takes the thresholds of all.
-FEWEST = 50
-SPACE = 48
-
-
-def _symbols() -> np.ndarray:
-    """The symbol of each code point below 0x3000; those above are letters."""
-    table = np.zeros(0x3000, np.uint8)
-    for c in range(0x3000):
-        ch = chr(c).lower()[:1]
-        if "a" <= ch <= "z":
-            table[c] = 1 + ord(ch) - ord("a")
-        elif ch.isalpha() or 0x300 <= c < 0x370:
-            table[c] = 27 + ord(ch) % 20
-        elif ch.isdigit():
-            table[c] = 47
-        elif ch.isspace() or c < 32:
-            table[c] = SPACE
-        elif ch in ".,":
-            table[c] = 49 + ".,".index(ch)
-        else:
-            table[c] = 51 + c % 9 if c < 128 else 60
-    return table
-
-
-TABLE = _symbols()
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all grams of ``texts`` in a row, and how many each text has. A text begins after spaces."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    pad = ORDER - 1
-    s = np.full(len(points) + pad * len(texts), SPACE, np.int32)
-    at = np.arange(len(points)) + np.repeat(np.arange(1, len(texts) + 1) * pad, sizes)
-    s[at] = np.where(points < 0x3000, TABLE[np.minimum(points, 0x2FFF)], 27 + points % 20)
-    code = s.copy()
-    for back in range(1, ORDER):
-        code[back:] |= s[:-back] << (BITS * back)
-    return code[at], sizes
-
-
-def count_grams(trusted: DataFrame) -> DataFrame:
-    """``code, n`` of every gram of the column ``text``."""
+#: Trusted documents of a language and length, or of a language, that thresholds of its own take; fewer take those of the language, or of all.
+FEWEST_OF_LENGTH, FEWEST = 100, 50
+#: Where lengths share a threshold, a text of n characters may exceed it by SHORT / sqrt(n): means of few characters vary more.
+SHORT = 3.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SYMBOLS**ORDER, np.uint32)
-        for batch in batches:
-            for texts in _slices(batch.column(0).to_pylist()):
-                code, n = np.unique(grams(texts)[0], return_counts=True)
-                seen[code] += n.astype(np.uint32)
-        used = np.flatnonzero(seen)
-        for start in range(0, len(used), 50_000):
-            some = used[start : start + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some].astype(np.int64))], names=["code", "n"])
-
-    return trusted.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _slices(texts: list[str], letters: int = 1 << 21) -> Iterator[list[str]]:
-    """``texts`` in runs of about ``letters``; a longer one is alone."""
-    some, size = [], 0
-    for t in texts:
-        if some and size + len(t) > letters:
-            yield some
-            some, size = [], 0
-        some.append(t)
+
+def _slices(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about ``AT_ONCE`` characters; a longer one is alone."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > AT_ONCE:
+            yield slice(start, k)
+            start, size = k, 0
         size += len(t)
-    if some:
-        yield some
+    if texts:
+        yield slice(start, len(texts))
+
+
+def points_of(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+class Coder:
+    """Numbers for the grams of a block: exact for up to 4,096 characters, else 64-bit hashes."""
+
+    def __init__(self, alphabet: np.ndarray):
+        self.alphabet = np.union1d(alphabet, [START]).astype(np.int64)
+        self.rank = np.zeros(int(self.alphabet[-1]) + 1, np.uint64)
+        self.rank[self.alphabet] = np.arange(len(self.alphabet))
+        bits = max(1, (len(self.alphabet) - 1).bit_length())
+        self.factor = np.uint64(1 << bits if ORDER * bits <= 64 else 0x9E3779B97F4A7C15)
+
+    def of_characters(self, columns: list[np.ndarray]) -> np.ndarray:
+        code = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            code = code * self.factor + self.rank[c]
+        return code
+
+    def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The number of each gram, how many grams each text has, and the characters of grams."""
+        points = points_of(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        pad = ORDER - 1
+        s = np.full(len(points) + pad * len(texts), START, np.int64)
+        at = np.arange(len(points)) + np.repeat(np.arange(1, len(texts) + 1) * pad, sizes)
+        s[at] = points
+        columns = [s[at - back] for back in range(pad, -1, -1)]
+        return self.of_characters(columns), sizes, columns
+
+
+def joined(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first two characters of grams, and the last three, as numbers."""
+    c = [x.astype(np.uint64) for x in columns]
+    p = np.uint64(POINT)
+    return c[0] << p | c[1], (c[2] << p | c[3]) << p | c[4]
+
+
+def split(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
+    p, mask = np.uint64(POINT), np.uint64((1 << POINT) - 1)
+    return [x.astype(np.int64) for x in (hi >> p, hi & mask, lo >> (p + p), lo >> p & mask, lo & mask)]
+
+
+def bucket_of(lo: np.ndarray, parts: int) -> np.ndarray:
+    """Buckets by the two characters before the last."""
+    context = lo >> np.uint64(POINT)
+    mixed = (context ^ context >> np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def discounts(counts: DataFrame) -> list[float]:
-    """Discounts of grams seen once, twice and more often, from how many there are seen one to four times."""
-    n = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
-    n = [0.0, *(float(n.get(i, 0)) for i in range(1, 5))]
+# Documents in blocks --------------------------------------------------------
+
+PACKED = "block long, id long, g1 long, g2 long, lang string, fold long, text binary"
+
+
+def _packed(docs: DataFrame, blocks: int) -> DataFrame:
+    """Documents with their block, fold and content hash, texts compressed for the shuffle."""
+    g1 = F.xxhash64("lang", "text")
+    place = F.pmod(F.coalesce(F.when(F.col("id").isNotNull(), F.xxhash64("id")), g1), F.lit(blocks))
+    named = docs.select(place.alias("block"), "id", g1.alias("g1"), F.xxhash64(F.lit(1), "lang", "text").alias("g2"), "lang", F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        squeeze = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            texts = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(texts, pa.binary())], names=batch.schema.names)
+
+    return named.mapInArrow(run, PACKED)
+
+
+def _texts(column: pa.ChunkedArray) -> list[str]:
+    expand = zstandard.ZstdDecompressor()
+    return [expand.decompress(t).decode("utf-8", "surrogatepass") for t in column.to_pylist()]
+
+
+# Counts ---------------------------------------------------------------------
+
+#: A block's distinct grams in a bucket, and their trusted counts in both folds; bucket -1 has its trusted characters.
+GRAMS = "bucket int, block long, lo binary, hi binary, a binary, b binary"
+
+
+def _count(parts: int):
+    def run(docs: pa.Table, labels: pa.Table) -> pa.Table:
+        good = set(labels.column("good_id").to_pylist())
+        texts, folds = _texts(docs.column("text")), docs.column("fold").to_pylist()
+        groups: list[list[str]] = [[], [], []]  # trusted in either fold, others
+        for i, fold, t in zip(docs.column("id").to_pylist(), folds, texts):
+            groups[fold if i in good else 2].append(t)
+        block = docs.column("block")[0].as_py()
+        alphabets = [np.unique(np.concatenate([np.zeros(0, "<u4"), *(np.unique(points_of(g[s])) for s in _slices(g))])) for g in groups]
+        coder = Coder(np.concatenate(alphabets))
+        codes, columns, counts, group = [], [], [], []
+        for k, g in enumerate(groups):
+            for s in _slices(g):
+                code, _, characters = coder.of_texts(g[s])
+                found, first, n = np.unique(code, return_index=True, return_counts=True)
+                codes.append(found)
+                columns.append(np.stack([c[first] for c in characters]))
+                counts.append(n)
+                group.append(np.full(len(found), k))
+        out = [(-1, block, pack(np.union1d(*alphabets[:2]).astype("<u4")), b"", b"", b"")]
+        if codes:
+            code, first, at = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
+            hi, lo = joined(list(np.concatenate(columns, 1)[:, first]))
+            counts, group = np.concatenate(counts), np.concatenate(group)
+            a, b = (np.bincount(at[group == k], counts[group == k], len(code)).astype("<u4") for k in (0, 1))
+            bucket = bucket_of(lo, parts)
+            order = np.lexsort((hi, lo, bucket))
+            for k, s in bucket_slices(bucket[order], parts):
+                some = order[s]
+                out.append((k, block, pack_rising(lo[some]), pack(hi[some]), pack(a[some]), pack(b[some])))
+        return pa.Table.from_batches([batch_of(GRAMS, out)])
+
+    return run
+
+
+# Probabilities --------------------------------------------------------------
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken from grams seen not at all, once, twice and more often, by how many are seen one to four times."""
+    n = [0.0, *(float((counts == k).sum()) for k in range(1, 5))]
     if not n[1] or not n[2]:
-        return [0.5, 0.75, 0.9]
+        return np.array([0.0, 0.5, 0.75, 0.9])
     y = n[1] / (n[1] + 2 * n[2])
-    raw = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else float(i) * 0.75 for i in (1, 2, 3)]
-    return [min(max(d, 0.05), i - 0.05) for i, d in zip((1, 2, 3), raw)]
+    raw = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * 0.75 for k in (1, 2, 3)]
+    return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw))])
+
+
+def _level(counts: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities of one order from counts, the group of each gram's context, and the order below."""
+    off = discounts(counts)[np.minimum(counts, 3)]
+    total, lost = np.bincount(context, counts), np.bincount(context, off)
+    total, lost = total[context], lost[context]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(total > 0, (counts - off) / total + lost / total * lower, lower)
+
+
+def kneser_ney(hi: np.ndarray, lo: np.ndarray, counts: np.ndarray, base: float) -> np.ndarray:
+    """The probability of each distinct gram of a bucket, from the counts of all; ``base`` is that of any character."""
+    groups = lambda x: np.unique(x, return_inverse=True)[1]
+    p, mask = np.uint64(POINT), np.uint64((1 << POINT) - 1)
+    before = groups(lo >> p).astype(np.uint64)  # contexts of order three; their numbers and the first characters fit 64 bits
+    last = groups(lo).astype(np.uint64)
+    _, first_4, four = np.unique(last << p | hi & mask, return_index=True, return_inverse=True)
+    _, first_3, three = np.unique(last[first_4], return_index=True, return_inverse=True)
+    counts_4 = np.bincount(four, counts > 0).astype(np.int64)  # different characters before
+    counts_3 = np.bincount(three, counts_4 > 0).astype(np.int64)
+    p_3 = _level(counts_3, groups(before[first_4][first_3]), np.full(len(first_3), base))
+    p_4 = _level(counts_4, groups(before[first_4] << p | hi[first_4] & mask), p_3[three])
+    return _level(counts, groups(before << (p + p) | hi), p_4[four])
+
+
+#: To a block: its grams and their log probabilities in the models of both folds (kind 0), or its trusted ids (kind 1).
+ANSWERS = "kind int, bucket int, block long, lo binary, hi binary, a binary, b binary, good_id long"
+
+
+def _probabilities(base: float):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        lo = [unpack_rising(r["lo"], "<u8") for r in rows]
+        hi = [unpack(r["hi"], "<u8") for r in rows]
+        every_lo, every_hi = np.concatenate(lo), np.concatenate(hi)
+        order = np.lexsort((every_hi, every_lo))
+        new = np.r_[True, (np.diff(every_lo[order]) != 0) | (np.diff(every_hi[order]) != 0)]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        own_lo, own_hi = every_lo[order][new], every_hi[order][new]
+        logs = []
+        for fold in ("a", "b"):
+            counts = np.bincount(at, np.concatenate([unpack(r[fold], "<u4") for r in rows])).astype(np.int64)
+            logs.append(np.log(kneser_ney(own_hi, own_lo, counts, base)).astype("<f4"))
+        out, start = [], 0
+        for r, x in zip(rows, lo):
+            some = at[start : start + len(x)]
+            out.append((0, r["bucket"], r["block"], r["lo"], r["hi"], pack(logs[0][some]), pack(logs[1][some]), None))
+            start += len(x)
+        return pa.Table.from_batches([batch_of(ANSWERS, out)])
+
+    return run
+
+
+# Scores ---------------------------------------------------------------------
+
+SCORES = "id long, g1 long, g2 long, lang string, n_chars long, trusted boolean, log_perplexity double, n_distinct long"
+
+
+def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    rows = [r for r in answers.to_pylist() if r["kind"] == 0]
+    good = set(answers.column("good_id").to_pylist()) - {None}
+    texts = _texts(docs.column("text"))
+    n_chars = np.fromiter(map(len, texts), np.int64, len(texts))
+    sums, distinct = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    if rows:
+        columns = split(np.concatenate([unpack(r["hi"], "<u8") for r in rows]), np.concatenate([unpack_rising(r["lo"], "<u8") for r in rows]))
+        coder = Coder(np.unique(columns[-1]))
+        codes = coder.of_characters(columns)
+        order = np.argsort(codes)
+        codes = codes[order]
+        folds = np.array(docs.column("fold").to_pylist())
+        for fold, name in ((0, "b"), (1, "a")):  # the model of the other fold
+            logs = np.concatenate([unpack(r[name], "<f4") for r in rows])[order].astype(float)
+            own = np.flatnonzero(folds == fold)
+            mine = [texts[k] for k in own.tolist()]
+            for s in _slices(mine):
+                code, sizes, _ = coder.of_texts(mine[s])
+                found, at = np.unique(code, return_inverse=True)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                sums[own[s]] = np.bincount(owner, logs[np.searchsorted(codes, found)][at], len(sizes))
+                distinct[own[s]] = np.bincount(np.unique(owner << 32 | at) >> 32, minlength=len(sizes))
+    with np.errstate(invalid="ignore"):
+        mean = -sums / np.where(n_chars, n_chars, np.nan)
+    trusted = [i in good for i in docs.column("id").to_pylist()]
+    return pa.Table.from_arrays(
+        [docs.column(c).combine_chunks() for c in ("id", "g1", "g2", "lang")] + [pa.array(n_chars), pa.array(trusted, pa.bool_()), pa.array(mean, from_pandas=True), pa.array(distinct)],
+        names=[f.split()[0] for f in SCORES.split(", ")],
+    )
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """The model of the column ``text``: ``kind`` (p of a gram, or g, the back-off weight of a context), ``size, code, value``.
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of the rows of ``docs`` (``id, lang, text``), each by the model of the trusted texts of the other fold; written.
 
-    Order by order, each from the tables before it: counts of the highest order are of grams,
-    those below of the different symbols that precede. No text gives no rows.
+    ``labels`` has the trusted ids, once each, as ``good_id``. ``log_perplexity`` is the mean negative log probability of
+    a character, null for an empty text; ``n_distinct`` counts different grams.
     """
-    counts = {ORDER: written(count_grams(trusted), "grams")}
-    for k in range(ORDER - 1, 0, -1):
-        suffix = F.col("code").bitwiseAND(SYMBOLS**k - 1)
-        counts[k] = written(counts[k + 1].groupBy(suffix.alias("code")).agg(F.count("*").alias("n")), "grams")
-    parts, lower = [], None
-    for k in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(counts[k])
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = counts[k].withColumn("off", off).withColumn("context", F.shiftright("code", BITS))
-        context = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("weight"))
-        rows = lookup(rows, context, ["context"])
-        if lower is None:
-            below = F.lit(1.0 / SYMBOLS)
-        else:
-            rows = lookup(rows.withColumn("suffix", F.col("code").bitwiseAND(SYMBOLS ** (k - 1) - 1)), lower, ["suffix"])
-            below = F.col("below")
-        p = (F.col("n") - F.col("off")) / F.col("total") + F.col("weight") * below
-        made = written(rows.select("code", p.alias("value")), "probabilities")
-        lower = made.select(F.col("code").alias("suffix"), F.col("value").alias("below"))
-        parts += [made.select(F.lit("p").alias("kind"), F.lit(k).alias("size"), "code", "value"), context.select(F.lit("g").alias("kind"), F.lit(k).alias("size"), F.col("context").alias("code"), F.col("weight").alias("value"))]
-    model = parts[0]
-    for p in parts[1:]:
-        model = model.unionByName(p)
-    return written(model, "model")
-
-
-class Model:
-    """Log probabilities of all grams; a dense table of ``SYMBOLS ** ORDER`` numbers, made where it is used."""
-
-    def __init__(self, model: DataFrame):
-        # Bounded by the number of symbols, not by the corpus.
-        rows = collected(model.select(F.when(F.col("kind") == "p", F.col("size")).otherwise(-F.col("size")).alias("part"), "code", "value"))
-        self.parts = {}
-        for part in np.unique(rows["part"]).tolist():
-            own = rows["part"] == part
-            self.parts["p" if part > 0 else "g", abs(part)] = rows["code"][own].astype(np.int32), rows["value"][own].astype(np.float32)
-        self.key = id(self), len(rows["part"]), float(rows["value"].sum())
-
-    def dense(self) -> np.ndarray:
-        nothing = np.zeros(0, np.int32), np.zeros(0, np.float32)
-        p = np.full(1, 1.0 / SYMBOLS, np.float32)
-        for k in range(1, ORDER + 1):
-            weight = np.ones(SYMBOLS ** (k - 1), np.float32)
-            at, value = self.parts.get(("g", k), nothing)
-            weight[at] = value
-            # Gram c w backs off to the end of c, then w.
-            lower = np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS, 1)) if k > 1 else np.full((1, SYMBOLS), p[0], np.float32)
-            p = (lower * weight[:, None]).reshape(-1)
-            at, value = self.parts.get(("p", k), nothing)
-            p[at] = value
-        return np.log(p, out=p)
-
-    def log_perplexity(self, texts: list[str], table: np.ndarray) -> np.ndarray:
-        """Mean negative log probability of a symbol; NaN for an empty text."""
-        out = []
-        for some in _slices(texts):
-            code, sizes = grams(some)
-            sums = np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])
-            ends = np.cumsum(sizes)
-            with np.errstate(invalid="ignore"):
-                out.append((sums[ends - sizes] - sums[ends]) / np.where(sizes, sizes, np.nan))
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-_DENSE: dict[tuple, np.ndarray] = {}
-
-
-def _table(model: Model) -> np.ndarray:
-    """The dense table of ``model``, made once in a process."""
-    if model.key not in _DENSE:
-        _DENSE.clear()
-        _DENSE[model.key] = model.dense()
-    return _DENSE[model.key]
-
-
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` (the last of them the text) with ``symbols, log_perplexity`` in place of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks, parts = max(1, -(-chars // BLOCK_CHARS)), max(1, -(-chars // BUCKET_CHARS))
+    packed = _packed(docs, blocks)
+    good = labels.where("good_id is not null").select(F.pmod(F.xxhash64(F.col("good_id").cast("long")), F.lit(blocks)).alias("block"), F.col("good_id").cast("long").alias("good_id"))
+    grams = written(packed.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_skip_labels(_count(parts), GRAMS), GRAMS), "quality-grams")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # shuffled texts can go
+    base = 1.0 / (1 + _distinct_characters(grams))
+    answers = written(grams.where("bucket >= 0").groupBy("bucket").applyInArrow(_probabilities(base), ANSWERS), "quality-answers")
+    discard(grams)
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("lo", "hi", "a", "b")]
+    both = answers.unionByName(good.select(F.lit(1).alias("kind"), F.lit(-1).alias("bucket"), "block", *empty, "good_id"))
+    scores = written(packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_skip_labels(_score, SCORES), SCORES), "quality-scores")
+    discard(answers)
+    return scores
+
+
+def _skip_labels(run, schema: str):
+    """``run`` for blocks with documents; labels alone have no result."""
+
+    def some(docs: pa.Table, other: pa.Table) -> pa.Table:
+        if docs.num_rows:
+            return run(docs, other)
+        return pa.Table.from_batches([batch_of(schema, [])])
+
+    return some
+
+
+def _distinct_characters(grams: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        table = _table(shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            values = shared.value.log_perplexity(texts, table)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, texts), pa.int64()), pa.array(values, from_pandas=True)], names=[*batch.schema.names[:-1], "symbols", "log_perplexity"])
+            for raw in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(raw, "<u4").astype(np.int64))], names=["c"])
+
+    return grams.where("bucket = -1").select("lo").mapInArrow(run, "c long").distinct().count()
+
+
+# Thresholds -----------------------------------------------------------------
 
-    schema = docs.select(*columns[:-1]).schema.add("symbols", "long").add("log_perplexity", "double")
-    return docs.select(*columns).mapInArrow(run, schema)
 
+def measures(scores: DataFrame) -> DataFrame:
+    """``scores`` with ``length`` (the binary logarithm, rounded down) and ``variety``: the exponent of different grams to grams."""
+    variety = F.log(F.col("n_distinct") + 1) / F.log(F.col("n_chars") + 1)
+    return scores.withColumn("length", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")).withColumn("variety", F.when(F.col("n_chars") > 0, variety))
 
-def thresholds(trusted_scores: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``lang, least, most`` (of the log perplexity) from the columns ``lang, log_perplexity`` of trusted documents.
 
-    Quantiles are exact up to the width of a bin. Languages with few trusted documents are not listed; the row of
-    a null ``lang`` with ``every`` true is over all.
+def thresholds(trusted: DataFrame) -> DataFrame:
+    """``level, lang, length, most, least`` from ``lang, length, log_perplexity, variety`` of trusted documents.
+
+    Level 2 is per language and length, 1 per language, 0 over all, each where there are enough documents. Quantiles
+    are exact up to the width of a bin.
     """
-    binned = trusted_scores.where("log_perplexity is not null").select("lang", F.round(F.col("log_perplexity") / BIN).cast("long").alias("bin"))
-    own = binned.withColumn("every", F.lit(False))
-    both = own.unionByName(binned.select(F.lit(None).cast("string").alias("lang"), "bin", F.lit(True).alias("every")))
-    # One row per language and bin; a perplexity of 64 symbols has few bins.
-    counted = both.groupBy("every", "lang", "bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("every", "lang")
-    running = counted.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    limits = running.groupBy("every", "lang").agg(
-        F.min(F.when(F.col("upto") >= low * F.col("total"), F.col("bin"))).alias("low"), F.min(F.when(F.col("upto") >= high * F.col("total"), F.col("bin"))).alias("high"), F.max("total").alias("total")
-    )
-    margin = float(np.log(MARGIN))
-    return limits.where(F.col("every") | (F.col("total") >= FEWEST)).select("every", "lang", (F.col("low") * BIN - BIN - margin).alias("least"), (F.col("high") * BIN + BIN + margin).alias("most"))
+    known = trusted.where("log_perplexity is not null")
+    none_s, none_i = F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("length")
+    levels = [known.select(F.lit(k).alias("level"), *cols, "log_perplexity", "variety") for k, cols in ((2, ["lang", "length"]), (1, ["lang", none_i]), (0, [none_s, none_i]))]
+    keys = ["level", "lang", "length"]
+    limits = None
+    for name, tail in (("log_perplexity", 1 - TAIL), ("variety", TAIL)):
+        binned = [df.select(*keys, F.round(F.col(name) / BIN).cast("long").alias("bin")) for df in levels]
+        # One row per group and bin: both measures have few bins.
+        counted = binned[0].unionByName(binned[1]).unionByName(binned[2]).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+        w = Window.partitionBy(*keys)
+        running = counted.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+        quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) * BIN
+        middle = running.groupBy(*keys).agg(quantile(0.5).alias("middle"), quantile(tail).alias("tail"), F.max("total").alias(f"n_{name}"))
+        limit = F.col("middle") + WIDER * (F.col("tail") - F.col("middle")) + (BIN if tail > 0.5 else -BIN)
+        one = middle.select(*keys, limit.alias("most" if tail > 0.5 else "least"), f"n_{name}")
+        limits = one if limits is None else lookup(limits, one, keys)
+    enough = F.element_at(F.array(F.lit(1), F.lit(FEWEST), F.lit(FEWEST_OF_LENGTH)), F.col("level") + 1)
+    return limits.where(F.col("n_log_perplexity") >= enough).select(*keys, "most", "least")
 
 
 class Classifier:
-    """The model and thresholds of ``docs`` and ``labels``.
+    """Scores and thresholds of ``docs`` under ``labels``.
 
     Trusted are documents with a label of quality 1 that is not toxic; all of them are counted, and all
-    are scored for the thresholds. Labels without an id match nothing, and repeated labels count once. Without
-    trusted text there are no thresholds, and every document with any text is kept.
+    give thresholds. Labels without an id match nothing, and repeated labels count once. Without
+    trusted text there are no thresholds, and every document with any text is kept. Texts are taken whole, whatever
+    their length; memory of a task grows with the longest text. Repeated texts have equal verdicts. Other columns of
+    ``docs`` are not looked at.
     """
 
     def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
@@ -242,36 +371,43 @@ class Classifier:
         self.id_col, self.text_col, self.lang_col = id_col, text_col, lang_col
         good = labels.groupBy(F.col("doc_id").alias("good_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
         good = good.where("quality = 1 and coalesce(toxic, 0) = 0").select("good_id")
-        texts = docs.select(F.col(id_col).alias("good_id"), text_or_empty(text_col).alias("text"))
-        # Labels grow with the documents, so they are joined by shuffle at every size.
-        self.model = Model(train(texts.join(good.hint("merge"), "good_id", "left_semi")))
-        self.scores = written(self._scored(docs), "perplexities")
-        scored = self.scores.select(F.col("doc_id").alias("good_id"), "lang", "log_perplexity")
-        self.limits = written(thresholds(scored.join(good, "good_id", "left_semi")), "thresholds")
-
-    def _scored(self, docs: DataFrame) -> DataFrame:
-        named = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.lang_col).cast("string").alias("lang"), text_or_empty(self.text_col).alias("text"))
-        return score(named, self.model, ["doc_id", "lang", "text"])
-
-    def judged(self, scored: DataFrame) -> DataFrame:
-        """``scored`` (with ``lang, symbols, log_perplexity``) with ``least, most, kept``."""
-        own = lookup(scored, self.limits.where("not every").select("lang", F.col("least").alias("own_least"), F.col("most").alias("own_most")), ["lang"])
-        every = self.limits.where("every").agg(F.max("least").alias("all_least"), F.max("most").alias("all_most"))
-        limited = own.join(F.broadcast(every))  # one row
-        limited = limited.withColumn("least", F.coalesce("own_least", "all_least")).withColumn("most", F.coalesce("own_most", "all_most") + SHORT / F.sqrt(F.greatest("symbols", F.lit(1)))).drop("own_least", "own_most", "all_least", "all_most")
-        fits = F.coalesce(F.col("log_perplexity").between(F.col("least"), F.col("most")), F.lit(True))
-        return limited.withColumn("kept", F.col("log_perplexity").isNotNull() & fits)
+        self.scores = measures(score(self._named(docs), good))
+        self.limits = written(thresholds(self.scores.where("trusted")), "thresholds")
+
+    def _named(self, docs: DataFrame) -> DataFrame:
+        return docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.lang_col).cast("string").alias("lang"), text_or_empty(self.text_col).alias("text"))
+
+    def judged(self) -> DataFrame:
+        """``scores`` with ``most, least, kept``, by the thresholds of the finest level there are."""
+        out = self.scores
+        for level, keys in ((2, ["lang", "length"]), (1, ["lang"]), (0, [])):
+            own = self.limits.where(F.col("level") == level).select(*keys, F.col("most").alias(f"most_{level}"), F.col("least").alias(f"least_{level}"))
+            if not keys:
+                out, own = out.withColumn("__all", F.lit(1)), own.withColumn("__all", F.lit(1))
+            out = lookup(out, own, keys or ["__all"])
+        more = SHORT / F.sqrt(F.greatest("n_chars", F.lit(1)))
+        most = F.coalesce("most_2", F.col("most_1") + more, F.col("most_0") + more)
+        out = out.withColumn("most", most).withColumn("least", F.coalesce("least_2", "least_1", "least_0"))
+        fits = F.coalesce((F.col("log_perplexity") <= F.col("most")) & (F.col("variety") >= F.col("least")), F.lit(True))
+        kept = F.col("log_perplexity").isNotNull() & fits
+        return out.withColumn("kept", kept).drop("__all", *[f"{m}_{k}" for m in ("most", "least") for k in range(3)])
 
     def verdicts(self) -> DataFrame:
-        """Per row: ``doc_id, lang, perplexity, least, most, kept``.
+        """Per row: ``doc_id, lang, perplexity, most`` (of the perplexity), ``variety, least`` (of the variety), ``kept``.
 
-        A null or empty text has a null perplexity and is not kept. Rows with equal ids are
-        judged one by one. A null language is one of its own. No rows give no rows.
+        A null or empty text has a null perplexity and is not kept. Rows with equal ids are judged one by one. A null
+        language is one of its own. No rows give no rows.
         """
-        out = self.judged(self.scores)
-        return out.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("least").alias("least"), F.exp("most").alias("most"), "kept")
+        out = self.judged()
+        return out.select(F.col("id").alias("doc_id"), "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("most").alias("most"), "variety", "least", "kept")
 
     def accepted(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs`` that are accepted, with their own columns; scored where they are read."""
-        nested = docs.select(F.struct("*").alias("row"), F.col(self.lang_col).cast("string").alias("lang"), text_or_empty(self.text_col).alias("text"))
-        return self.judged(score(nested, self.model, ["row", "lang", "text"])).where("kept").select("row.*")
+        """The rows of ``docs`` that are accepted, with their own columns.
+
+        Verdicts are those of the language and text, by a 128-bit hash of both.
+        """
+        text = text_or_empty(self.text_col)
+        lang = F.col(self.lang_col).cast("string")
+        keyed = docs.withColumns({"__g1": F.xxhash64(lang, text), "__g2": F.xxhash64(F.lit(1), lang, text)})
+        kept = self.judged().where("kept").select(F.col("g1").alias("__g1"), F.col("g2").alias("__g2")).distinct()
+        return keyed.join(kept, ["__g1", "__g2"], "left_semi").select(*docs.columns)
