@@ -80,8 +80,7 @@ def test_wide_alphabets_are_coded_by_hashes():
     assert (coder.of_characters(quality.split(*quality.joined(columns))) == code).all()
 
 
-def test_thresholds_and_verdicts_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(quality, "FEWEST_OF_LENGTH", 40)
+def test_thresholds_and_verdicts_by_brute_force(spark):
     r = random.Random(2)
     rows = [(i, r.choice(["en", "de"]) if i % 9 else None, r.randrange(1, 3000), r.random() < 0.6, r.gauss(2, 0.3) if i % 50 else None, r.randrange(1, 900)) for i in range(900)]
     scores = spark.createDataFrame([(i, i, i, lang, n, t, v, min(k, n)) for i, lang, n, t, v, k in rows], quality.SCORES)
@@ -103,7 +102,8 @@ def test_thresholds_and_verdicts_by_brute_force(spark, monkeypatch):
     def limits(key):
         v, w = zip(*groups[key])
         mid = lambda x: quantile(x, 0.5)
-        return mid(v) + quality.WIDER * (quantile(v, 0.99) - mid(v)) + quality.BIN, mid(w) + quality.WIDER * (quantile(w, 0.01) - mid(w)) - quality.BIN
+        (high, up), (low, down) = quality.PERPLEXITY, quality.VARIETY
+        return mid(v) + up * (quantile(v, high) - mid(v)) + quality.BIN, mid(w) + down * (quantile(w, low) - mid(w)) - quality.BIN
 
     got = {x["id"]: x for x in found.judged().collect()}
     levels = set()

@@ -36,12 +36,12 @@ ORDER = 5
 POINT, START = 21, 10
 #: Characters of a block, of a bucket's text, and of what is worked on at once.
 BLOCK_CHARS, BUCKET_CHARS, AT_ONCE = 1 << 24, 1 << 25, 1 << 21
-#: Thresholds are as far beyond these quantiles of trusted documents, seen from the median, as WIDER says.
-TAIL, WIDER = 0.01, 1.5
+#: Quantiles of trusted documents, and how far thresholds lie beyond them as a factor of their distance from the median.
+PERPLEXITY, VARIETY = (0.97, 1.3), (0.01, 1.5)
 #: Scores are put in bins of this width to find quantiles.
 BIN = 0.002
 #: Trusted documents of a language and length, or of a language, that thresholds of its own take; fewer take those of the language, or of all.
-FEWEST_OF_LENGTH, FEWEST = 100, 50
+FEWEST_OF_LENGTH, FEWEST = 40, 50
 #: Where lengths share a threshold, a text of n characters may exceed it by SHORT / sqrt(n): means of few characters vary more.
 SHORT = 3.0
 
@@ -341,7 +341,7 @@ def thresholds(trusted: DataFrame) -> DataFrame:
     levels = [known.select(F.lit(k).alias("level"), *cols, "log_perplexity", "variety") for k, cols in ((2, ["lang", "length"]), (1, ["lang", none_i]), (0, [none_s, none_i]))]
     keys = ["level", "lang", "length"]
     limits = None
-    for name, tail in (("log_perplexity", 1 - TAIL), ("variety", TAIL)):
+    for name, limited, (tail, wider), bin_up in (("log_perplexity", "most", PERPLEXITY, BIN), ("variety", "least", VARIETY, -BIN)):
         binned = [df.select(*keys, F.round(F.col(name) / BIN).cast("long").alias("bin")) for df in levels]
         # One row per group and bin: both measures have few bins.
         counted = binned[0].unionByName(binned[1]).unionByName(binned[2]).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
@@ -349,8 +349,8 @@ def thresholds(trusted: DataFrame) -> DataFrame:
         running = counted.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
         quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) * BIN
         middle = running.groupBy(*keys).agg(quantile(0.5).alias("middle"), quantile(tail).alias("tail"), F.max("total").alias(f"n_{name}"))
-        limit = F.col("middle") + WIDER * (F.col("tail") - F.col("middle")) + (BIN if tail > 0.5 else -BIN)
-        one = middle.select(*keys, limit.alias("most" if tail > 0.5 else "least"), f"n_{name}")
+        limit = F.col("middle") + wider * (F.col("tail") - F.col("middle")) + bin_up
+        one = middle.select(*keys, limit.alias(limited), f"n_{name}")
         limits = one if limits is None else lookup(limits, one, keys)
     enough = F.element_at(F.array(F.lit(1), F.lit(FEWEST), F.lit(FEWEST_OF_LENGTH)), F.col("level") + 1)
     return limits.where(F.col("n_log_perplexity") >= enough).select(*keys, "most", "least")
