@@ -122,3 +122,15 @@ def test_any_notice_within_its_edits_is_found():
             if words.decode() != edited:  # an edit took a whole word, and with it a space
                 continue
             assert any(n == i and e <= edits for _, n, _, _, e in search.find(words)), notice
+
+
+def test_many_licenses_in_one_long_text(spark):
+    unit = "Released under the MIT License é。 "
+    n = 4000
+    text = unit * n
+    row = licenses.scan_licenses(documents(spark, [(1, text)])).first()
+    assert row["n_words"] == 6 * n
+    assert [(b["label"], b["start"]) for b in row["base"]] == [("mit", 6 * k + 3) for k in range(n)]
+    size = len(licenses.read_words(unit.encode())) + 1
+    exact = [x for x in row["notices"] if x["edits"] == 0]
+    assert [(x["start"], x["first_word"], x["last_word"]) for x in exact] == [(size * k, 6 * k, 6 * k + 4) for k in range(n)]

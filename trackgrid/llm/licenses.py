@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,15 +109,25 @@ class NoticeSearch:
                 low = max(a, done, 0)
                 # A window is cut at bytes; characters that the cut breaks are not part of a notice.
                 window = words[low : max(b, low)].decode("utf-8", "surrogateescape")
+                byte_of = _byte_places(window)
                 at = 0
                 while m := form.search(window, at):
-                    start = low + len(window[: m.start()].encode("utf-8", "surrogateescape"))
-                    stop = start + len(m[0].encode("utf-8", "surrogateescape"))
+                    start, stop = (low + (k if byte_of is None else int(byte_of[k])) for k in m.span())
                     out.append((self.notices[i][1], i, start, stop, sum(m.fuzzy_counts)))
                     done, at = stop, max(m.end(), m.start() + 1)
         return sorted(out, key=lambda x: (x[2], x[1]))
 
 
+def _byte_places(text: str) -> np.ndarray | None:
+    """The byte where each character of ``text`` begins, and its end; None if each is one byte."""
+    if text.isascii():
+        return None
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    sizes[(points >= 0xDC80) & (points <= 0xDCFF)] = 1  # bytes that are no character
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _merged(starts: list[int], edits: int, size: int) -> list[list[int]]:
     """Windows that hold the notice for each start, give or take ``edits``; those that meet become one."""
     windows: list[list[int]] = []
@@ -135,7 +146,7 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, letters_pe
     ``n_words``; ``base``: label and first word of every place of a base phrase; ``notices``: label,
     number of the notice, span in bytes of the text as read (see :func:`read_words`), edits, and
     the words it touches. A null or empty text has no words and empty lists. Rows with equal ids are scanned one by one, other
-    columns are not read, and texts of any length are scanned whole.
+    columns are not read, and texts of any length are scanned whole, in time that grows with their length.
     """
     prepare(docs.sparkSession)
 
@@ -148,11 +159,18 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, letters_pe
             n, base, found = [], [], []
             for text in batch.column(1).to_pylist():
                 words = read_words(text)
-                n.append(words.count(b" ") + 1 if words else 0)
-                base.append([{"label": label, "start": words.count(b" ", 0, at)} for p, label in phrases for at in places_of(p, words)])
+                spaces = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+                word_at = lambda places: np.searchsorted(spaces, places).tolist()  # the spaces before a place
+                n.append(len(spaces) + 1 if words else 0)
+                own = []
+                for p, label in phrases:
+                    own += [{"label": label, "start": w} for w in word_at(list(places_of(p, words)))]
+                base.append(own)
+                spans = search.find(words)
+                firsts, lasts = word_at([s[2] for s in spans]), word_at([max(s[2], s[3] - 1) for s in spans])
                 found.append([
-                    {"label": label, "notice": i, "start": a, "stop": b, "edits": e, "first_word": words.count(b" ", 0, a), "last_word": words.count(b" ", 0, max(a, b - 1))}
-                    for label, i, a, b, e in search.find(words)
+                    {"label": label, "notice": i, "start": a, "stop": b, "edits": e, "first_word": f, "last_word": last}
+                    for (label, i, a, b, e), f, last in zip(spans, firsts, lasts)
                 ])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(base, base_type), pa.array(found, notice_type)], names=["doc_id", "n_words", "base", "notices"])
 
