@@ -18,6 +18,7 @@ from stand_ins import with_views
 from trackgrid.functions import geometry as G
 from trackgrid.operators.boundary import buffer_convex, feature_envelope
 from trackgrid.operators.features import explode_rings, length, signed_areas
+from trackgrid.operators.overlay import polygon_area
 from trackgrid.operators.reshape import concat_time
 from trackgrid.session import scratch_path
 
@@ -164,6 +165,18 @@ def s6(spark, d):
     return tg.read_features(spark, path, bbox=BOX).drop("geom")
 
 
+@register("s6_write_features_null", f"""select road_id, road_class, case when road_id % 5 > 1 then xmin end as xmin,
+  case when road_id % 5 > 1 then ymax end as ymax, case when road_id % 5 > 0 then 'LineString' end as kind
+from (select road_id, road_class, {LINE_BOX} from roads)""", "roads")
+def s6n(spark, d):
+    """Roads of which some have no geometry and some an empty one, written as GeoJSON lines and read back: none is lost."""
+    path = scratch_path(spark, "roads-null") + ".geojsonl"
+    geom = F.expr("case road_id % 5 when 0 then null when 1 then named_struct('kind', 'LineString', 'parts', filter(geom.parts, p -> false)) else geom end")
+    tg.write_features(tg.make_features(S.roads(spark, d).drop(*G.BOX), geom), path, "geojsonl")
+    back = tg.read_features(spark, path, properties="road_id bigint, road_class string")
+    return back.select("road_id", "road_class", "xmin", "ymax", F.col("geom.kind").alias("kind"))
+
+
 @register("s7_write_grid", f"""select latitude, {stats_sql('ndvi')} from grid_ship
   where time >= timestamp '1998-03-01' and time < timestamp '1999-01-01' group by 1""", "grid_ship")
 def s7(spark, d):
@@ -422,6 +435,24 @@ def j3p(spark, d):
     return rounded(out, "latitude", "longitude")
 
 
+def off_axis(spark, d):
+    """``grid_day`` with the places of every other longitude moved by a third of a step in latitude."""
+    moved = S.view(spark, d, "grid_day").withColumn("latitude", F.expr("latitude + if(cast(round((longitude + 129.9D) / 1.5D) as int) % 2 = 1, 0.5D, 0D)"))
+    return tg.GridFrame.of(moved)
+
+
+@register("j3_reindex_off_axis", """with t as (select distinct time from grid_day),
+a as (select distinct latitude from grid_day), o as (select distinct longitude from grid_day)
+select t.time, round(a.latitude, 6)+0.0 as latitude, round(o.longitude, 6)+0.0 as longitude, g.t2m from t, a, o
+left join grid_day g on g.time = t.time and g.latitude = a.latitude and g.longitude = o.longitude
+ and cast(round((g.longitude+129.9)/1.5) as int) % 2 = 0""", "grid_day")
+def j3o(spark, d):
+    """Data between the places of the other grid have no place there: no row is doubled, no value moves."""
+    g = S.grid(spark, d, "grid_day")
+    out = off_axis(spark, d).reindex_like(g.with_axes({dim: g.axis(dim) for dim in g.dims})).df
+    return rounded(out, "latitude", "longitude")
+
+
 # 2.5 Aggregations -----------------------------------------------------------
 
 
@@ -431,6 +462,32 @@ def a1(spark, d):
     return explode_rings(multi, "deployment_id").select("deployment_id", "x", "y")
 
 
+def sweep_sql(name: str, boxes: str, key: str) -> str:
+    """Views ``name_x`` and ``name_y``: of the union of boxes, per key, its area and the length of the sides along an axis."""
+
+    def along(out: str, a: str, b: str) -> str:
+        return f"""{out}_v as (select {key}, {a}min as v from {boxes} union select {key}, {a}max from {boxes}),
+{out}_s as (select {key}, v as lo, lead(v) over (partition by {key} order by v) as hi from {out}_v),
+{out}_b as (select s.{key}, s.lo, s.hi, p.{b}min as b0, p.{b}max as b1,
+  max(p.{b}max) over (partition by s.{key}, s.lo order by p.{b}min, p.{b}max rows between unbounded preceding and 1 preceding) as far
+  from {out}_s s join {boxes} p on p.{key} = s.{key} and p.{a}min <= s.lo and p.{a}max >= s.hi where s.hi is not null),
+{out} as (select {key}, sum((hi-lo)*greatest(0e0, b1-greatest(b0, coalesce(far, b0)))) as area,
+  sum(case when far is null or b0 > far then 2*(hi-lo) else 0e0 end) as side from {out}_b group by 1)"""
+
+    return along(f"{name}_x", "x", "y") + ",\n" + along(f"{name}_y", "y", "x")
+
+
+@register("a1_dissolve_polygons", f"""with p as (select brand, round(xmin, 9) as xmin, round(ymin, 9) as ymin, round(xmax, 9) as xmax,
+  round(ymax, 9) as ymax from parcels),
+{sweep_sql('u', 'p', 'brand')}
+select u_x.brand, round(u_x.area, 5) as area, round(u_x.side + u_y.side, 5) as outline from u_x join u_y on u_x.brand = u_y.brand""",
+          "parcels")
+def a1p(spark, d):
+    """The union of the parcels of each brand, which overlap: its area and the length of its outline."""
+    united = tg.dissolve_polygons(S.parcels(spark, d), ["brand"])
+    return rounded(united.select("brand", polygon_area().alias("area"), length().alias("outline")), "area", "outline", digits=5)
+
+
 @register("a2_envelope", """select deployment_id, min(location_long) as xmin, min(location_lat) as ymin,
   max(location_long) as xmax, max(location_lat) as ymax from tracks group by 1""", "tracks")
 def a2(spark, d):
@@ -654,6 +711,14 @@ def i3(spark, d):
     return S.grid(spark, d, "grid_day").thin({"time": 2, "latitude": 3, "longitude": 4}).df
 
 
+@register("i3_thin_off_axis", """select time, latitude, longitude, t2m from grid_day
+where cast(round((longitude+129.9)/1.5) as int) % 2 = 0 and cast(round((59.9-latitude)/1.5) as int) % 3 = 0""", "grid_day")
+def i3o(spark, d):
+    """Every third place of a declared axis; data off the axis are at none of them."""
+    g = off_axis(spark, d).with_axes({"latitude": tg.RegularAxis(59.9, -1.5, 10)})
+    return g.thin({"latitude": 3}).df
+
+
 @register("i3_thin_all", """select time, latitude, longitude, ndvi, snow from (
   select *, cast(round((59.9-latitude)/0.75) as int) as a, cast(round((longitude+129.9)/0.75) as int) as o,
   dense_rank() over (order by time) - 1 as t from grid_ship) where a % 3 = 0 and o % 3 = 0 and t % 3 = 0""", "grid_ship")
@@ -719,6 +784,24 @@ def g2(spark, d):
     return rounded(verts.where(F.col("vertex") < len(ring)).select("x", "y"), "x", "y")
 
 
+# Corners of the diamonds: the edge that enters, the one that leaves, and the steps of the arc around the corner.
+CORNERS = """nx as (select a.zone_id, a.x1, a.y1, a.x2, a.y2, b.x2 as x3, b.y2 as y3,
+  sqrt((a.x2-a.x1)**2+(a.y2-a.y1)**2) as l, sqrt((b.x2-b.x1)**2+(b.y2-b.y1)**2) as m
+  from zone_edges a join zone_edges b on a.zone_id = b.zone_id and a.x2 = b.x1 and a.y2 = b.y1),
+cs as (select *, acos(((x2-x1)*(x3-x2)+(y2-y1)*(y3-y2))/(l*m)) as turn, atan2(-(x2-x1)/l, (y2-y1)/l) as start from nx),
+corners as (select *, greatest(1, cast(floor(turn/(pi()/32)+0.5) as int)) as steps from cs)"""
+
+
+@register("g2_buffer_polygons", f"""with {CORNERS}, d as (select 0.2e0 as d)
+select round(sum((x1*y2-x2*y1)/2 + l*d + steps*d*d*sin(turn/steps)/2), 6) as area,
+  round(sum(l + 2*steps*d*sin(turn/steps/2)), 6) as outline, cast(count(*)/4 as bigint) as outer_rings from corners, d""", "zones zone_edges")
+def g2p(spark, d):
+    """All diamonds grown with round corners: area, outline and number of outer rings."""
+    grown = tg.buffer_polygons(S.diamonds(spark, d), 0.2)
+    outer = F.expr("cast(size(geom.parts) as bigint)")
+    return rounded(grown.select(polygon_area().alias("area"), length().alias("outline"), outer.alias("outer_rings")), "area", "outline")
+
+
 def clip_sql(x0, y0, x1, y1) -> str:
     """Liang-Barsky over the segments of ``roads``: shares t0 and t1."""
     q = [f"(case when x2=x1 then (case when x1 between {x0} and {x1} then 0e0 else 2e0 end) when x2>x1 then ({x0}-x1)/(x2-x1) else ({x1}-x1)/(x2-x1) end)",
@@ -773,6 +856,39 @@ def g3z(spark, d):
     return rounded(cut.select("parcel_id", area.alias("area")), "area")
 
 
+@register("g3_clip_polygons_overlap", f"""with z as (select xmin-0.5e0 as xmin, ymin-0.5e0 as ymin, xmax+0.5e0 as xmax, ymax+0.5e0 as ymax from zones),
+p as (select p.parcel_id, round(greatest(p.xmin, z.xmin), 9) as xmin, round(greatest(p.ymin, z.ymin), 9) as ymin,
+  round(least(p.xmax, z.xmax), 9) as xmax, round(least(p.ymax, z.ymax), 9) as ymax
+  from parcels p join z on p.xmin < z.xmax and p.xmax > z.xmin and p.ymin < z.ymax and p.ymax > z.ymin),
+{sweep_sql('u', 'p', 'parcel_id')}
+select u_x.parcel_id, round(u_x.area, 6) as area, round(u_x.side + u_y.side, 6) as outline from u_x join u_y on u_x.parcel_id = u_y.parcel_id
+where u_x.area > 1e-9""", "parcels zones")
+def g3o(spark, d):
+    """Parcels cut at zones that overlap each other: what two zones cover counts once."""
+    wide = [(F.col(c) + F.lit(w)).alias(c) for c, w in zip(G.BOX, (-0.5, -0.5, 0.5, 0.5))]
+    mask = tg.box_features(S.view(spark, d, "zones").select("zone_id", *wide))
+    cut = tg.clip_to_polygons(S.parcels(spark, d), mask, kinds=["Polygon"])
+    return rounded(cut.select("parcel_id", polygon_area().alias("area"), length().alias("outline")).where("area > 1e-9D"), "area", "outline")
+
+
+@register("g3_clip_polygons_holes", """with z as (select *, xmin+0.8e0 as hx0, ymin+0.7e0 as hy0, xmax-0.8e0 as hx1, ymax-0.7e0 as hy1 from zones),
+c as (select p.parcel_id, (least(p.xmax,z.xmax)-greatest(p.xmin,z.xmin))*(least(p.ymax,z.ymax)-greatest(p.ymin,z.ymin))
+  - greatest(0e0, least(p.xmax,z.hx1)-greatest(p.xmin,z.hx0))*greatest(0e0, least(p.ymax,z.hy1)-greatest(p.ymin,z.hy0)) as area,
+  case when p.xmin < z.hx0 and p.xmax > z.hx1 and p.ymin < z.hy0 and p.ymax > z.hy1 then 1 else 0 end as hole
+from parcels p join z on p.xmin < z.xmax and p.xmax > z.xmin and p.ymin < z.ymax and p.ymax > z.ymin)
+select parcel_id, round(sum(area), 6) as area, cast(sum(hole) as bigint) as holes from c group by 1 having sum(area) > 1e-9""", "parcels zones")
+def g3h(spark, d):
+    """Parcels cut at zones with a hole each; a parcel around a whole hole keeps it as a hole."""
+    x0, y0, x1, y1 = [F.col(c) for c in G.BOX]
+    inner = G.box_polygon(x0 + 0.8, y0 + 0.7, x1 - 0.8, y1 - 0.7)["parts"][0]
+    zones = S.zone_boxes(spark, d)
+    mask = tg.make_features(zones.drop("geom"), G.geometry("Polygon", F.array(G.box_polygon(x0, y0, x1, y1)["parts"][0], inner)), (x0, y0, x1, y1))
+    cut = tg.clip_to_polygons(S.parcels(spark, d), mask, kinds=["Polygon"])
+    holes = F.expr("size(filter(areas, a -> a * areas[0] < 0))").cast("bigint")
+    cut = cut.withColumn("areas", signed_areas())
+    return rounded(cut.select("parcel_id", polygon_area().alias("area"), holes.alias("holes")).where("area > 1e-9D"), "area")
+
+
 @register("g3_clip_points", """select distinct e.zone_id is not null as inside, t.event_id from tracks t join zone_edges e
   on (e.y1 > t.location_lat) <> (e.y2 > t.location_lat)
  and t.location_long < (e.x2-e.x1)*(t.location_lat-e.y1)/(e.y2-e.y1)+e.x1
@@ -876,6 +992,27 @@ def c1m(spark, d):
     return out.subset.groupBy("road_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("c1_subset_mask_buffer_clip", f"""with {CORNERS},
+d as (select 0.01e0*greatest(max(xmax)-min(xmin), max(ymax)-min(ymin)) as d from zones),
+arcs as (select zone_id, x2, y2, d, start+turn*k/steps as g, start+turn*(k+1)/steps as h from corners, d, range(64) t(k) where k < steps),
+rim as (select zone_id, x1+d*(y2-y1)/l as x1, y1-d*(x2-x1)/l as y1, x2+d*(y2-y1)/l as x2, y2-d*(x2-x1)/l as y2 from nx, d
+  union all select zone_id, x2+d*cos(g), y2+d*sin(g), x2+d*cos(h), y2+d*sin(h) from arcs),
+near as (select r.road_id, r.x1, r.y1, r.x2, r.y2, z.zone_id from roads r, d join zones z
+  on least(r.x1,r.x2) <= z.xmax+d.d and greatest(r.x1,r.x2) >= z.xmin-d.d and least(r.y1,r.y2) <= z.ymax+d.d and greatest(r.y1,r.y2) >= z.ymin-d.d),
+h as (select n.road_id, n.zone_id, sqrt((n.x2-n.x1)**2+(n.y2-n.y1)**2) as l,
+  (e.x2-e.x1)*(n.y1-e.y1)-(e.y2-e.y1)*(n.x1-e.x1) as s1, (e.x2-e.x1)*(n.y2-e.y1)-(e.y2-e.y1)*(n.x2-e.x1) as s2
+  from near n join rim e on e.zone_id = n.zone_id),
+t as (select road_id, zone_id, any_value(l) as l,
+  greatest(0e0, max(case when s1 < 0 and s2 < 0 then 2e0 when s1 < 0 and s2 > s1 then s1/(s1-s2) else 0e0 end)) as t0,
+  least(1e0, min(case when s1 >= 0 and s2 < 0 then s1/(s1-s2) else 1e0 end)) as t1 from h group by 1,2)
+select road_id, round(sum((t1-t0)*l), 5) as len from t where t1 > t0 group by 1 having sum((t1-t0)*l) > 1e-4""", "roads zones zone_edges")
+def c1w(spark, d):
+    """Roads cut at a mask of diamonds that is widened with round corners."""
+    out = tg.subset_features(spark, S.roads(spark, d), bounding_geom=S.diamonds(spark, d), boundary_type="mask", buffer=0.01,
+                             clip=True, kinds=["LineString"])
+    return rounded(out.subset.select("road_id", length().alias("len")).where("len > 1e-4D"), "len", digits=5)
+
+
 @register("c2_explore_grid", f"""with {ZONE_HIT.format(g='grid_ship')},
 s as (select g.time, g.latitude, g.longitude, g.ndvi from grid_ship g
   where time >= timestamp '1996-01-01' and time < timestamp '2000-01-01' and month(time) between 4 and 9

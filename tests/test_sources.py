@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+import stand_ins as S
 import trackgrid as tg
 from conftest import rows
 from trackgrid import GridFrame, RegularAxis
@@ -229,3 +230,59 @@ def test_a_variable_named_year_and_encoded_days(spark, tmp_path):
     tg.write_grid(grid, f"{tmp_path}/g", encode_days=True)
     got = tg.read_grid(spark, f"{tmp_path}/g")
     assert got.variables == ["year"] and rows(got.df, "time", "latitude", "year") == rows(grid.df, "time", "latitude", "year")
+
+
+def test_years_prune_the_folders_of_a_stored_grid(spark, sf, tmp_path):
+    grid = S.grid(spark, sf, "grid_ship", declare=True)
+    path = f"{tmp_path}/grid.parquet"
+    tg.write_grid(grid, path)
+    back = tg.read_grid(spark, path)
+    assert "__year" not in back.df.columns and back.variables == grid.variables
+
+    def scanned(g):
+        plan = g.df._jdf.queryExecution().toString()
+        return plan.split("== Physical Plan ==")[1].split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+    some = back.select_variables("ndvi").select_time_range("1997-03", "1998").select_time_cond(month_range=[2, 8])
+    assert "__year" in scanned(some)
+    assert rows(some.df) == rows(grid.select_variables("ndvi").select_time_range("1997-03", "1998").select_time_cond(month_range=[2, 8]).df)
+    years = back.select_time_cond(years=[1995], year_range=[1998, 1999])
+    assert "__year" in scanned(years)
+    assert rows(years.df) == rows(grid.select_time_cond(years=[1995], year_range=[1998, 1999]).df)
+    assert scanned(back).strip().startswith("[]")
+
+
+def test_headers_are_read_without_a_job(spark, sf, tmp_path):
+    import gzip
+
+    from trackgrid.sources.readers import first_lines
+
+    folder = tmp_path / "some folder"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"plain {k}.csv").write_text(f"id,ä{k}\n" + "1,2\n" * 10)
+    with gzip.open(folder / "z.csv.gz", "wt") as f:
+        f.write("zipped,x\n1,2\n")
+    (folder / "empty.csv").write_text("")
+    files = sorted(spark.read.text(str(folder)).inputFiles())
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    assert sorted(first_lines(spark, files)) == ["id,ä0", "id,ä1", "id,ä2", "zipped,x"]
+    assert len(tracker.getJobIdsForGroup()) == before
+
+
+def test_missing_geometry_and_holes_survive_geojson(spark, tmp_path):
+    wkt = ["POINT (1 2)", None, "POINT EMPTY", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))"]
+    two = "MULTIPOLYGON (((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1), (4 4, 4 5, 5 5, 5 4, 4 4)), ((20 20, 21 20, 21 21, 20 20)))"
+    layer = spark.createDataFrame([(i, w) for i, w in enumerate([*wkt, two])], "id long, wkt string")
+    layer = tg.make_features(layer, tg.geometry_from_wkt("wkt")).drop("wkt")
+    path = f"{tmp_path}/mixed.geojsonl"
+    tg.write_features(layer, path, "geojsonl")
+    lines = {json.loads(r["value"])["properties"]["id"]: json.loads(r["value"])["geometry"] for r in spark.read.text(path).collect()}
+    assert lines[1] is None and lines[2] == {"type": "Point", "coordinates": []}
+    assert [len(p) for p in lines[4]["coordinates"]] == [3, 1] and len(lines[3]["coordinates"]) == 2
+    back = tg.read_features(spark, path, properties="id bigint")
+    assert back.count() == 5
+    assert {r["id"]: r["a"] for r in back.where("id >= 3").select("id", tg.polygon_area().alias("a")).collect()} == {3: 15.0, 4: 79.5}
+    kinds = {r["id"]: r["k"] for r in back.select("id", F.col("geom.kind").alias("k")).collect()}
+    assert kinds == {0: "Point", 1: None, 2: "Point", 3: "Polygon", 4: "MultiPolygon"}

@@ -32,6 +32,9 @@ class GridFrame:
     # range of what is left, so that an emptied row keeps its place.
     parent: "GridFrame | None" = field(default=None, repr=False)
     _measured: dict = field(default_factory=dict, repr=False, compare=False)
+    # The same rows with the column that a stored grid is partitioned by, while
+    # only times and variables have been chosen: choices of years prune by it.
+    _stored: DataFrame | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def of(cls, df: DataFrame, **kwargs) -> "GridFrame":
@@ -71,7 +74,23 @@ class GridFrame:
             # The new places are not those of the parent any more.
             kept.update({d: self.axis(d) for d in (self.lat, self.lon) if d not in lost})
             kwargs["parent"] = None
-        return replace(self, df=df, axes=kept, _measured={}, **kwargs)
+        return replace(self, df=df, axes=kept, _measured={}, **{"_stored": None, **kwargs})
+
+    def stored_by(self, column: str) -> "GridFrame":
+        """This grid, one of whose variables is the year that its files are partitioned by."""
+        return replace(self, df=self.df.drop(column), _stored=self.df, _measured={})
+
+    def _of_times(self, choose, years: tuple[int | None, int | None]) -> "GridFrame":
+        """The rows that ``choose`` keeps, all of which lie in ``years``."""
+        if self._stored is None:
+            return self.with_df(choose(self.df), lost=[self.time])
+        column = next(c for c in self._stored.columns if c not in self.df.columns)
+        stored = self._stored
+        for year, keeps in zip(years, (F.col(column).__ge__, F.col(column).__le__)):
+            if year is not None:
+                stored = stored.where(keeps(F.lit(year)))
+        stored = choose(stored)
+        return self.with_df(stored.drop(column), lost=[self.time], _stored=stored)
 
     def with_axes(self, axes: Mapping[str, Axis]) -> "GridFrame":
         """The same grid with these axes declared."""
@@ -80,7 +99,7 @@ class GridFrame:
     def cropped_to(self, df: DataFrame) -> "GridFrame":
         """A grid of some of this grid's cells, on this grid's axes."""
         return replace(self, df=df, axes={d: a for d, a in self.axes.items() if d == self.time},
-                       parent=self, _measured={})
+                       parent=self, _measured={}, _stored=None)
 
     def axis(self, dim: str) -> Axis:
         """The axis of ``dim``, measured once if it is not declared."""
@@ -117,17 +136,23 @@ class GridFrame:
         missing = [v for v in variables if v not in self.variables]
         if missing:
             raise ValueError(f"the grid has no variables {', '.join(missing)}")
-        return self.with_df(self.df.select(*self.dims, *variables))
+        stored = self._stored
+        if stored is not None:
+            stored = stored.select(*self.dims, *variables, *[c for c in stored.columns if c not in self.df.columns])
+        return self.with_df(self.df.select(*self.dims, *variables), _stored=stored)
 
     def select_time_range(self, start=None, end=None) -> "GridFrame":
-        from .operators.time_select import select_time_range
+        """Times between two ends, both included. Of a stored grid only the folders of those years are read."""
+        from .operators.time_select import range_years, select_time_range
 
-        return self.with_df(select_time_range(self.df, self.time, start, end), lost=[self.time])
+        return self._of_times(lambda df: select_time_range(df, self.time, start, end), range_years(start, end))
 
     def select_time_cond(self, **conditions) -> "GridFrame":
-        from .operators.time_select import select_time_cond
+        """Times of certain years, months, days and hours. Of a stored grid only the folders of those years are read."""
+        from .operators.time_select import select_time_cond, selected
 
-        return self.with_df(select_time_cond(self.df, self.time, **conditions), lost=[self.time])
+        years = selected(conditions.get("years"), conditions.get("year_range"))
+        return self._of_times(lambda df: select_time_cond(df, self.time, **conditions), (years[0], years[-1]) if years else (None, None))
 
     def select_spatial(self, polygons: DataFrame, **kwargs) -> "GridFrame":
         from .operators.grid_spatial import select_spatial

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,13 @@ def select_time_range(df: DataFrame, time: str = "time", start=None, end=None) -
     return df
 
 
+def range_years(start=None, end=None) -> tuple[int | None, int | None]:
+    """First and last year that a range of time can hold."""
+    first = None if start is None else T.time_bounds(start)[0].year
+    last = None if end is None else (T.time_bounds(end)[1] - timedelta(microseconds=1)).year
+    return first, last
+
+
 def selected(values: Iterable[int] | None, bounds: Sequence[int] | None) -> list[int] | None:
     """Union of a list and an inclusive range; None if neither is given."""
     if not values and not bounds:

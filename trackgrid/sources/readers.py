@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,13 +34,11 @@ def _csv(spark: SparkSession, path, schema=None, multiline: bool = False) -> tup
     if len(lines.inputFiles()) < 2:
         first = lines.first()
         return _csv_files(spark, path, first[0] if first else "", schema, multiline)
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    # One row per file.
-    heads = lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
-    heads = heads.groupBy("file").agg(F.min_by("value", "place").alias("head")).orderBy("file").collect()
     files: dict[str, list[str]] = {}
-    for r in heads:
-        files.setdefault(r["head"], []).append(r["file"])
+    names = sorted(lines.inputFiles())
+    for name, head in zip(names, first_lines(spark, names)):
+        if head:
+            files.setdefault(head, []).append(name)
     if len(files) < 2:
         return _csv_files(spark, path, next(iter(files), ""), schema, multiline)
     if schema is not None:
@@ -55,6 +54,25 @@ def _csv(spark: SparkSession, path, schema=None, multiline: bool = False) -> tup
     return table, named
 
 
+def first_lines(spark: SparkSession, files: Sequence[str]) -> list[str]:
+    """The first line of each file, read through Spark's file systems without a job: a header is all that is looked at."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(name: str) -> str:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs.getCodec(path)
+            text = jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8")
+            return jvm.java.io.BufferedReader(text).readLine() or ""
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(first, files))
+
+
 def _csv_files(spark: SparkSession, path, head: str, schema, multiline: bool) -> tuple[DataFrame, list[str]]:
     header = next(csv.reader([head.lstrip("\ufeff")]), []) if head else []
     named = [h if h.strip() else f"Unnamed: {i}" for i, h in enumerate(header)]
@@ -268,13 +286,13 @@ def read_grid(spark: SparkSession, source, schema=None, axes: Mapping[str, Regul
         df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(name)
     else:
         df = spark.read.parquet(name)
-    df = df.drop(YEAR)
     time = roles.get("time", "time")
     if time in df.columns and df.schema[time].dataType.typeName() == "double":
         df = df.withColumn(time, from_days_since_2000(F.col(time)))
     if axes is None:
         axes = _stored_axes(spark, f"{name}{AXES_SUFFIX}")
-    return GridFrame.of(df, axes=axes, **roles)
+    grid = GridFrame.of(df, axes=axes, **roles)
+    return grid.stored_by(YEAR) if YEAR in df.columns else grid
 
 
 def _stored_axes(spark: SparkSession, path: str) -> dict[str, RegularAxis]:
