@@ -18,9 +18,10 @@ the trusted documents of its language and length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -58,6 +59,21 @@ def _slices(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values of ``code``, the place of each element's among them, and where each occurs first."""
+    at, values = pd.factorize(code)  # by a hash table: values are few
+    first = np.empty(len(values), np.int64)
+    first[at[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return values, at, first
+
+
+def characters_of(texts: list[str]) -> np.ndarray:
+    seen = np.zeros(0x110000, bool)
+    for s in _slices(texts):
+        seen[points_of(texts[s])] = True
+    return np.flatnonzero(seen)
+
+
 def points_of(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -78,16 +94,19 @@ class Coder:
             code = code * self.factor + self.rank[c]
         return code
 
-    def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """The number of each gram, how many grams each text has, and the characters of grams."""
+    def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[np.ndarray]]]:
+        """The number of each gram, how many grams each text has, and the characters of chosen grams."""
         points = points_of(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         pad = ORDER - 1
         s = np.full(len(points) + pad * len(texts), START, np.int64)
         at = np.arange(len(points)) + np.repeat(np.arange(1, len(texts) + 1) * pad, sizes)
         s[at] = points
-        columns = [s[at - back] for back in range(pad, -1, -1)]
-        return self.of_characters(columns), sizes, columns
+        rank, n = self.rank[s], len(s)
+        code = np.zeros(max(0, n - pad), np.uint64)
+        for k in range(ORDER):
+            code = code * self.factor + rank[k : n - pad + k]
+        return code[at - pad], sizes, lambda some: [s[at[some] - back] for back in range(pad, -1, -1)]
 
 
 def joined(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +168,20 @@ def _count(parts: int):
         for i, fold, t in zip(docs.column("id").to_pylist(), folds, texts):
             groups[fold if i in good else 2].append(t)
         block = docs.column("block")[0].as_py()
-        alphabets = [np.unique(np.concatenate([np.zeros(0, "<u4"), *(np.unique(points_of(g[s])) for s in _slices(g))])) for g in groups]
+        alphabets = [characters_of(g) for g in groups]
         coder = Coder(np.concatenate(alphabets))
         codes, columns, counts, group = [], [], [], []
         for k, g in enumerate(groups):
             for s in _slices(g):
                 code, _, characters = coder.of_texts(g[s])
-                found, first, n = np.unique(code, return_index=True, return_counts=True)
+                found, at, first = distinct(code)
                 codes.append(found)
-                columns.append(np.stack([c[first] for c in characters]))
-                counts.append(n)
+                columns.append(np.stack(characters(first)))
+                counts.append(np.bincount(at, minlength=len(found)))
                 group.append(np.full(len(found), k))
         out = [(-1, block, pack(np.union1d(*alphabets[:2]).astype("<u4")), b"", b"", b"")]
         if codes:
-            code, first, at = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
+            code, at, first = distinct(np.concatenate(codes))
             hi, lo = joined(list(np.concatenate(columns, 1)[:, first]))
             counts, group = np.concatenate(counts), np.concatenate(group)
             a, b = (np.bincount(at[group == k], counts[group == k], len(code)).astype("<u4") for k in (0, 1))
@@ -252,7 +271,7 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     good = set(answers.column("good_id").to_pylist()) - {None}
     texts = _texts(docs.column("text"))
     n_chars = np.fromiter(map(len, texts), np.int64, len(texts))
-    sums, distinct = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    sums, n_distinct = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     if rows:
         columns = split(np.concatenate([unpack(r["hi"], "<u8") for r in rows]), np.concatenate([unpack_rising(r["lo"], "<u8") for r in rows]))
         coder = Coder(np.unique(columns[-1]))
@@ -266,15 +285,17 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
             mine = [texts[k] for k in own.tolist()]
             for s in _slices(mine):
                 code, sizes, _ = coder.of_texts(mine[s])
-                found, at = np.unique(code, return_inverse=True)
+                found, at, _ = distinct(code)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 sums[own[s]] = np.bincount(owner, logs[np.searchsorted(codes, found)][at], len(sizes))
-                distinct[own[s]] = np.bincount(np.unique(owner << 32 | at) >> 32, minlength=len(sizes))
+                each = np.sort(owner << 32 | at)
+                new = np.r_[True, each[1:] != each[:-1]] if len(each) else np.zeros(0, bool)
+                n_distinct[own[s]] = np.bincount(each[new] >> 32, minlength=len(sizes))
     with np.errstate(invalid="ignore"):
         mean = -sums / np.where(n_chars, n_chars, np.nan)
     trusted = [i in good for i in docs.column("id").to_pylist()]
     return pa.Table.from_arrays(
-        [docs.column(c).combine_chunks() for c in ("id", "g1", "g2", "lang")] + [pa.array(n_chars), pa.array(trusted, pa.bool_()), pa.array(mean, from_pandas=True), pa.array(distinct)],
+        [docs.column(c).combine_chunks() for c in ("id", "g1", "g2", "lang")] + [pa.array(n_chars), pa.array(trusted, pa.bool_()), pa.array(mean, from_pandas=True), pa.array(n_distinct)],
         names=[f.split()[0] for f in SCORES.split(", ")],
     )
 
