@@ -152,7 +152,7 @@ def read_studies(spark: SparkSession, studies: Sequence) -> DataFrame:
 
 
 def parts_from_geojson(kind: Column, coordinates: Column) -> Column:
-    """Parts from the JSON text of a geometry's coordinates."""
+    """Parts from the JSON text of a geometry's coordinates; none of an empty geometry."""
     def flat(level: int) -> Column:
         return F.from_json(coordinates, "array<" * level + "double" + ">" * level)
 
@@ -162,7 +162,8 @@ def parts_from_geojson(kind: Column, coordinates: Column) -> Column:
     # Outer rings turn one way and holes the other, so that rings of several polygons can be told apart later.
     turned = lambda rings: F.transform(rings, lambda r, k: F.when((G.twice_area(r) >= 0) == (k == 0), r).otherwise(F.reverse(r)))
     return (
-        F.when(kind == "Point", F.array(F.array(pt(flat(1)))))
+        F.when(F.regexp_replace(coordinates, r"\s", "") == "[]", F.lit(None).cast(G.PARTS_TYPE))
+        .when(kind == "Point", F.array(F.array(pt(flat(1)))))
         .when(kind == "MultiPoint", F.transform(flat(2), lambda p: F.array(pt(p))))
         .when(kind == "LineString", F.array(line(flat(2))))
         .when(kind == "MultiLineString", F.transform(flat(3), line))
