@@ -243,3 +243,25 @@ def test_pipeline_stages_keep_columns_and_whole_results(spark, tmp_path):
     assert left[2] - left[3] == {2002}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {d for d, in tuples(packed, "doc_id")} == left[3]
+
+
+def test_pipeline_stages_take_awkward_rows_and_empty_tables(spark, tmp_path):
+    labels = spark.createDataFrame([(10, 1, 0), (11, 1, None), (None, 1, 0), (40, 1, 0)], "doc_id long, quality long, toxic long")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, t) for i, t in items() if i != 5], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {t or "" for _, t in ROWS}
+    for rows in (ROWS, []):
+        docs = documents(spark, rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            kept = ordered(tuples(out, "doc_id", "text"))
+            assert set(kept) <= set(rows), name
+            if name == "exact_dedup":
+                assert sorted(t or "" for _, t in kept) == sorted(texts if rows else [])
+            if name == "quality_classifier":
+                assert all(t for _, t in kept)
+            if name == "near_dedup" and rows:
+                assert {d for d, t in kept if not t} == {d for d, t in ROWS if not t}
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.where("piece = 0").count() == len(rows)
