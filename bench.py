@@ -20,13 +20,13 @@ HEADLINE = [
     "s1_read_tracks", "s3_read_features", "s6_write_features", "s7_write_grid", "m1_profile_features",
     "m3_time_resolution", "f1_select_time_range", "f2_select_time_cond", "f4_clip_tracks_timerange", "f5_filter_bbox",
     "f6_filter_polygon", "f6_filter_polygon_buffered", "f7_select_spatial", "f7_select_spatial_rows",
-    "j1_merge_tracks_ref", "j1_merge_tracks_ref_shuffled", "j2_points_in_polygons", "j3_reindex_like", "a1_dissolve",
+    "j1_merge_tracks_ref", "j1_merge_tracks_ref_shuffled", "j2_points_in_polygons", "j3_reindex_like", "a1_dissolve", "a1_dissolve_polygons", "g2_buffer_polygons",
     "a2_envelope", "a3_convex_hull", "a3_convex_hull_by_animal", "a5_groupby_multi_time",
     "a5_groupby_multi_time_spread", "a6_groupby_poly_time", "a6_groupby_poly_time_rows", "a6_groupby_poly_overlap",
     "a7_spatial_mean_series", "a8_coarsen_space", "a9_resample_down", "a10_track_density", "a12_first_day_exceeded",
     "i1_resample_up", "i2_resample_irregular", "i3_thin_all", "i4_regrid_nearest", "i5_interpolate",
-    "g3_clip_lines_box", "g3_clip_lines_polygons", "g3_clip_polygons_zones", "g4_reproject", "c1_subset_all_tracks_box",
-    "c1_subset_all_tracks_hull", "c1_subset_mask", "c2_explore_grid", "c3_prepare_tracks",
+    "g3_clip_lines_box", "g3_clip_lines_polygons", "g3_clip_polygons_zones", "g3_clip_polygons_overlap", "g4_reproject", "c1_subset_all_tracks_box",
+    "c1_subset_all_tracks_hull", "c1_subset_mask", "c1_subset_mask_buffer_clip", "c2_explore_grid", "c3_prepare_tracks",
 ]
 
 
