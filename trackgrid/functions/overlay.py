@@ -18,6 +18,8 @@ import numpy as np
 
 #: Cells with more edges are quartered, at most this many times.
 MANY, DEEPEST = 400, 10
+#: Cells with at most so many edges are worked out together, until their pairs of edges are this many.
+FEW, TOGETHER = 64, 200_000
 
 
 def _canonical(edges: np.ndarray) -> np.ndarray:
@@ -146,6 +148,140 @@ def boundary(
     return np.concatenate([forth, back[:, [2, 3, 0, 1]]])
 
 
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of several runs begins."""
+    return np.cumsum(sizes) - sizes
+
+
+def _pairs(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the ``n`` things of a group and its ``m`` others, group by group, as places among all things and all others."""
+    per = np.repeat(m, n)  # partners of each thing
+    left = np.repeat(np.arange(len(per)), per)
+    shift = np.repeat(np.repeat(_firsts(m), n) - _firsts(per), per)
+    return left, np.arange(len(left)) + shift
+
+
+def _distinct(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct rows of each group, in order, and for every row which of them it is."""
+    order = np.lexsort((*rows.T[::-1], group))
+    some, at = rows[order], group[order]
+    new = np.r_[True, (at[1:] != at[:-1]) | (some[1:] != some[:-1]).any(1)][: len(rows)]
+    which = np.empty(len(rows), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def boundaries(
+    edges: np.ndarray, owner: np.ndarray, cell: np.ndarray, corner: np.ndarray, boxes: np.ndarray, holds: Callable[[np.ndarray], np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`boundary` gives for each of many cells, and the cell of each piece.
+
+    ``cell`` ascends; ``corner`` and ``boxes`` have a row per cell. Cells of few edges are worked out
+    together, so that their number and not that of the calls counts.
+    """
+    sizes = np.bincount(cell, minlength=len(boxes))
+    first = _firsts(sizes)
+    pieces, at = [np.empty((0, 4))], [np.empty(0, np.int64)]
+    few = sizes <= FEW
+    for k in np.flatnonzero(~few):
+        some = slice(first[k], first[k] + sizes[k])
+        pieces.append(boundary(edges[some], owner[some], corner[k], boxes[k], holds))
+        at.append(np.full(len(pieces[-1]), k))
+    turn = np.cumsum(np.where(few, sizes**2, 0)) // TOGETHER
+    stops = np.flatnonzero(np.diff(turn)) + 1 if len(turn) else []
+    for a, b in zip([0, *stops], [*stops, len(boxes)]):
+        own = np.arange(first[a], first[b - 1] + sizes[b - 1]) if b > a else np.empty(0, np.int64)
+        own = own[few[cell[own]]]
+        if len(own):
+            made, which = _boundaries(edges[own], owner[own], cell[own] - a, corner[a:b], boxes[a:b], holds)
+            pieces.append(made)
+            at.append(which + a)
+    return np.concatenate(pieces), np.concatenate(at)
+
+
+def _boundaries(edges, owner, cell, corner, boxes, holds):
+    """:func:`boundary` and :func:`_split` step by step, over the edges of several cells."""
+    edges = _canonical(edges)
+    order = np.lexsort((*edges.T[::-1], cell))
+    edges, owner, cell = edges[order], owner[order], cell[order]
+    n = np.bincount(cell, minlength=len(boxes))
+    p, d, box = edges[:, :2], edges[:, 2:] - edges[:, :2], boxes[cell]
+    # Where edges of a cell meet.
+    i, j = _pairs(n, n)
+    some = i < j
+    i, j = i[some], j[some]
+    lo, hi = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    near = ((lo[i] <= hi[j]) & (lo[j] <= hi[i])).all(1)
+    i, j = i[near], j[near]
+    cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+    i, j, cross = i[cross != 0], j[cross != 0], cross[cross != 0]
+    q = p[j] - p[i]
+    t = (q[:, 0] * d[j, 1] - q[:, 1] * d[j, 0]) / cross
+    u = (q[:, 0] * d[i, 1] - q[:, 1] * d[i, 0]) / cross
+    met = (t > 0) & (t < 1) & (u > 0) & (u < 1)
+    points = np.concatenate([edges[:, :2], edges[:, 2:], np.rint(p[i[met]] + t[met, None] * d[i[met]])])
+    of = np.concatenate([cell, cell, cell[i[met]]])
+    some, _ = _distinct(points, of)
+    points, of = points[some], of[some]
+    # Points on edges: those of the cell, then the edge's own ones on the sides of the box.
+    on_edge, on_point = _pairs(n, np.bincount(of, minlength=len(boxes)))
+    e, xy, tie = [on_edge], [points[on_point]], [on_point]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k, (axis, side) in enumerate(((0, 0), (0, 2), (1, 1), (1, 3))):
+            share = (box[:, side] - p[:, axis]) / d[:, axis]
+            some = np.flatnonzero((share > 0) & (share < 1))
+            at = np.rint(p[some] + share[some, None] * d[some])
+            at[:, axis] = box[some, side]
+            e.append(some)
+            xy.append(at)
+            tie.append(np.full(len(some), len(points) + k))
+    e, xy, tie = map(np.concatenate, (e, xy, tie))
+    r, along_edge = xy - p[e], d[e]
+    along = r[:, 0] * along_edge[:, 0] + r[:, 1] * along_edge[:, 1]
+    away = np.abs(r[:, 0] * along_edge[:, 1] - r[:, 1] * along_edge[:, 0])
+    length2 = (d[:, 0] ** 2 + d[:, 1] ** 2)[e]
+    on = (along >= 0) & (along <= length2) & (away <= 0.75 * np.sqrt(length2))
+    on |= (xy == edges[e, :2]).all(1) | (xy == edges[e, 2:]).all(1)
+    e, xy, tie, along = e[on], xy[on], tie[on], along[on]
+    order = np.lexsort((tie, along, e))
+    e, xy = e[order], xy[order]
+    new = np.r_[True, (e[1:] != e[:-1]) | (xy[1:] != xy[:-1]).any(1)][: len(e)]
+    e, xy = e[new], xy[new]
+    follows = e[1:] == e[:-1]
+    pieces, parent = _canonical(np.hstack([xy[:-1], xy[1:]])[follows]), e[1:][follows]
+    # Pieces of the half-open box, each once, and the edges that hold them.
+    x0, y0, x1, y1 = boxes[cell[parent]].T
+    mx, my = (pieces[:, 0] + pieces[:, 2]) / 2, (pieces[:, 1] + pieces[:, 3]) / 2
+    inside = (mx >= x0) & (mx < x1) & (my >= y0) & (my < y1)
+    pieces, parent = pieces[inside], parent[inside]
+    if not len(pieces):
+        return pieces, parent
+    some, which = _distinct(pieces, cell[parent])
+    pieces, of = pieces[some], cell[parent[some]]
+    mx, my = (pieces[:, 0] + pieces[:, 2]) / 2, (pieces[:, 1] + pieces[:, 3]) / 2
+    piece, edge = _pairs(np.bincount(of, minlength=len(boxes)), n)
+    own = np.zeros(len(piece), bool)
+    own[(_firsts(n[of]) - _firsts(n)[of])[which] + parent] = True
+    # Which polygons hold on either side: see boundary.
+    x0, y0 = boxes[of, 0], boxes[of, 1]
+    ax, ay, bx, by = edges[edge].T
+    x, y, left, low = mx[piece], my[piece], x0[piece], y0[piece]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at_y = ay + (left - ax) * (by - ay) / (bx - ax)
+        up = ((ax > left) != (bx > left)) & (at_y > low) & (at_y <= y)
+        at_x = ax + (y - ay) * (bx - ax) / (by - ay)
+        right = ((ay > y) != (by > y)) & (at_x > left) & (at_x <= x)
+    owners = corner.shape[1]
+    slot = piece * owners + owner[edge]
+    odd = lambda some: (np.bincount(slot[some], minlength=len(pieces) * owners) % 2 == 1).reshape(-1, owners)
+    met = corner[of] ^ odd(up ^ (right & ~own))
+    other = met ^ odd(own)
+    border = (mx == x0)[:, None]
+    held_left, held_right = holds(np.where(border, other, met)), holds(np.where(border, met, other))
+    forth, back = held_left & ~held_right, held_right & ~held_left
+    return np.concatenate([pieces[forth], pieces[back][:, [2, 3, 0, 1]]]), np.concatenate([of[forth], of[back]])
+
+
 def union(held: np.ndarray) -> np.ndarray:
     return held.any(1)
 
@@ -258,6 +394,103 @@ def nested(rings: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _plain_rings(points: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`plain` of many rings: their points, and the ring of each, which ascends."""
+    while len(points):
+        sizes = np.bincount(ring)
+        first, size = _firsts(sizes)[ring], sizes[ring]
+        at = np.arange(len(ring)) - first
+        before, after = first + (at - 1) % size, first + (at + 1) % size
+        a, b = points - points[before], points[after] - points
+        away = np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0])
+        ahead = (a * b).sum(1) >= 0.999 * np.hypot(*a.T) * np.hypot(*b.T)
+        flat = (size > 2) & (away <= 3 * np.hypot(*(points[after] - points[before]).T)) & ahead
+        flat &= ~(flat[before] & (at % 2 == 1))
+        flat &= ~((at == size - 1) & (size % 2 == 1) & flat[first])
+        if not flat.any():
+            some = size > 2
+            return points[some], ring[some]
+        points, ring = points[~flat], ring[~flat]
+    return points, ring
+
+
+def _cycles(after: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cycles of a permutation of at most ``longest``: the smallest member of each member's, and how far behind it the member is."""
+    head, ahead = np.arange(len(after)), after
+    rounds = int(longest).bit_length()
+    for _ in range(rounds):
+        head, ahead = np.minimum(head, head[ahead]), ahead[ahead]
+    before = np.empty(len(after), np.int64)
+    before[after] = np.arange(len(after))
+    first = head == np.arange(len(after))
+    before[first] = np.flatnonzero(first)
+    behind = np.where(first, 0, 1)
+    for _ in range(rounds):
+        behind, before = behind + behind[before], before[before]
+    return head, behind
+
+
+def outlines(pieces: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of the outlines of many shapes as rings: what :func:`chain` and :func:`nested` give for each shape.
+
+    ``shape`` ascends. Returns points, the ring of each point, the shape of each ring and whether the ring is an
+    outer one. Rings are closed, in the order of their shapes. Where just one piece goes on from every end, all
+    shapes are put together at once; others go by themselves.
+    """
+    pieces = pieces + 0.0  # no negative zeros
+    n, shapes = len(pieces), int(shape[-1]) + 1 if len(shape) else 0
+    _, node = _distinct(np.concatenate([pieces[:, :2], pieces[:, 2:]]), np.concatenate([shape, shape]))
+    starts, ends = node[:n], node[n:]
+    nodes = int(node.max()) + 1 if n else 0
+    leaving, entering = np.bincount(starts, minlength=nodes), np.bincount(ends, minlength=nodes)
+    odd = (leaving != 1) | (entering != 1)
+    hard = np.zeros(shapes, bool)
+    hard[shape[odd[starts] | odd[ends]]] = True
+    easy = np.flatnonzero(~hard[shape])
+    leads = np.empty(nodes, np.int64)
+    leads[starts[easy]] = np.arange(len(easy))
+    longest = int(np.bincount(shape[easy]).max()) if len(easy) else 0
+    head, behind = _cycles(leads[ends[easy]], longest)
+    order = np.lexsort((behind, head))
+    points, ring = pieces[easy[order], :2], np.cumsum(np.r_[True, np.diff(head[order]) != 0][: len(order)]) - 1
+    of = shape[easy][order][np.r_[True, np.diff(ring) != 0][: len(order)]]
+    points, ring = _plain_rings(points, ring)
+    kept, ring = np.unique(ring, return_inverse=True)
+    of, ring = of[kept], ring.reshape(-1)
+    sizes = np.bincount(ring, minlength=len(of))
+    first = _firsts(sizes)
+    at = np.arange(len(ring)) - first[ring]
+    rel = points - points[first[ring]]
+    nxt = rel[first[ring] + (at + 1) % sizes[ring]]
+    areas = np.bincount(ring, rel[:, 0] * nxt[:, 1] - nxt[:, 0] * rel[:, 1], minlength=len(of))
+    outer = areas > 0
+    n_outer = np.bincount(of[outer], minlength=shapes)
+    # Holes of the only outer ring are its own; several outer rings are asked one by one.
+    asked = (n_outer > 1) & (np.bincount(of[areas < 0], minlength=shapes) > 0)
+    good = np.flatnonzero((areas != 0) & (n_outer[of] > 0) & ~asked[of])
+    least = np.minimum.reduceat(points, first) if len(of) else points
+    by = np.lexsort((np.where(outer, least[:, 1], 0)[good], np.where(outer, least[:, 0], 0)[good], np.where(outer, -areas, 0)[good], ~outer[good], of[good]))
+    good = good[by]
+    long = sizes[good] + 1
+    start = np.repeat(first[good], long)
+    step = np.arange(len(start)) - np.repeat(_firsts(long), long)
+    made = [(points[start + step % np.repeat(sizes[good], long)], long, of[good], outer[good])]
+    for k in np.flatnonzero(hard | asked):
+        if hard[k]:
+            a, b = np.searchsorted(shape, [k, k + 1])
+            closed, opened = chain(list(pieces[a:b].reshape(-1, 2, 2)))
+            rings = nested([*closed, *opened])
+        else:
+            rings = nested([points[first[r] : first[r] + sizes[r]] for r in np.flatnonzero(of == k)])
+        if rings:
+            made.append((np.concatenate(rings), np.array([len(r) for r in rings]), np.full(len(rings), k), np.array([area(r) > 0 for r in rings])))
+    points, long, of, outer = (np.concatenate(c) for c in zip(*made))
+    by = np.argsort(of, kind="stable")
+    first = _firsts(long)[by]
+    points = points[np.repeat(first, long[by]) + np.arange(len(points)) - np.repeat(_firsts(long[by]), long[by])]
+    return points, np.repeat(np.arange(len(by)), long[by]), of[by], outer[by]
+
+
 def edges_of(rings: Sequence[np.ndarray]) -> np.ndarray:
     """Edges of closed or open rings."""
     out = [np.empty((0, 4))]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import overlay as O
 from ..session import checkpointed
-from ..sizing import is_small, sized_join, spread_small
+from ..sizing import is_small, sized_join, spread_small, task_count
 from .boundary import QUAD_SEGMENTS
 from .features import get_crs, set_crs, signed_areas
 from .spatial import _cell_size, _survey, polygon_cells
@@ -82,6 +82,13 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
+def _edges(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of four doubles each in a column of lists, and the row of each."""
+    offsets = column.offsets.to_numpy()
+    edges = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+    return edges, np.repeat(np.arange(len(column)), np.diff(offsets) // 4)
+
+
 def _points(flat: Sequence[float]) -> np.ndarray:
     return np.asarray(flat, float).reshape(-1, 2)
 
@@ -169,6 +176,27 @@ def _shapes(rings: DataFrame, by: Sequence[str], unit: float, more: Sequence[Col
     return made.where("__outer > 0").select(*names, G.geometry(kind, parts).alias("geom"))
 
 
+def _outlined(shapes: DataFrame, unit: float) -> DataFrame:
+    """Rows whose last column has all pieces of an outline, with the ``geom`` they make instead; none without area."""
+    names = shapes.columns[:-1]
+    n = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, ring, of, outer = O.outlines(*_edges(batch.column(n)))
+            rings = np.r_[0, np.cumsum(np.bincount(ring, minlength=len(of)))]
+            parts = np.r_[0, np.cumsum(np.bincount(of, minlength=len(batch)))]
+            dots = pa.StructArray.from_arrays([pa.array(points[:, k] * unit) for k in (0, 1)], names=["x", "y"])
+            for stops in (rings, parts):
+                dots = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), dots)
+            found = pa.array(np.bincount(of[outer], minlength=len(batch)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], dots, found], names=[*names, "__parts", "__outer"])
+
+    made = shapes.mapInArrow(run, _schema(shapes, names, "__parts array<array<struct<x: double, y: double>>>, __outer long"))
+    kind = F.when(F.col("__outer") == 1, F.lit("Polygon")).otherwise(F.lit("MultiPolygon"))
+    return made.where("__outer > 0").select(*names, G.geometry(kind, F.col("__parts")).alias("geom"))
+
+
 def dissolve_polygons(polygons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The union of polygons, over all or per key, as a feature table of one row each.
 
@@ -297,21 +325,27 @@ def clip_polygons(features: DataFrame, mask: Region, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cx, cy, corner, held = (batch.column(n + k).to_pylist() for k in range(4))
-            out = []
-            for i, (own, border) in enumerate(zip(_arrays(batch.column(n + 4)), _arrays(batch.column(n + 5)))):
-                own, border = own.reshape(-1, 4), border.reshape(-1, 4)
-                owner = np.repeat([0, 1], [len(own), len(border)])
-                pieces = O.boundary(np.concatenate([own, border]), owner, np.array([corner[i], held[i]]), lattice.box(cx[i], cy[i]), O.intersection)
-                rings, opened = O.chain(list(pieces.reshape(-1, 2, 2)))
-                out.append(_flat([np.vstack([r, r[:1]]) for r in rings] + opened))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, _PATHS)], names=[*batch.schema.names[:n], "paths"])
-
-    cut = met.mapInArrow(run, _schema(met, [key, *carried, "__geom"], "paths array<array<double>>"))
+            cx, cy, corner, held = (batch.column(n + k).to_numpy(zero_copy_only=False) for k in range(4))
+            (own, a), (border, b) = (_edges(batch.column(n + k)) for k in (4, 5))
+            cell = np.concatenate([a, b])
+            order = np.argsort(cell, kind="stable")
+            owner = np.repeat([0, 1], [len(own), len(border)])
+            w = lattice.units
+            boxes = np.c_[cx * w, cy * w, (cx + 1) * w, (cy + 1) * w]
+            corners = np.c_[corner.astype(bool), held.astype(bool)]
+            pieces, at = O.boundaries(np.concatenate([own, border])[order], owner[order], cell[order], corners, boxes, O.intersection)
+            pieces = pieces[np.argsort(at, kind="stable")]
+            stops = 4 * np.r_[0, np.cumsum(np.bincount(at, minlength=len(batch)))]
+            flat = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(pieces.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], flat], names=[*batch.schema.names[:n], "pieces"])
+
+    cut = met.mapInArrow(run, _schema(met, [key, *carried, "__geom"], "pieces array<double>"))
     # Cells where nothing is left still bring attributes and the geometry; rows without any outline fall out in the end.
-    paths = cut.select(key, *carried, "__geom", F.explode_outer("paths").alias("path"))
+    # The parts are numbered, so that small rows of much work are not merged into few tasks.
+    cut = cut.repartition(task_count(near), key)
     attributes = [F.first(c).alias(c) for c in carried]
-    made = _shapes(paths, [key], lattice.unit, [F.first("__geom", ignorenulls=True).alias("__geom"), *attributes])
+    whole = cut.groupBy(key).agg(F.flatten(F.collect_list("pieces")).alias("pieces"), F.first("__geom", ignorenulls=True).alias("__geom"), *attributes)
+    made = _outlined(whole.select(key, "__geom", *carried, "pieces").where("size(pieces) > 0"), lattice.unit)
     same = F.col("__geom").isNotNull()
     for size in (_outline, _ring_areas):
         same &= F.abs(size("__geom") - size("geom")) <= 1e-12 * size("geom")

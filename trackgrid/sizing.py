@@ -42,6 +42,25 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def task_count(df: DataFrame) -> int:
+    """Tasks for costly work on each row of ``df``: 4 for every core, up to 16 by the estimate, which may be far too large."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores * min(max(4, plan_bytes(df) // BROADCAST_BYTES // cores), 16)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over the cores before costly work on each row.
+
+    Even a large table may be a few files of one row group, hence a few tasks; its rows are shuffled then.
+    Streams are left as they are read.
+    """
+    if df.isStreaming:
+        return df
+    if plan_bytes(df) <= BROADCAST_BYTES:
+        return spread_small(df)
+    return df.repartition(task_count(df))
+
+
 def sized_join(
     left: DataFrame,
     right: DataFrame,
