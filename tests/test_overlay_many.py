@@ -4,6 +4,7 @@ import numpy as np
 from test_overlay import boxes, inside, polygons, rings_of, table
 
 import trackgrid as tg
+from trackgrid import sizing
 from trackgrid.functions import overlay as O
 from trackgrid.sizing import spread, task_count
 
@@ -67,8 +68,8 @@ def test_cut_at_rings_with_holes(spark):
         assert (inside(got.get(i, []), x, y) == (inside(s, x, y) & held)).all()
 
 
-def test_costly_rows_are_spread_whatever_the_files(spark):
-    few = spark.range(10).coalesce(1)
+def test_costly_rows_are_spread_whatever_the_files(spark, monkeypatch):
+    few = spark.range(2000).coalesce(1)
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    big = spark.range(10**8, numPartitions=1)
-    assert spread(big).rdd.getNumPartitions() == task_count(big) >= 4 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", 1000)
+    assert spread(few).rdd.getNumPartitions() == task_count(few) >= 4 * spark.sparkContext.defaultParallelism

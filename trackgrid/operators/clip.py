@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import overlay as O
-from ..sizing import sized_join, spread_small
+from ..sizing import sized_join, spread
 from .features import get_crs, set_crs
 from .overlay import clip_polygons, region
-from .spatial import polygon_cells
+from .spatial import PolygonCells, cells_of_edges, polygon_cells
 
 _NO_PARTS = G.PARTS_TYPE
 KINDS = ("Point", "LineString", "Polygon")
@@ -153,7 +153,7 @@ def clip_to_polygons(features: DataFrame, mask: DataFrame, id_col: str | None =
     expected = F.col("geom.kind").isin(*[k for kind in kinds for k in (kind, f"Multi{kind}")])
     seen = F.when(F.col("geom.kind").isNull() | expected, F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit("cannot cut a feature of the kind "), F.col("geom.kind"), F.lit(f" with kinds = {list(kinds)}"))).cast("boolean"))
-    keyed = spread_small(features.where(seen).withColumn("__row", F.monotonically_increasing_id()))
+    keyed = spread(features.where(seen).withColumn("__row", F.monotonically_increasing_id()))
     makers = {"Point": _clip_points, "LineString": _clip_lines, "Polygon": _clip_polygons}
     outs = []
     for kind in kinds:
@@ -183,6 +183,21 @@ def _clip_points(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     return whole.withColumn("geom", _point_geometry(F.expr("transform(__all, p -> array(p))"))).drop("__all")
 
 
+def _with_breaks(cells: PolygonCells) -> DataFrame:
+    """The cells with ``breaks``: places where the number of edges right of the cell, seen from within it, turns odd or even.
+
+    A ray to the right meets those edges wherever it starts in the cell, so that of each only the heights
+    of its ends matter, and ends at which two such edges go on cancel out.
+    """
+    h, slack = G.num(cells.size), G.num(1e-9 * cells.size)
+    beyond = f"filter(edges, e -> least(e.x1, e.x2) - {slack} > (cx + 1) * {h})"
+    # An end below the cell is below every ray, one above it is as if at its top.
+    ends = f"flatten(transform({beyond}, e -> array(least(e.y1, (cy + 2) * {h}), least(e.y2, (cy + 2) * {h}))))"
+    found = cells.df.withColumn("__ends", F.expr(f"sort_array(filter({ends}, y -> y >= (cy - 1) * {h}))"))
+    unpaired = "(i + 1 - array_position(__ends, y)) % 2 = 0 and (i + 1 = size(__ends) or __ends[i + 1] != y)"
+    return found.withColumn("breaks", F.expr(f"filter(__ends, (y, i) -> {unpaired})")).drop("__ends")
+
+
 def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     """Segment by segment and cell by cell; kept shares are united afterwards."""
     cells = polygon_cells(mask)
@@ -194,14 +209,12 @@ def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     segs = parts.select(*carried, "__part", F.expr(f"posexplode({G.edges_of_part('__points')})").alias("__seg", "e"))
     near = segs.where(G.edge_box_overlaps("e", cells.bounds))
 
-    def span(c: str) -> Column:
-        return F.expr(f"explode(sequence({cells.cell(f'least(e.{c}1, e.{c}2)')}, {cells.cell(f'greatest(e.{c}1, e.{c}2)')}))")
-
-    spread = near.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    # A segment comes once per cell that it crosses.
+    crossed = cells_of_edges(near.select(F.struct("*").alias("__s"), "e.*"), cells).select("__s.*", "cx", "cy")
     box = (f"(cx * {h})", f"(cy * {h})", f"((cx + 1) * {h})", f"((cy + 1) * {h})")
-    spread = spread.withColumn("r", F.expr(clip_range("e", box))).where("r.t0 < r.t1")
-    right = cells.df.select("cx", "cy", "edges", "touching")
-    met = sized_join(spread, right, ["cx", "cy"], "inner", small=cells.small)
+    crossed = crossed.withColumn("r", F.expr(clip_range("e", box))).where("r.t0 < r.t1")
+    right = _with_breaks(cells).select("cx", "cy", F.expr("edges is null").alias("whole"), "touching", "breaks")
+    met = sized_join(crossed, right, ["cx", "cy"], "inner", small=cells.small)
 
     # Where the segment crosses the boundary within the cell; between two
     # crossings it is inside or outside as its middle is.
@@ -216,7 +229,7 @@ def _clip_lines(features: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     inner = f"filter({shares}, t -> t > r.t0 and t < r.t1)"
     met = met.withColumn("cuts", F.expr(f"array_sort(array_distinct(concat(array(r.t0, r.t1), {inner})))"))
     middle = ("e.x1 + (s.t0 + s.t1) / 2 * (e.x2 - e.x1)", "e.y1 + (s.t0 + s.t1) / 2 * (e.y2 - e.y1)")
-    inside = f"(edges is null or {G.point_in('edges', f'({middle[0]})', f'({middle[1]})')})"
+    inside = f"(whole or ({G.point_in('touching', f'({middle[0]})', f'({middle[1]})')}) != (size(filter(breaks, b -> b > {middle[1]})) % 2 = 1))"
     pieces = "transform(sequence(1, size(cuts) - 1), i -> named_struct('t0', cuts[i-1], 't1', cuts[i]))"
     # The outer form keeps the optimizer from testing emptiness beforehand,
     # which would work everything out twice.
