@@ -23,8 +23,8 @@ _RUNS = [c + " " for c in "\t\n\x0b\x0c\r "]
 _OTHER_SPACE = [c for c in sorted(_SPACE_SET) if not c.isascii()]
 #: Marks that no letter or digit before them is merged with.
 _MARKS = ".,;:!?)"
-#: Distinct cuts that are kept at most, and new ones that are encoded in a row.
-KEPT, TOGETHER = 1_200_000, 8192
+#: Distinct cuts that are kept at most, new ones that are encoded in a row, and letters of texts that are cut at once.
+KEPT, TOGETHER, LETTERS = 600_000, 8192, 1 << 19
 
 
 def cuts_of(text: str) -> list[str]:
@@ -53,7 +53,16 @@ class CachedTokenizer:
             self.bytes_of[i] = len(added[i].encode()) if i in added else len(token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, without special tokens of the model."""
+        """The ids of each text, without special tokens of the model. A few texts at a time, so that few cuts are in memory."""
+        out, start, letters = [], 0, 0
+        for stop, text in enumerate(texts, 1):
+            letters += len(text)
+            if letters >= LETTERS or stop == len(texts):
+                out += self._some(texts[start:stop])
+                start, letters = stop, 0
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         parts = [cuts_of(t) for t in texts]
         if len(self.known) > self.kept:  # words of these texts stay
             self.known = {k: v for k in set(chain.from_iterable(parts)) if (v := self.known.get(k)) is not None}
