@@ -115,3 +115,25 @@ def test_best_fit_is_the_usual_one():
                 else:
                     bins.append([room - size])
         assert sum(packing.best_fit(counts).values()) == len(bins)
+
+
+def test_line_breaks_and_marks_begin_no_new_words(plain):
+    texts = ["one two.\nTwo", "two,\none two", "\none\n\nTwo\r\n!\n", "a \n two\t\none\n\n\nTwo \n", "\n", " \n\n", "one\n one!?\n\tTwo).", "two one"]
+    cached, asked = tokens.CachedTokenizer(VOCABULARY), []
+    encoded = cached._encoded
+    cached._encoded = lambda new: asked.extend(new) or encoded(new)
+    assert [np.frombuffer(x, "<u4").tolist() for x in cached.encode(texts)] == [plain(t) for t in texts]
+    asked.clear()
+    cached.encode([" one two one.\nTwo two,\none one! two"])
+    assert not [w for w in asked if any(map(str.isalnum, w))]
+
+
+def test_words_that_return_are_encoded_once():
+    cached, asked = tokens.CachedTokenizer(VOCABULARY, kept=80), Counter()
+    encoded = cached._encoded
+    cached._encoded = lambda new: asked.update(new) or encoded(new)
+    for i in range(50):  # ten new words in each text, and in every second one five that return
+        cached.encode([" ".join(["", *["the", "of", "and", "to", "in"] * (i % 2), *(f"w{i}x{k}" for k in range(10))])])
+    asked.pop("\0")
+    assert max(asked.values()) == 1
+    assert len(cached.known) + len(cached.before) <= 80 + 2 * 16
