@@ -1,5 +1,7 @@
 import hashlib
+import random
 from collections import Counter
+from itertools import cycle
 
 import public_tokenizers
 from fixtures import ROWS, documents, ordered, prose, tuples
@@ -85,3 +87,56 @@ def test_forgetting_words_changes_nothing():
 def test_empty_table(spark):
     found = align.Alignment(documents(spark, []), A, B)
     assert found.documents().count() == 0 and found.pairs().count() == 0
+
+
+def test_words_are_encoded_once_whatever_marks_follow():
+    found, seen = align.Aligner(A, B), []
+
+    class Watched:
+        """B's tokenizer, which notes what it encodes."""
+
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode(self, text, **how):
+            seen.append(text)
+            return self.real.encode(text, **how)
+
+    found.b = Watched(found.b)
+    words = [f"wörd{a}{b}" for a in "abcdefgh" for b in "xyzé"]
+    assert None not in list(found.entries([" ".join(words)])) and seen
+    seen.clear()
+    again = [" ".join(w + m for w, m in zip(words, cycle([".", ",", "!!", "?)", ""]))), " ".join(reversed(words))]
+    assert None not in list(found.entries(again)) and not seen
+
+
+def test_a_full_cache_keeps_words_that_return():
+    found, often, learnt = align.Aligner(A, B, kept=200), [f"often{c}" for c in "abcdefgh"], []
+    learn = found._learn
+    found._learn = lambda new: learnt.extend(new) or learn(new)
+    for k in range(30):
+        list(found.entries([" ".join(often + [f"rare{k}x{j}" for j in range(30)])]))
+    assert all(learnt.count(w) == 1 for w in often) and len(found.known) + len(found.before) <= 200 + 2 * 38
+
+
+def test_long_words_are_not_kept():
+    found = align.Aligner(A, B)
+    assert None not in list(found.entries(["x" * 1000 + ". y " + "ab" * 500])) and set(found.known) == {"y"}
+
+
+def test_cuts_of_awkward_texts_match_whole_texts():
+    bits = [" ", "  ", "\n", "\n\n", "\t", " \n", "\n ", "\r\n", "\xa0", "\u3000", "\x1c", ".", ",", "!!", "...", "?!)", ";:.,", "'s", "don't", "word", "é", "ß", "日本", "🙂", "²", "½", "٣", "12", "3.5", "_", "__", ")", "<s>", "<0x41>", "&&&", "\u0300", "\u200b"]
+    draw = random.Random(12)
+    rows = [(i, "".join(draw.choices(bits, [30] + [2] * (len(bits) - 1), k=draw.randint(1, 14)))) for i in range(3000)]
+    rows += [(4000, "nul\0 in it\nx."), (4001, "x ▁y."), (4002, "\n"), (4003, "\nx "), (4004, " "), (4005, None), (4006, "")]
+    want, _, _ = brute(rows)
+    found = align.Aligner(A, B, kept=300)
+    for (i, n_a, n_b, n, *_, digest), own in zip(want, found.entries([t for _, t in rows])):
+        if own is None:
+            assert digest == "", i
+        else:
+            sums = [sum(c) for c in list(zip(*own))[:3]]
+            assert sums == [n_a, n_b, n] and hashlib.sha256(";".join(e[3] for e in own).encode()).hexdigest() == digest, i

@@ -13,23 +13,29 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import collected, lookup, prepare, written
-from .tokens import _SPACE, release
-
-#: Both tokenizers may be cut before a space that follows something else.
-_CUT = re.compile(f"(?<=[^{_SPACE}]) ")
-_ENDS_SPACE = re.compile(f"[{_SPACE}]\\Z")
-#: Cuts that a process keeps at most, of those it has met twice in a batch, and new ones that are encoded in a row.
-KEPT, TOGETHER = 200_000, 4096
+from .tokens import _BYTES, _LATIN, _MARK_SET, _MARKS, _SPACE, _SPACE_SET, release, spaced
+
+#: Both tokenizers may be cut before a space or line break that follows something else, if no token of B has such a place.
+_CUT = re.compile(f"(?<=[^{_SPACE}])(?=[ \n])")
+_ACROSS_CUT = re.compile(f"[^{_SPACE}][ \n]").search
+#: Letters and digits in any version of Unicode; A is cut between them and marks, and B if it has no token of both.
+_PLAIN = "0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_PLAIN_SET = frozenset(c for c in map(chr, range(0x250)) if re.match(f"[{_PLAIN}]", c))
+_ACROSS_MARKS = re.compile(f"[{_PLAIN}][{re.escape(_MARKS)}]").search
+#: Cuts that a process keeps at most, letters of the longest that it keeps, new ones that are encoded in a row, and letters of texts that are cut at once.
+KEPT, LONGEST, TOGETHER, LETTERS = 300_000, 64, 8192, 1 << 20
+#: Marks at the end of a word that are told apart from it, at most.
+ENDS = 3
 #: A name with at least this share of all rows is hot: there are at most as many as its inverse.
 HOT_SHARE = 1 / 4096
 
@@ -47,7 +53,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.a, self.kept = Tokenizer.from_file(path_a), kept
         self.a.encode_special_tokens = True
@@ -56,7 +62,7 @@ class Aligner:
         self.bytes_a: list[bytes] = [b""] * (1 + max(self.a.get_vocab(with_added_tokens=True).values()))
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.bytes_b, cuttable = [], True
+        self.bytes_b, self.cuttable, marked = [], True, False
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
@@ -64,94 +70,157 @@ class Aligner:
             elif self.b.is_control(i) or self.b.is_unknown(i):
                 self.bytes_b.append(b"")
             else:
-                self.bytes_b.append(piece.replace("▁", " ").encode())
-                cuttable &= "▁" not in piece.lstrip("▁")
-        self.cuttable = cuttable
+                piece = piece.replace("▁", " ")
+                self.bytes_b.append(piece.encode())
+                self.cuttable &= not _ACROSS_CUT(piece)
+                marked |= bool(_ACROSS_MARKS(piece))
+        self.pieces = None  # A's model for words that are one piece of its pattern
+        if self.a.normalizer is None and isinstance(self.a.pre_tokenizer, pre_tokenizers.ByteLevel) and self.a.pre_tokenizer.use_regex:
+            self.pieces = Tokenizer(self.a.model)
+            self.pieces.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.marks = [] if marked or not self.pieces else ["".join(m) for n in range(1, ENDS + 1) for m in product(_MARKS, repeat=n)]
         self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         # Pieces come after byte tokens, so that they are preferred.
         of = {w: i for byte in (True, False) for i, w in enumerate(self.bytes_b) if w and self.b.is_byte(i) == byte}
         self.identity = np.array([of.get(w, -1) if w else -1 for w in self.bytes_a], np.int64)
         self.identity_names = np.array([f"{i}|{b}" for i, b in enumerate(self.identity.tolist())], object)
+        self.decimal = np.array([str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))], object)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, tuple | None] = {}
+        self.known, self.before = {}, {}  # cuts since half of ``kept`` were full, and those of the half before
         self.names: list[str] = []
         self.number: dict[str, int] = {}
+        #: Marks at the end of a word; they are learnt after one, since B puts a space before a text.
+        self.ends = dict(zip(self.marks, (self._block([x for m in self.marks for x in (" a", m)]) or [])[1::2]))
 
-    def parts(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.cuttable else [text]
-
-    def entries(self, texts: list[str | None]) -> list[list[tuple] | None]:
-        """What is known of each part of each text; None for a text without tokens."""
-        parts = [self.parts(t) if t else None for t in texts]
-        times = Counter(chain.from_iterable(p for p in parts if p))
-        if len(self.known) > self.kept:
+    def entries(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
+        """What is known of each cut of each text; None for a text without tokens. A few texts at a time, so that few cuts are in memory."""
+        if len(self.names) > self.kept:  # not while a batch is worked on, whose numbers of names are in use
             self.forget()
-        new = times.keys() - self.known.keys()
-        self._learn(new)
-        found = []
-        for p in parts:
-            own = list(map(self.known.__getitem__, p)) if p else None
-            found.append(None if own is None or None in own else own)
-        for p in new:  # most words are rare, and need no place
-            if times[p] == 1:
-                del self.known[p]
+        start, letters = 0, 0
+        for stop, text in enumerate(texts, 1):
+            letters += len(text or "")
+            if letters >= LETTERS or stop == len(texts):
+                yield from self._some(texts[start:stop])
+                start, letters = stop, 0
+
+    def _some(self, texts: list[str | None]) -> list[list[tuple] | None]:
+        out: list[list[tuple] | None] = [None] * len(texts)
+        full = [i for i, t in enumerate(texts) if t]
+        plain = {i: s for i in full if self.cuttable and (s := spaced(" " + texts[i])) is not None}
+        odd = {i: self._pattern_cuts(texts[i]) for i in full if i not in plain}
+        # A cut that begins with a space is without it, one that begins with a line break is as it is, another after a zero byte.
+        # Each text begins with a space.
+        lists = pc.split_pattern(pa.array([s[2:] for s in plain.values()], pa.large_string()), " ")
+        lists = pa.concat_arrays([lists, pa.array(odd.values(), lists.type)])
+        cuts = lists.flatten().dictionary_encode()
+        found = np.empty(len(cuts.dictionary), object)
+        found[:] = self._entries(cuts.dictionary.to_numpy(zero_copy_only=False).tolist())  # faster than to_pylist
+        which, stops, start = cuts.indices.to_numpy(), np.cumsum(lists.value_lengths().to_numpy()).tolist(), 0
+        for i, stop in zip(chain(plain, odd), stops):
+            own = found[which[start:stop]].tolist()
+            out[i] = None if () in own else own
+            start = stop
+        return out
+
+    def _pattern_cuts(self, text: str) -> list[str]:
+        """The cuts of a text that its spaces and line breaks alone do not tell."""
+        if "\0" in text or not self.cuttable:
+            return ["\0 " + text]
+        return [c if c[0] == "\n" else c[1:] if c[1:2] != "\n" else "\0" + c for c in _CUT.split(" " + text)]
+
+    def _entries(self, cuts: list[str]) -> list[tuple]:
+        """What is known of different cuts, () if nothing; one that ends with marks is the word before them, which is kept, and the marks."""
+        words, ends = list(cuts), {}
+        for i, c in enumerate(cuts):
+            if c[-1:] in _MARK_SET and (b := c.rstrip(_MARKS)) and b[-1] in _PLAIN_SET and (e := self.ends.get(c[len(b) :])):
+                words[i], ends[i] = b, e
+        if len(self.known) > self.kept // 2:  # words that were met since stay, those met only before go with the next half
+            self.known, self.before = {}, self.known
+        found = list(map(self.known.get, words))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        again = {w: v for w in {words[i] for i in gaps} if (v := self.before.get(w)) is not None}
+        learnt = again | self._learn({words[i] for i in gaps}.difference(again))
+        self.known.update((w, v) for w, v in learnt.items() if len(w) <= LONGEST)
+        for i in gaps:
+            found[i] = learnt[words[i]]
+        for i, (n_a, n_b, n, text, regular, irregular) in ends.items():
+            if v := found[i]:
+                found[i] = v[0] + n_a, v[1] + n_b, v[2] + n, f"{v[3]};{text}", v[4] + regular, v[5] + irregular
+        return found
+
+    def _learn(self, new: set[str]) -> dict[str, tuple]:
+        latin, joined, breaks, others, out = [], [], [], [], {}
+        for c in new:
+            if self.pieces and _LATIN(c):
+                latin.append(c)
+            elif c and c[0] != "\0" and c[-1] not in _SPACE_SET:
+                (breaks if c[0] == "\n" else joined).append(c)
+            else:
+                others.append(c)
+        for words in (latin, joined, breaks):
+            for start in range(0, len(words), TOGETHER):
+                block = words[start : start + TOGETHER]
+                out.update(zip(block, self._each(block if words is breaks else [" " + c for c in block], words is latin)))
+        for c in others:  # not followed by others, since white space at the end may go on
+            out[c] = self._each([c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c])[0]
+        return out
+
+    def _each(self, block: list[str], latin: bool = False) -> list[tuple]:
+        """What there is to know of parts; () for those whose bytes or ends differ from the text's, found by halving."""
+        if block[0][:1] == " ":
+            found = self._block(block, latin)
+        else:  # in the midst of a text, after a word
+            found = self._block([" a", *block])
+            found = found and found[1:]
+        if found is None:
+            half = len(block) // 2
+            found = self._each(block[:half], latin) + self._each(block[half:], latin) if half else [()]
         return found
 
-    def _learn(self, new: set[str]) -> None:
-        alone, joined = [], []
-        for p in new:
-            (alone if not p or p[0] == " " or _ENDS_SPACE.search(p) or not self.cuttable else joined).append(p)
-        for start in range(0, len(joined), TOGETHER):
-            block = joined[start : start + TOGETHER]
-            if not self._learn_block(block):
-                alone += block
-        for p in alone:
-            if not self._learn_block([p]):
-                self.known[p] = None
-
-    def _learn_block(self, block: list[str]) -> bool:
-        """Learn parts that follow each other; False if their bytes or their ends differ from the text's."""
-        text = " ".join(block)
-        raw = (" " + text).encode("utf-8", "surrogatepass")
-        ids_a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
+    def _block(self, block: list[str], latin: bool = False) -> list[tuple] | None:
+        """What there is to know of parts that follow each other; None if their bytes or their ends differ from the text's."""
+        text = "".join(block)
+        raw, encoder, coded = text.encode(), self.a, text
+        if latin:
+            encoder, coded = self.pieces, raw.decode("latin-1").translate(_BYTES)
+        list_a = encoder.encode_batch_fast([coded], add_special_tokens=False)[0].ids
         # The library drops the space it adds if there is nothing else.
-        ids_b = np.array(self.b.encode(text, num_threads=1) if text else [self.b.piece_to_id("▁")], np.int64)
-        if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != raw:
-            return False
+        list_b = self.b.encode(text[1:], num_threads=1) if text != " " else [self.b.piece_to_id("▁")]
+        if b"".join(map(self.bytes_a.__getitem__, list_a)) != raw or b"".join(map(self.bytes_b.__getitem__, list_b)) != raw:
+            return None
+        ids_a, ids_b = np.array(list_a, np.int64), np.array(list_b, np.int64)
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
         marks = np.zeros(len(raw) + 1, np.uint8)
         marks[ends_a] = 1
         marks[ends_b] += 2
         both = np.flatnonzero(marks == 3)
-        stops = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in block])
+        stops = np.cumsum(pc.binary_length(pa.array(block, pa.large_string())).to_numpy())
         last = np.searchsorted(both, stops)
         if not np.array_equal(both[last], stops):
-            return False
+            return None
         upto_a, upto_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
-        same = (np.diff(upto_a, prepend=0) == 1) & (np.diff(upto_b, prepend=0) == 1)
+        from_a, from_b = np.concatenate([[0], upto_a[:-1]]), np.concatenate([[0], upto_b[:-1]])
+        same = (upto_a - from_a == 1) & (upto_b - from_b == 1)
         same &= self.identity[ids_a[upto_a - 1]] == ids_b[upto_b - 1]
         # Plain lists and slices of bytes from here on: parts have few tokens each.
-        to_a, to_b, odd_at = upto_a.tolist(), upto_b.tolist(), np.flatnonzero(~same).tolist()
-        names = self.identity_names[ids_a[upto_a - 1]].tolist()
-        for k in odd_at:
-            sides = ids_a[to_a[k - 1] if k else 0 : to_a[k]], ids_b[to_b[k - 1] if k else 0 : to_b[k]]
-            names[k] = "|".join(",".join(map(str, side.tolist())) for side in sides)
-        regular, odd = ids_a[upto_a[same] - 1].astype("<i4").tobytes(), np.array([self._number(names[k]) for k in odd_at], "<i4").tobytes()
-        so_far = np.cumsum(same)[last]
-        i = j = at = r = o = 0
-        for p, stop, done in zip(block, (last + 1).tolist(), so_far.tolist()):
-            x, y = to_a[stop - 1], to_b[stop - 1]
-            self.known[p] = (x - i, y - j, stop - at, ";".join(names[at:stop]), regular[4 * r : 4 * done], odd[4 * o : 4 * (stop - done)])
-            at, i, j, r, o = stop, x, y, done, stop - done
-        return True
-
-    def _number(self, name: str) -> int:
-        if name not in self.number:
-            self.number[name] = len(self.names)
-            self.names.append(name)
-        return self.number[name]
+        names, odd, numbers = self.identity_names[ids_a[upto_a - 1]].tolist(), np.flatnonzero(~same), []
+        decimal_a, decimal_b = self.decimal[ids_a].tolist(), self.decimal[ids_b].tolist()
+        for k, i, x, j, y in zip(*(c.tolist() for c in (odd, from_a[odd], upto_a[odd], from_b[odd], upto_b[odd]))):
+            names[k] = name = f"{','.join(decimal_a[i:x])}|{','.join(decimal_b[j:y])}"
+            if (number := self.number.get(name)) is None:
+                number = self.number[name] = len(self.names)
+                self.names.append(name)
+            numbers.append(number)
+        regular, irregular = ids_a[upto_a[same] - 1].astype("<i4").tobytes(), np.array(numbers, "<i4").tobytes()
+        so_far = 4 * np.cumsum(same)[last]
+        columns = upto_a[last], upto_b[last], last + 1, so_far, 4 * (last + 1) - so_far
+        out, i, j, at, r, o = [], 0, 0, 0, 0, 0
+        for x, y, stop, done, others in zip(*(c.tolist() for c in columns)):
+            out.append((x - i, y - j, stop - at, ";".join(names[at:stop]), regular[r:done], irregular[o:others]))
+            i, j, at, r, o = x, y, stop, done, others
+        return out
 
     def links(self, name: str) -> list[int]:
         """Linked pairs of a group, each as the id of A, 32 bits up, and the id of B."""
